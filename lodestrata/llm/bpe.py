@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.runtime import ship
+from lodestrata.runtime import extended, ship
 
 #: The pre-token pattern of byte-level BPE vocabularies, the commonest branch first.
 PRETOKEN = r" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -244,9 +244,7 @@ def _mapped(docs: DataFrame, tokenizer: str, text: str, ids: bool) -> DataFrame:
     new = ("n_tokens", "ids") if ids else ("n_tokens", "ids_text", "decoded")
     docs = docs.drop(*(c for c in new if c != text))
     kinds = "n_tokens long, ids array<int>" if ids else "n_tokens long, ids_text string, decoded string"
-    schema = docs.schema
-    for field in kinds.split(", "):
-        schema = schema.add(*field.split(" "))
+    schema = extended(docs.schema, kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(tokenizer)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import textops as X
-from lodestrata.runtime import ship
+from lodestrata.runtime import extended, ship
 
 #: UTF-8 bytes of text in a chunk, about two million windows.
 CHUNK_BYTES = 12 << 20
@@ -114,7 +114,7 @@ def remove_repeats(docs: DataFrame, size: int = 35, key: str = "doc_id", text: s
 
     sent = dealt.groupBy("chunk_").applyInArrow(held, "chunk_ int, bucket_ int, hashes_ binary")
     answers = sent.groupBy("bucket_").applyInArrow(counted, "chunk_ int, bucket_ int, again_ binary")
-    schema = docs.schema.add("n_words", "long").add("removed", "array<struct<start:int,end:int>>").add("kept_text", "string")
+    schema = extended(docs.schema, "n_words long, removed array<struct<start:int,end:int>>, kept_text string")
 
     def apply(rows: pa.Table, bitmaps: pa.Table) -> pa.Table:
         at, hashes, before = _window_hashes(rows.column(text), size)
