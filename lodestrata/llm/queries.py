@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import bpe, line_dedup, ngram_join, substring_dedup, toxicity
+from lodestrata.llm import bpe, decontam, line_dedup, ngram_join, substring_dedup, toxicity
 from lodestrata.runtime import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,6 +28,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_ngram_join": op5_ngram_join,
+    "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
 }
 
