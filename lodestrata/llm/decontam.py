@@ -55,13 +55,18 @@ def templates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
     A token is a run of letters and digits; a point or comma between digits belongs to the
     number. Numbers are tokens that begin with a digit; units are the words of ``UNITS``
-    behind a number; names are capitalised words that don't begin a sentence.
+    behind a number; names are capitalised words that don't begin a sentence. Case is folded
+    for Latin letters.
     """
     inside = _TOKEN[raw]
     if len(raw) > 2:
         inside[1:-1] |= _POINT[raw[1:-1]] & _DIGIT[raw[:-2]] & _DIGIT[raw[2:]]
     starts, ends, before = X.runs(inside, offsets)
-    filler = X.hashes(raw, starts, ends, fold=True)
+    folded = raw.copy()
+    if len(raw) > 1:  # Latin letters with marks: their second byte differs by 32
+        large = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+        folded[1:][large] += 32
+    filler = X.hashes(folded, starts, ends, fold=True)
     if not len(starts):
         return filler, filler, np.zeros(0, bool), before
     head = raw[starts]
