@@ -169,3 +169,20 @@ def digests(docs: DataFrame) -> DataFrame:
     out = remove_repeats(docs.select("doc_id", "text"))
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + (x["end"] - x["start"]).cast("long"))
     return out.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+#: The same rows by DuckDB.
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS k FROM w WHERE len(ws) >= 35),
+h AS (SELECT doc_id, k, sha256(array_to_string(ws[k:k + 34], ' ')) AS m FROM win),
+again AS (SELECT doc_id, k FROM h QUALIFY count(*) OVER (PARTITION BY m) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 35)) AS p FROM again),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+told AS (
+  SELECT doc_id, count(g.p) AS n_removed, string_agg(word, ' ' ORDER BY words.p) FILTER (WHERE g.p IS NULL) AS kept
+  FROM words LEFT JOIN gone g USING (doc_id, p) GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN told USING (doc_id)
+"""

@@ -240,3 +240,18 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     archives = write(pages, scratch(pages.sparkSession, "warc"), min_bytes)
     back = read(archives)
     return back.select(_page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", _page("refers_to").alias("refers_to"))
+
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_QUINTETS = " || ".join(
+    f"substr('{_LETTERS}', ((('0x' || substr(sha, {5 * g + 1}, 5))::INT >> {shift}) & 31) + 1, 1)" for g in range(8) for shift in (15, 10, 5, 0)
+)
+#: The same rows by DuckDB; base32 is made of groups of five hexadecimal digits.
+SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS sha FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS last FROM p)
+SELECT page_id, strlen(body) AS payload_bytes, {_QUINTETS} AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id < last THEN last END AS refers_to
+FROM m
+"""
