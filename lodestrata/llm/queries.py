@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import bpe, decontam, license_scan, line_dedup, ngram_join, quality, substring_dedup, toxicity, warc
+from lodestrata.llm import bpe, decontam, license_scan, line_dedup, ngram_join, quality, substring_dedup, token_output, toxicity, warc
 from lodestrata.runtime import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -32,6 +32,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.written_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scanned_documents(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
     "op5_ngram_join": op5_ngram_join,
+    "op6_token_output": op6_token_output,
     "op7_license_scan": op7_license_scan,
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
