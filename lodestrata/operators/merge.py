@@ -56,9 +56,9 @@ def delete(df: DataFrame, ids: list | None = None, condition: Column | None = No
     return df.where(~F.coalesce(gone, F.lit(False)))
 
 
-#: The order of an application's states; the first ones are open, the last ones final.
-STATES = ["applied", "screening", "test", "first", "second", "hr", "offer", "joined"]
-REJECTED = "rejected"
+# The states of an application in order, and the one beside them.
+STATES = ["已投递", "简历筛选中", "笔试", "一面", "二面", "HR面", "Offer", "已入职"]
+REJECTED = "已拒绝"
 
 
 def transition_allowed(now: Column, then: Column) -> Column:
