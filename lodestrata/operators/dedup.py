@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,21 +25,26 @@ def any_key(df: DataFrame, keys: list[str], seq: str, by: list[str]) -> DataFram
     """Rows none of whose keys an earlier kept row of the same batch has; null keys don't count.
 
     A dropped row's keys aren't remembered, so the order matters and each batch is a fold.
-    ``by`` names the batch, whose rows one task has to hold.
+    ``by`` names the batch. Rows are streamed in order, and only the keys of the open batch
+    are held.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch: tuple | None = None
         seen: set[tuple[str, object]] = set()
-        keep = []
-        rows = rows.sort_values(seq, kind="stable")
-        for values in zip(*(rows[k] for k in keys)):
-            own = {(k, v) for k, v in zip(keys, values) if v is not None and v == v}
-            keep.append(not own & seen)
-            if keep[-1]:
-                seen |= own
-        return rows[keep]
-
-    return df.groupBy(*by).applyInPandas(fold, df.schema)
+        for part in parts:
+            keep = []
+            names = zip(*(part.column(c).to_pylist() for c in by))
+            for name, values in zip(names, zip(*(part.column(c).to_pylist() for c in keys))):
+                if name != batch:
+                    batch, seen = name, set()
+                own = {(k, v) for k, v in zip(keys, values) if v is not None}
+                keep.append(not own & seen)
+                if keep[-1]:
+                    seen |= own
+            yield part.filter(pa.array(keep, pa.bool_()))
+
+    return df.repartition(*by).sortWithinPartitions(*by, seq).mapInArrow(fold, df.schema)
 
 
 def merged_facts(facts: DataFrame, key: str, confidence: str, seq: str) -> DataFrame:
