@@ -34,13 +34,17 @@ def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -
     stats = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.array_contains("hits", t)).alias(f"df{i}") for i, t in enumerate(terms))).first()
     score: Column = F.lit(0.0)
     for i, (term, times) in enumerate(terms.items()):
-        tf = F.size(F.filter("hits", lambda t, term=term: t == term))
+        tf = _times("hits", term)
         idf = F.log1p((F.lit(stats["n"]) - stats[f"df{i}"] + 0.5) / (F.lit(stats[f"df{i}"]) + 0.5))
         norm = tf + K1 * (1 - B + B * F.col("length") / F.lit(stats["mean"] or 1.0))
         score = score + F.when(tf > 0, times * idf * tf * (K1 + 1) / norm).otherwise(0.0)
     return sized.where(F.size("hits") > 0).select(key, F.round(score, PLACES).alias("score"))
 
 
+def _times(tokens_column: str, term: str) -> Column:
+    return F.size(F.filter(tokens_column, lambda t: t == term))
+
+
 def top(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
     """The k best rows; the smaller key comes first among equals."""
     return df.orderBy(F.col(score).desc(), F.col(key)).limit(k)
