@@ -14,7 +14,8 @@ from lodestrata.streaming import stateful as S
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    named = spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet")
+    return named.parquet(sf_dir)
 
 
 def _drained(out: DataFrame, name: str) -> DataFrame:
