@@ -96,7 +96,7 @@ def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([c.flatten().to_numpy() for c in parts]), np.concatenate([c.value_lengths().to_numpy() for c in parts]).astype(np.int64)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 4_000, epochs: int = 30, seed: int = 0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 3_000, epochs: int = 30, seed: int = 0) -> Model:
     """Fits model and calibration on labelled rows that aren't held out.
 
     Without rows of both classes every text gets the share of label 1 (0.5 of no rows).
