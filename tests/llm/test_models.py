@@ -149,7 +149,7 @@ def test_reparameterised_questions(text, hit):
 
 def test_fillers_must_be_consistent():
     item = "move 5 boxes then 7 crates then 5 boxes and 7 crates to the store now"
-    block = D._Items([(1, item)], 14)
+    block = D._Items([(1, item)], 16)
     count = lambda t: [f[3] for f in block.matches(pa.array([t]), [0])]
     assert count(item.replace("5", "8")) and count(item.replace("5", "8"))[0] > 0
     # two values of the document for one of the item
