@@ -249,3 +249,9 @@ def https_url(url: str | Column, suffixes: list[str]) -> Column:
         .when(url.rlike(r"(?i)[?&](token|secret|password|api[_-]?key|access[_-]?token|signature)="), "secret")
     )
     return F.struct(reason.isNull().alias("ok"), F.when(reason.isNull(), F.regexp_replace(url, "#.*$", "")).alias("url"), reason.alias("reason"))
+
+
+def degree_level(text: str | Column) -> Column:
+    """The highest degree that a text names: 0 none, 1 college, 2 bachelor, 3 master, 4 doctor."""
+    text = F.coalesce(_c(text), F.lit(""))
+    return F.when(text.rlike("博士"), 4).when(text.rlike("硕士|研究生"), 3).when(text.rlike("本科|学士"), 2).when(text.rlike("大专|专科"), 1).otherwise(0)

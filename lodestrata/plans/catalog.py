@@ -1,4 +1,4 @@
 """All queries of the package, llm apart."""
 
-from lodestrata.plans import search, streams, tables, texts  # noqa: F401
+from lodestrata.plans import records, search, streams, tables, texts  # noqa: F401
 from lodestrata.plans.registry import QUERIES, SQL  # noqa: F401
