@@ -6,8 +6,8 @@ learns that an insult weighs more where a group is mentioned. Terms are lower-ca
 and their beginnings, hashed.
 
 Training rows are a bounded sample of the labelled rows: all of them up to ``max_rows``,
-else those with the smallest hash of doc_id. Only that sample reaches the driver, as term
-hashes. Scoring runs over all rows in Arrow batches and shuffles nothing.
+else those with the smallest hash of doc_id. The terms of the sample are counted and chosen
+by Spark; only the hashes of those chosen reach the driver. Scoring runs over all rows in Arrow batches and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.runtime import extended, ship
+from lodestrata.runtime import extended, settle, ship
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings of words that are terms.
@@ -42,9 +42,9 @@ class Machine:
 
 
 def terms_of(word: str) -> tuple[int, ...]:
-    """Hashes (63 bits) of a word and its beginnings."""
+    """Hashes (31 bits) of a word and its beginnings."""
     parts = {word, *(f"{word[:k]}~" for k in _STEMS if len(word) >= k)}
-    return tuple(xxhash.xxh3_64_intdigest(p) >> 1 for p in sorted(parts))
+    return tuple(xxhash.xxh3_64_intdigest(p) >> 33 for p in sorted(parts))
 
 
 def _vocabulary(text: str | None) -> set[str]:
@@ -59,9 +59,9 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [sorted({t for w in _vocabulary(text) for t in terms_of(w)}) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.list_(pa.int64()))], [*keep, "terms"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.list_(pa.int32()))], [*keep, "terms"])
 
-    return docs.select(*keep, "text").mapInArrow(run, extended(kept.schema, "terms array<long>"))
+    return docs.select(*keep, "text").mapInArrow(run, extended(kept.schema, "terms array<int>"))
 
 
 def is_held_out(doc_id: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
@@ -90,35 +90,40 @@ def train(
     at least. Without rows of both classes
     the machine has no terms, and gives every text the share of label 1 (0.5 of no rows).
     """
-    got = features(sample(docs, labels, label, max_rows), ["doc_id", "label_"]).select("label_", "terms").toArrow()
-    y = np.asarray(got.column("label_").to_numpy(), np.float64)
-    lists = got.column("terms").combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int64()))
-    flat = lists.flatten().to_numpy()
-    owner = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-    base = (y.sum() + 0.5) / (len(y) + 1)
+    got = settle(features(sample(docs, labels, label, max_rows), ["doc_id", "label_"]), "toxicity-sample")
+    n, ones = got.agg(F.count("*"), F.coalesce(F.sum("label_"), F.lit(0))).first()
+    base = (ones + 0.5) / (n + 1)
     bias = float(np.log(base / (1 - base)))
-    none = Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, rank)))
-    if not 0 < y.sum() < len(y):
+    none = Machine(np.zeros(0, np.int32), bias, np.zeros(0), np.zeros((0, rank)))
+    if not 0 < ones < n:
         return none
-    terms, place = np.unique(flat, return_inverse=True)
-    pos = np.bincount(place, weights=y[owner], minlength=len(terms))
-    total = np.bincount(place, minlength=len(terms))
+    # the terms are counted and chosen by Spark; the driver gets those chosen and what rows hold of them
+    counted = got.select("label_", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("total"), F.sum("label_").alias("ones"))
+    share = F.col("total") / n
     # distance of the classes' shares in standard errors
-    share = total / len(y)
-    gap = np.abs(pos / y.sum() - (total - pos) / (len(y) - y.sum())) / np.sqrt(share * (1 - share) * (1 / y.sum() + 1 / (len(y) - y.sum())) + 1e-12)
-    gap[total < min_rows] = -1
-    best = np.sort(np.argsort(-gap, kind="stable")[:max_terms])
-    best = best[gap[best] >= min_gap]
-    if not len(best):
+    error = F.sqrt(share * (1 - share) * (1 / ones + 1 / (n - ones)) + 1e-12)
+    gap = F.round(F.abs(F.col("ones") / ones - (F.col("total") - F.col("ones")) / (n - ones)) / error, 6)
+    best = counted.where(F.col("total") >= min_rows).select("term", gap.alias("gap")).where(F.col("gap") >= min_gap).orderBy(F.col("gap").desc(), "term").limit(max_terms)
+    terms = np.sort(np.array([r["term"] for r in best.select("term").collect()], np.int32))
+    if not len(terms):
         return none
-    new = np.full(len(terms), -1)
-    new[best] = np.arange(len(best))
-    column = new[place]
-    owner, column = owner[column >= 0], column[column >= 0]
-    weights, factors, bias = _fit(owner, column, y, len(best), rank, epochs, seed, bias)
-    return Machine(terms[best], bias, weights, factors)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for have in batch.column("terms").to_pylist():
+                have = np.array(have, np.int32)
+                at = np.minimum(np.searchsorted(terms, have), len(terms) - 1)
+                out.append(np.sort(at[terms[at] == have]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label_"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "label_", "at"])
+
+    held = got.mapInArrow(known, "doc_id long, label_ int, at array<int>").toArrow().sort_by("doc_id")
+    y = held.column("label_").to_numpy().astype(np.float64)
+    lists = held.column("at").to_pylist()
+    owner = np.repeat(np.arange(len(y)), [len(x) for x in lists])
+    column = np.array([i for x in lists for i in x], np.int64)
+    weights, factors, bias = _fit(owner, column, y, len(terms), rank, epochs, seed, bias)
+    return Machine(terms, bias, weights, factors)
 
 
 def _fit(owner, column, y, n_terms, rank, epochs, seed, bias, batch=256, rate=0.02, decay=2e-4):
