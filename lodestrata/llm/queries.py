@@ -65,9 +65,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
+#: All pairs by their common n-grams, which is fine for small tables only.
+_JOIN_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[k:k + 4], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(CASE WHEN len(ws) >= 5 THEN range(1, len(ws) - 3) WHEN len(ws) > 0 THEN [1] ELSE [] END) AS k FROM w)
+), c AS (SELECT w.doc_id, coalesce(sha256(string_agg(g, chr(10) ORDER BY g)), '') AS cls, count(g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+k AS (SELECT cls, min(doc_id) AS id, count(*) AS copies, any_value(n) AS n FROM c GROUP BY cls),
+r AS (SELECT k.id, g FROM k JOIN s ON s.doc_id = k.id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS i FROM r a JOIN r b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN k x ON x.id = a JOIN k y ON y.id = b WHERE 5 * i >= 4 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(id, other) AS (SELECT a, b FROM e UNION SELECT reach.id, e.b FROM reach JOIN e ON e.a = reach.other),
+g AS (SELECT id, min(other) AS least_id FROM reach GROUP BY id),
+d AS (SELECT e.a AS id, count(*) AS links, CAST(sum(k.copies) AS BIGINT) AS docs FROM e JOIN k ON k.id = e.b GROUP BY e.a)
+SELECT doc_id, k.id AS class_id, least(k.id, coalesce(least_id, k.id)) AS group_id, k.copies - 1 + coalesce(docs, 0) AS n_links, coalesce(links, 0) AS n_class_links
+FROM c JOIN k USING (cls) LEFT JOIN g ON g.id = k.id LEFT JOIN d ON d.id = k.id
+"""
+
 SQL: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.SQL,
     "op3_warc": warc.SQL,
+    "op5_ngram_join": _JOIN_SQL,
     "op7_license_scan": license_scan.sql(),
     "op9_line_dedup": line_dedup.SQL,
 }
