@@ -225,3 +225,37 @@ def test_incremental_items(spark):
     batch = spark.createDataFrame([Row(k="a", at="2"), Row(k="b", at="3"), Row(k="c", at="1")])
     fresh, mark = S.new_items(batch, spark.createDataFrame([Row(k="b")]), "1", "k", "at")
     assert [r["k"] for r in fresh.collect()] == ["a"] and mark == "2"
+
+
+@pytest.mark.parametrize("expression, after, zone, want", [
+    ("*/15 * * * *", "2024-01-01 10:07", "UTC", "2024-01-01 10:15"),
+    ("0 9 * * 1", "2024-01-01 09:00", "UTC", "2024-01-08 09:00"),
+    ("0 9 1 * 1", "2024-01-02 00:00", "UTC", "2024-01-08 09:00"),
+    ("0 0 29 2 *", "2024-03-01 00:00", "UTC", "2028-02-29 00:00"),
+    ("30 8 * * *", "2024-01-01 00:00", "Asia/Shanghai", "2024-01-01 00:30"),
+    ("0 0 * * 7", "2024-01-01 00:00", "UTC", "2024-01-07 00:00"),
+    ("0 0 31 2 *", "2024-01-01 00:00", "UTC", None),
+    ("bad", "2024-01-01 00:00", "UTC", None), ("61 * * * *", "2024-01-01 00:00", "UTC", None), (None, "2024-01-01 00:00", "UTC", None),
+])
+def test_next_run(expression, after, zone, want):
+    from lodestrata.functions.schedule import next_run
+
+    got = next_run(expression, dt.datetime.fromisoformat(after), zone)
+    assert (got and got.strftime("%Y-%m-%d %H:%M")) == want
+
+
+def test_match_rubric(spark):
+    from lodestrata.operators import scoring as S
+
+    skills = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    n = lambda x: F.lit(x).cast("double")
+    families = {"java": "jvm", "scala": "jvm"}
+    assert one(spark, S.coverage(skills("java"), skills("java", "scala", "go"), families)) == pytest.approx(1.6 / 3)
+    assert one(spark, S.coverage(skills(), skills(), families)) == 1.0
+    assert one(spark, S.missing(skills("java"), skills("java", "scala", "go"), families)) == ["go"]
+    assert [one(spark, S.experience_score(n(y), n(3), n(5))) for y in (1, 4, 7, 30, None)] == [50.0, 100.0, 90.0, 60.0, 70.0]
+    assert [one(spark, S.education_score(F.lit(a), F.lit(b))) for a, b in ((2, 3), (3, 2), (1, 0), (0, 4))] == [50.0, 100.0, 100.0, 0.0]
+    assert one(spark, S.education_score(F.lit(None).cast("int"), F.lit(2))) == 60.0
+    assert one(spark, S.other_score(F.lit("x"), skills("x"), n(10), n(20), n(15), n(30))) == 100.0
+    assert one(spark, S.other_score(F.lit("x"), skills(), n(None), n(None), n(15), n(30))) == 50.0
+    assert [one(spark, S.advice(n(t), n(c), F.lit(m))) for t, c, m in ((90, 0.95, True), (90, 0.5, True), (90, 0.95, False), (50, 1.0, True))] == [S.SAFE, S.FIT, S.FIT, S.REACH]
