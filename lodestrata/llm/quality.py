@@ -101,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
 
     Without rows of both classes every text gets the share of label 1 (0.5 of no rows).
     """
-    got = frequencies(sample(docs, labels, label, max_rows), ["doc_id", "label_"]).select("label_", "places", "shares").toArrow()
+    got = frequencies(sample(docs, labels, label, max_rows), ["doc_id", "label_"]).toArrow().sort_by("doc_id")
     y = np.asarray(got.column("label_").to_numpy(), np.float64)
     n_places = KINDS << BITS
     base = (y.sum() + 0.5) / (len(y) + 1)
