@@ -12,7 +12,7 @@ from lodestrata.operators import conversation as C
 from lodestrata.operators import retrieval as R
 from lodestrata.operators import windows as N
 from lodestrata.plans.registry import query
-from lodestrata.runtime import table
+from lodestrata.runtime import settle, table
 
 #: Words of the searches below.
 WORDS = "the license of haen the shed"
@@ -122,7 +122,8 @@ SELECT coalesce(v.doc_id, b.doc_id) AS doc_id, round(0.7 * (coalesce(v.score, 0)
 )
 def k2_hybrid(spark, sf_dir):
     vectors = R.vector_search(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 200).withColumnRenamed("vec_id", "doc_id")
-    words = R.max_normalised(R.bm25(table(spark, sf_dir, "documents"), WORDS), "score")
+    # the scores are read twice, for their maximum and for the join, but the texts only once more
+    words = R.max_normalised(settle(R.bm25(table(spark, sf_dir, "documents"), WORDS), "bm25"), "score")
     return R.top(R.fused(vectors, words, "doc_id"), "score", "doc_id", 20).select("doc_id", "score")
 
 
