@@ -3,6 +3,8 @@
 Texts become sequences of tokens in which numbers, names and units are typed
 placeholders. Windows of such templates are hashed and joined to the windows of the
 benchmark's items, so that a question whose numbers or names were changed still matches.
+Any capitalised word may be a name, also where it opens a sentence; windows are therefore
+hashed with such words as names and as they are, so copies in another case match as well.
 For what matches, the fillers of the placeholders are compared: a value of the item must
 always stand for one value of the document and the other way round, which holds for a
 re-parameterised question and seldom for unrelated text of the same shape.
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 from lodestrata.llm import textops as X
 from lodestrata.runtime import ship
 
-#: Windows of the benchmark that are broadcast at once: 16 bytes each, 32 MB at most.
+#: Hashes of the benchmark's windows that a block has: 32 bytes each, 64 MB.
 BLOCK = 1 << 21
+#: Hashes of windows that are made at once.
+SLICE = 1 << 20
 #: Words that are units where they follow a number.
 UNITS = (
     "mm cm m km g kg mg t lb oz l ml s sec second seconds min minute minutes h hour hours day days week weeks month months "
@@ -50,13 +54,13 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(X.hashes(data, ends - np.array([len(u) for u in UNITS]), ends, fold=True))
 
 
-def templates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of texts: template hash, filler hash, whether it is a placeholder, and the tokens before each text.
+def templates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of texts: template hash, filler hash, whether it is a placeholder, whether a name, and the tokens before each text.
 
     A token is a run of letters and digits; a point or comma between digits belongs to the
     number. Numbers are tokens that begin with a digit; units are the words of ``UNITS``
-    behind a number; names are capitalised words that don't begin a sentence. Case is folded
-    for Latin letters.
+    behind a number; names are capitalised words, whether they begin a sentence or not.
+    Case is folded for Latin letters.
     """
     inside = _TOKEN[raw]
     if len(raw) > 2:
@@ -68,7 +72,7 @@ def templates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         folded[1:][large] += 32
     filler = X.hashes(folded, starts, ends, fold=True)
     if not len(starts):
-        return filler, filler, np.zeros(0, bool), before
+        return filler, filler, np.zeros(0, bool), np.zeros(0, bool), before
     head = raw[starts]
     number = _DIGIT[head]
     opens = np.zeros(len(starts), bool)
@@ -78,12 +82,46 @@ def templates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     second = raw[np.minimum(starts + 1, len(raw) - 1)]
     capital = ((head >= 65) & (head <= 90) | (head == 0xC3) & (second >= 0x80) & (second <= 0x9E)) & ~number
     next_lower = (second >= 97) & (second <= 122) | (second >= 128)
-    name = capital & next_lower & (ends - starts > 1) & ~opens
     after = np.zeros(len(starts), bool)
     after[1:] = number[:-1] & ~opens[1:]
     unit = after & np.isin(filler, _unit_hashes())
+    name = capital & next_lower & (ends - starts > 1) & ~unit
     form = np.select([number, unit, name], [_NUMBER, _UNIT, _NAME], filler)
-    return form, filler, number | unit | name, before
+    return form, filler, number | unit | name, name, before
+
+
+def _forms(form: np.ndarray, filler: np.ndarray, free: np.ndarray, before: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Where windows of k tokens start, and their hashes, with each ``free`` token as a placeholder and as its word.
+
+    A window with m free tokens has 2^m hashes; they come in slices of about ``SLICE``.
+    """
+    at, rolled = X.windows(form, before, k, mixed=False)
+    ahead = np.concatenate([[0], np.cumsum(free)])
+    n = ahead[at + k] - ahead[at]
+    fixed = n == 0
+    yield at[fixed], X.mix(rolled[fixed])
+    at, rolled, sums = at[~fixed], rolled[~fixed], np.cumsum(np.int64(1) << n[~fixed])
+    change, low = filler - form, 0
+    while low < len(at):
+        high = max(low + 1, int(np.searchsorted(sums, (sums[low - 1] if low else 0) + SLICE, "right")))
+        a, h = at[low:high], rolled[low:high]
+        for j, power in enumerate(X.powers(k)):
+            more = a[free[a + j]]
+            a, h = np.concatenate([a, more]), np.concatenate([h, h[free[a + j]] + change[more + j] * power])
+        yield a, X.mix(h)
+        low = high
+
+
+def _entries(texts: pa.Array, size: int) -> int:
+    """Hashes that an index of these items has."""
+    *_, name, before = templates(*X.utf8(texts))
+    ahead, counts, total = np.concatenate([[0], np.cumsum(name)]), np.diff(before), 0
+    for low, n in zip(before[:-1].tolist(), counts.tolist()):
+        k = min(n, size)
+        if k:
+            at = np.arange(low, low + n - k + 1)
+            total += int((np.int64(1) << (ahead[at + k] - ahead[at])).sum())
+    return total
 
 
 def _consistent(mine: np.ndarray, theirs: np.ndarray) -> bool:
@@ -99,28 +137,22 @@ class _Items:
         self.size = size
         self.ids = [i for i, _ in items]
         raw, offsets = X.utf8(pa.array([t for _, t in items], pa.string()))
-        self.form, self.filler, self.slot, self.before = templates(raw, offsets)
+        self.form, self.filler, self.slot, name, self.before = templates(raw, offsets)
+        #: Words that stand in items without being names: only these a document needs as words where they are capitalised.
+        self.words = np.unique(self.filler[~self.slot])
         self.sizes: list[int] = []
         self.windows = np.zeros(len(items), np.int64)
         at, found, length = [], [], []
         counts = np.diff(self.before)
         for k in sorted({size, *(int(c) for c in counts if 0 < c < size)}):
             # an item shorter than a window is one window by itself
-            a, h = X.windows(self.form, self.before, k)
-            own = X.row_of(a, self.before)
-            fits = counts[own] >= size if k == size else counts[own] == k
-            np.add.at(self.windows, own[fits], 1)
-            at.append(a[fits]), found.append(h[fits] ^ X.mix(np.full(fits.sum(), k, _U))), length.append(np.full(fits.sum(), k))
+            whole = counts >= size if k == size else counts == k
+            self.windows[whole] = counts[whole] - k + 1
+            for a, h in _forms(self.form, self.filler, name, self.before, k):
+                own = X.row_of(a, self.before)
+                fits = counts[own] >= size if k == size else counts[own] == k
+                at.append(a[fits]), found.append(h[fits] ^ X.mix(np.full(fits.sum(), k, _U))), length.append(np.full(fits.sum(), k))
             self.sizes.append(k)
-        # in a document, an item's capitalised first word need not begin a sentence
-        raw, offsets = X.utf8(pa.array(["x " + t for _, t in items], pa.string()))
-        form, _, _, before = templates(raw, offsets)
-        for k in self.sizes:
-            a, h = X.windows(form, before, k)
-            own = X.row_of(a, before)
-            n = counts[own]
-            fits = (a == before[own] + 1) & (n >= size if k == size else n == k)
-            at.append(self.before[own[fits]]), found.append(h[fits] ^ X.mix(np.full(fits.sum(), k, _U))), length.append(np.full(fits.sum(), k))
         self.at, self.hash, self.length = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, found, length))
         order = np.argsort(self.hash, kind="stable")
         self.at, self.hash, self.length = self.at[order], self.hash[order], self.length[order]
@@ -133,24 +165,26 @@ class _Items:
         raw, offsets = X.utf8(texts)
         for low, high in X.blocks(offsets):
             own = offsets[low : high + 1] - offsets[low]
-            form, filler, slot, before = templates(raw[offsets[low] : offsets[high]], own)
-            found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+            form, filler, slot, name, before = templates(raw[offsets[low] : offsets[high]], own)
+            free = name.copy()
+            free[name] = np.isin(filler[name], self.words)
+            found: dict[tuple[int, int], set[tuple[int, int, int]]] = {}
             for k in self.sizes:
-                a, h = X.windows(form, before, k)
-                h = h ^ X.mix(np.full(1, k, _U))
-                maybe = np.flatnonzero(self.sieve[(h & _U((1 << 22) - 1)).astype(np.int64)])
-                if not len(maybe):
-                    continue
-                left, right = np.searchsorted(self.hash, h[maybe], "left"), np.searchsorted(self.hash, h[maybe], "right")
-                hit = np.flatnonzero(right > left)
-                rows = X.row_of(a[maybe[hit]], before)
-                for i, row in zip(hit.tolist(), rows.tolist()):
-                    for j in range(int(left[i]), int(right[i])):
-                        found.setdefault((row, int(self.owner[j])), []).append((int(a[maybe[i]]), int(self.at[j]), int(self.length[j])))
+                for a, h in _forms(form, filler, free, before, k):
+                    h = h ^ X.mix(np.full(1, k, _U))
+                    maybe = np.flatnonzero(self.sieve[(h & _U((1 << 22) - 1)).astype(np.int64)])
+                    if not len(maybe):
+                        continue
+                    left, right = np.searchsorted(self.hash, h[maybe], "left"), np.searchsorted(self.hash, h[maybe], "right")
+                    hit = np.flatnonzero(right > left)
+                    rows = X.row_of(a[maybe[hit]], before)
+                    for i, row in zip(hit.tolist(), rows.tolist()):
+                        for j in range(int(left[i]), int(right[i])):
+                            found.setdefault((row, int(self.owner[j])), set()).add((int(a[maybe[i]]), int(self.at[j]), int(self.length[j])))
             for (row, item), places in found.items():
                 good, same = set(), set()
                 for mine, theirs, k in places:
-                    mask = slot[mine : mine + k]
+                    mask = slot[mine : mine + k] | self.slot[theirs : theirs + k]
                     a, b = filler[mine : mine + k][mask], self.filler[theirs : theirs + k][mask]
                     if _consistent(a, b):
                         good.add(theirs)
@@ -171,9 +205,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, size: int = 8) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     ddl = "doc_id long, item_id long, item_windows long, matched long, verbatim long"
-    # a window needs a token, and a token a character and mostly one between
-    bound = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes = max(1, -(-bound // (2 * BLOCK)))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_entries(batch.column("text"), size)], pa.int64())], ["n"])
+
+    bound = benchmark.select("text").mapInArrow(counted, "n long").agg(F.sum("n")).first()[0] or 0
+    passes = max(1, -(-bound // BLOCK))
     out = None
     for k in range(passes):
         part = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k) if passes > 1 else benchmark

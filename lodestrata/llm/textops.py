@@ -99,8 +99,13 @@ def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = F
     return mix(h + (ends - starts).astype(_U) * _U(_WINDOW_BASE))
 
 
-def windows(h: np.ndarray, before: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rabin-Karp hashes of all k consecutive items of one row: where they start, and the hashes."""
+def powers(k: int) -> np.ndarray:
+    """What each place of a window of k items is multiplied by in the sums of ``windows``."""
+    return _power(_WINDOW_BASE, k)
+
+
+def windows(h: np.ndarray, before: np.ndarray, k: int, mixed: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Rabin-Karp hashes of all k consecutive items of one row: where they start, and the hashes (or bare sums)."""
     n = len(h)
     if n < k:
         return np.zeros(0, np.int64), np.zeros(0, _U)
@@ -114,7 +119,7 @@ def windows(h: np.ndarray, before: np.ndarray, k: int) -> tuple[np.ndarray, np.n
         late = late[(late >= before[:-1]) & (late < len(fits))]
         fits[late] = False
     at = np.flatnonzero(fits)
-    return at, mix(rolled[at])
+    return at, mix(rolled[at]) if mixed else rolled[at]
 
 
 def row_of(at: np.ndarray, before: np.ndarray) -> np.ndarray:

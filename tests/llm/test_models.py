@@ -156,6 +156,30 @@ def test_fillers_must_be_consistent():
     assert not any(count("move 8 boxes then 7 crates then 9 boxes and 7 crates to the store now"))
 
 
+def test_names_that_open_sentences(spark):
+    item = "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have?"
+    block = D._Items([(1, item)], 8)
+    count = lambda t: [tuple(f)[2:] for f in block.matches(pa.array([t]), [0])]
+    assert count(item) == [(7, 7, 7)]
+    assert count(item.replace("Tom", "Ann")) == [(7, 7, 0)]
+    assert count(f"Yesterday {item}")[0][1] == 7 and count(item.lower()) == count(item.upper()) == [(7, 7, 7)]
+    assert count(item.replace(". How", ", how").replace("Tom", "Ann")) == [(7, 7, 0)]
+    # one name of the item can't be two names of the document; only the first window has two
+    assert count("Ann has 5 apples. Bob buys 3 more. How many apples does Bob have?") == [(7, 6, 0)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item.replace("Tom", "Ann")), (2, "Other text.")], "doc_id long, text string")
+    assert [r["doc_id"] for r in D.decontaminate(docs, bench).collect()] == [2]
+
+
+def test_all_forms_of_a_window_are_hashed(monkeypatch):
+    title = "The Cat And The Dog Went To The Old House On The Hill"
+    for size in (1, 1 << 20):
+        monkeypatch.setattr(D, "SLICE", size)
+        for item, text in ((title, title.lower()), (title.lower(), title), (title, title.replace("Cat", "Hen").replace("Old", "old"))):
+            assert [f[3] for f in D._Items([(1, item)], 8).matches(pa.array([text]), [0])] == [6]
+    assert D._entries(pa.array([title, "Only Two", None, ""]), 8) == 6 * 256 + 4
+
+
 def test_contaminated_documents(spark):
     bench = spark.createDataFrame([(1, ITEM, 0), (2, None, 0), (3, "short one", 0)], "item_id long, text string, matched int")
     docs = spark.createDataFrame([(1, f"x. {ITEM}"), (2, "clean"), (3, None), (4, "a short one b"), (1, f"x. {ITEM}"), (None, ITEM)], "doc_id long, text string")
