@@ -1,13 +1,16 @@
 """Licence scans with DataFrame functions only.
 
-Header lines and licence files are compared to licence templates by the cosine of sparse
-TF-IDF vectors; a file without a licence of its own inherits that of the nearest directory
-above it which holds a licence file. Only lines with a licence cue leave the scan, equal
+Header lines, header blocks and licence files are compared to licence statements, standard
+headers and whole licence texts by the cosine of sparse TF-IDF vectors; a file without a licence of its own inherits that of the nearest directory
+above it which holds a licence file. Only lines and blocks with a licence cue leave the scan, equal
 ones are compared once, and the texts themselves are never shuffled.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,20 @@ from lodestrata.runtime import settle
 
 #: A line with one of these is a header line.
 CUE = r"(?i)(licen[sc]e|copyright|all rights reserved|spdx-|public domain|warranty)"
+#: Words that a licence text or standard header begins its grant or conditions with, over line breaks and comment marks.
+_GAP = r"[\s#/*;%!-]+"
+GRANT = "(?i)(" + "|".join(x.replace(" ", _GAP) for x in (
+    "permission is hereby granted", "permission to use, copy", "redistribution and use in source", "redistributions of source code must", "redistributions in binary form must",
+    "this (?:program|library|software) is free software", "you can redistribute it and/or", "you should have received a copy of the gnu", "licensed to the apache software foundation",
+    "you may not use this file except in compliance", "subject to the terms of the", "this program and the accompanying materials", "this is free and unencumbered software", "anyone is free to copy",
+    "to the extent possible under law", "the software is provided", "this software is provided", "the above copyright notice and this permission notice",
+)) + ")"
+#: What a line of reserved rights stands for; any other licence of the file counts before it, as licence texts have such lines.
+RESERVED = "proprietary"
+#: Different words from which on a template is a long text.
+LONG = 80
+#: What a comment line begins with.
+_MARK = r"[ \t]*(?:#|//|/\*|\*|--|;|%|<!--)"
 #: The last part of a path that names a licence file.
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense)[^/]*$"
 _TOKEN = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
@@ -36,10 +53,43 @@ TEMPLATES: list[tuple[str, str]] = [
     ("proprietary", "All rights reserved."),
 ]
 
+_PROGRAM = "This {kind} is free software{colon} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version."
+_PURPOSE = "This {kind} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. You should have received a copy of the GNU {name} along with this {kind}. If not, see <https://www.gnu.org/licenses/>."
+_GNU = [("GPL-2.0", "program", "General Public License", "2"), ("GPL-3.0", "program", "General Public License", "3"), ("LGPL-2.0", "library", "Library General Public License", "2"), ("LGPL-2.1", "library", "Lesser General Public License", "2.1"), ("LGPL-3.0", "library", "Lesser General Public License", "3"), ("AGPL-3.0", "program", "Affero General Public License", "3")]
+
+#: Standard header blocks, by SPDX id.
+HEADERS: list[tuple[str, str]] = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("Apache-2.0", 'Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to You under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/ SPDX-License-Identifier: EPL-2.0"),
+    ("EPL-1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0 Universal Public Domain Dedication."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    *((spdx, _PROGRAM.format(kind=kind, name=name, version=version, colon=":" if version == "3" else ";", comma="," if version == "3" else ";")) for spdx, kind, name, version in _GNU),
+    *((spdx, (_PROGRAM + " " + _PURPOSE).format(kind=kind, name=name, version=version, colon=":" if version == "3" else ";", comma="," if version == "3" else ";")) for spdx, kind, name, version in _GNU),
+    *((x, f"SPDX-License-Identifier: {x}") for x in ("0BSD", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "EPL-1.0", "EPL-2.0", "ISC", "MPL-2.0", "Unlicense")),
+    *((x, f"SPDX-License-Identifier: {x}-only") for x in ("AGPL-3.0", "GPL-2.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0")),
+    *((x, f"SPDX-License-Identifier: {x}-or-later") for x in ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0")),
+]
+#: Licences whose text is so short that files carry all of it as their header; each of its paragraphs is a template as well.
+_SHORT = ("0BSD", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MIT", "Unlicense")
+
+
+def texts() -> list[tuple[str, str]]:
+    """Whole licence texts by SPDX id, and the grants of the short ones."""
+    whole = [(p.name.removesuffix(".txt"), p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "licences").glob("*.txt"))]
+    grants = [(name, part) for name, text in whole if name in _SHORT for part in text.split("\n\n") if re.search(GRANT, part) and "AS IS" not in part.upper()]
+    return whole + grants
+
 
 def templates(spark: SparkSession, rows: list[tuple[str, str]] | None = None) -> DataFrame:
     """A table of (license, template_text)."""
-    return spark.createDataFrame(rows if rows is not None else TEMPLATES, "license string, template_text string")
+    return spark.createDataFrame(rows if rows is not None else TEMPLATES + HEADERS + texts(), "license string, template_text string")
 
 
 def tokens(text: str | Column) -> Column:
@@ -59,28 +109,40 @@ def _ancestors(folder: str) -> Column:
 
 
 def units(files: DataFrame, file_share: float) -> DataFrame:
-    """(path, unit, is_file) of header lines and of whole licence files.
+    """(path, unit, is_file) of header lines, header blocks and whole licence files.
 
-    A licence file is one whose name says so, or of whose words at least ``file_share``
-    stand in header lines.
+    A header block is a run of comment lines with a cue or a grant, or a paragraph with a
+    grant; one that is a header line by itself counts once. A licence file is one whose name
+    says so, or of whose words at least ``file_share`` stand in header lines and paragraphs
+    with a grant.
     """
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n")
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(CUE))
-    cued = files.select("path", "text", lines.alias("lines")).where((F.size("lines") > 0) | F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)))
+    named = F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False))
+    # a piece is a line and the comment lines below it
+    pieces = F.transform(F.split(F.col("body"), rf"\n(?!{_MARK})"), lambda x: F.regexp_replace(x, rf"^(?!{_MARK})[^\n]*\n?", ""))
+    comments = F.filter(pieces, lambda x: x.contains("\n") & (x.rlike(CUE) | x.rlike(GRANT)))
+    paragraphs = F.filter(F.split(F.col("body"), r"\n[ \t]*\n"), lambda x: x.rlike(GRANT) & ~F.array_contains(F.col("lines"), x))
+    cued = files.select("path", "text", text.alias("body"), lines.alias("lines")).where((F.size("lines") > 0) | named | F.col("body").rlike(GRANT))
+    cued = cued.withColumns({"comments": comments, "paragraphs": F.filter(paragraphs, lambda x: ~x.rlike(rf"(?m)^{_MARK}")), "granted": paragraphs})
     words = F.size(tokens(F.coalesce("text", F.lit(""))))
-    is_file = F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)) | (F.size(tokens(F.array_join("lines", " "))) >= file_share * words)
+    single = F.filter("lines", lambda x: ~F.exists("paragraphs", lambda y: y.contains(F.regexp_replace(x, "\r", ""))))
+    is_file = named | (F.size(tokens(F.array_join(F.concat(single, "paragraphs"), " "))) >= file_share * words)
     whole = F.when(is_file, F.array(F.struct(F.coalesce("text", F.lit("")).alias("unit"), F.lit(True).alias("is_file")))).otherwise(F.array().cast("array<struct<unit:string,is_file:boolean>>"))
-    every = F.concat(F.transform("lines", lambda x: F.struct(x.alias("unit"), F.lit(False).alias("is_file"))), whole)
+    blocks = F.array_union("comments", "granted")
+    every = F.concat(F.transform(F.concat("lines", blocks), lambda x: F.struct(x.alias("unit"), F.lit(False).alias("is_file"))), whole)
     return cued.select("path", F.explode(every).alias("u")).select("path", "u.unit", "u.is_file")
 
 
-def scan(files: DataFrame, known: DataFrame | None = None, min_score: float = 0.6, file_share: float = 0.5) -> DataFrame:
+def scan(files: DataFrame, known: DataFrame | None = None, min_score: float = 0.6, file_share: float = 0.5, text_score: float = 0.85) -> DataFrame:
     """(path, license, score, n_units, inherited_from, directory) for each different path.
 
     ``files`` has path and text, ``known`` license and template_text. ``license`` is that of
-    the template closest to a header line or licence file of the path, if the cosine is at
-    least ``min_score``; otherwise that of the nearest directory with a licence file, named
+    the template closest to a header line, header block or licence file of the path, if the cosine is at
+    least ``min_score`` (``text_score`` for templates of ``LONG`` different words and more);
+    otherwise that of the nearest directory with a licence file, named
     in ``inherited_from``, with a null score; otherwise null. Of equal scores the smaller
-    licence name counts. Inverse document frequencies come from all units of all files.
+    licence name counts, and reserved rights count where nothing else is found. Inverse document frequencies come from all units of all files.
 
     Null and empty texts have no units. Rows with the same path are one file, whose units
     are pooled; null paths are one file, in the root directory. A table of no rows gives
@@ -99,16 +161,18 @@ def scan(files: DataFrame, known: DataFrame | None = None, min_score: float = 0.
     weight = terms.groupBy("term").agg(F.sum("copies").alias("df")).select("term", idf(F.col("df")).alias("idf"))
     vectors = terms.join(weight, "term").select("unit", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = vectors.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    named = known.select("license", "template_text", F.explode(tokens("template_text")).alias("term")).groupBy("license", "template_text", "term").agg(F.count("*").alias("tf"))
-    told = named.join(weight, "term", "left").select("license", "template_text", "term", (F.col("tf") * F.coalesce("idf", idf(F.lit(0.0)))).alias("tw"))
-    lengths = told.groupBy("license", "template_text").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"))
-    told = told.join(lengths, ["license", "template_text"])
-    dots = vectors.join(told, "term").groupBy("unit", "license", "template_text").agg((F.sum(F.col("w") * F.col("tw")) / F.any_value("tnorm")).alias("dot"))
-    scored = dots.join(norms, "unit").select("unit", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+    named = known.select("license", F.xxhash64("license", "template_text").alias("template"), F.explode(tokens("template_text")).alias("term")).groupBy("license", "template", "term").agg(F.count("*").alias("tf"))
+    told = named.join(weight, "term", "left").select("license", "template", "term", (F.col("tf") * F.coalesce("idf", idf(F.lit(0.0)))).alias("tw"))
+    lengths = told.groupBy("license", "template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"), F.count("*").alias("words"))
+    told = told.join(lengths, ["license", "template"])
+    dots = vectors.join(told, "term").groupBy("unit", "license", "template").agg((F.sum(F.col("w") * F.col("tw")) / F.any_value("tnorm")).alias("dot"), F.any_value("words").alias("words"))
+    scored = dots.join(norms, "unit").select("unit", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score"), "words")
+    # common words alone bring long prose near to a long text
+    scored = scored.where((F.col("words") < LONG) | (F.col("score") >= text_score))
     scored = scored.groupBy("unit", "license").agg(F.max("score").alias("score"))
     nearest = scored.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("unit", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
     close = found.join(nearest.where(F.col("score") >= min_score), "unit").select(F.coalesce("path", F.lit("")).alias("path"), "is_file", "license", "score")
-    order = F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")
+    order = F.min(F.struct((F.col("license") == RESERVED).alias("r"), (-F.col("score")).alias("s"), "license")).alias("b")
     own = close.groupBy(F.col("path").alias("own_path")).agg(order).select("own_path", F.col("b.license").alias("own"), (-F.col("b.s")).alias("score"))
     holds = close.where("is_file").withColumn("holder", directory("path")).groupBy("holder").agg(order).select("holder", F.col("b.license").alias("above"))
     paths = files.select(F.coalesce("path", F.lit("")).alias("path")).distinct().withColumn("directory", directory("path"))

@@ -130,6 +130,70 @@ def test_licences(spark):
     assert Li.scan(files.limit(0)).count() == 0
 
 
+_MIT = """MIT License
+
+Copyright (c) 2019 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+_APACHE_HEADER = """#!/usr/bin/env python
+# Copyright 2020 Some Body
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+import os
+"""
+_GPL_HEADER = """/* This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU Affero General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version. */
+""" + "int x;\n" * 99
+
+
+def test_whole_licence_texts_and_header_blocks(spark):
+    known = dict(Li.texts()[::-1])
+    grant = "\n".join(_MIT.split("\n")[4:10])
+    bsd = "Copyright (c) 2001, Example Corp.\n" + known["BSD-3-Clause"].replace("copyright holder", "Example Corp.")
+    rows = [
+        ("m/LICENSE", _MIT), ("m/a/b.py", "x = 1"), ("b/COPYING", bsd), ("b/c.c", "int x;"), ("p/LICENSE.txt", known["Apache-2.0"]), ("p/q/r.py", "y = 2"),
+        ("h/apache.py", _APACHE_HEADER), ("h/agpl.c", _GPL_HEADER), ("h/mit.py", "print(1)\n\n" + grant + "\n\nprint(2)\n" * 99), ("n/none.py", "# a comment\n# on two lines\nz = 3"),
+        *((f"l{i}/LICENSE", known[x]) for i, x in enumerate(("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC0-1.0", "ISC", "Unlicense", "BSD-2-Clause"))),
+    ]
+    got = {r["path"]: (r["license"], r["inherited_from"]) for r in Li.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got["m/LICENSE"] == ("MIT", None) and got["m/a/b.py"] == ("MIT", "m")
+    assert got["b/COPYING"] == ("BSD-3-Clause", None) and got["b/c.c"] == ("BSD-3-Clause", "b")
+    assert got["p/LICENSE.txt"] == ("Apache-2.0", None) and got["p/q/r.py"] == ("Apache-2.0", "p")
+    assert got["h/apache.py"] == ("Apache-2.0", None) and got["h/agpl.c"] == ("AGPL-3.0", None)
+    assert got["h/mit.py"] == ("MIT", None) and got["n/none.py"] == (None, None)
+    for i, x in enumerate(("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC0-1.0", "ISC", "Unlicense", "BSD-2-Clause")):
+        assert got[f"l{i}/LICENSE"] == (x, None)
+    # a document that is a licence text by its words, whatever it is called
+    assert Li.units(spark.createDataFrame([("m/notes", _MIT)], "path string, text string"), 0.5).where("is_file").count() == 1
+
+
 ITEM = "If Anna buys 12 apples for 3.50 dollars each at the market, how many dollars does she pay in total today?"
 
 
