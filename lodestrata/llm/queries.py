@@ -33,7 +33,7 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.written_documents(table(spark, sf_dir, "documents"))
+    return token_output.written_documents(table(spark, sf_dir, "documents"), tokenizer=TOKENIZER)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

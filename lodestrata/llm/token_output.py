@@ -7,10 +7,10 @@ whole corpus that one key reproduces, with no sort by random numbers. Slots are
 into ranges, each range is sorted and written as one shard with a fixed stride, and a
 reader finds any slot by a multiplication, so reading is sequential and resumes anywhere.
 
-Numbers of sequences have to be known before slots can be given. They come from a first
-pass that only measures texts; it takes one number for each input partition to the
-driver. The second pass checks that it meets the same numbers and fails if the input
-changed in between.
+Numbers of sequences have to be known before slots can be given. Texts are therefore
+encoded once, into a table of ids in the shared folder. One number for each partition of
+that table goes to the driver, and the pass that packs it checks that it meets the same
+numbers.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -62,10 +63,6 @@ class Bytes:
 
     dtype, end, pad = "uint8", 255, 254
 
-    @staticmethod
-    def length(text: str | None) -> int:
-        return len((text or "").encode())
-
     @staticmethod
     def encode(text: str | None) -> bytes:
         return (text or "").encode()
@@ -81,11 +78,9 @@ class Ids:
         self.dtype = "uint16" if self.codec.size + 2 <= 1 << 16 else "uint32"
         self.end, self.pad = self.codec.size, self.codec.size + 1
 
-    def length(self, text: str | None) -> int:
-        return len(self.codec.encode_packed(text or "")) // np.dtype("uint16" if self.codec.code == "H" else "uint32").itemsize
-
     def encode(self, text: str | None) -> bytes:
-        return np.array(self.codec.encode(text or ""), self.dtype).tobytes()
+        packed = self.codec.encode_packed(text or "")
+        return np.frombuffer(packed, "uint16" if self.codec.code == "H" else "uint32").astype(self.dtype).tobytes()
 
 
 def _tokens(tokenizer: str) -> Bytes | Ids:
@@ -95,9 +90,8 @@ def _tokens(tokenizer: str) -> Bytes | Ids:
 def materialise(docs: DataFrame, folder: str, key: int, tokenizer: str = "bytes", length: int = 2048, shard_sequences: int = 16_384) -> DataFrame:
     """Writes the shards; returns (shard, path, first_slot, sequences) of each.
 
-    ``docs`` has doc_id and text and has to give the same rows in the same partitions each
-    time, as a scan of files does. Within a partition documents follow each other in the
-    sequences; the last one is padded. A record is the number of documents that begin in
+    ``docs`` has doc_id and text and is read once. Within a partition of the encoded table
+    documents follow each other in the sequences; the last one is padded. A record is the number of documents that begin in
     the sequence, the doc_id of the first token's document and the token's offset in it
     (8 bytes each, little-endian; a null id is the smallest number), and ``length`` ids.
     Null and empty texts are an end mark alone; repeated rows are written as often as they
@@ -107,13 +101,22 @@ def materialise(docs: DataFrame, folder: str, key: int, tokenizer: str = "bytes"
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = _tokens(tokenizer)
+        for batch in batches:
+            ids = [use.encode(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    coded = settle(rows.mapInArrow(encoded, "doc_id long, ids binary"), "token-ids")
+    width = np.dtype(_tokens(tokenizer).dtype).itemsize
+
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use, total = _tokens(tokenizer), 0
+        total = 0
         for batch in batches:
-            total += sum(use.length(t) + 1 for t in batch.column("text").to_pylist())
+            total += (pc.sum(pc.binary_length(batch.column("ids"))).as_py() or 0) // width + batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-total // length)], pa.int64())], ["part", "n"])
 
-    counts = {r["part"]: r["n"] for r in rows.mapInArrow(measured, "part int, n long").collect()}
+    counts = {r["part"]: r["n"] for r in coded.mapInArrow(measured, "part int, n long").collect()}
     first: dict[int, int] = {}
     total = 0
     for part in sorted(counts):
@@ -123,7 +126,6 @@ def materialise(docs: DataFrame, folder: str, key: int, tokenizer: str = "bytes"
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = _tokens(tokenizer)
-        width = np.dtype(use.dtype).itemsize
         part = TaskContext.get().partitionId()
         at, bound = first[part], first[part] + counts[part]
         end, size = np.array([use.end], use.dtype).tobytes(), length * width
@@ -133,7 +135,7 @@ def materialise(docs: DataFrame, folder: str, key: int, tokenizer: str = "bytes"
         def flush() -> pa.RecordBatch:
             nonlocal at, heads, bodies
             if at + len(bodies) > bound:
-                raise ValueError("the input changed between the two passes")
+                raise ValueError("the encoded table changed between the two passes")
             slots = feistel(np.arange(at, at + len(bodies)), total, key)
             at += len(bodies)
             records = [np.array(h, "<i8").tobytes() + b for h, b in zip(heads, bodies)]
@@ -145,8 +147,8 @@ def materialise(docs: DataFrame, folder: str, key: int, tokenizer: str = "bytes"
             return begun, -(1 << 63) if owner is None else owner, offset
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                data, used = use.encode(text) + end, 0
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+                data, used = ids + end, 0
                 begun += 1
                 if not pending:
                     owner, offset = doc, 0
@@ -167,7 +169,7 @@ def materialise(docs: DataFrame, folder: str, key: int, tokenizer: str = "bytes"
             heads.append(head()), bodies.append(bytes(pending))
         yield flush()
         if at != bound:
-            raise ValueError("the input changed between the two passes")
+            raise ValueError("the encoded table changed between the two passes")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -188,7 +190,7 @@ def materialise(docs: DataFrame, folder: str, key: int, tokenizer: str = "bytes"
         columns = list(zip(*done)) if done else [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["shard", "path", "first_slot", "sequences"])
 
-    sent = rows.mapInArrow(packed, "shard int, slot long, record binary")
+    sent = coded.mapInArrow(packed, "shard int, slot long, record binary")
     # a shard is a range of slots and is written by one task; its size is fixed
     ranged = sent.repartitionById(min(shards, 100_000), "shard").sortWithinPartitions("slot")
     manifest = settle(ranged.mapInArrow(written, "shard int, path string, first_slot long, sequences long"), "shards")
@@ -251,8 +253,8 @@ def read(manifest: DataFrame, meta: dict, from_slot: int = 0) -> DataFrame:
     return manifest.where(F.col("first_slot") + F.col("sequences") > from_slot).repartition(min(files, 100_000), "shard").mapInArrow(run, ddl)
 
 
-def written_documents(docs: DataFrame, key: int = 20240501) -> DataFrame:
+def written_documents(docs: DataFrame, key: int = 20240501, tokenizer: str = "bytes") -> DataFrame:
     """Writes all documents in training order and reads all sequences back."""
     folder = scratch(docs.sparkSession, "tokens")
-    manifest = materialise(docs, folder, key)
+    manifest = materialise(docs, folder, key, tokenizer)
     return read(manifest, meta_of(docs.sparkSession, folder))

@@ -12,10 +12,11 @@ import numpy as np
 import pyarrow.fs as pafs
 import pytest
 
+from lodestrata.llm import queries
 from lodestrata.llm import token_output as T
 from lodestrata.llm import warc as W
 from lodestrata.llm.bpe import codec
-from lodestrata.runtime import scratch
+from lodestrata.runtime import scratch, table
 
 
 def test_pages_come_back(spark):
@@ -108,6 +109,14 @@ def test_shards_hold_every_token(spark, tokenizer, length):
     assert sum(r["n_tokens"] for r in read) == len(flat)
 
 
+def test_query_writes_ids_of_the_vocabulary(spark, sf):
+    encode = codec(queries.TOKENIZER).encode
+    texts = [r["text"] for r in table(spark, sf, "documents").select("text").collect()]
+    got = queries.op6_token_output(spark, sf).collect()
+    assert sum(r["n_tokens"] for r in got) == sum(len(encode(t or "")) + 1 for t in texts)
+    assert sorted(r["slot"] for r in got) == list(range(len(got))) and sum(r["n_begun"] for r in got) == len(texts)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert T.written_documents(docs).count() == 0
