@@ -122,7 +122,7 @@ def read_records(stream: BinaryIO, verify: bool = True) -> Iterator[Record]:
 
 
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload a page with a larger id has as well.
+    """(page_id, sha, size, refers_to) of the pages whose payload a page with a larger id has as well.
 
     Payloads of fewer than ``min_bytes`` bytes are never revisits. Only digests are
     shuffled: they are counted before the exchange, and the join of the pages that share
@@ -131,7 +131,7 @@ def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     body = F.coalesce("html", F.lit(""))
     known = pages.where(F.col("page_id").isNotNull() & (F.octet_length(body) >= min_bytes)).select("page_id", F.sha1(body).alias("sha"), F.octet_length(body).alias("size"))
     shared = known.groupBy("sha", "size").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to").drop("least")
-    return known.join(shared, ["sha", "size"]).where("page_id < refers_to").select("page_id", "refers_to").dropDuplicates(["page_id"])
+    return known.join(shared, ["sha", "size"]).where("page_id < refers_to").select("page_id", "sha", "size", "refers_to").dropDuplicates(["page_id", "sha", "size"])
 
 
 def _record(page_id: int | None, url: str | None, html: str | None, refers_to: int | None) -> Record:
@@ -156,12 +156,16 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes: int
     ``pages`` has page_id, url and html (null: an empty payload). Of records with equal
     payloads of at least ``min_bytes`` bytes the one with the largest page_id is a
     response and the others are revisits of it. Rows that repeat the largest page_id are
-    all responses; rows without a page_id are responses. Extra columns aren't looked at.
+    all responses; rows that repeat another page_id are judged by their own payloads; rows
+    without a page_id are responses. Extra columns aren't looked at.
     An empty table writes no archive.
     """
     spark = pages.sparkSession
     ship(spark)
-    tied = pages.select("page_id", "url", "html").join(revisits(pages, min_bytes), "page_id", "left")
+    body = F.coalesce("html", F.lit(""))
+    keyed = pages.select("page_id", "url", "html", F.sha1(body).alias("sha"), F.octet_length(body).alias("size"))
+    # a page_id may occur with several payloads
+    tied = keyed.join(revisits(pages, min_bytes), ["page_id", "sha", "size"], "left").drop("sha", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)

@@ -37,6 +37,14 @@ def test_small_payloads_and_repeats(spark):
     assert W.round_trip(pages.limit(0)).count() == 0
 
 
+def test_one_page_id_with_two_payloads(spark):
+    pages = spark.createDataFrame([(5, "", "A"), (5, "", "B"), (9, "", "A")], "page_id long, url string, html string")
+    back = W.read(W.write(pages, scratch(spark, "warc"))).collect()
+    assert sorted((r["record_id"], r["record_type"], bytes(r["payload"] or b""), r["refers_to"]) for r in back) == [
+        ("<urn:page:5>", "response", b"B", None), ("<urn:page:5>", "revisit", b"", "<urn:page:9>"), ("<urn:page:9>", "response", b"A", None),
+    ]
+
+
 def test_archives_are_split_and_gzip(spark):
     pages = spark.range(50).selectExpr("id AS page_id", "'u' AS url", "repeat(cast(id AS string), 1000) AS html")
     made = W.write(pages.coalesce(1), scratch(spark, "warc"), archive_bytes=500).collect()
