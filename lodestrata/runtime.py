@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _PACKAGE = Path(__file__).resolve().parent
@@ -62,6 +63,18 @@ def settle(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow table that may be broadcast: some 64 MB.
+BROADCAST_ROWS = 1 << 20
+
+
+def marked(keys: DataFrame) -> DataFrame:
+    """A settled table of keys, marked for a broadcast if it has few enough rows.
+
+    A larger one is left to a shuffled join.
+    """
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def extended(schema: T.StructType, ddl: str) -> T.StructType:
     """A schema with more fields behind its own."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
