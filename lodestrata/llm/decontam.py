@@ -1,35 +1,40 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become sequences of tokens in which numbers, names and units are typed
-placeholders. Windows of such templates are hashed and joined to the windows of the
-benchmark's items, so that a question whose numbers or names were changed still matches.
-Any capitalised word may be a name, also where it opens a sentence; windows are therefore
-hashed with such words as names and as they are, so copies in another case match as well.
-For what matches, the fillers of the placeholders are compared: a value of the item must
-always stand for one value of the document and the other way round, which holds for a
-re-parameterised question and seldom for unrelated text of the same shape.
-
-The benchmark is the small side. It is taken in blocks of at most ``BLOCK`` windows, each
-broadcast to all tasks; a larger benchmark takes more passes, so that nothing larger than
-a block is ever broadcast. Documents are never shuffled.
+Texts become sequences of tokens in which numbers, names and units are typed placeholders.
+Windows of such templates are joined by hash to the windows of the benchmark's items, so a
+question whose numbers or names were changed still matches. A window's hash also says which
+of its placeholders have equal fillers; so fillers of two matching windows stand for each
+other one to one. All windows of a document that match one item then have to agree: every
+filler of the item is bound to one filler of the document, and windows that say otherwise
+don't count.
+
+Only windows that a bitmap of the benchmark's hashes lets through leave a map task. The
+bitmap has a fixed size, however large the benchmark is; a large benchmark lets more
+windows through to the join, which decides. Texts are never shuffled.
 """
 
 from __future__ import annotations
 
+import collections
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import textops as X
-from lodestrata.runtime import ship
-
-#: Hashes of the benchmark's windows that a block has: 32 bytes each, 64 MB.
-BLOCK = 1 << 21
-#: Hashes of windows that are made at once.
-SLICE = 1 << 20
+from lodestrata.runtime import marked, settle, ship
+
+#: Tokens of a window, and those of them that may not be placeholders, or the window matches verbatim only.
+SIZE, FLOOR = 8, 4
+#: Items of fewer tokens are contained only in texts that have no other tokens.
+LEAST = 4
+#: Bits of the bitmaps: 8 MB for windows, 512 KB for each set of words.
+WINDOW_BITS, WORD_BITS = 26, 22
 #: Words that are units where they follow a number.
 UNITS = (
     "mm cm m km g kg mg t lb oz l ml s sec second seconds min minute minutes h hour hours day days week weeks month months "
@@ -44,203 +49,350 @@ _SENTENCE_END = np.zeros(256, bool)
 _SENTENCE_END[[ord(c) for c in ".!?:\n"]] = True
 _POINT = np.zeros(256, bool)
 _POINT[[ord("."), ord(",")]] = True
-_NUMBER, _NAME, _UNIT = (_U(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
+_NUMBER, _NAME, _UNIT, _WHOLE = (_U(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0x8CB92BA72F3D8DD7))
+_PIECE = 1 << 20
+
+
+class Tokens(NamedTuple):
+    """Per token: a hash of its folded bytes, and whether it is a number, a unit, capitalised; and the tokens before each text."""
+
+    filler: np.ndarray
+    number: np.ndarray
+    unit: np.ndarray
+    capital: np.ndarray
+    before: np.ndarray
 
 
 def _unit_hashes() -> np.ndarray:
-    raw = "".join(UNITS).encode()
-    ends = np.cumsum([len(u) for u in UNITS])
-    data = np.frombuffer(raw, np.uint8)
-    return np.sort(X.hashes(data, ends - np.array([len(u) for u in UNITS]), ends, fold=True))
+    size = np.array([len(u) for u in UNITS])
+    ends = np.cumsum(size)
+    return np.sort(X.hashes(np.frombuffer("".join(UNITS).encode(), np.uint8), ends - size, ends, fold=True))
 
 
-def templates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of texts: template hash, filler hash, whether it is a placeholder, whether a name, and the tokens before each text.
+def tokens(raw: np.ndarray, offsets: np.ndarray) -> Tokens:
+    """Tokens of texts: runs of letters and digits, with points and commas between digits.
 
-    A token is a run of letters and digits; a point or comma between digits belongs to the
-    number. Numbers are tokens that begin with a digit; units are the words of ``UNITS``
-    behind a number; names are capitalised words, whether they begin a sentence or not.
-    Case is folded for Latin letters.
+    Numbers begin with a digit; units are the words of ``UNITS`` behind a number of the same
+    sentence. A capitalised token has more than one letter and a small second one. Case is
+    folded for Latin letters. Long texts are taken in pieces cut at spaces.
     """
+    parts, low, n, ended = [], 0, len(raw), True
+    while low < n:
+        high = min(n, low + _PIECE)
+        row_end = int(offsets[np.searchsorted(offsets, high)])
+        while high < row_end and raw[high] != 0x20:
+            high += 1
+        inner = offsets[np.searchsorted(offsets, low) : np.searchsorted(offsets, high)] - low
+        part, ended = _piece(raw[low:high], inner, ended)
+        parts.append((part[0] + low, *part[1:]))
+        low = high
+    if not parts:
+        none = np.zeros(0, bool)
+        return Tokens(np.zeros(0, _U), none, none, none, np.zeros(len(offsets), np.int64))
+    starts, filler, number, capital, opens = (np.concatenate(x) for x in zip(*parts))
+    unit = np.zeros(len(starts), bool)
+    unit[1:] = number[:-1] & ~opens[1:] & ~number[1:]
+    unit[unit] = np.isin(filler[unit], _unit_hashes())
+    return Tokens(filler, number, unit, capital & ~unit, np.searchsorted(starts, offsets))
+
+
+def _piece(raw: np.ndarray, edges: np.ndarray, ended: bool) -> tuple[tuple[np.ndarray, ...], bool]:
+    """(start, filler, number, capital, opens a sentence) of each token, and whether a sentence ended behind the last one."""
     inside = _TOKEN[raw]
     if len(raw) > 2:
         inside[1:-1] |= _POINT[raw[1:-1]] & _DIGIT[raw[:-2]] & _DIGIT[raw[2:]]
-    starts, ends, before = X.runs(inside, offsets)
+    starts, ends, _ = X.runs(inside, np.concatenate([[0], edges[edges > 0], [len(raw)]]))
     folded = raw.copy()
     if len(raw) > 1:  # Latin letters with marks: their second byte differs by 32
         large = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
         folded[1:][large] += 32
-    filler = X.hashes(folded, starts, ends, fold=True)
+    stops = np.concatenate([[0], np.cumsum(_SENTENCE_END[raw])])
+    breaks = np.zeros(len(raw) + 1, np.int64)
+    breaks[edges] += 1
+    stops = stops + np.cumsum(breaks)  # a new text opens a sentence
     if not len(starts):
-        return filler, filler, np.zeros(0, bool), np.zeros(0, bool), before
+        return (starts, X.hashes(folded, starts, ends, fold=True), *[np.zeros(0, bool)] * 3), ended or bool(stops[-1] > 0)
     head = raw[starts]
     number = _DIGIT[head]
-    opens = np.zeros(len(starts), bool)
-    opens[before[:-1][before[:-1] < len(starts)]] = True
-    ended = np.concatenate([[0], np.cumsum(_SENTENCE_END[raw])])
-    opens[1:] |= ended[starts[1:]] > ended[ends[:-1]]
     second = raw[np.minimum(starts + 1, len(raw) - 1)]
     capital = ((head >= 65) & (head <= 90) | (head == 0xC3) & (second >= 0x80) & (second <= 0x9E)) & ~number
-    next_lower = (second >= 97) & (second <= 122) | (second >= 128)
-    after = np.zeros(len(starts), bool)
-    after[1:] = number[:-1] & ~opens[1:]
-    unit = after & np.isin(filler, _unit_hashes())
-    name = capital & next_lower & (ends - starts > 1) & ~unit
-    form = np.select([number, unit, name], [_NUMBER, _UNIT, _NAME], filler)
-    return form, filler, number | unit | name, name, before
+    capital &= ((second >= 97) & (second <= 122) | (second >= 128)) & (ends - starts > 1)
+    opens = np.empty(len(starts), bool)
+    opens[0] = ended or stops[starts[0]] > 0
+    opens[1:] = stops[starts[1:]] > stops[ends[:-1] - 1]
+    return (starts, X.hashes(folded, starts, ends, fold=True), number, capital, opens), bool(stops[-1] > stops[ends[-1] - 1])
+
+
+class _Bits:
+    """A set of hashes as a bitmap of fixed size: hashes in the set are always found, others seldom."""
 
+    def __init__(self, hashes: DataFrame, bits: int) -> None:
+        self.bits = bits
+        place = hashes.select(F.shiftrightunsigned("hash", 64 - bits).alias("place"))
+        words = place.select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+        got = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()  # at most 2^(bits - 6) rows
+        self.words = np.zeros(1 << (bits - 6), _U)
+        self.words[got.column("word").to_numpy()] = got.column("bit").to_numpy().view(_U)
 
-def _forms(form: np.ndarray, filler: np.ndarray, free: np.ndarray, before: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Where windows of k tokens start, and their hashes, with each ``free`` token as a placeholder and as its word.
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes >> _U(64 - self.bits)
+        return (self.words[(place >> _U(6)).astype(np.int64)] >> (place & _U(63))) & _U(1) > 0
 
-    A window with m free tokens has 2^m hashes; they come in slices of about ``SLICE``.
+
+class _Words(NamedTuple):
+    """The benchmark's words that stand in small letters, and those capitalised."""
+
+    small: _Bits
+    large: _Bits
+
+
+def _readings(t: Tokens, words: _Words) -> list[np.ndarray]:
+    """Which tokens are names, in three readings of the same texts.
+
+    First, capitalised tokens are names unless the benchmark has the word in small letters,
+    and so are words in any case that the benchmark has with a capital only. Second, all
+    capitalised tokens are names. Third, none is.
     """
-    at, rolled = X.windows(form, before, k, mixed=False)
-    ahead = np.concatenate([[0], np.cumsum(free)])
-    n = ahead[at + k] - ahead[at]
-    fixed = n == 0
-    yield at[fixed], X.mix(rolled[fixed])
-    at, rolled, sums = at[~fixed], rolled[~fixed], np.cumsum(np.int64(1) << n[~fixed])
-    change, low = filler - form, 0
-    while low < len(at):
-        high = max(low + 1, int(np.searchsorted(sums, (sums[low - 1] if low else 0) + SLICE, "right")))
-        a, h = at[low:high], rolled[low:high]
-        for j, power in enumerate(X.powers(k)):
-            more = a[free[a + j]]
-            a, h = np.concatenate([a, more]), np.concatenate([h, h[free[a + j]] + change[more + j] * power])
-        yield a, X.mix(h)
-        low = high
+    plain = ~(t.number | t.unit)
+    small = np.zeros(len(plain), bool)
+    small[plain] = words.small.has(t.filler[plain])
+    known = np.zeros(len(plain), bool)
+    known[plain & ~small] = words.large.has(t.filler[plain & ~small])
+    return [(t.capital & ~small) | known, t.capital, np.zeros(len(plain), bool)]
+
 
+def _ahead(marks: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(marks)])
 
-def _entries(texts: pa.Array, size: int) -> int:
-    """Hashes that an index of these items has."""
-    *_, name, before = templates(*X.utf8(texts))
-    ahead, counts, total = np.concatenate([[0], np.cumsum(name)]), np.diff(before), 0
-    for low, n in zip(before[:-1].tolist(), counts.tolist()):
-        k = min(n, size)
-        if k:
-            at = np.arange(low, low + n - k + 1)
-            total += int((np.int64(1) << (ahead[at + k] - ahead[at])).sum())
-    return total
-
-
-def _consistent(mine: np.ndarray, theirs: np.ndarray) -> bool:
-    """Whether two rows of fillers stand for each other one to one."""
-    pairs = len(np.unique(np.stack([mine, theirs]), axis=1).T) if len(mine) else 0
-    return pairs == len(np.unique(mine)) == len(np.unique(theirs))
-
-
-class _Items:
-    """A block of the benchmark: its windows by hash, and each item's tokens."""
-
-    def __init__(self, items: list[tuple[int, str]], size: int) -> None:
-        self.size = size
-        self.ids = [i for i, _ in items]
-        raw, offsets = X.utf8(pa.array([t for _, t in items], pa.string()))
-        self.form, self.filler, self.slot, name, self.before = templates(raw, offsets)
-        #: Words that stand in items without being names: only these a document needs as words where they are capitalised.
-        self.words = np.unique(self.filler[~self.slot])
-        self.sizes: list[int] = []
-        self.windows = np.zeros(len(items), np.int64)
-        at, found, length = [], [], []
-        counts = np.diff(self.before)
-        for k in sorted({size, *(int(c) for c in counts if 0 < c < size)}):
-            # an item shorter than a window is one window by itself
-            whole = counts >= size if k == size else counts == k
-            self.windows[whole] = counts[whole] - k + 1
-            for a, h in _forms(self.form, self.filler, name, self.before, k):
-                own = X.row_of(a, self.before)
-                fits = counts[own] >= size if k == size else counts[own] == k
-                at.append(a[fits]), found.append(h[fits] ^ X.mix(np.full(fits.sum(), k, _U))), length.append(np.full(fits.sum(), k))
-            self.sizes.append(k)
-        self.at, self.hash, self.length = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, found, length))
-        order = np.argsort(self.hash, kind="stable")
-        self.at, self.hash, self.length = self.at[order], self.hash[order], self.length[order]
-        self.owner = X.row_of(self.at, self.before)
-        self.sieve = np.zeros(1 << 22, bool)
-        self.sieve[(self.hash & _U((1 << 22) - 1)).astype(np.int64)] = True
-
-    def matches(self, texts: pa.Array, keys: list) -> Iterator[tuple]:
-        """(key, item, windows of the item, of those found with consistent fillers, of those verbatim)."""
-        raw, offsets = X.utf8(texts)
-        for low, high in X.blocks(offsets):
-            own = offsets[low : high + 1] - offsets[low]
-            form, filler, slot, name, before = templates(raw[offsets[low] : offsets[high]], own)
-            free = name.copy()
-            free[name] = np.isin(filler[name], self.words)
-            found: dict[tuple[int, int], set[tuple[int, int, int]]] = {}
-            for k in self.sizes:
-                for a, h in _forms(form, filler, free, before, k):
-                    h = h ^ X.mix(np.full(1, k, _U))
-                    maybe = np.flatnonzero(self.sieve[(h & _U((1 << 22) - 1)).astype(np.int64)])
-                    if not len(maybe):
-                        continue
-                    left, right = np.searchsorted(self.hash, h[maybe], "left"), np.searchsorted(self.hash, h[maybe], "right")
-                    hit = np.flatnonzero(right > left)
-                    rows = X.row_of(a[maybe[hit]], before)
-                    for i, row in zip(hit.tolist(), rows.tolist()):
-                        for j in range(int(left[i]), int(right[i])):
-                            found.setdefault((row, int(self.owner[j])), set()).add((int(a[maybe[i]]), int(self.at[j]), int(self.length[j])))
-            for (row, item), places in found.items():
-                good, same = set(), set()
-                for mine, theirs, k in places:
-                    mask = slot[mine : mine + k] | self.slot[theirs : theirs + k]
-                    a, b = filler[mine : mine + k][mask], self.filler[theirs : theirs + k][mask]
-                    if _consistent(a, b):
-                        good.add(theirs)
-                        if (a == b).all():
-                            same.add(theirs)
-                yield keys[low + row], self.ids[item], int(self.windows[item]), len(good), len(same)
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, size: int = 8) -> DataFrame:
-    """(doc_id, item_id, item_windows, matched, verbatim) for pairs that share a consistent template window.
-
-    ``matched`` counts the different windows of the item found in the document with
-    consistent fillers, ``verbatim`` those with equal fillers. Items with fewer than
-    ``size`` tokens are one window. Null and empty texts and items have no tokens and match
-    nothing. Rows that repeat a doc_id give a row each, as do repeated items; extra columns
-    aren't looked at. Empty tables give an empty one.
+
+def _windows(t: Tokens, words: _Words, sizes: list[int], sieve: _Bits | None, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Where windows start, their hashes, and the fillers of their placeholders, SIZE for each (0: none).
+
+    Windows of SIZE tokens with FLOOR literal ones are hashed as templates, with the pairs
+    of placeholders that have equal fillers; others by their words. A window is given once
+    for each reading that makes it different. ``sizes`` are the lengths below SIZE whose
+    windows are taken too, by their words; ``own``: only if they are the whole text.
+    """
+    counts, before = np.diff(t.before), t.before
+    at = X.fitting(before, SIZE)
+    if len(at):
+        verbatim = X.mix(X.rolled(t.filler, SIZE, X.BASES[0])[at])
+        seen: list[np.ndarray] = []
+        for name in _readings(t, words):
+            slot = t.number | t.unit | name
+            use = np.ones(len(at), bool)
+            for other in seen:
+                change = _ahead(slot != other)
+                use &= change[at + SIZE] > change[at]
+            seen.append(slot)
+            if not use.any():
+                continue
+            form = np.select([t.number, t.unit, name], [_NUMBER, _UNIT, _NAME], t.filler)
+            h = X.mix(X.rolled(form, SIZE, X.BASES[0])[at] + _U(1))
+            slots = _ahead(slot)
+            exact = SIZE - (slots[at + SIZE] - slots[at]) < FLOOR
+            h = np.where(exact, verbatim, h)
+            keep = np.flatnonzero(use & sieve.has(h) if sieve is not None else use)
+            a, h = at[keep], h[keep]
+            fillers = np.where(slot[a[:, None] + np.arange(SIZE)], t.filler[a[:, None] + np.arange(SIZE)], _U(0))
+            pattern = np.zeros(len(a), _U)
+            for i in range(SIZE):
+                for j in range(i + 1, SIZE):
+                    pattern = (pattern << _U(1)) | ((fillers[:, i] == fillers[:, j]) & (fillers[:, i] > 0)).astype(_U)
+            yield a, np.stack([h, X.mix(h ^ X.mix(pattern + _U(3)))], 1), fillers
+    for k in sizes:
+        a = before[:-1][counts == k] if own or k < LEAST else X.fitting(before, k)
+        if not len(a):
+            continue
+        tag = X.mix(np.full(1, k, _U) ^ (_WHOLE if k < LEAST else _U(0)))
+        h = X.mix(X.rolled(t.filler, k, X.BASES[0])[a] ^ tag)
+        if sieve is not None:
+            keep = sieve.has(h)
+            a, h = a[keep], h[keep]
+        yield a, np.stack([h, X.mix(h ^ tag)], 1), np.zeros((len(a), SIZE), _U)
+
+
+_FOUND = "row long, id long, n long, hash long, sieve long, at binary, fillers binary"
+
+
+def _found(rows: DataFrame, words: object, sizes: list[int], sieve: object | None, own: bool) -> DataFrame:
+    """For each text and hash a row: where windows with that hash start, and their fillers.
+
+    ``row`` tells rows apart, those with equal ids and texts as well; it doesn't depend on
+    the order in which a partition's rows come.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    ddl = "doc_id long, item_id long, item_windows long, matched long, verbatim long"
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        times: collections.Counter[int] = collections.Counter()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_entries(batch.column("text"), size)], pa.int64())], ["n"])
-
-    bound = benchmark.select("text").mapInArrow(counted, "n long").agg(F.sum("n")).first()[0] or 0
-    passes = max(1, -(-bound // BLOCK))
-    out = None
-    for k in range(passes):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k) if passes > 1 else benchmark
-        items = [(r["item_id"], r["text"] or "") for r in part.select("item_id", "text").orderBy("item_id").collect()]
-        shared = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block = _Items(shared.value, size)
-            for batch in batches:
-                rows = list(block.matches(batch.column("text"), batch.column("doc_id").to_pylist()))
-                columns = list(zip(*rows)) if rows else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "item_windows", "matched", "verbatim"])
-
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
-        out = found if out is None else out.unionByName(found)
+            raw, offsets = X.utf8(batch.column("text"))
+            ids = batch.column("id")
+            for low, high in X.blocks(offsets):
+                t = tokens(raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                got = list(_windows(t, words.value, sizes, sieve.value if sieve is not None else None, own))
+                if not sum(len(a) for a, _, _ in got):
+                    continue
+                at, h, fillers = (np.concatenate(x) for x in zip(*got))
+                owner = X.row_of(at, t.before)
+                order = np.lexsort((at, h[:, 1], owner))
+                at, h, fillers, owner = at[order] - t.before[owner[order]], h[order], fillers[order], owner[order]
+                first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (h[1:, 1] != h[:-1, 1])))
+                cuts = np.append(first, len(at)).tolist()
+                row = np.zeros(high - low, np.int64)
+                for i in np.unique(owner).tolist():
+                    key = xxhash.xxh3_64_intdigest(raw[offsets[low + i] : offsets[low + i + 1]].tobytes(), part) ^ hash(ids[low + i].as_py())
+                    times[key] += 1
+                    row[i] = np.int64(xxhash.xxh3_64_intdigest(f"{key} {times[key]}") >> 1)
+                whose = owner[first]
+                place = at.astype("<i4")
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(row[whose]), ids.take(pa.array(whose + low)), pa.array(np.diff(t.before)[whose]),
+                    pa.array(h[first, 1].view(np.int64)), pa.array(h[first, 0].view(np.int64)),
+                    pa.array([place[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                    pa.array([fillers[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                ], ["row", "id", "n", "hash", "sieve", "at", "fillers"])
+
+    return rows.mapInArrow(run, _FOUND)
+
+
+def aligned(mine: dict[int, list[int]], theirs: dict[int, list[int]]) -> list[tuple[int, int, int]]:
+    """(place in the document, place in the item, hash) of matching windows, given the places of each hash.
+
+    Places of the document are gone through in order. Where the item has a hash more than
+    once, the place that goes on from the last match is taken, or else the first one; so
+    the work is linear in the places.
+    """
+    at: dict[int, list[int]] = collections.defaultdict(list)
+    for h, places in mine.items():
+        for a in places:
+            at[a].append(h)
+    sets, first = {h: set(x) for h, x in theirs.items()}, {h: min(x) for h, x in theirs.items()}
+    out: list[tuple[int, int, int]] = []
+    ahead: int | None = None
+    for a in sorted(at):
+        here = [(a, a - ahead if ahead is not None and a - ahead in sets[h] else first[h], h) for h in at[a]]
+        out += here
+        ahead = a - min(b for _, b, _ in here)
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, share: float = 0.6) -> DataFrame:
+def bound(pairs: list[tuple[int, int, list, list]]) -> tuple[int, int]:
+    """How many places of the item match under one binding of its fillers, and how many with equal ones.
+
+    ``pairs`` has (place in the document, place in the item, the item's fillers, the
+    document's). Each window votes for what its fillers stand for; the most frequent pairs
+    are bound, of equally frequent ones that which comes first in the document and then in
+    the item, unless one side is bound already.
+    """
+    votes: dict[tuple, list] = {}
+    for a, b, theirs, mine in pairs:
+        for j, key in enumerate(zip(theirs, mine)):
+            if key[0]:
+                vote = votes.setdefault(key, [0, (a + j, b + j)])
+                vote[0] -= 1
+                vote[1] = min(vote[1], (a + j, b + j))
+    stands: dict = {}
+    taken = set()
+    for (x, y), _ in sorted(votes.items(), key=lambda v: v[1]):
+        if x not in stands and y not in taken:
+            stands[x] = y
+            taken.add(y)
+    # a filler whose every reading was taken by others stands for nothing
+    good = [(b, theirs, mine) for _, b, theirs, mine in pairs if all(stands.get(x) == y for x, y in zip(theirs, mine) if x)]
+    return len({b for b, _, _ in good}), len({b for b, theirs, mine in good if theirs == mine})
+
+
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each run of rows of one document and item."""
+    columns = ("doc", "item", "doc_id", "item_id", "n", "hash", "at", "fillers", "item_at", "item_fillers")
+    held: list[tuple] = []
+
+    def told() -> tuple:
+        places = lambda raw: np.frombuffer(raw, "<i4").tolist()
+        mine, theirs, my, their = {}, {}, {}, {}
+        for r in held:
+            h = r[5]
+            mine[h], theirs[h] = places(r[6]), places(r[8])
+            my[h] = dict(zip(mine[h], np.frombuffer(r[7], _U).reshape(-1, SIZE).tolist()))
+            their[h] = dict(zip(theirs[h], np.frombuffer(r[9], _U).reshape(-1, SIZE).tolist()))
+        matched, same = bound([(a, b, their[h][b], my[h][a]) for a, b, h in aligned(mine, theirs)])
+        n = held[0][4]
+        return held[0][2], held[0][3], max(1, n - SIZE + 1), matched, same
+
+    out: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+            if held and row[:2] != held[0][:2]:
+                out.append(told())
+                held = []
+            held.append(row)
+        if len(out) > 1000:
+            yield _rows(out)
+            out = []
+    if held:
+        out.append(told())
+    yield _rows(out)
+
+
+_OVERLAP = ["doc_id", "item_id", "item_windows", "matched", "verbatim"]
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 5)], _OVERLAP)
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, item_windows, matched, verbatim) for pairs that share a window.
+
+    ``matched`` counts the places of the item whose windows of ``SIZE`` tokens the document
+    has under one binding of fillers, ``verbatim`` those with equal fillers. Items of
+    ``LEAST`` to SIZE - 1 tokens are one window that has to be found word for word; shorter
+    ones are found in texts only that consist of the same tokens. Null and empty texts and
+    items have no tokens and match nothing. Rows that repeat a doc_id give a row each, as
+    do repeated items and items without an id; extra columns aren't looked at. Empty tables
+    give an empty one.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text")
+
+    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = X.utf8(batch.column("text"))
+            for low, high in X.blocks(offsets):
+                t = tokens(raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                plain = ~(t.number | t.unit)
+                small, large = np.unique(t.filler[plain & ~t.capital]), np.unique(t.filler[t.capital])
+                count = np.unique(np.diff(t.before))
+                count = count[(count > 0) & (count < SIZE)]
+                kind = np.repeat([0, 1, 2], [len(small), len(large), len(count)]).astype(np.int32)
+                value = np.concatenate([small, large, count.astype(_U)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(value)], ["kind", "hash"])
+
+    words = settle(items.mapInArrow(spelt, "kind int, hash long"), "benchmark-words")
+    sizes = sorted(r[0] for r in words.where("kind = 2").select("hash").distinct().collect())  # numbers below SIZE
+    known = spark.sparkContext.broadcast(_Words(_Bits(words.where("kind = 0"), WORD_BITS), _Bits(words.where("kind = 1"), WORD_BITS)))
+    theirs = settle(_found(items, known, sizes, None, True), "benchmark-windows")
+    sieve = spark.sparkContext.broadcast(_Bits(theirs.select(F.col("sieve").alias("hash")), WINDOW_BITS))
+    mine = _found(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), known, sizes, sieve, False)
+    mine = mine.select(F.col("row").alias("doc"), F.col("id").alias("doc_id"), "hash", "at", "fillers")
+    theirs = theirs.select(F.col("row").alias("item"), F.col("id").alias("item_id"), "n", "hash", F.col("at").alias("item_at"), F.col("fillers").alias("item_fillers"))
+    met = mine.join(theirs, "hash").repartition("doc", "item").sortWithinPartitions("doc", "item", "hash")
+    return met.mapInArrow(_checked, ", ".join(f"{c} long" for c in _OVERLAP))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.6) -> DataFrame:
     """The pairs of ``overlaps`` in which at least ``share`` of an item's windows are found."""
-    return overlaps(docs, benchmark, size).where((F.col("matched") > 0) & (F.col("matched") >= share * F.col("item_windows")))
+    return overlaps(docs, benchmark).where((F.col("matched") > 0) & (F.col("matched") >= share * F.col("item_windows")))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 8, share: float = 0.6) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.6) -> DataFrame:
     """The documents that contain no item of the benchmark.
 
     Rows without a doc_id are judged by their own text as well, by a key made for each text.
     """
     key = F.xxhash64("doc_id", "text")
-    found = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, size, share)
-    lost = found.select(F.col("doc_id").alias("lost_")).distinct()
-    return docs.withColumn("key_", key).join(lost, F.col("key_") == F.col("lost_"), "left_anti").drop("key_")
+    found = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, share)
+    lost = settle(found.select(F.col("doc_id").alias("lost_")).distinct(), "contaminated")
+    return docs.withColumn("key_", key).join(marked(lost), F.col("key_") == F.col("lost_"), "left_anti").drop("key_")

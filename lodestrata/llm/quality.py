@@ -24,7 +24,7 @@ from lodestrata.llm.toxicity import sample
 from lodestrata.runtime import extended, ship
 
 _U = np.uint64
-#: Hash places of each kind of n-gram: characters (bytes) by 2, 3 and 4, words by 1 and 2.
+#: Hash places of each kind of n-gram: characters by 2, 3 and 4, words by 1 and 2.
 BITS = 13
 _CHARS, _WORDS = (2, 3, 4), (1, 2)
 KINDS = len(_CHARS) + len(_WORDS)
@@ -50,25 +50,31 @@ def _place(h: np.ndarray, kind: int) -> np.ndarray:
 
 def _grams(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each kind of n-gram: hash places, and how many come before each text."""
-    data = raw.astype(_U)
+    letters = np.flatnonzero((raw & 0xC0) != 0x80)
+    before = np.searchsorted(letters, offsets)
+    points = _code_points(raw, letters)
     for kind, n in enumerate(_CHARS):
-        h = np.zeros(max(0, len(raw) - n + 1), _U)
-        for i in range(n):
-            h |= data[i : len(raw) - n + 1 + i] << _U(8 * i)
-        places = _place(h * _U(0x9E3779B97F4A7C15), kind)
-        # grams that reach into the next text are left out
-        inside = np.ones(len(h), bool)
+        at = X.fitting(before, n)
+        h = points[at]
         for i in range(1, n):
-            edge = offsets[1:-1] - i
-            inside[edge[(edge >= 0) & (edge < len(h))]] = False
-        yield places[inside], np.concatenate([[0], np.cumsum(inside)])[np.minimum(offsets, len(h))]
-    starts, ends, before = X.words(raw, offsets)
-    h = X.hashes(raw, starts, ends)
+            h = (h * _U(0x9E3779B97F4A7C15)) ^ points[at + i]
+        yield _place(X.mix(h), kind), np.searchsorted(at, before)
+    h, before = X.word_hashes(raw, offsets)
     for kind, n in enumerate(_WORDS, len(_CHARS)):
         at, found = X.windows(h, before, n)
         yield _place(found, kind), np.searchsorted(at, before)
 
 
+def _code_points(raw: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """A number for each character: its UTF-8 bytes as one integer."""
+    out = raw[letters].astype(_U)
+    size = np.diff(np.append(letters, len(raw)))
+    for i in (1, 2, 3):
+        more = np.flatnonzero(size > i)
+        out[more] |= raw[letters[more] + i].astype(_U) << _U(8 * i)
+    return out
+
+
 def frequencies(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns of ``keep``, and the hash places of each text with their frequencies."""
     ship(docs.sparkSession)
@@ -181,15 +187,15 @@ def _base(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     def sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.diff(np.concatenate([[0], np.cumsum(x)])[at])
 
-    starts, ends, before = X.words(raw, offsets)
+    h, before = X.word_hashes(raw, offsets)
     n_words = np.diff(before)
     chars = sums(~_BLANK[raw] & ((raw & 0xC0) != 0x80), offsets)
     symbols = sums(_SYMBOL[raw], offsets)
-    at, h = X.windows(X.hashes(raw, starts, ends), before, 3)
+    at, h = X.windows(h, before, 3)
     own = X.row_of(at, before)
     _, place, times = np.unique(X.mix(h + own.astype(_U) * _U(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
     hit = at[times[place] > 1] if len(at) else at
-    cover = np.zeros(len(starts), bool)
+    cover = np.zeros(int(before[-1]), bool)
     for i in range(3):
         cover[hit + i] = True
     return n_words, chars, symbols, sums(cover, before)

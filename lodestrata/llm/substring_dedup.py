@@ -1,20 +1,20 @@
 """Removal of passages of words that occur more than once.
 
-Every window of ``size`` consecutive words of every document gets a Rabin-Karp hash. The
-hashes are counted in Spark, and windows that occur again merge into maximal intervals to
-remove. Only sorted hashes travel: documents are dealt into chunks, each chunk sends the
-hashes that it holds to range partitions of the hash space, and gets back a bitmap that
-says which of them other chunks hold as well. A hash travels once for each chunk, however
-often it occurs there, so a passage shared by a third of all rows weighs no more than any
-other. The chunks' texts are shuffled once and read twice.
+Every window of ``size`` consecutive words of every document gets Rabin-Karp hashes at two
+bases, of which 96 bits are kept. The hashes are counted in Spark, and windows that occur
+again merge into maximal intervals to remove. Only sorted hashes travel: documents are
+dealt into chunks, each chunk sends the hashes that it holds to range partitions of the
+hash space, and gets back a bitmap that says which of them other chunks hold as well. A
+hash travels once for each chunk, however often it occurs there, so a passage shared by a
+third of all rows weighs no more than any other. The chunks' texts are shuffled once and
+read twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,44 +23,54 @@ from lodestrata.runtime import extended, ship
 
 #: UTF-8 bytes of text in a chunk, about two million windows.
 CHUNK_BYTES = 12 << 20
-_STEP = np.dtype("<u8")
+_STEP, _REST = np.dtype("<u8"), np.dtype("<u4")
+_U = np.uint64
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Sorted distinct 64-bit hashes as differences of as few bytes as they need."""
-    steps = np.diff(values, prepend=np.uint64(0))
-    first, rest = values[:1], steps[1:]
-    width = max(1, (int(rest.max()).bit_length() + 7) // 8) if len(rest) else 1
-    raw = rest.astype(_STEP).view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + first.astype(_STEP).tobytes() + raw.tobytes()
+def _pack(key: np.ndarray, rest: np.ndarray) -> bytes:
+    """Sorted 64-bit halves as differences of as few bytes as they need, and the other 32 bits."""
+    steps = np.diff(key)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    raw = steps.astype(_STEP).view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + key[:1].astype(_STEP).tobytes() + rest.astype(_REST).tobytes() + raw.tobytes()
 
 
-def _unpack(packed: bytes) -> np.ndarray:
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     width = packed[0]
-    rest = np.frombuffer(packed, np.uint8, offset=9).reshape(-1, width)
-    out = np.zeros((len(rest) + 1, 8), np.uint8)
+    n = (len(packed) - 9 + width) // (width + 4)
+    out = np.zeros((n, 8), np.uint8)
     out[0] = np.frombuffer(packed, np.uint8, 8, 1)
-    out[1:, :width] = rest
-    return np.cumsum(out.reshape(-1).view(_STEP), dtype=np.uint64)
+    out[1:, :width] = np.frombuffer(packed, np.uint8, offset=9 + 4 * n).reshape(-1, width)
+    return np.cumsum(out.reshape(-1).view(_STEP), dtype=_U), np.frombuffer(packed, _REST, n, 9)
+
+
+def _ordered(key: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal hashes stand together, and whether each differs from the one before."""
+    order = np.argsort(key, kind="stable")
+    k, r = key[order], rest[order]
+    if len(k) > 1 and ((k[1:] == k[:-1]) & (r[1:] != r[:-1])).any():
+        order = np.lexsort((rest, key))
+        k, r = key[order], rest[order]
+    fresh = np.ones(len(k), bool)
+    fresh[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
+    return order, fresh
 
 
-def _window_hashes(texts: pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of a chunk: index of the first word, hash; and the words before each row."""
-    raw, offsets = X.utf8(texts)
-    at, hashes, before = [], [], [np.zeros(1, np.int64)]
-    for low, high in X.blocks(offsets):
-        part, own = raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
-        starts, ends, words_before = X.words(part, own)
-        a, h = X.windows(X.hashes(part, starts, ends), words_before, size)
-        at.append(a + before[-1][-1])
-        hashes.append(h)
-        before.append(words_before[1:] + before[-1][-1])
-    join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-    return join(at, np.int64), join(hashes, np.uint64), np.concatenate(before)
+def _window_hashes(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of some texts: index of the first word, both parts of the hash; and the words before each text."""
+    h, before = X.word_hashes(*X.utf8(texts))
+    at = X.fitting(before, size)
+    if not len(at):
+        return at, np.zeros(0, _U), np.zeros(0, _REST), before
+    first, second = X.rolled(h, size, X.BASES[0])[at], X.rolled(h, size, X.BASES[1])[at]
+    return at, X.mix(first | second << _U(61)), (second >> _U(3)).astype(_REST), before
 
 
-def _bucket_edges(buckets: int) -> np.ndarray:
-    return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+def _cuts(key: np.ndarray, bits: int) -> np.ndarray:
+    """Where in sorted keys each of 2^bits ranges of the hash space begins, and the end."""
+    if not bits:
+        return np.array([0, len(key)])
+    return np.append(np.searchsorted(key, np.arange(1 << bits, dtype=_U) << _U(64 - bits)), len(key))
 
 
 def remove_repeats(docs: DataFrame, size: int = 35, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -74,67 +84,81 @@ def remove_repeats(docs: DataFrame, size: int = 35, key: str = "doc_id", text: s
 
     Null and empty texts have no words. Texts shorter than ``size`` words lose none.
     Repeated rows count as different documents, so that both lose what they share; ties
-    and null keys don't matter, as keys only deal rows into chunks. Other columns pass
+    and null keys don't matter, as keys only deal rows into chunks. Rows equal in key and
+    text are dealt by their input partition as well, and a chunk hashes equal texts once. A
+    text longer than ``CHUNK_BYTES`` makes a chunk as large as itself. Other columns pass
     through; columns named like the new ones are replaced. An empty table gives an empty
-    one. Two different windows count as equal with a chance of 2^-64.
+    one. Two different windows count as equal with a chance of about 2^-96.
     """
     spark = docs.sparkSession
     ship(spark)
     new = ("n_words", "removed", "kept_text")
     docs = docs.drop(*new, "chunk_")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    chunks = buckets = max(1, -(-total // CHUNK_BYTES))
-    dealt = docs.withColumn("chunk_", F.pmod(F.xxhash64(key, F.octet_length(text)), F.lit(chunks)).cast("int"))
-    edges = _bucket_edges(buckets)
+    chunks = max(1, -(-total // CHUNK_BYTES))
+    bits = (chunks - 1).bit_length()
+    dealt = docs.withColumn("chunk_", F.pmod(F.xxhash64(key, text, F.spark_partition_id()), F.lit(chunks)).cast("int"))
 
     def held(rows: pa.Table) -> pa.Table:
-        _, hashes, _ = _window_hashes(rows.column(text), size)
-        hashes = np.unique(hashes)
-        cuts = [0, *np.searchsorted(hashes, edges).tolist(), len(hashes)]
-        full = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
+        texts = pc.unique(rows.column(text))
+        _, first, rest, _ = _window_hashes(texts, size)
+        order, fresh = _ordered(first, rest)
+        order = order[fresh]
+        first, rest = first[order], rest[order]
+        cuts = _cuts(first, bits)
+        full = np.flatnonzero(cuts[1:] > cuts[:-1])
         return pa.table({
             "chunk_": pa.array([rows.column("chunk_")[0].as_py()] * len(full), pa.int32()),
             "bucket_": pa.array(full, pa.int32()),
-            "hashes_": pa.array([_pack(hashes[cuts[i] : cuts[i + 1]]) for i in full], pa.binary()),
+            "hashes_": pa.array([_pack(first[cuts[i] : cuts[i + 1]], rest[cuts[i] : cuts[i + 1]]) for i in full], pa.binary()),
         })
 
     def counted(rows: pa.Table) -> pa.Table:
-        lists = [_unpack(x) for x in rows.column("hashes_").to_pylist()]
-        cuts = np.cumsum([0, *map(len, lists)])
-        every = np.concatenate(lists)
+        lists = [_unpack(x.as_py()) for x in rows.column("hashes_")]
+        cuts = np.cumsum([0, *(len(x) for x, _ in lists)])
+        first, rest = (np.concatenate(x) for x in zip(*lists))
         del lists
-        order = np.argsort(every, kind="stable")
-        every = every[order]
-        same = np.zeros(len(every) + 1, bool)
-        same[1:-1] = every[1:] == every[:-1]
-        again = np.empty(len(every), bool)
-        again[order] = same[1:] | same[:-1]
-        bits = [np.packbits(again[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
-        return pa.table({"chunk_": rows.column("chunk_"), "bucket_": rows.column("bucket_"), "again_": pa.array(bits, pa.binary())})
+        order, fresh = _ordered(first, rest)
+        alone = fresh & np.append(fresh[1:], True)
+        again = np.empty(len(first), bool)
+        again[order] = ~alone
+        bitmaps = [np.packbits(again[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
+        return pa.table({"chunk_": rows.column("chunk_"), "bucket_": rows.column("bucket_"), "again_": pa.array(bitmaps, pa.binary())})
 
     sent = dealt.groupBy("chunk_").applyInArrow(held, "chunk_ int, bucket_ int, hashes_ binary")
     answers = sent.groupBy("bucket_").applyInArrow(counted, "chunk_ int, bucket_ int, again_ binary")
     schema = extended(docs.schema, "n_words long, removed array<struct<start:int,end:int>>, kept_text string")
 
     def apply(rows: pa.Table, bitmaps: pa.Table) -> pa.Table:
-        at, hashes, before = _window_hashes(rows.column(text), size)
-        values, where, times = np.unique(hashes, return_inverse=True, return_counts=True)
-        again = times > 1
-        cuts = [0, *np.searchsorted(values, edges).tolist(), len(values)]
-        for bucket, bits in zip(bitmaps.column("bucket_").to_pylist(), bitmaps.column("again_").to_pylist()):
+        coded = rows.column(text).combine_chunks()
+        coded = (coded if isinstance(coded, pa.Array) else pa.concat_arrays(coded.chunks)).dictionary_encode("encode")
+        texts, which = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        at, first, rest, before = _window_hashes(texts, size)
+        order, fresh = _ordered(first, rest)
+        starts = np.flatnonzero(fresh)
+        again = np.diff(np.append(starts, len(order))) > 1
+        cuts = _cuts(first[order[starts]], bits)
+        for bucket, packed in zip(bitmaps.column("bucket_").to_pylist(), bitmaps.column("again_").to_pylist()):
             a, b = cuts[bucket], cuts[bucket + 1]
-            again[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-        marks = np.zeros(before[-1] + 2, np.int32)
-        hit = at[again[where]] if len(at) else at
-        marks[hit] += 1
-        marks[np.minimum(hit + size, before[-1])] -= 1
-        gone = np.cumsum(marks[:-1]) > 0
-        return _result(rows.drop_columns(["chunk_"]), rows.column(text), gone[: before[-1]], before)
+            again[a:b] |= np.unpackbits(np.frombuffer(packed, np.uint8), count=b - a).astype(bool)
+        hit = at[order[again[np.cumsum(fresh) - 1]]] if len(at) else at
+        # all windows of a text that this chunk holds more than once occur again
+        copied = np.bincount(which, minlength=len(texts)) > 1
+        if len(at):
+            hit = np.concatenate([hit, at[copied[X.row_of(at, before)]]])
+        n = int(before[-1])
+        marks = np.bincount(hit, minlength=n + 1) - np.bincount(np.minimum(hit + size, n), minlength=n + 1)
+        told = _told(texts, np.cumsum(marks)[:n] > 0, before).take(pa.array(which))
+        out = rows.drop_columns(["chunk_"])
+        for name in told.column_names:
+            out = out.append_column(name, told.column(name))
+        return out
 
     return dealt.groupBy("chunk_").cogroup(answers.groupBy("chunk_")).applyInArrow(apply, schema)
 
 
-def _result(rows: pa.Table, texts: pa.ChunkedArray, gone: np.ndarray, before: np.ndarray) -> pa.Table:
+def _told(texts: pa.Array, gone: np.ndarray, before: np.ndarray) -> pa.Table:
+    """n_words, removed and kept_text of each text."""
     edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
     # an interval that reaches over rows is cut at their edges
     inner = before[(before > 0) & (before < len(gone))]
@@ -149,8 +173,8 @@ def _result(rows: pa.Table, texts: pa.ChunkedArray, gone: np.ndarray, before: np
         pa.StructArray.from_arrays([pa.array(low - before[owner], pa.int32()), pa.array(high - before[owner], pa.int32())], ["start", "end"]),
     )
     kept = []
-    for i, value in enumerate(texts.to_pylist()):
-        found = (value or "").encode().split()
+    for i, value in enumerate(texts):
+        found = (value.as_py() or "").encode().split()
         if at[i] < at[i + 1]:
             out, last = [], 0
             for a, b in zip((low[at[i] : at[i + 1]] - before[i]).tolist(), (high[at[i] : at[i + 1]] - before[i]).tolist()):
@@ -158,10 +182,7 @@ def _result(rows: pa.Table, texts: pa.ChunkedArray, gone: np.ndarray, before: np
                 last = b
             found = out + found[last:]
         kept.append(b" ".join(found))
-    columns = {"n_words": pa.array(np.diff(before), pa.int64()), "removed": spans, "kept_text": pa.array(kept, pa.binary()).cast(pa.string())}
-    for name, column in columns.items():
-        rows = rows.append_column(name, column)
-    return rows
+    return pa.table({"n_words": pa.array(np.diff(before), pa.int64()), "removed": spans, "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
 
 
 def digests(docs: DataFrame) -> DataFrame:

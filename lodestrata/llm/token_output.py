@@ -64,8 +64,8 @@ class Bytes:
     dtype, end, pad = "uint8", 255, 254
 
     @staticmethod
-    def encode(text: str | None) -> bytes:
-        return (text or "").encode()
+    def encode(texts: list[str | None]) -> list[bytes]:
+        return [(t or "").encode() for t in texts]
 
 
 class Ids:
@@ -78,9 +78,8 @@ class Ids:
         self.dtype = "uint16" if self.codec.size + 2 <= 1 << 16 else "uint32"
         self.end, self.pad = self.codec.size, self.codec.size + 1
 
-    def encode(self, text: str | None) -> bytes:
-        packed = self.codec.encode_packed(text or "")
-        return np.frombuffer(packed, "uint16" if self.codec.code == "H" else "uint32").astype(self.dtype).tobytes()
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return [x.astype(self.dtype).tobytes() for x in self.codec.encode_all([t or "" for t in texts])]
 
 
 def _tokens(tokenizer: str) -> Bytes | Ids:
@@ -104,7 +103,7 @@ def materialise(docs: DataFrame, folder: str, key: int, tokenizer: str = "bytes"
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = _tokens(tokenizer)
         for batch in batches:
-            ids = [use.encode(t) for t in batch.column("text").to_pylist()]
+            ids = use.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     coded = settle(rows.mapInArrow(encoded, "doc_id long, ids binary"), "token-ids")

@@ -73,11 +73,51 @@ def test_windows_edges(spark):
 
 def test_packing_of_hashes():
     rng = np.random.default_rng(0)
-    for n in (1, 2, 1000):
-        values = np.unique(rng.integers(0, 2**64 - 1, n, dtype=np.uint64, endpoint=True))
-        assert (S._unpack(S._pack(values)) == values).all()
-    edge = np.array([0, 1, 2**64 - 1], np.uint64)
-    assert (S._unpack(S._pack(edge)) == edge).all()
+    some = [np.unique(rng.integers(0, 2**64 - 1, n, dtype=np.uint64, endpoint=True)) for n in (1, 2, 1000)]
+    for keys in (*some, np.array([0, 1, 1, 2**64 - 1], np.uint64), np.array([5, 5], np.uint64)):
+        rest = rng.integers(0, 2**32, len(keys), dtype=np.uint32)
+        got = S._unpack(S._pack(keys, rest))
+        assert (got[0] == keys).all() and (got[1] == rest).all()
+
+
+def test_hashes_that_differ_in_one_part_only():
+    key, rest = np.array([7, 3, 7, 7, 3], np.uint64), np.array([1, 0, 2, 1, 0], np.uint32)
+    order, fresh = S._ordered(key, rest)
+    assert [(int(key[i]), int(rest[i])) for i in order] == [(3, 0), (3, 0), (7, 1), (7, 1), (7, 2)]
+    assert fresh.tolist() == [True, False, True, False, True]
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    # a word of a and b and its complement: their polynomials are equal modulo 2^64 at any base
+    one = "a"
+    for _ in range(11):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{one} " + " ".join(f"w{i}" for i in range(34))), (2, f"{other} " + " ".join(f"w{i}" for i in range(34)))]
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["removed"] for r in got] == [[], []]
+
+
+def test_repeated_rows_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK_BYTES", 400)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(None, passage)] * 300 + [(7, passage)] * 300 + [(i, f"own words of document {i}") for i in range(100)]
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 35).collect()
+    assert sorted((len(r["removed"]), r["kept_text"] == "") for r in got) == [(0, False)] * 100 + [(1, True)] * 600
+
+
+def test_a_long_text_in_pieces(spark):
+    from lodestrata.llm import textops as X
+
+    text = " ".join(f"w{i % 777}" for i in range(5000)) + "\n" + "z" * 9000 + " end"
+    raw, offsets = np.frombuffer(text.encode() * 2, np.uint8), np.array([0, len(text), 2 * len(text)])
+    starts, ends, before = X.words(raw, offsets)
+    for piece in (64, 5000, 1 << 20):
+        h, at = X.word_hashes(raw, offsets, piece)
+        assert (h == X.hashes(raw, starts, ends)).all() and (at == before).all()
+    for k in (1, 3, 35):
+        want = [sum(int(x) * pow(X.BASES[0], k - 1 - j, X.PRIME) for j, x in enumerate(h[i : i + k])) % X.PRIME for i in (0, 17)]
+        assert X.rolled(h, k, X.BASES[0])[[0, 17]].tolist() == want
 
 
 def _lines(rows, min_docs):

@@ -9,10 +9,8 @@ import zlib
 
 import duckdb
 import numpy as np
-import pyarrow as pa
 import pytest
 
-from lodestrata.llm import decontam as D
 from lodestrata.llm import license_scan as Li
 from lodestrata.llm import quality as Q
 from lodestrata.llm import queries
@@ -194,73 +192,6 @@ def test_whole_licence_texts_and_header_blocks(spark):
     assert Li.units(spark.createDataFrame([("m/notes", _MIT)], "path string, text string"), 0.5).where("is_file").count() == 1
 
 
-ITEM = "If Anna buys 12 apples for 3.50 dollars each at the market, how many dollars does she pay in total today?"
-
-
-@pytest.mark.parametrize("text, hit", [
-    (f"Intro text. {ITEM} More text.", True),
-    (f"intro {ITEM.upper()} end", True),
-    (ITEM.replace("12", "19").replace("3.50", "2"), True),
-    ("If Bella" + ITEM[7:], True),
-    ("Nothing of it is in this text, although it speaks of 12 apples for 3.50 dollars.", False),
-    ("", False), (None, False),
-])
-def test_reparameterised_questions(text, hit):
-    block = D._Items([(1, ITEM), (2, "")], 8)
-    found = list(block.matches(pa.array([text], pa.string()), [5]))
-    assert bool([f for f in found if f[3] >= 0.6 * f[2]]) == hit
-
-
-def test_fillers_must_be_consistent():
-    item = "move 5 boxes then 7 crates then 5 boxes and 7 crates to the store now"
-    block = D._Items([(1, item)], 16)
-    count = lambda t: [f[3] for f in block.matches(pa.array([t]), [0])]
-    assert count(item.replace("5", "8")) and count(item.replace("5", "8"))[0] > 0
-    # two values of the document for one of the item
-    assert not any(count("move 8 boxes then 7 crates then 9 boxes and 7 crates to the store now"))
-
-
-def test_names_that_open_sentences(spark):
-    item = "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have?"
-    block = D._Items([(1, item)], 8)
-    count = lambda t: [tuple(f)[2:] for f in block.matches(pa.array([t]), [0])]
-    assert count(item) == [(7, 7, 7)]
-    assert count(item.replace("Tom", "Ann")) == [(7, 7, 0)]
-    assert count(f"Yesterday {item}")[0][1] == 7 and count(item.lower()) == count(item.upper()) == [(7, 7, 7)]
-    assert count(item.replace(". How", ", how").replace("Tom", "Ann")) == [(7, 7, 0)]
-    # one name of the item can't be two names of the document; only the first window has two
-    assert count("Ann has 5 apples. Bob buys 3 more. How many apples does Bob have?") == [(7, 6, 0)]
-    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    docs = spark.createDataFrame([(1, item.replace("Tom", "Ann")), (2, "Other text.")], "doc_id long, text string")
-    assert [r["doc_id"] for r in D.decontaminate(docs, bench).collect()] == [2]
-
-
-def test_all_forms_of_a_window_are_hashed(monkeypatch):
-    title = "The Cat And The Dog Went To The Old House On The Hill"
-    for size in (1, 1 << 20):
-        monkeypatch.setattr(D, "SLICE", size)
-        for item, text in ((title, title.lower()), (title.lower(), title), (title, title.replace("Cat", "Hen").replace("Old", "old"))):
-            assert [f[3] for f in D._Items([(1, item)], 8).matches(pa.array([text]), [0])] == [6]
-    assert D._entries(pa.array([title, "Only Two", None, ""]), 8) == 6 * 256 + 4
-
-
-def test_contaminated_documents(spark):
-    bench = spark.createDataFrame([(1, ITEM, 0), (2, None, 0), (3, "short one", 0)], "item_id long, text string, matched int")
-    docs = spark.createDataFrame([(1, f"x. {ITEM}"), (2, "clean"), (3, None), (4, "a short one b"), (1, f"x. {ITEM}"), (None, ITEM)], "doc_id long, text string")
-    got = sorted(((r["doc_id"], r["item_id"]) for r in D.contaminated(docs, bench).collect()), key=str)
-    assert got == sorted([(1, 1), (1, 1), (4, 3), (None, 1)], key=str)
-    assert sorted((r["doc_id"] for r in D.decontaminate(docs, bench).collect())) == [2, 3]
-    assert D.contaminated(docs.limit(0), bench).count() == 0
-    assert D.decontaminate(docs, bench.limit(0)).count() == 6
-
-
-def test_large_benchmarks_take_several_passes(spark, sf, monkeypatch):
-    docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    once = sorted(map(tuple, D.overlaps(docs, bench).collect()))
-    monkeypatch.setattr(D, "BLOCK", 1000)
-    assert sorted(map(tuple, D.overlaps(docs, bench).collect())) == once and once
-
-
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_agree_with_duckdb(spark, sf, name):
     c = duckdb.connect()
