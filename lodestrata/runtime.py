@@ -53,13 +53,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str = "stage") -> DataFrame:
+def settle(df: DataFrame, name: str = "stage", codec: str = "snappy") -> DataFrame:
     """Writes a table to the shared folder and returns a scan of it, which cuts the lineage.
 
     Unlike an in-memory cache, the rows outlive a lost executor.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
