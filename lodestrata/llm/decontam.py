@@ -102,10 +102,7 @@ def _piece(raw: np.ndarray, edges: np.ndarray, ended: bool) -> tuple[tuple[np.nd
     if len(raw) > 2:
         inside[1:-1] |= _POINT[raw[1:-1]] & _DIGIT[raw[:-2]] & _DIGIT[raw[2:]]
     starts, ends, _ = X.runs(inside, np.concatenate([[0], edges[edges > 0], [len(raw)]]))
-    folded = raw.copy()
-    if len(raw) > 1:  # Latin letters with marks: their second byte differs by 32
-        large = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
-        folded[1:][large] += 32
+    folded = X.folded(raw)
     stops = np.concatenate([[0], np.cumsum(_SENTENCE_END[raw])])
     breaks = np.zeros(len(raw) + 1, np.int64)
     breaks[edges] += 1

@@ -1,45 +1,47 @@
 """Similarity self-join on the Jaccard coefficient of word n-gram sets.
 
-A MinHash LSH forest finds candidates: each document has a signature of several trees, and
-each tree's entries, sorted, are a prefix trie. Two documents with a common prefix of a
-given depth in some tree are compared. Matching starts at the full depth and prefixes are
-shortened, tree level by tree level, until the chance that a pair at the threshold is
-missed in all trees falls below what the target recall leaves. Exact verification of the
-n-gram sets follows, so that no link is reported that isn't one.
-
-Documents with equal sets are one class and take part once. Classes whose sketches agree
-enough are linked into components, and in each component all pairs are verified in blocks:
-a block of documents is compared with another by a matrix product and gives back one row
-for each document, never one for each pair. Large components are split over as many tasks
-as they have pairs of blocks.
+A MinHash LSH forest finds candidates: each document has a label of ``depth`` MinHash
+values in each of several trees, and a tree's labels, sorted, are a prefix trie. In each
+trie documents are first compared where their whole labels agree; then prefixes are
+shortened level by level, in those subtrees only that aren't linked to one piece yet, until
+a pair at the threshold would be missed in all trees with no more chance than the target
+recall leaves. Sketches prune these pairs, and spanning trees of the rest make components.
+
+Exact verification follows. Documents with equal sets are one class and take part once.
+Classes are laid out in blocks in the order of component and label, and two blocks are
+verified if a class of one has a common prefix with a class of its component in the other.
+A block is compared with another by a matrix product, which gives back one row for each
+class, never one for each pair. A long run of one prefix is split into pieces, and a large
+group of near copies into blocks, so that no task holds more than two of either.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import textops as X
-from lodestrata.runtime import settle, ship
+from lodestrata.runtime import marked, settle, ship
 
 #: Sketches agree in more than this share of places, or the pair isn't followed further.
 #: With 64 places a pair at 0.8 falls below by chance once in more than 10^6 times.
 _SKETCH, _ALIKE = 64, 0.55
-#: A run of more rows is replaced by a cover: rows that all others agree with at ``_CLOSE``.
-#: Two linked texts of which one is covered agree with the covering row at 0.6 or more.
-RUN, _CLOSE, _NEAR = 1 << 14, 0.8, 0.38
-#: Classes in a block that is verified at once.
-BLOCK = 192
+#: Rows of a run of one prefix that are compared with each other in one task; a longer run
+#: is dealt into pieces, and each pair of pieces is a task of its own.
+RUN = 1 << 13
+#: Classes, and n-grams, in a block that is verified at once.
+BLOCK, BLOCK_GRAMS = 128, 1 << 20
+_WIDE = 2  # bytes of a MinHash value in a label
 _U = np.uint64
 
 
 def depth_for(trees: int, depth: int, threshold: float, recall: float) -> int:
-    """Shortens the prefix until a pair at the threshold is found with the target recall."""
+    """The longest prefix at which a pair at the threshold is found with the target recall."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
@@ -53,9 +55,7 @@ def _sets(texts: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """
     raw, offsets = X.utf8(texts)
     for low, high in X.blocks(offsets, 1 << 19):
-        part, own = raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
-        starts, ends, before = X.words(part, own)
-        h = X.hashes(part, starts, ends)
+        h, before = X.word_hashes(raw[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
         at, grams = X.windows(h, before, n)
         rows = X.row_of(at, before)
         count = np.diff(before)
@@ -80,8 +80,7 @@ def _minima(grams: np.ndarray, cuts: np.ndarray, places: int) -> np.ndarray:
     out = np.full((len(cuts) - 1, places), 0xFFFFFFFF, np.uint32)
     if not len(full):
         return out
-    rng = np.random.default_rng(7)
-    factors = rng.integers(1, 2**63, places, dtype=_U) * _U(2) + _U(1)
+    factors = np.random.default_rng(7).integers(1, 2**63, places, dtype=_U) * _U(2) + _U(1)
     low = (grams >> _U(32)) ^ grams
     at = cuts[full]
     for p in range(places):
@@ -89,121 +88,151 @@ def _minima(grams: np.ndarray, cuts: np.ndarray, places: int) -> np.ndarray:
     return out
 
 
+def _class_of(grams: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that stand for a set: two sums of mixed hashes."""
+    total = lambda h: np.diff(np.concatenate([np.zeros(1, _U), np.cumsum(h, dtype=_U)])[cuts]).view(np.int64)
+    return total(X.mix(grams)), total(X.mix(grams ^ _U(0x5851F42D4C957F2D)))
+
+
+def _binaries(rows: np.ndarray) -> pa.Array:
+    """One binary value for each row of a matrix."""
+    raw = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1)
+    return pa.Array.from_buffers(pa.binary(raw.shape[1]), len(rows), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+
+
+_SIGNED = "doc_id long, row_a long, row_b long, text_key long, hi long, lo long, n_grams long, labels binary, sketch binary"
+_CLASS = ["hi", "lo", "n_grams"]
+
+
 def signatures(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
-    """(doc_id, class_hi, class_lo, n_grams, keys, sketch): what of each text takes part in the search."""
+    """What of each text takes part in the search: its class, the labels of all trees, and a sketch.
+
+    ``row_a`` and ``row_b`` stand for doc_id and text, ``text_key`` for the text.
+    """
     ship(docs.sparkSession)
     places = max(trees * depth, _SKETCH)
+    keys = ["doc_id", "row_a", "row_b", "text_key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, whole.num_rows, 1024):
-                batch = whole.slice(low, 1024)
-                hi, lo, sizes, keys, sketches = [], [], [], [], []
-                for grams, cuts in _sets(batch.column("text"), n):
-                    m = _minima(grams, cuts, places)
-                    total = lambda h: np.diff(np.concatenate([np.zeros(1, _U), np.cumsum(h, dtype=_U)])[cuts])
-                    hi.append(total(X.mix(grams)))
-                    lo.append(total(X.mix(grams ^ _U(0x5851F42D4C957F2D))))
-                    sizes.append(np.diff(cuts))
-                    key = np.zeros((len(m), trees), _U)
-                    for t in range(trees):
-                        for d in range(depth):
-                            key[:, t] = X.mix(key[:, t] ^ (m[:, t * depth + d].astype(_U) + _U(d << 40) + _U(t << 48)))
-                    keys.append(key)
-                    sketches.append(np.ascontiguousarray(X.mix(m[:, :_SKETCH].astype(_U)).astype(np.uint8)))
-                key = np.concatenate(keys).view(np.int64)
-                sketch = np.concatenate(sketches)
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").cast(pa.int64()),
-                    pa.array(np.concatenate(hi).view(np.int64)), pa.array(np.concatenate(lo).view(np.int64)), pa.array(np.concatenate(sizes)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * trees), pa.array(key.reshape(-1))),
-                    pa.array([s.tobytes() for s in sketch], pa.binary()),
-                ], ["doc_id", "class_hi", "class_lo", "n_grams", "keys", "sketch"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, class_hi long, class_lo long, n_grams long, keys array<long>, sketch binary")
-
-
-def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Edges between the classes of each run of equal (tree, key), the rows being sorted by it.
-
-    All pairs of a run are compared by their sketches, but of those that agree only a
-    spanning forest is passed on. Runs may reach over batches; of a long run only a cover
-    is kept for the rows to come.
-    """
+            low = 0
+            for grams, cuts in _sets(whole.column("text"), n):
+                m = _minima(grams, cuts, places)
+                hi, lo = _class_of(grams, cuts)
+                label = (X.mix(m[:, : trees * depth].astype(_U)) >> _U(48)).astype(">u2")
+                sketch = X.mix(m[:, :_SKETCH].astype(_U)).astype(np.uint8)
+                part = whole.slice(low, len(m))
+                low += len(m)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array(hi), pa.array(lo), pa.array(np.diff(cuts)), _binaries(label), _binaries(sketch)], [*keys, *_CLASS, "labels", "sketch"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_row_keys(), F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(run, _SIGNED)
+
+
+def _row_keys():
+    """128 bits for doc_id and text."""
+    return F.xxhash64("doc_id", "text").alias("row_a"), F.xxhash64(F.lit(11), F.col("text"), F.col("doc_id")).alias("row_b")
+
+
+def _entries(classes: DataFrame, trees: int, depth: int, level: int, *keep: str) -> DataFrame:
+    """A row for each class and tree: ``key`` stands for the tree and the label's shortest prefix, ``label`` is the whole one."""
+    wide = _WIDE * depth
+    out = classes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    out = out.withColumn("label", F.expr(f"substring(labels, tree * {wide} + 1, {wide})"))
+    return out.select(*keep, F.xxhash64("tree", F.expr(f"substring(label, 1, {_WIDE * level})")).alias("key"), "label")
+
+
+def _linked(batches: Iterator[pa.RecordBatch], threshold: float, depth: int, level: int) -> Iterator[pa.RecordBatch]:
+    """Edges between classes of each run of equal (key, x, y), rows being sorted by it and by label."""
     rest: pa.Table | None = None
-    cover = 0  # so many first rows of the rest are a cover of the run so far
     for batch in batches:
         got = pa.Table.from_batches([batch])
         got = pa.concat_tables([rest, got]) if rest is not None else got
-        key, tree = got.column("key").to_numpy(), got.column("tree").to_numpy()
-        change = np.flatnonzero((key[1:] != key[:-1]) | (tree[1:] != tree[:-1])) + 1
+        cols = [got.column(c).to_numpy() for c in ("key", "x", "y")]
+        change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
         whole = int(change[-1]) if len(change) else 0
         if whole:
-            yield _forest(got.slice(0, whole), threshold, cover)
-            cover = 0
+            yield _forest(got.slice(0, whole), threshold, depth, level)
         rest = got.slice(whole)
-        if rest.num_rows > RUN:
-            yield _forest(rest, threshold, cover)
-            rest = rest.take(pa.array(_cover(rest))).combine_chunks()
-            cover = rest.num_rows
     if rest is not None:
-        yield _forest(rest, threshold, cover)
-
-
-def _sketches(rows: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, _SKETCH)
+        yield _forest(rest, threshold, depth, level)
 
 
-def _cover(rows: pa.Table) -> np.ndarray:
-    """Rows such that every other one is close to one of them."""
-    sketch = _sketches(rows)
-    left, out = np.arange(len(sketch)), []
-    while len(left):
-        out.append(left[0])
-        left = left[(sketch[left] == sketch[left[0]]).mean(1) < _CLOSE]
-    return np.array(out)
+def _rows_of(column: pa.ChunkedArray, wide: int, at: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.take(pa.array(at)).to_pylist()), np.uint8).reshape(-1, wide)
 
 
-def _forest(rows: pa.Table, threshold: float, cover: int = 0) -> pa.RecordBatch:
-    """A spanning forest of the pairs of each run that may be links.
+def _forest(rows: pa.Table, threshold: float, depth: int, level: int) -> pa.RecordBatch:
+    """A spanning forest of the pairs of each run whose sketches agree.
 
-    The first ``cover`` rows stand for others close to them: what is linked to one of those
-    agrees with the row itself at ``_NEAR`` at least, as Jaccard distances add up.
+    Pairs with the longest common prefixes are compared first. A subtree whose rows are one
+    piece is left; else the prefix is shortened, down to ``level``. In a run of two pieces
+    x and y only rows of different pieces are compared.
     """
-    ids, n = rows.column("id").to_numpy(), rows.num_rows
-    key, tree, size = (rows.column(c).to_numpy() for c in ("key", "tree", "n_grams"))
+    ids, n = rows.column("cid").to_numpy(), rows.num_rows
+    key, x, y, piece, size = (rows.column(c).to_numpy() for c in ("key", "x", "y", "piece", "n_grams"))
     out_a, out_b = [], []
-    if n:
-        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tree[1:] != tree[:-1])]))
-        length = np.diff(np.append(first, n))
-        low, high = np.repeat(first, length), np.repeat(first + length, length)
-        left = np.flatnonzero(high - low > 1)
-        if len(left):
-            crowded = left
-            sketch = np.zeros((n, _SKETCH), np.uint8)
-            sketch[crowded] = _sketches(rows.take(pa.array(crowded)))
-            label = np.arange(n)
-            step = 0
+    change = np.logical_or.reduce([c[1:] != c[:-1] for c in (key, x, y)]) if n else np.zeros(0, bool)
+    first = np.flatnonzero(np.append(True, change)) if n else np.zeros(0, np.int64)
+    length = np.diff(np.append(first, n))
+    crowded = np.flatnonzero(np.repeat(length, length) > 1)
+    if len(crowded):
+        ids, key, x, y, piece, size = (c[crowded] for c in (ids, key, x, y, piece, size))
+        sketch = _rows_of(rows.column("sketch"), _SKETCH, crowded)
+        words = _rows_of(rows.column("label"), _WIDE * depth, crowded).view(">u2").astype(np.uint16)
+        n = len(ids)
+        apart = np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in (key, x, y)]))
+        run_low, run_high = _bounds(apart)
+        label, ahead = np.arange(n), np.arange(n) + 1
+        for k in range(depth, level - 1, -1):
+            edge = apart.copy()
+            edge[1:] |= (words[1:, :k] != words[:-1, :k]).any(1)
+            low, high = _bounds(edge)
+            begin = np.flatnonzero(edge)
+            one = np.minimum.reduceat(label, begin) == np.maximum.reduceat(label, begin)
+            left = np.flatnonzero((ahead < high) & ~np.repeat(one, np.diff(np.append(begin, n))))
             while len(left):
-                step += 1
-                left = left[left + step < high[left]]
-                right = left + step
-                stands = left < cover
-                need = np.where(stands, threshold * threshold, threshold)
-                fits = (label[left] != label[right]) & (np.minimum(size[left], size[right]) >= need * np.maximum(size[left], size[right]))
-                for at in range(0, len(left), 1 << 16):
-                    some = np.flatnonzero(fits[at : at + (1 << 16)]) + at
-                    a, b = left[some], right[some]
-                    alike = (sketch[a] == sketch[b]).mean(1) > np.where(stands[some], _NEAR, _ALIKE)
-                    for x, y in zip(a[alike].tolist(), b[alike].tolist()):
-                        if label[x] != label[y]:
-                            out_a.append(ids[x]), out_b.append(ids[y])
-                            part = label[low[x] : high[x]]
-                            part[part == label[y]] = label[x]
+                right = ahead[left]
+                fits = (label[left] != label[right]) & (np.minimum(size[left], size[right]) >= threshold * np.maximum(size[left], size[right]))
+                fits &= (x[left] == y[left]) | (piece[left] != piece[right])
+                some = np.flatnonzero(fits)
+                a, b = left[some], right[some]
+                alike = (sketch[a] == sketch[b]).mean(1) > _ALIKE
+                for p, q in zip(a[alike].tolist(), b[alike].tolist()):
+                    if label[p] != label[q]:
+                        out_a.append(ids[p]), out_b.append(ids[q])
+                        part = label[run_low[p] : run_high[p]]
+                        part[part == label[q]] = label[p]
+                ahead[left] += 1
+                left = left[ahead[left] < high[left]]
+            ahead = np.maximum(ahead, high)
     a, b = np.array(out_a, np.int64), np.array(out_b, np.int64)
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
+def _bounds(edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row where its run begins and ends, given which rows begin one."""
+    begin = np.flatnonzero(edge)
+    length = np.diff(np.append(begin, len(edge)))
+    return np.repeat(begin, length), np.repeat(begin + length, length)
+
+
+def candidates(classes: DataFrame, threshold: float, trees: int, depth: int, level: int) -> DataFrame:
+    """Edges (a, b) between the ``cid`` of classes that the forest finds alike.
+
+    A run of more than ``RUN`` rows of one prefix is dealt into pieces by hash, and every
+    pair of pieces is compared by a task of its own.
+    """
+    rows = _entries(classes.where("n_grams > 0"), trees, depth, level, "cid", "n_grams", "sketch")
+    long = settle(rows.groupBy("key").count().where(F.col("count") > RUN).select(F.col("key").alias("long"), F.ceil(F.col("count") / RUN).cast("int").alias("pieces")), "long-runs")
+    rows = rows.join(marked(long), F.col("key") == F.col("long"), "left")
+    rows = rows.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("cid"), "pieces").cast("int"), F.lit(0)))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)))
+    rows = rows.select("cid", "n_grams", "sketch", "key", "label", "piece", F.least("piece", "other").alias("x"), F.greatest("piece", "other").alias("y"))
+    dealt = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "label", "n_grams", "cid")
+    return dealt.mapInArrow(lambda batches: _linked(batches, threshold, depth, level), "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every end of an edge: root is the smallest id that edges lead to.
 
@@ -237,17 +266,67 @@ def _find(parent: np.ndarray, x: int) -> int:
     return x
 
 
-def _verified(rows: pa.Table, n: int, num: int, den: int) -> pa.Table:
+def _find(parent: np.ndarray, x: int) -> int:
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = int(parent[x])
+    return x
+
+
+def blocked(members: DataFrame) -> DataFrame:
+    """Adds ``block``: consecutive rows in the order of root and label, as many as a block may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows, grams = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            out = []
+            for size in batch.column("n_grams").to_pylist():
+                if rows == BLOCK or (rows and grams + size > BLOCK_GRAMS):
+                    block, rows, grams = block + 1, 0, 0
+                rows, grams = rows + 1, grams + size
+                out.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "block"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields)
+    ordered = members.repartitionByRange("root", "labels", "cid").sortWithinPartitions("root", "labels", "cid")
+    return ordered.mapInArrow(run, f"{kinds}, block long")
+
+
+def meetings(members: DataFrame, trees: int, depth: int, level: int) -> DataFrame:
+    """(x, y): each block with itself, and with every later one in which a class of the same component has a common prefix."""
+    alone = members.select(F.col("block").alias("x"), F.col("block").alias("y")).distinct()
+    wide = members.groupBy("root").agg(F.min("block").alias("least"), F.max("block").alias("most")).where("least < most").select(F.col("root").alias("wide"))
+    entries = _entries(members.join(wide, F.col("root") == F.col("wide"), "left_semi"), trees, depth, level, "root", "block")
+    runs = entries.groupBy("key", "root").agg(F.sort_array(F.collect_set("block")).alias("blocks")).where(F.size("blocks") > 1)
+    pairs = runs.select("blocks", F.posexplode("blocks").alias("at", "x")).where(F.col("at") < F.size("blocks") - 1)
+    return alone.unionByName(pairs.select("x", F.explode(F.expr("slice(blocks, at + 2, size(blocks))")).alias("y")).distinct())
+
+
+def gram_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """(hi, lo, grams): the n-gram hashes of each member, once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[tuple[int, int]] = set()  # no more than a partition's rows
+        for batch in batches:
+            for grams, cuts in _sets(batch.column("text"), n):
+                found = [(i, hi, lo) for i, (hi, lo) in enumerate(zip(*(c.tolist() for c in _class_of(grams, cuts)))) if (hi, lo) not in known and not known.add((hi, lo))]
+                values = [grams[cuts[i] : cuts[i + 1]].tobytes() for i, _, _ in found]
+                yield pa.RecordBatch.from_arrays([pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array(values, pa.binary())], ["hi", "lo", "grams"])
+
+    keys = settle(members.select(F.col("text_key").alias("wanted")).distinct(), "texts")
+    texts = docs.select("text").join(marked(keys), F.xxhash64("text") == F.col("wanted"), "left_semi")
+    return texts.mapInArrow(run, "hi long, lo long, grams binary").dropDuplicates(["hi", "lo"])
+
+
+def _verified(rows: pa.Table, num: int, den: int) -> pa.Table:
     """Links of one pair of blocks: for each class the number of classes and documents, and a forest of edges."""
-    first, second = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
-    ids, copies, block = (rows.column(c).to_numpy() for c in ("id", "copies", "block"))
-    grams, cuts = [], [0]
-    for part, at in _sets(rows.column("text"), n):
-        grams.append(part)
-        cuts += (at[1:] + cuts[-1]).tolist()
-    every, size = np.concatenate(grams), np.diff(cuts)
+    same = rows.column("x")[0].as_py() == rows.column("y")[0].as_py()
+    ids, copies, block = (rows.column(c).to_numpy() for c in ("cid", "copies", "block"))
+    sets = [np.frombuffer(g, _U) for g in rows.column("grams").to_pylist()]
+    size = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(ids)), size)
-    _, place, times = np.unique(every, return_inverse=True, return_counts=True)
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    del sets
     shared = times[place] > 1
     place, owner = place[shared], owner[shared]
     order = np.argsort(place, kind="stable")
@@ -263,22 +342,43 @@ def _verified(rows: pa.Table, n: int, num: int, den: int) -> pa.Table:
     inter = common.astype(np.int64)
     union = size[:, None] + size[None, :] - inter
     link = (inter * den >= union * num) & (inter > 0)
-    if first == second:
+    if same:
         np.fill_diagonal(link, False)
     else:
         link &= block[:, None] != block[None, :]
     parent = np.arange(len(ids))
-    edge_to = ids.copy()
-    for x, y in zip(*np.nonzero(np.triu(link))):
-        p, q = _find(parent, int(x)), _find(parent, int(y))
+    for p, q in zip(*np.nonzero(np.triu(link))):
+        p, q = _find(parent, int(p)), _find(parent, int(q))
         if p != q:
             parent[max(p, q)] = min(p, q)
-    smallest: dict[int, int] = {}
-    roots = [_find(parent, i) for i in range(len(ids))]
-    for i, r in enumerate(roots):
-        smallest[r] = min(smallest.get(r, int(ids[i])), int(ids[i]))
-    edge_to = np.array([smallest[r] for r in roots], np.int64)
-    return pa.table({"id": pa.array(ids), "links": pa.array(link.sum(1).astype(np.int64)), "docs": pa.array((link * copies[None, :]).sum(1).astype(np.int64)), "to": pa.array(edge_to)})
+    roots = np.array([_find(parent, i) for i in range(len(ids))], np.int64)
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, roots, ids)
+    return pa.table({"cid": pa.array(ids), "links": pa.array(link.sum(1).astype(np.int64)), "docs": pa.array((link * copies[None, :]).sum(1).astype(np.int64)), "to": pa.array(least[roots])})
+
+
+def _joined(docs: DataFrame, n: int, threshold: tuple[int, int], trees: int, depth: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and for each class what ``join`` tells of it and the ``root`` of its group."""
+    num, den = threshold
+    level = depth_for(trees, depth, num / den, recall)
+    signed = settle(signatures(docs, n, trees, depth), "signatures")
+    named = signed.groupBy(*_CLASS).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.min("text_key").alias("text_key"), F.min("labels").alias("labels"), F.min("sketch").alias("sketch"))
+    classes = settle(named.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    roots = components(candidates(classes, num / den, trees, depth, level)).withColumnRenamed("id", "cid")
+    members = settle(blocked(classes.join(roots, "cid").select("cid", *_CLASS, "copies", "text_key", "labels", "root")), "members")
+    sets = members.join(gram_sets(docs, members, n), ["hi", "lo"]).select("cid", "copies", "block", "grams")
+    met = meetings(members, trees, depth, level).withColumn("side", F.explode(F.array_distinct(F.array("x", "y"))))
+    pairs = met.join(sets, F.col("side") == F.col("block")).select("x", "y", "cid", "copies", "block", "grams")
+    told = settle(pairs.groupBy("x", "y").applyInArrow(lambda rows: _verified(rows, num, den), "cid long, links long, docs long, to long"), "verified")
+    counts = told.groupBy("cid").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
+    tied = components(told.where("cid <> to").select(F.col("to").alias("a"), F.col("cid").alias("b")))
+    tied = tied.select(F.col("id").alias("cid"), "root")
+    least = tied.join(classes.select("cid", "class_id"), "cid").groupBy("root").agg(F.min("class_id").alias("group_id"))
+    facts = classes.select("cid", *_CLASS, "class_id", "copies").join(counts, "cid", "left").join(tied.join(least, "root"), "cid", "left").select(
+        *_CLASS, "class_id", F.when(F.col("root").isNull(), F.col("class_id")).otherwise(F.col("group_id")).alias("group_id"), F.coalesce("root", "cid").alias("root"),
+        (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("links", F.lit(0)).alias("n_class_links"),
+    )
+    return signed, facts
 
 
 def join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), trees: int = 24, depth: int = 8, recall: float = 0.9999) -> DataFrame:
@@ -293,49 +393,32 @@ def join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), trees
 
     A text of one to n-1 words has its word sequence as its only n-gram. Texts that are
     null or without words form one class, without links to others. Repeated rows count as
-    documents of one class; a null doc_id is a document that no class is named after unless
-    all its members are null. Other columns of the input aren't looked at. An empty table
-    gives an empty one.
+    documents of one class, rows with one doc_id and different texts as documents of their
+    own; a document without doc_id is linked like others, but gives its class and group no
+    id unless no member has one. Other columns of the input aren't looked at. An empty
+    table gives an empty one.
     """
-    num, den = threshold
-    share = num / den
-    level = depth_for(trees, depth, share, recall)
-    signed = settle(signatures(docs, n, trees, level), "signatures")
-    of_class = ["class_hi", "class_lo", "n_grams"]
-    classes = settle(signed.groupBy(*of_class).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch")), "classes")
-    named = classes.where("id IS NOT NULL AND n_grams > 0")
-    entries = named.select("id", "n_grams", "sketch", F.posexplode("keys").alias("tree", "key"))
-    run = entries.repartition("tree", "key").sortWithinPartitions("tree", "key", "n_grams", "id")
-    edges = run.mapInArrow(lambda batches: _linked(batches, share), "a long, b long")
-    roots = components(edges)
-    sized = roots.join(roots.groupBy("root").agg(F.count("*").alias("members")), "root")
-    members = sized.join(named.select("id", "copies"), "id").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # each block meets itself and every other one, as the smaller or the larger of the two
-    meets = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.select("root", "id", "copies", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    told = meets.join(texts, "id").groupBy("root", "x", "y").applyInArrow(lambda rows: _verified(rows, n, num, den), "id long, links long, docs long, to long")
-    told = settle(told, "verified")
-    counts = told.groupBy("id").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
-    tied = told.where("id <> to").select(F.col("to").alias("a"), F.col("id").alias("b"))
-    groups = components(tied).select(F.col("id").alias("gid"), F.col("root").alias("group_id"))
-    facts = classes.join(counts, "id", "left").join(groups, F.col("id") == F.col("gid"), "left").select(
-        *of_class, F.col("id").alias("class_id"), F.coalesce("group_id", "id").alias("group_id"),
-        (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("links", F.lit(0)).alias("n_class_links"),
-    )
-    return signed.select("doc_id", *of_class).join(facts, of_class).select("doc_id", "class_id", "group_id", "n_links", "n_class_links")
+    signed, facts = _joined(docs, n, threshold, trees, depth, recall)
+    return signed.select("doc_id", *_CLASS).join(facts, _CLASS).select("doc_id", "class_id", "group_id", "n_links", "n_class_links")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), trees: int = 24, depth: int = 8, recall: float = 0.9999) -> DataFrame:
     """The documents, of each group of linked ones only that with the smallest doc_id.
 
-    Texts that are null or without words are one class, so one of them stays. Of repeated
-    rows with the kept doc_id one stays; rows without a doc_id stay.
+    A document without doc_id stays only if its group has no other; among several, and
+    among different texts of one doc_id, hashes decide. Texts that are null or without
+    words are one class, so one of them stays. Of repeated rows one stays.
     """
-    found = join(docs, **how)
-    lost = found.where("doc_id <> group_id").select("doc_id")
-    kept = docs.join(lost, "doc_id", "left_anti")
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("times_")).where("times_ > 1 AND doc_id IS NOT NULL")
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once.select(*kept.columns)).select(*docs.columns)
+    signed, facts = _joined(docs, n, threshold, trees, depth, recall)
+    rows = settle(signed.select("doc_id", "row_a", "row_b", *_CLASS).join(facts.select(*_CLASS, "root"), _CLASS).select("doc_id", "row_a", "row_b", "root"), "grouped")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_a", "row_b")).alias("best")
+    lost = rows.join(rows.groupBy("root").agg(best), "root").where("row_a <> best.row_a OR row_b <> best.row_b").select(F.col("row_a").alias("lost_a"), F.col("row_b").alias("lost_b"))
+    again = rows.groupBy("row_a", "row_b").count().where("count > 1").select(F.col("row_a").alias("again_a"), F.col("row_b").alias("again_b"))
+    lost, again = settle(lost.distinct(), "lost"), settle(again, "again")
+    a, b = _row_keys()
+    kept = docs.withColumns({"row_a_": a, "row_b_": b}).join(marked(lost), (F.col("row_a_") == F.col("lost_a")) & (F.col("row_b_") == F.col("lost_b")), "left_anti")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    twice = (F.col("row_a_") == F.col("again_a")) & (F.col("row_b_") == F.col("again_b"))
+    once = kept.join(marked(again), twice, "left_semi").dropDuplicates(["row_a_", "row_b_"])
+    return kept.join(marked(again), twice, "left_anti").unionByName(once).select(*docs.columns)

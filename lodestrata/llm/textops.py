@@ -84,6 +84,15 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return runs(~_SPACE[raw], offsets)
 
 
+def folded(raw: np.ndarray) -> np.ndarray:
+    """The bytes with Latin letters with marks in small letters: their second byte differs by 32."""
+    out = raw.copy()
+    if len(raw) > 1:
+        large = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
+        out[1:][large] += 32
+    return out
+
+
 def sums(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Running sums of the values of the bytes of disjoint spans, and where in them each span begins.
 

@@ -185,27 +185,29 @@ def test_lines_edges(spark):
 
 
 def _joined(rows, n=5):
-    sets = {}
-    for i, t in rows:
+    sets = []
+    for _, t in rows:
         w = words(t)
-        sets[i] = frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) or (frozenset([tuple(w)]) if w else frozenset())
-    first = {}
-    for i in sorted(sets):
-        first.setdefault(sets[i], i)
-    size = collections.Counter(sets[i] for i, _ in rows)
-    links = {a: [b for b in first if b is not a and a and b and 5 * len(a & b) >= 4 * len(a | b)] for a in first}
-    group = dict(first)
-    while True:
-        lower = {a: min([group[a], *(group[b] for b in links[a])]) for a in first}
-        if lower == group:
-            break
-        group = lower
-    return sorted((i, first[s], group[s], size[s] - 1 + sum(size[b] for b in links[s]), len(links[s])) for i, s in sets.items())
+        sets.append(frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) or (frozenset([tuple(w)]) if w else frozenset()))
+    least = lambda ids: min((i for i in ids if i is not None), default=None)
+    held = collections.defaultdict(list)
+    for (i, _), s in zip(rows, sets):
+        held[s].append(i)
+    links = {a: [b for b in held if b is not a and a and b and 5 * len(a & b) >= 4 * len(a | b)] for a in held}
+    group = {}
+    for a in held:
+        if a not in group:
+            reached, todo = {a}, [a]
+            while todo:
+                todo = [b for x in todo for b in links[x] if b not in reached and not reached.add(b)]
+            for b in reached:
+                group[b] = least(i for x in reached for i in held[x])
+    return sorted(((i, least(held[s]), group[s], len(held[s]) - 1 + sum(len(held[b]) for b in links[s]), len(links[s])) for (i, _), s in zip(rows, sets)), key=str)
 
 
 def test_join(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK", 8)
-    monkeypatch.setattr(J, "RUN", 20)
+    monkeypatch.setattr(J, "RUN", 20)  # runs of the large group are dealt into pieces
     rng = random.Random(11)
     rows = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(rng.randint(0, 80)))) for i in range(60)]
     base = [f"b{rng.randrange(500)}" for _ in range(120)]
@@ -216,8 +218,66 @@ def test_join(spark, monkeypatch):
         rows.append((100 + i, "  ".join(w)))
     rows += [(200 + i, rows[i % 7][1]) for i in range(30)]
     rows += [(300, None), (301, ""), (302, " \n"), (303, "one two"), (304, "one two"), (305, "one three")]
+    # near copies and others without an id, and ids with several texts
+    near = [" ".join(base[:k] + [f"d{k}"] + base[k + 1 :]) for k in range(5)]
+    rows += [(None, near[0]), (None, near[1]), (None, "alone and without an id"), (5, near[2]), (5, near[3]), (5, rows[8][1]), (400, near[4]), (400, near[4])]
+    got = J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == _joined(rows)
+
+
+def test_long_runs_and_chains(spark, monkeypatch):
+    # each text shares most of its words with the next ones only
+    monkeypatch.setattr(J, "BLOCK", 4)
+    monkeypatch.setattr(J, "RUN", 3)
+    pool = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(pool[i * 4 : i * 4 + 100])) for i in range(60)] + [(900 + i, " ".join(pool[:150] + [f"z{i}"] * (i % 3))) for i in range(25)]
+    got = J.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got), key=str) == _joined(rows)
+
+
+def test_sets_of_colliding_words_differ(spark):
+    one = "a"
+    for _ in range(11):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{one} x y z u v"), (2, f"{other} x y z u v"), (3, f"q {one} r s t"), (4, f"q {other} r s t")]
     got = J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(tuple(r) for r in got) == _joined(rows)
+    assert sorted(map(tuple, got), key=str) == _joined(rows) and all(r["class_id"] == r["doc_id"] for r in got)
+
+
+def test_long_texts_are_joined(spark):
+    rng = random.Random(2)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:-300])), (3, " ".join(long[:1000])), (4, "x " * 50_000)]
+    got = J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == _joined(rows)
+
+
+def test_one_of_each_group_stays(spark):
+    base = [f"b{i}" for i in range(60)]
+    near = [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in range(5)]
+    rows = [(5, near[0]), (5, "another text of the same id"), (3, near[1]), (None, near[2]), (None, "nothing like it"), (None, "nothing like it"), (9, None), (8, ""), (7, "u v"), (7, "u v"), (6, "u v")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, root int")
+    kept = J.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((tuple(r)[:2] for r in kept.collect()), key=str) == sorted([(5, "another text of the same id"), (3, near[1]), (None, "nothing like it"), (8, ""), (6, "u v")], key=str)
+    assert J.keep_one(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01"])
+def test_recall_of_every_fiftieth_document(spark, folder):
+    from lodestrata.runtime import table
+
+    docs = [tuple(r) for r in table(spark, folder, "documents").select("doc_id", "text").collect()]
+    sets = {}
+    for i, t in docs:
+        w = words(t)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    got = {r["doc_id"]: r["n_links"] for r in J.join(table(spark, folder, "documents")).collect()}
+    for i, s in sets.items():
+        if i % 50 == 0:
+            near = sum(1 for j, other in sets.items() if j != i and (s == other or (s and 5 * len(s & other) >= 4 * len(s | other))))
+            assert got[i] == near
 
 
 def test_join_edges(spark):

@@ -22,16 +22,59 @@ def _held_out(i) -> bool:
     return zlib.crc32(str(i).encode()) % 4 == 2
 
 
-def test_machine_learns_a_pair():
-    # neither term alone tells the classes apart, only both together
-    rng = np.random.default_rng(0)
-    a, b = rng.random(4000) < 0.5, rng.random(4000) < 0.5
-    owner = np.concatenate([np.flatnonzero(a), np.flatnonzero(b)])
-    column = np.concatenate([np.zeros(a.sum(), int), np.ones(b.sum(), int)])
-    order = np.argsort(owner, kind="stable")
-    w, v, bias = T._fit(owner[order], column[order], (a ^ b).astype(float), 2, 4, 60, 0, 0.0, rate=0.05, decay=0.0)
-    z = lambda x, y: bias + w[0] * x + w[1] * y + (v[0] @ v[1]) * x * y
-    assert z(1, 0) > 0 and z(0, 1) > 0 and z(1, 1) < 0 and z(0, 0) < 0
+def _noise(rng, n):
+    return [f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(n)]
+
+
+def test_machine_learns_a_pair(spark):
+    # neither word alone tells the classes apart, only both together
+    rng = random.Random(0)
+    rows, labels = [], []
+    for i in range(3000):
+        group, insult = rng.random() < 0.5, rng.random() < 0.5
+        w = _noise(rng, 30) + ["groupname"] * group + ["insultword"] * insult
+        rng.shuffle(w)
+        rows.append((i, " ".join(w))), labels.append((i, int(group != insult)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+    def right(rank):
+        machine = T.train(docs, known, rank=rank)
+        got = {r["doc_id"]: r["score"] > 0.5 for r in T.score(docs, machine).collect()}
+        held = [(got[i], y) for i, y in labels if _held_out(i)]
+        return sum(p == bool(y) for p, y in held) / len(held)
+
+    assert right(8) > 0.95 and right(0) < 0.65
+
+
+def test_scores_by_loops(spark):
+    rng = random.Random(1)
+    texts = [None, "", "!?", "Ünser wort WORT wörter", "“quoted” «said» it’s", *(" ".join(_noise(rng, 40)) for _ in range(20)), "word " * 5000]
+    n = 1 << T.BITS
+    some = np.random.default_rng(3)
+    machine = T.Machine(0.3, some.normal(size=n).astype(np.float32), some.normal(size=(n, 3)).astype(np.float32))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in T.score(docs, machine).collect()}
+    places = {r["doc_id"]: r["terms"] for r in T.features(docs, ["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        assert places[i] == sorted(set(places[i]))
+        z = 0.3 + sum(float(machine.weights[p]) for p in places[i])
+        for a in range(len(places[i])):
+            for b in range(a):
+                z += float(machine.factors[places[i][a]].astype(float) @ machine.factors[places[i][b]].astype(float))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -500, 500))), abs=1e-5)
+        words = {w.lower() for w in re.findall(r"[^\W\d_]+", t or "")}
+        beginnings = {(k, w.encode()[:k]) for w in words for k in (4, 6) if len(w.encode()) >= k}
+        assert len(places[i]) == len(words) + len(beginnings)
+
+
+def test_one_label_and_row_for_each_id(spark):
+    ids = [i for i in range(40) if not _held_out(i)]
+    docs = spark.createDataFrame([(i, f"text {i} {k}") for i in ids for k in range(3)] * 20 + [(None, "x"), (ids[0], None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i in ids for y in (0, 1)] + [(None, 1), (ids[1], None)], "doc_id long, toxic int")
+    first = T.sample(docs, labels, "toxic", 5).collect()
+    assert len(first) == 5 and all(r["label_"] == 0 for r in first)
+    again = T.sample(docs.repartition(7), labels.repartition(3), "toxic", 5).collect()
+    assert sorted(map(tuple, first)) == sorted(map(tuple, again))
 
 
 def test_toxicity_of_held_out_rows(spark):
@@ -66,7 +109,7 @@ def test_held_out_labels_are_never_used(spark):
     honest = [(i, i % 2) for i in ids]
     turned = [(i, 1 - y if _held_out(i) else y) for i, y in honest]
     a, b = (T.train(docs, spark.createDataFrame(x, "doc_id long, toxic int")) for x in (honest, turned))
-    assert (a.weights == b.weights).all() and a.bias == b.bias
+    assert (a.weights == b.weights).all() and (a.factors == b.factors).all() and a.bias == b.bias
 
 
 def _base(t):
