@@ -2,6 +2,9 @@
 
 Toxic documents go, lines found in many documents go, of each group of near-duplicates one
 document stays, documents with benchmark items go, and what is left is encoded.
+
+Every stage takes null and empty texts, very long ones, rows that repeat or have no doc_id,
+empty tables and further columns of any name, which pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -20,29 +23,43 @@ MIN_DOCS = 10
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the factorization machine calls toxic."""
+    """Drops the documents that the factorization machine calls toxic.
+
+    Null and empty texts have no terms and get the score of the bias alone, so they stay
+    unless three of ten labelled documents are toxic. Equal rows are judged alike.
+    """
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, machine).where("predicted = 0").select(*docs.columns)
 
 
 def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the lines found in many documents; n_chars follows the text."""
+    """Drops the lines found in many documents; n_chars follows the text.
+
+    All documents stay. A null text becomes an empty one. Equal rows count as one document.
+    """
     out = line_dedup.dedup_lines(docs, min_docs=MIN_DOCS)
     return out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long")).select(*docs.columns)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
+    """Keeps one document of each group of near-duplicates.
+
+    That is the one with the smallest doc_id, or of those without, any. Of equal rows one
+    stays, and of all documents without words too.
+    """
     return ngram_join.keep_one(docs)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that contain a benchmark item."""
+    """Drops the documents that contain a benchmark item.
+
+    Documents without words contain none. Equal rows are judged alike.
+    """
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
+    """Token counts and digests of what is left, one row for each; a null text counts as empty."""
     return bpe.digests(docs, TOKENIZER)
 
 
