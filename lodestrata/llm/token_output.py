@@ -10,7 +10,7 @@ reader finds any slot by a multiplication, so reading is sequential and resumes
 Numbers of sequences have to be known before slots can be given. Texts are therefore
 encoded once, into a table of ids in the shared folder. One number for each partition of
 that table goes to the driver, and the pass that packs it checks that it meets the same
-numbers.
+numbers. The table and the sequences on their way to their shard are compressed.
 """
 
 from __future__ import annotations
@@ -106,7 +106,7 @@ def materialise(docs: DataFrame, folder: str, key: int, tokenizer: str = "bytes"
             ids = use.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    coded = settle(rows.mapInArrow(encoded, "doc_id long, ids binary"), "token-ids")
+    coded = settle(rows.mapInArrow(encoded, "doc_id long, ids binary"), "token-ids", "zstd")
     width = np.dtype(_tokens(tokenizer).dtype).itemsize
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +124,7 @@ def materialise(docs: DataFrame, folder: str, key: int, tokenizer: str = "bytes"
     shards = max(1, -(-total // shard_sequences))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = _tokens(tokenizer)
+        use, zstd = _tokens(tokenizer), pa.Codec("zstd", compression_level=3)
         part = TaskContext.get().partitionId()
         at, bound = first[part], first[part] + counts[part]
         end, size = np.array([use.end], use.dtype).tobytes(), length * width
@@ -137,7 +137,7 @@ def materialise(docs: DataFrame, folder: str, key: int, tokenizer: str = "bytes"
                 raise ValueError("the encoded table changed between the two passes")
             slots = feistel(np.arange(at, at + len(bodies)), total, key)
             at += len(bodies)
-            records = [np.array(h, "<i8").tobytes() + b for h, b in zip(heads, bodies)]
+            records = [zstd.compress(np.array(h, "<i8").tobytes() + b, asbytes=True) for h, b in zip(heads, bodies)]
             out = pa.RecordBatch.from_arrays([pa.array((slots // shard_sequences).astype(np.int32)), pa.array(slots), pa.array(records, pa.binary())], ["shard", "slot", "record"])
             heads, bodies = [], []
             return out
@@ -174,6 +174,7 @@ def materialise(docs: DataFrame, folder: str, key: int, tokenizer: str = "bytes"
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         done, shard, out = [], None, None
+        zstd, stride = pa.Codec("zstd"), 24 + length * width
         for batch in batches:
             for number, slot, record in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "record"))):
                 if number != shard:
@@ -182,7 +183,7 @@ def materialise(docs: DataFrame, folder: str, key: int, tokenizer: str = "bytes"
                     shard, name = number, f"shard-{number:08d}-{uuid.uuid4().hex}.bin"
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
                     done.append([number, f"{folder}/{name}", slot, 0])
-                out.write(record)
+                out.write(zstd.decompress(record, stride, asbytes=True))
                 done[-1][3] += 1
         if out is not None:
             out.close()
