@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,58 +11,51 @@ from pyspark.sql import DataFrame
 
 from lodestrata.runtime import extended, ship
 
-_COUNTED = re.compile("[぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]|[A-Za-z0-9_]+")
-_HEADING = re.compile(r"(?m)(?=^#{1,6}\s)")
-_PARAGRAPH = re.compile(r"\n\s*\n")
-_SENTENCE = re.compile(r"(?<=[。！？!?；;.])")
+_COUNTED = re.compile("[぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]|[A-Za-z0-9_]+")
+#: Where a text that is too long is taken apart: before headings, at empty lines, behind sentences.
+_SEPARATORS = (re.compile(r"(?m)(?=^#{1,6}\s)"), re.compile(r"\n\s*\n"), re.compile(r"(?<=[。！？!?；;.])"))
 
 
-def count(text: str) -> int:
-    """Characters of runs without spaces plus ASCII words."""
-    return len(_COUNTED.findall(text))
+def _pieces(text: str, marks: list[int], low: int, high: int, budget: int, overlap: int, level: int = 0) -> Iterator[tuple[str, int]]:
+    """Parts within the budget and their tokens; ``marks`` are the places where tokens of the text begin.
 
-
-def _pieces(text: str, budget: int, overlap: int, splitters: tuple[re.Pattern, ...] = (_HEADING, _PARAGRAPH, _SENTENCE)) -> Iterator[str]:
-    """Parts within the budget: by headings, else paragraphs, else sentences, else windows of characters."""
-    if count(text) <= budget:
-        if text.strip():
-            yield text.strip()
-    elif splitters:
-        for part in splitters[0].split(text):
-            yield from _pieces(part, budget, overlap, splitters[1:])
+    What no separator makes small enough is cut before every so many tokens, so that each
+    window has the budget exactly and begins with the last ones of the window before it.
+    """
+    first, last = bisect_left(marks, low), bisect_left(marks, high)
+    if last - first <= budget:
+        if part := text[low:high].strip():
+            yield part, last - first
+    elif level < len(_SEPARATORS):
+        for gap in _SEPARATORS[level].finditer(text, low, high):
+            if gap.start() > low:
+                yield from _pieces(text, marks, low, gap.start(), budget, overlap, level + 1)
+            low = gap.end()
+        yield from _pieces(text, marks, low, high, budget, overlap, level + 1)
     else:
-        size = max(1, len(text) * budget // max(1, count(text)))
-        step = max(1, size - len(text) * overlap // max(1, count(text)))
-        for at in range(0, len(text), step):
-            if part := text[at : at + size].strip():
-                yield part
-            if at + size >= len(text):
-                break
-
-
-def chunks(text: str | None, budget: int = 512, overlap: int = 64) -> list[str]:
-    """Parts are packed greedily; a chunk begins with the last parts of the one before, up to ``overlap`` tokens."""
-    out: list[str] = []
-    held: list[str] = []
-    used = 0
-    for part in _pieces(text or "", budget, overlap):
-        n = count(part)
-        if held and used + n > budget:
-            out.append("\n\n".join(held))
-            tail: list[str] = []
-            kept = 0
-            for old in reversed(held):
-                m = count(old)
-                if kept + m > overlap or kept + m + n > budget:
-                    break
-                tail.insert(0, old)
-                kept += m
-            held, used = tail, kept
-        held.append(part)
-        used += n
-    if held:
-        out.append("\n\n".join(held))
-    return out
+        step = max(1, budget - overlap)
+        for i in range(first, max(first + 1, last - overlap), step):
+            end = marks[i + budget] if i + budget < last else high
+            yield text[low if i == first else marks[i] : end].strip(), min(budget, last - i)
+
+
+def chunks(text: str | None, budget: int = 512, overlap: int = 64) -> list[tuple[str, int]]:
+    """Chunks and their tokens: parts are packed in order; a chunk begins with the last parts of the one before, up to ``overlap`` tokens."""
+    out: list[tuple[str, int]] = []
+    held: list[tuple[str, int]] = []
+    text = text or ""
+    for part, n in _pieces(text, [m.start() for m in _COUNTED.finditer(text)], 0, len(text), budget, overlap):
+        if held and sum(k for _, k in held) + n > budget:
+            out.append(_whole(held))
+            room = min(overlap, budget - n)
+            while held and sum(k for _, k in held) > room:
+                held.pop(0)
+        held.append((part, n))
+    return [*out, _whole(held)] if held else out
+
+
+def _whole(parts: list[tuple[str, int]]) -> tuple[str, int]:
+    return "\n\n".join(p for p, _ in parts), sum(n for _, n in parts)
 
 
 def chunked(docs: DataFrame, text: str = "text", budget: int = 512, overlap: int = 64) -> DataFrame:
@@ -73,9 +67,9 @@ def chunked(docs: DataFrame, text: str = "text", budget: int = 512, overlap: int
         for whole in batches:
             for low in range(0, whole.num_rows, 256):
                 batch = whole.slice(low, 256)
-                rows = [(i, c, k) for i, t in enumerate(batch.column(text).to_pylist()) for k, c in enumerate(chunks(t, budget, overlap))]
+                rows = [(i, c, k, n) for i, t in enumerate(batch.column(text).to_pylist()) for k, (c, n) in enumerate(chunks(t, budget, overlap))]
                 at = pa.array([r[0] for r in rows], pa.int32())
-                made = [pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), pa.array([count(r[1]) for r in rows], pa.int32())]
+                made = [pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int32())]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keep), *made], [*keep, "chunk", "chunk_index", "token_count"])
 
     return docs.mapInArrow(run, extended(docs.select(*keep).schema, "chunk string, chunk_index int, token_count int"))

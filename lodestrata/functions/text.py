@@ -54,6 +54,22 @@ def tokens(text: str | Column) -> Column:
     return F.concat(F.transform(_all(text, ASCII_WORD), F.lower), F.flatten(F.transform(_all(text, f"{CJK}+"), of_run)))
 
 
+def token_count(text: str | Column) -> Column:
+    """How many ``tokens`` a text has, without making them."""
+    text = _c(text)
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    return count(ASCII_WORD) + 2 * count(CJK) - count(f"{CJK}+")
+
+
+def token_frequency(text: str | Column, token: str) -> Column:
+    """How often one of ``tokens`` occurs in a text, without making the others."""
+    if token.isascii():
+        pattern = f"(?i)(?<![A-Za-z0-9_]){token}(?![A-Za-z0-9_])"
+    else:
+        pattern = f"(?={token})"  # pairs of characters may overlap
+    return F.regexp_count(_c(text), F.lit(pattern))
+
+
 def token_estimate(text: str | Column) -> Column:
     """Characters of runs without spaces plus ASCII words; for chunks and budgets."""
     text = _c(text)

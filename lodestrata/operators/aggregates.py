@@ -3,16 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestrata.runtime import settle
 
-def quantile_summary(value: Column) -> list[Column]:
-    """count, min, quartiles with linear interpolation, max and mean."""
-    quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [
-        F.count(value).alias("n"), F.min(value).alias("least"), quartiles[0].alias("p25"), quartiles[1].alias("median"), quartiles[2].alias("p75"),
-        F.max(value).alias("most"), F.avg(value).alias("mean"),
-    ]
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, n, a column for each share): exact quantiles with linear interpolation of the values of each group.
+
+    All rows are sorted over ranges of groups and values, so that a large group is spread
+    over tasks; only rows of the ranges that hold a wanted place are looked at again. Null
+    values don't count, and groups without a name are left out.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v_"))
+    ranged = settle(rows.repartitionByRange(*by, "v_").withColumn("part_", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(*by, "part_").agg(F.count("*").alias("held_"))
+    group = W.partitionBy(*by)
+    placed = counts.withColumn("n", F.sum("held_").over(group)).withColumn("start_", F.sum("held_").over(group.orderBy("part_")) - F.col("held_"))
+    wanted = placed.withColumn("q_", F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(share).alias("share")) for name, share in shares.items()))))
+    place = (F.col("n") - 1) * F.col("q_.share")
+    low, high = F.floor(place), F.ceil(place)
+    ends = F.array(F.struct(low.alias("at"), (1 - (place - low)).alias("weight")), F.struct(high.alias("at"), (place - low).alias("weight")))
+    wanted = wanted.withColumn("e_", F.explode(ends)).where("e_.weight > 0 AND e_.at >= start_ AND e_.at < start_ + held_")
+    wanted = wanted.select(*by, "part_", "n", F.col("q_.name").alias("name_"), F.col("e_.weight").alias("weight_"), (F.col("e_.at") - F.col("start_") + 1).alias("at_"))
+    near = ranged.join(wanted.select(*by, "part_").distinct(), [*by, "part_"]).withColumn("at_", F.row_number().over(W.partitionBy(*by, "part_").orderBy("v_")).cast("long"))
+    met = wanted.join(near, [*by, "part_", "at_"])
+    each = [F.sum(F.when(F.col("name_") == name, F.col("v_") * F.col("weight_"))).alias(name) for name in shares]
+    return met.groupBy(*by).agg(F.max("n").alias("n"), *each)
+
+
+def quantile_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, n, least, p25, median, p75, most, mean) of each group."""
+    ends = df.groupBy(*by).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"))
+    return exact_quantiles(df, by, value, {"p25": 0.25, "median": 0.5, "p75": 0.75}).join(ends, by)
 
 
 def compared(df: DataFrame, groups: Column, value: str) -> DataFrame:
@@ -21,9 +45,9 @@ def compared(df: DataFrame, groups: Column, value: str) -> DataFrame:
     ``groups`` is an array: a row counts once for each group that it is in, overall as well.
     """
     rows = df.select(F.explode(groups).alias("grp"), F.col(value).alias("v"))
-    told = rows.rollup("grp").agg(F.count("v").alias("n"), F.percentile("v", F.lit(0.5)).alias("median"), F.grouping("grp").alias("overall"))
-    base = told.where("overall = 1").select(F.col("median").alias("base"))
-    return told.where("overall = 0").join(F.broadcast(base)).select("grp", "n", "median", (100 * (F.col("median") - F.col("base")) / F.col("base")).alias("vs_overall_pct"))
+    told = exact_quantiles(rows, ["grp"], "v", {"median": 0.5})
+    base = exact_quantiles(rows.withColumn("every", F.lit(0)), ["every"], "v", {"base": 0.5}).select("base")
+    return told.join(F.broadcast(base)).select("grp", "n", "median", (100 * (F.col("median") - F.col("base")) / F.col("base")).alias("vs_overall_pct"))
 
 
 def status_counts(df: DataFrame, status: str, states: list[str]) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import tokens
+from lodestrata.functions.text import token_count, token_frequency, tokens
+from lodestrata.runtime import settle, ship
 
 K1, B = 1.5, 0.75
 #: Decimal places that scores are rounded to before they order rows, so that float noise decides no tie.
@@ -24,25 +29,88 @@ def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -
     """(key, score) of the documents that hold a query token.
 
     N and the mean length count all rows given, so a filter belongs in front. A token that
-    the query repeats counts as often. Only the query's tokens are kept of the documents:
-    they are counted in place, without exploding the texts.
+    the query repeats counts as often. The texts are read once: what is kept of each is its
+    number of tokens and how often it has those of the query.
     """
     spark = docs.sparkSession
     wanted = spark.range(1).select(F.explode(tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
     terms = {r["term"]: r["times"] for r in wanted.collect()}  # as many rows as the query has words
-    sized = docs.select(key, tokens(F.coalesce(text, F.lit(""))).alias("toks")).select(key, F.size("toks").alias("length"), F.filter("toks", lambda t: t.isin(list(terms))).alias("hits"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.array_contains("hits", t)).alias(f"df{i}") for i, t in enumerate(terms))).first()
-    score: Column = F.lit(0.0)
-    for i, (term, times) in enumerate(terms.items()):
-        tf = _times("hits", term)
+    given = F.coalesce(text, F.lit(""))
+    sized = settle(docs.select(key, token_count(given).alias("length"), *(token_frequency(given, t).alias(f"tf{i}") for i, t in enumerate(terms))), "term-counts")
+    stats = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
+    score, held = F.lit(0.0), F.lit(False)
+    for i, times in enumerate(terms.values()):
+        tf = F.col(f"tf{i}")
         idf = F.log1p((F.lit(stats["n"]) - stats[f"df{i}"] + 0.5) / (F.lit(stats[f"df{i}"]) + 0.5))
         norm = tf + K1 * (1 - B + B * F.col("length") / F.lit(stats["mean"] or 1.0))
         score = score + F.when(tf > 0, times * idf * tf * (K1 + 1) / norm).otherwise(0.0)
-    return sized.where(F.size("hits") > 0).select(key, F.round(score, PLACES).alias("score"))
+        held = held | (tf > 0)
+    return sized.where(held).select(key, F.round(score, PLACES).alias("score"))
+
+
+def top_terms(text: str | Column, n: int, stop: list[str]) -> Column:
+    """The n most frequent tokens of a text, as (n, term): two characters at least, no numbers, no stop words.
+
+    Each text is counted by itself: its tokens are sorted, and runs of equal ones measured.
+    """
+    kept = F.filter(tokens(text), lambda t: (F.length(t) >= 2) & ~t.rlike("^[0-9]+$") & ~t.isin(stop))
+
+    def ranked(found: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(found)), lambda i: (i == 1) | (F.get(found, i - 1) != F.get(found, i - 2)))
+        return _once(starts, lambda s: F.zip_with(s, F.concat(F.slice(s, 2, F.size(s)), F.array(F.size(found) + 1)), lambda a, b: F.struct((a - b).alias("less"), F.get(found, a - 1).alias("term"))))
 
+    counted = _once(F.array_sort(kept), lambda found: F.when(F.size(found) > 0, ranked(found)))
+    return F.transform(F.slice(F.array_sort(counted), 1, n), lambda c: F.struct((-c["less"]).cast("long").alias("n"), c["term"].alias("term")))
 
-def _times(tokens_column: str, term: str) -> Column:
-    return F.size(F.filter(tokens_column, lambda t: t == term))
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression that uses a value more than once, with the value evaluated once for each row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def most_shared(docs: DataFrame, items: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """(item_id, doc_id, shared): for each item the k documents that share most of its words.
+
+    Words stand between white space, in small letters. The items are the small side and are
+    taken in blocks of about ``block``; a task keeps k documents of each item, so no pair
+    but those leaves it. Smaller ids come first among equals. Items of one id are one item.
+    """
+    ship(docs.sparkSession)
+    words = F.array_distinct(F.split(F.trim(F.lower("text")), r"\s+"))
+    passes = max(1, -(-items.count() // block))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"))
+    out = None
+    for number in range(passes):
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == number).select("item_id", F.explode(words).alias("word")).distinct().collect()
+        ids, place = sorted({r["item_id"] for r in part}), {}
+        for r in part:
+            place.setdefault(r["word"], len(place))
+        has = np.zeros((len(place), len(ids)), np.uint8)
+        at = {i: n for n, i in enumerate(ids)}
+        for r in part:
+            has[place[r["word"]], at[r["item_id"]]] = 1
+        shared = docs.sparkSession.sparkContext.broadcast((ids, place, has))
+        found = rows.mapInArrow(lambda batches, shared=shared: _best_of_task(batches, *shared.value, k), "item_id long, doc_id long, shared long")
+        out = found if out is None else out.unionByName(found)
+    order = W.partitionBy("item_id").orderBy(F.col("shared").desc(), "doc_id")
+    return out.withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= k).drop("rank_")
+
+
+def _best_of_task(batches: Iterator[pa.RecordBatch], ids: list[int], place: dict[str, int], has: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    best: dict[int, list[tuple[int, int]]] = {n: [] for n in range(len(ids))}
+    least = np.zeros(len(ids), np.int64)  # what a document has to reach
+    for batch in batches:
+        for doc, words in zip(batch.column("doc_id").to_pylist(), batch.column("words").to_pylist()):
+            known = [place[w] for w in words or () if w in place]
+            if not known:
+                continue
+            counts = has[known].sum(0, dtype=np.int64)
+            for n in np.flatnonzero((counts >= least) & (counts > 0)).tolist():
+                best[n] = sorted([*best[n], (-int(counts[n]), doc)])[:k]
+                if len(best[n]) == k:
+                    least[n] = -best[n][-1][0]
+    rows = [(ids[n], doc, -less) for n, found in best.items() for less, doc in found]
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 3)], ["item_id", "doc_id", "shared"])
 
 
 def top(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
@@ -94,9 +162,10 @@ def boosted(hits: DataFrame, query: str, title: str, keywords: str) -> DataFrame
 
 def min_max(df: DataFrame, score: str, by: list[str]) -> DataFrame:
     """Scores scaled to 0..1 within groups; a constant positive series becomes 1, another 0."""
-    w = W.partitionBy(*by)
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return df.withColumn(score, F.when(high > low, (F.col(score) - low) / (high - low)).when(F.col(score) > 0, 1.0).otherwise(0.0))
+    ends = df.groupBy(*by).agg(F.min(score).alias("low_"), F.max(score).alias("high_"))
+    low, high = F.col("low_"), F.col("high_")
+    scaled = F.when(high > low, (F.col(score) - low) / (high - low)).when(F.col(score) > 0, 1.0).otherwise(0.0)
+    return df.join(ends, by).withColumn(score, scaled).drop("low_", "high_")
 
 
 def packed(hits: DataFrame, budget: int, by: list[str], cost: Column, order: list[Column], least: int = 32) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The shares of the six dimensions of a match.
@@ -100,3 +100,15 @@ def card_score(base: Column, bug: Column, hinted: Column, draft: Column, clean:
     points = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
     recent = F.greatest(F.lit(0), 10 - F.floor(F.greatest(age_days, F.lit(0))))
     return base + points(bug, 25) + points(hinted, 15) - points(draft, 30) + points(clean, 20) + points(approved, 20) + points(urgent, 20) + recent
+
+
+def related(wanted: DataFrame, owned: DataFrame, keys: list[str], value: str, family: Column) -> DataFrame:
+    """Adds ``state`` to what is wanted: covered if the same owner has it, partial if it has one of its family, or missing.
+
+    ``family`` is a column made from ``value``. Repeated rows of ``owned`` count once.
+    """
+    same = owned.select(*keys, value).distinct().withColumn("same_", F.lit(True))
+    near = owned.select(*keys, family.alias("family_")).distinct().withColumn("near_", F.lit(True))
+    both = wanted.withColumn("family_", family).join(same, [*keys, value], "left").join(near, [*keys, "family_"], "left")
+    state = F.when(F.col("same_"), "covered").when(F.col("near_"), "partial").otherwise("missing")
+    return both.withColumn("state", state).drop("same_", "near_", "family_")

@@ -1,4 +1,4 @@
 """All queries of the package, llm apart."""
 
-from lodestrata.plans import records, scores, search, streams, tables, texts, upkeep  # noqa: F401
+from lodestrata.plans import parsing, records, scores, search, streams, tables, texts, upkeep  # noqa: F401
 from lodestrata.plans.registry import QUERIES, SQL  # noqa: F401

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text as X
 from lodestrata.operators import merge as M
+from lodestrata.operators import retrieval as R
 from lodestrata.operators import windows as N
 from lodestrata.plans.registry import query
 from lodestrata.runtime import table
@@ -97,19 +98,13 @@ def f27_guard(spark, sf_dir):
     "j11_best_documents",
     r"""
 WITH t AS (SELECT DISTINCT doc_id, unnest(list_distinct(string_split_regex(trim(lower(text)), '\s+'))) AS term FROM documents),
-r AS (SELECT term FROM t GROUP BY term HAVING count(*) <= 20), b AS (SELECT DISTINCT item_id, unnest(list_distinct(string_split_regex(trim(lower(text)), '\s+'))) AS term FROM benchmark),
-s AS (SELECT item_id, doc_id, count(*) AS shared FROM b JOIN r USING (term) JOIN t USING (term) GROUP BY ALL)
+b AS (SELECT DISTINCT item_id, unnest(list_distinct(string_split_regex(trim(lower(text)), '\s+'))) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, count(*) AS shared FROM b JOIN t USING (term) GROUP BY ALL)
 SELECT item_id, doc_id, shared FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) <= 3
 """,
 )
 def j11_best_documents(spark, sf_dir):
-    """Scores only the pairs that share a word of few documents, instead of all pairs."""
-    terms = lambda t, key: table(spark, sf_dir, t).select(key, F.explode(F.array_distinct(F.split(F.trim(F.lower("text")), r"\s+"))).alias("term"))
-    asked = terms("benchmark", "item_id")
-    held = terms("documents", "doc_id").join(asked.select("term").distinct(), "term", "left_semi")
-    rare = held.groupBy("term").agg(F.count("*").alias("df")).where("df <= 20").select("term")
-    shared = asked.join(rare, "term").join(held, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
-    return N.latest(shared, ["item_id"], [F.col("shared").desc(), F.col("doc_id")], 3).drop("rank")
+    return R.most_shared(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 3)
 
 
 @query("j16_lookup", "SELECT doc_id, lang, length(text) AS n FROM documents WHERE doc_id = 17")
@@ -273,11 +268,19 @@ def d12_seen_urls(spark, sf_dir):
     return pages.join(pages.where("page_id % 10 = 0").select("url_key"), "url_key", "left_anti").groupBy("url_key").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
 
 
-@query("d13_missing", "SELECT user_id, array_to_string(list_filter(['click', 'error', 'purchase', 'signup', 'view'], lambda x: NOT list_contains(own, x)), ',') AS missing FROM (SELECT user_id, list(event_type) AS own FROM events WHERE event_id % 50 = 0 GROUP BY user_id)")
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query(
+    "d13_missing",
+    f"""
+SELECT o_custkey, array_to_string(list_filter({PRIORITIES}, lambda x: NOT list_contains(own, x)), ',') AS missing
+FROM (SELECT o_custkey, list(o_orderpriority) AS own FROM orders GROUP BY o_custkey)
+""",
+)
 def d13_missing(spark, sf_dir):
-    expected = F.array(*map(F.lit, ["click", "error", "purchase", "signup", "view"]))
-    own = table(spark, sf_dir, "events").where("event_id % 50 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("own"))
-    return own.select("user_id", F.array_join(F.array_except(expected, "own"), ",").alias("missing"))
+    own = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("own"))
+    return own.select("o_custkey", F.array_join(F.array_except(F.array(*map(F.lit, PRIORITIES)), "own"), ",").alias("missing"))
 
 
 @query(

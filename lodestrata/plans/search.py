@@ -72,10 +72,9 @@ SELECT doc_id, term, n FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORD
 """,
 )
 def a11_keywords(spark, sf_dir):
-    counts = R.term_counts(table(spark, sf_dir, "documents"))
     stop = ["the", "and", "of", "to", "in", "is", "de", "la"]
-    counts = counts.where((F.length("term") >= 2) & ~F.col("term").rlike("^[0-9]+$") & ~F.col("term").isin(stop))
-    return N.latest(counts, ["doc_id"], [F.col("tf").desc(), F.col("term")], 8).select("doc_id", "term", F.col("tf").alias("n"))
+    best = table(spark, sf_dir, "documents").select("doc_id", F.explode(R.top_terms("text", 8, stop)).alias("t"))
+    return best.select("doc_id", "t.term", "t.n")
 
 
 @query(
@@ -262,14 +261,3 @@ def v18_priority(spark, sf_dir):
     urgent = F.when((F.col("event_type") == "error") & (F.col("value") > 50), 25).otherwise(0)
     recent = F.greatest(F.lit(0), 10 - F.datediff(F.lit("2024-02-01").cast("date"), F.to_date("ts")))
     return table(spark, sf_dir, "events").select("event_id", (base + urgent + recent).cast("long").alias("score"))
-
-
-@query(
-    "v14_coverage",
-    "WITH s AS (SELECT user_id, list_distinct(list(event_type)) AS own FROM events WHERE event_id % 7 = 0 GROUP BY user_id) SELECT user_id, round((CASE WHEN list_contains(own, 'purchase') THEN 1 WHEN list_has_any(own, ['click', 'view']) THEN 0.6 ELSE 0 END + CASE WHEN list_contains(own, 'error') THEN 1 ELSE 0 END) / 2, 6) AS coverage FROM s",
-)
-def v14_coverage(spark, sf_dir):
-    own = table(spark, sf_dir, "events").where("event_id % 7 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("own"))
-    bought = F.when(F.array_contains("own", "purchase"), 1.0).when(F.arrays_overlap("own", F.array(F.lit("click"), F.lit("view"))), 0.6).otherwise(0.0)
-    failed = F.when(F.array_contains("own", "error"), 1.0).otherwise(0.0)
-    return own.select("user_id", F.round((bought + failed) / 2, 6).alias("coverage"))

@@ -159,14 +159,15 @@ def j4_semi(spark, sf_dir):
 @query(
     "j5_prioritised",
     """
-WITH o AS (SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0),
-l AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_returnflag FROM lineitem)
-SELECT l_orderkey, l_linenumber, coalesce(o.o_custkey, s.s_suppkey, 0) AS partner, CASE WHEN o.o_custkey IS NOT NULL THEN 'order' WHEN s.s_suppkey IS NOT NULL THEN 'supplier' ELSE 'none' END AS how
-FROM l LEFT JOIN o ON o_orderkey = l_orderkey LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) s ON s_suppkey = l_suppkey
+WITH o AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'P'), s AS (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)
+SELECT l_orderkey, l_linenumber, coalesce(o.o_custkey, s.s_suppkey, 0) AS partner,
+       CASE WHEN o.o_custkey IS NOT NULL THEN 'order' WHEN s.s_suppkey IS NOT NULL THEN 'supplier' ELSE 'none' END AS how
+FROM lineitem LEFT JOIN o ON o_orderkey = l_orderkey LEFT JOIN s ON s_suppkey = l_suppkey
 """,
 )
 def j5_prioritised(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    """Lines of orders that aren't pending go to the customer, others to the supplier if it isn't in debt."""
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     suppliers = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_suppkey").alias("found"))
     both = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").join(orders, "l_orderkey", "left").join(suppliers, "l_suppkey", "left")
     how = F.when(F.col("o_custkey").isNotNull(), "order").when(F.col("found").isNotNull(), "supplier").otherwise("none")
@@ -262,7 +263,7 @@ SELECT l_returnflag, count(l_extendedprice) AS n, min(l_extendedprice) AS least,
 """,
 )
 def a2_quantiles(spark, sf_dir):
-    out = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*A.quantile_summary(F.col("l_extendedprice")))
+    out = A.quantile_summary(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice")
     return out.withColumn("mean", F.round("mean", 4))
 
 

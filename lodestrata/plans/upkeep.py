@@ -180,12 +180,12 @@ def s17_isolated(spark, sf_dir):
     return both.groupBy("kind").agg(F.count("*").alias("n"), F.count("problem").alias("failed"))
 
 
-@query("s24_rendered", r"SELECT doc_id, '---' || chr(10) || 'lang: ' || lang || chr(10) || 'source: ' || source || chr(10) || '---' || chr(10) || substr(text, 1, 20) AS file FROM documents")
+@query("s24_rendered", r"SELECT doc_id, '---' || chr(10) || 'lang: ' || lang || chr(10) || 'source: ' || source || chr(10) || '---' || chr(10) || text AS file FROM documents")
 def s24_rendered(spark, sf_dir):
     from lodestrata.sources.frontmatter import rendered
 
     head = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"))
-    return table(spark, sf_dir, "documents").select("doc_id", rendered(["lang", "title"], head, F.substr("text", F.lit(1), F.lit(20))).alias("file"))
+    return table(spark, sf_dir, "documents").select("doc_id", rendered(["lang", "title"], head, F.col("text")).alias("file"))
 
 
 @query("s31_mailbox", "SELECT user_id, event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events a WHERE a.event_id = e.event_id AND a.event_type IN ('view', 'click')) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 3")

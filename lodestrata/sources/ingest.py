@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -24,45 +25,45 @@ def files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES
     return found.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.substr(F.sha2("content", 256), F.lit(1), F.lit(32)).alias("hash"), F.col("modificationTime").alias("modified"))
 
 
-def json_lines(value: object, indent: int = 0) -> str:
-    """key: value lines of nested JSON, two blanks for each level, list items apart by an empty line."""
-    pad = " " * indent
+def json_lines(value: object) -> list[str]:
+    """key: value lines of nested JSON; what is below a key is indented by two blanks, items of a list stand apart by an empty line."""
     if isinstance(value, dict):
         out = []
-        for k, v in value.items():
-            out.append(f"{pad}{k}:\n{json_lines(v, indent + 2)}" if isinstance(v, (dict, list)) else f"{pad}{k}: {_scalar(v)}")
-        return "\n".join(out)
+        for key, held in value.items():
+            if isinstance(held, (dict, list)):
+                out += [f"{key}:", *("  " + line for line in "\n".join(json_lines(held)).splitlines())]
+            else:
+                out.append(f"{key}: {held}")
+        return out
     if isinstance(value, list):
-        return "\n\n".join(json_lines(v, indent) for v in value)
-    return f"{pad}{_scalar(value)}"
+        blocks = [b for b in ("\n".join(json_lines(item)) for item in value) if b]
+        return ["\n\n".join(blocks)] if blocks else []
+    return [str(value)]
 
 
-def _scalar(value: object) -> str:
-    return "" if value is None else str(value)
-
-
-def with_text(found: DataFrame) -> DataFrame:
-    """Texts of all kinds as plain text: HTML without tags, JSON as lines, others normalised."""
-    ship(found.sparkSession)
-    path = F.lower("path")
-    native = F.when(path.rlike(r"\.html?$"), X.html_text("text")).otherwise(X.normalized("text"))
-    rest = found.where(~path.endswith(".json")).withColumn("text", native)
-    names = found.columns
+def json_texts(df: DataFrame, column: str) -> DataFrame:
+    """A JSON column as lines of text; what is no JSON stays as it is, and null stays null."""
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
         for batch in batches:
             out = []
-            for raw in batch.column("text").to_pylist():
+            for raw in batch.column(column).to_pylist():
                 try:
-                    out.append(json_lines(json.loads(raw)))
+                    out.append(raw if raw is None else "\n".join(json_lines(json.loads(raw))))
                 except ValueError:
                     out.append(raw)
-            at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "text", pa.array(out, pa.string()))
+            yield batch.set_column(batch.schema.get_field_index(column), column, pa.array(out, pa.string()))
+
+    return df.mapInArrow(run, df.schema)
 
-    return rest.unionByName(found.where(path.endswith(".json")).mapInArrow(run, found.schema).select(*names))
+
+def with_text(found: DataFrame) -> DataFrame:
+    """Texts of all kinds as plain text: HTML without tags, JSON as lines, others normalised."""
+    path = F.lower("path")
+    native = F.when(path.rlike(r"\.html?$"), X.html_text("text")).otherwise(X.normalized("text"))
+    rest = found.where(~path.endswith(".json")).withColumn("text", native)
+    return rest.unionByName(json_texts(found.where(path.endswith(".json")), "text"))
 
 
 def planned(now: DataFrame, state: DataFrame, metadata_hash: str) -> DataFrame:
@@ -80,8 +81,6 @@ def planned(now: DataFrame, state: DataFrame, metadata_hash: str) -> DataFrame:
 
 def ingested(now: DataFrame, state: DataFrame, stored: DataFrame, metadata: dict[str, str], budget: int = 512, overlap: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
     """New versions of the chunks and of the state, and a report of the actions."""
-    import json
-
     meta_hash = X.content_hash(F.lit(json.dumps(metadata, sort_keys=True, ensure_ascii=False)))
     meta = now.sparkSession.range(1).select(meta_hash.alias("h")).first()["h"]
     plan = planned(now, state, meta)
@@ -96,29 +95,26 @@ def ingested(now: DataFrame, state: DataFrame, stored: DataFrame, metadata: dict
     return chunks, new_state, report
 
 
-def objects_with(keys: list[str], max_depth: int = 32):
-    """A function of a DataFrame and a JSON column: rows for every object at any depth that has one of the keys."""
+def objects_with(keys: list[str]):
+    """A function of a DataFrame and a JSON column: rows for every object at any depth that has one of the keys, outer ones first."""
     wanted = {k.lower() for k in keys}
 
     def find(df: DataFrame, column: str) -> DataFrame:
         ship(df.sparkSession)
         keep = [c for c in df.columns if c != column]
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import json
-
-            def walk(value: object, depth: int) -> Iterator[dict]:
-                if depth > max_depth:
-                    return
-                if isinstance(value, dict):
-                    if wanted & {k.lower() for k in value}:
-                        yield value
-                    for v in value.values():
-                        yield from walk(v, depth + 1)
-                elif isinstance(value, list):
-                    for v in value:
-                        yield from walk(v, depth + 1)
+        def objects(value: object) -> Iterator[dict]:
+            todo = [value]
+            while todo:
+                x = todo.pop()
+                if isinstance(x, dict):
+                    if wanted & {k.lower() for k in x}:
+                        yield x
+                    x = list(x.values())
+                if isinstance(x, list):
+                    todo += reversed(x)
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at, out = [], []
                 for i, raw in enumerate(batch.column(column).to_pylist()):
@@ -126,7 +122,7 @@ def objects_with(keys: list[str], max_depth: int = 32):
                         value = json.loads(raw) if raw else None
                     except ValueError:
                         continue
-                    for found in walk(value, 0):
+                    for found in objects(value):
                         at.append(i), out.append(json.dumps(found, ensure_ascii=False, sort_keys=True))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int32())) for c in keep), pa.array(out, pa.string())], [*keep, "object"])
 

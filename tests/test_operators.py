@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+import re
 
 import numpy as np
 import pytest
@@ -9,13 +11,14 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import predicates as P
 from lodestrata.functions import text as X
-from lodestrata.functions.chunking import chunks, count
+from lodestrata.functions.chunking import chunked, chunks
 from lodestrata.functions.embedding import embedded, place_of
 from lodestrata.operators import aggregates as A
 from lodestrata.operators import conversation as C
 from lodestrata.operators import dedup as D
 from lodestrata.operators import merge as M
 from lodestrata.operators import retrieval as R
+from lodestrata.runtime import table
 from lodestrata.sources import frontmatter as Fm
 from lodestrata.sources import ingest as I
 from lodestrata.streaming import stateful as S
@@ -55,10 +58,53 @@ def test_experience(spark, text, want):
 
 def test_quartiles_of_three(spark):
     df = spark.createDataFrame([(32500.0,), (25000.0,), (40000.0,)], "v double")
-    got = df.agg(*A.quantile_summary(F.col("v"))).first()
+    got = A.quantile_summary(df.withColumn("g", F.lit("x")), ["g"], "v").select("n", "least", "p25", "median", "p75", "most", "mean").first()
     assert tuple(got) == (3, 25000.0, 28750.0, 32500.0, 36250.0, 40000.0, 32500.0)
 
 
+def test_quantiles_over_ranges(spark):
+    rng = random.Random(4)
+    rows = [(g, float(rng.randrange(50))) for g in "aab" for _ in range(700)] + [("c", 1.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    got = {r["g"]: tuple(r)[1:] for r in A.exact_quantiles(df, ["g"], "v", {"q1": 0.25, "q9": 0.9, "q0": 0.0, "q10": 1.0}).collect()}
+    for g in "abc":
+        values = [v for k, v in rows if k == g]
+        assert got[g] == (len(values), *(pytest.approx(np.quantile(values, q)) for q in (0.25, 0.9, 0, 1)))
+    assert set(got) == {"a", "b", "c"}
+    assert A.exact_quantiles(df.limit(0), ["g"], "v", {"m": 0.5}).count() == 0
+
+
+def test_counts_of_tokens_without_making_them(spark):
+    texts = ["The cat, the CAT_s the; théthe", "今天天气天天好 the 天", "", "a天b天天"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for token in ("the", "天", "天天", "天气", "cat"):
+        rows = df.select(X.token_count("t"), F.size(X.tokens("t")), X.token_frequency("t", token), F.size(F.filter(X.tokens("t"), lambda x: x == token))).collect()
+        assert all(r[0] == r[1] and r[2] == r[3] for r in rows)
+
+
+def test_top_terms_of_each_text(spark):
+    df = spark.createDataFrame([("b b a a cc 12 cc cc the x",), ("",), (None,), ("z1 z1",)], "t string")
+    got = [r[0] for r in df.select(R.top_terms("t", 2, ["the"])).collect()]
+    assert [[tuple(x) for x in (g or [])] for g in got] == [[(3, "cc")], [], [], [(2, "z1")]]
+
+
+def test_most_shared_words_in_blocks(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "A  b"), (3, None), (4, "x"), (5, "a b c")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c d"), (2, "b"), (3, None), (4, "y"), (1, "x")], "item_id long, text string")
+    want = [(1, 1, 3), (1, 5, 3), (2, 1, 1), (2, 2, 1)]
+    for block in (1, 100):
+        assert sorted(map(tuple, R.most_shared(docs, items, 2, block).collect())) == want
+
+
+def test_owned_by_family(spark):
+    from lodestrata.operators.scoring import related
+
+    wanted = spark.createDataFrame([(1, "x1"), (1, "y1"), (1, "z1"), (2, "x1")], "k int, v string")
+    owned = spark.createDataFrame([(1, "x1"), (1, "y2"), (1, "x1"), (2, "y1")], "k int, v string")
+    got = {(r["k"], r["v"]): r["state"] for r in related(wanted, owned, ["k"], "v", F.substr("v", F.lit(1), F.lit(1))).collect()}
+    assert got == {(1, "x1"): "covered", (1, "y1"): "partial", (1, "z1"): "missing", (2, "x1"): "missing"}
+
+
 def test_where_with_missing_keys(spark):
     df = spark.createDataFrame([("a", 5), ("b", None)], "k string, n int")
     ids = lambda w: [r["k"] for r in df.where(P.where(w)).orderBy("k").collect()]
@@ -125,11 +171,53 @@ def test_hash_embedding(spark):
 def test_chunks_keep_every_word_and_the_budget():
     text = "# One\n" + "\n\n".join(f"Sentence {i} has some words. And more of them." for i in range(200))
     got = chunks(text, 64, 8)
-    assert all(count(c) <= 64 for c in got)
-    joined = " ".join(got).split()
+    assert all(n <= 64 and n == _counted(c) for c, n in got)
+    joined = " ".join(c for c, _ in got).split()
     assert set(text.split()) <= set(joined)
-    assert chunks("", 64) == chunks(None, 64) == []
-    assert all(count(c) <= 64 for c in chunks("x1 " * 1000, 64, 8))
+    assert chunks("", 64) == chunks(None, 64) == chunks(" \n", 64) == []
+    long = chunks("x1 " * 1000, 64, 8)
+    assert all(n <= 64 and n == _counted(c) for c, n in long)
+    assert sum(n for _, n in long) == 1000 + 8 * (len(long) - 1)
+
+
+def _counted(text):
+    return len(re.findall("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff]|[A-Za-z0-9_]+", text))
+
+
+def _plain_chunks(text, budget, overlap):
+    """The same chunks by splitting strings again and again."""
+    def parts(t, ways):
+        if _counted(t) <= budget:
+            return [t.strip()] if t.strip() else []
+        if ways:
+            return [p for x in re.split(ways[0], t) for p in parts(x, ways[1:])]
+        at = [m.start() for m in re.finditer("[A-Za-z0-9_]+", t)]
+        out, i = [], 0
+        while True:
+            out.append(t[at[i] if i else 0 : at[i + budget] if i + budget < len(at) else len(t)].strip())
+            i += budget - overlap
+            if i >= len(at) - overlap:
+                return out
+
+    out, held = [], []
+    size = lambda xs: sum(map(_counted, xs))
+    for p in parts(text or "", [r"(?m)(?=^#{1,6}\s)", r"\n\s*\n", "(?<=[。！？!?；;.])"]):
+        if held and size(held) + _counted(p) > budget:
+            out.append("\n\n".join(held))
+            while held and size(held) > min(overlap, budget - _counted(p)):
+                held.pop(0)
+        held.append(p)
+    return out + ["\n\n".join(held)] if held else out
+
+
+def test_chunks_of_a_table_by_loops(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    got = {}
+    for r in chunked(docs, budget=64, overlap=8).collect():
+        got.setdefault(r["doc_id"], []).append((r["chunk_index"], r["chunk"], r["token_count"]))
+    for r in docs.collect():
+        want = _plain_chunks(r["text"], 64, 8)
+        assert sorted(got.get(r["doc_id"], [])) == [(i, c, _counted(c)) for i, c in enumerate(want)]
 
 
 def test_any_key_is_a_fold(spark):
@@ -180,7 +268,7 @@ def test_folder_ingestion(spark, tmp_path):
     chunks_, state, report = I.ingested(now, empty_state, stored, {"tag": "t"})
     assert {r["action"]: r["files"] for r in report.collect()} == {"insert": 3}
     texts = {r["path"].rsplit("/", 1)[1]: r["chunk"] for r in chunks_.collect()}
-    assert texts["b.json"] == "k:\n  v: 1\nlist:\n  1\n\n  2" and texts["c.html"] == "Hello & bye"
+    assert texts["b.json"] == "k:\n  v: 1\nlist:\n  1\n  \n  2" and texts["c.html"] == "Hello & bye"
     state = spark.createDataFrame(state.collect(), state.schema)
     (tmp_path / "a.md").write_text("changed")
     (tmp_path / "c.html").unlink()
