@@ -29,12 +29,18 @@ from lodestrata.runtime import scratch, settle, ship
 ARCHIVE_BYTES = 64 << 20
 #: Compressed bytes that the reader takes in at once.
 READ_BYTES = 1 << 18
+#: Decompressed bytes that are taken at once, and the longest header.
+PIECE_BYTES, HEADER_BYTES = 1 << 20, 1 << 20
 _END = b"\r\n\r\n"
 
 
 def digest(data: bytes) -> str:
     """Base32 SHA-1, upper case."""
-    return base64.b32encode(hashlib.sha1(data).digest()).decode()
+    return _base32(hashlib.sha1(data))
+
+
+def _base32(sha: hashlib._Hash) -> str:
+    return base64.b32encode(sha.digest()).decode()
 
 
 @dataclass
@@ -72,20 +78,21 @@ def _members(stream: BinaryIO) -> Iterator[bytes]:
     """Decompressed pieces, with an empty one after each gzip member."""
     inflate, open_member = zlib.decompressobj(31), False
     while chunk := stream.read(READ_BYTES):
-        while chunk:
+        full = False  # more may be held back
+        while chunk or full:
             open_member = True
             try:
-                out = inflate.decompress(chunk)
+                out = inflate.decompress(chunk, PIECE_BYTES)
             except zlib.error as e:
                 raise DamagedArchive(str(e)) from e
             if out:
                 yield out
-            chunk = inflate.unused_data
+            full = len(out) == PIECE_BYTES
+            chunk = inflate.unconsumed_tail
             if inflate.eof:
                 yield b""
+                chunk, full = inflate.unused_data, False
                 inflate, open_member = zlib.decompressobj(31), False
-            else:
-                break
     if open_member:
         raise DamagedArchive("the archive ends within a member")
 
@@ -96,31 +103,57 @@ def read_records(stream: BinaryIO, verify: bool = True) -> Iterator[Record]:
     Raises DamagedArchive if a record is cut short, its length doesn't frame it, or (with
     ``verify``) a stated digest isn't that of the block, or of a response's payload.
     """
-    buffer = bytearray()
-    for piece in _members(stream):
-        if piece:
-            buffer += piece
-            continue
-        head, found, rest = bytes(buffer).partition(_END)
-        buffer.clear()
-        lines = head.decode("utf-8", "replace").split("\r\n")
-        if not found or not lines[0].startswith("WARC/"):
-            raise DamagedArchive("a member doesn't begin with a record header")
-        fields = {k.strip(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-        try:
-            length = int(fields.pop("Content-Length"))
-        except (KeyError, ValueError) as e:
-            raise DamagedArchive("a record without a content length") from e
-        if len(rest) != length + len(_END) or not rest.endswith(_END):
-            raise DamagedArchive("a record's length doesn't frame it")
-        record = Record(fields, rest[:length])
+    pieces = _members(stream)
+    for piece in pieces:
+        fields, block, sha = _framed(piece, pieces)
+        record = Record(fields, bytes(block))
         if verify:
-            for name, data in (("WARC-Block-Digest", record.block), ("WARC-Payload-Digest", record.payload() if fields.get("WARC-Type") != "revisit" else None)):
-                if name in fields and data is not None and fields[name].removeprefix("sha1:") != digest(data):
-                    raise DamagedArchive(f"{name} doesn't hold")
+            stated = {name: fields[name].removeprefix("sha1:") for name in ("WARC-Block-Digest", "WARC-Payload-Digest") if name in fields}
+            if stated.get("WARC-Block-Digest") not in (None, _base32(sha)):
+                raise DamagedArchive("WARC-Block-Digest doesn't hold")
+            if "WARC-Payload-Digest" in stated and fields.get("WARC-Type") != "revisit" and stated["WARC-Payload-Digest"] != digest(record.payload()):
+                raise DamagedArchive("WARC-Payload-Digest doesn't hold")
         yield record
 
 
+def _framed(piece: bytes, pieces: Iterator[bytes]) -> tuple[dict[str, str], bytearray, hashlib._Hash]:
+    """Fields and block of the record of one member, and the digest of the block, fed as it is read.
+
+    The header is taken as soon as it is whole; then exactly as many bytes as it states,
+    behind which only the end of the record may come.
+    """
+    held = bytearray(piece)
+    while (at := held.find(_END)) < 0:
+        if len(held) > HEADER_BYTES or not piece:
+            raise DamagedArchive("a member doesn't begin with a record header")
+        piece = next(pieces, b"")
+        held += piece
+    lines = held[:at].decode("utf-8", "replace").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise DamagedArchive("a member doesn't begin with a record header")
+    fields = {k.strip(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+    try:
+        length = int(fields.pop("Content-Length"))
+    except (KeyError, ValueError) as e:
+        raise DamagedArchive("a record without a content length") from e
+    del held[: at + len(_END)]
+    sha, fed = hashlib.sha1(), 0
+    while True:
+        end = min(len(held), max(0, length))
+        if end > fed:
+            with memoryview(held) as view:
+                sha.update(view[fed:end])
+            fed = end
+        if not piece or len(held) > length + len(_END):
+            break
+        piece = next(pieces, b"")
+        held += piece
+    if piece or length < 0 or len(held) != length + len(_END) or not held.endswith(_END):
+        raise DamagedArchive("a record's length doesn't frame it")
+    del held[length:]
+    return fields, held, sha
+
+
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, sha, size, refers_to) of the pages whose payload a page with a larger id has as well.
 
@@ -230,9 +263,9 @@ def read(archives: DataFrame, verify: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    # one archive a task: a sequential read can't be split
+    # one archive a task, dealt in turn: a sequential read can't be split
     files = max(1, wanted.count())
-    return wanted.repartition(min(files, 100_000), "path").mapInArrow(run, ddl)
+    return wanted.repartition(min(files, 100_000)).mapInArrow(run, ddl)
 
 
 def _page(name: str) -> F.Column:

@@ -128,3 +128,22 @@ def test_query_writes_ids_of_the_vocabulary(spark, sf):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert T.written_documents(docs).count() == 0
+
+
+def test_long_records_are_read_in_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    blocks = [b"", b"x", b"a" * 3_000_000, rng.bytes(700_000), b"\r\n\r\n" * 50]
+    records = [W.Record({"WARC-Type": "resource", "WARC-Block-Digest": f"sha1:{W.digest(b)}"}, b) for b in blocks]
+    raw = b"".join(map(W.member, records))
+    for piece, chunk in ((1 << 20, 1 << 18), (64, 1 << 18), (1000, 7)):
+        monkeypatch.setattr(W, "PIECE_BYTES", piece)
+        monkeypatch.setattr(W, "READ_BYTES", chunk)
+        assert [r.block for r in W.read_records(io.BytesIO(raw))] == blocks
+    for bad in (b"Content-Length: 3000001", b"Content-Length: 2999999", b"Content-Length: -1", b"Content-Length: x"):
+        broken = gzip.compress(gzip.decompress(W.member(records[2])).replace(b"Content-Length: 3000000", bad))
+        with pytest.raises(W.DamagedArchive):
+            list(W.read_records(io.BytesIO(broken)))
+    with pytest.raises(W.DamagedArchive):
+        list(W.read_records(io.BytesIO(gzip.compress(b"y" * (W.HEADER_BYTES + 100)))))
+    with pytest.raises(W.DamagedArchive):
+        list(W.read_records(io.BytesIO(gzip.compress(b""))))
