@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -63,34 +65,33 @@ def sanitized(messages: DataFrame) -> DataFrame:
     assistant turns go. An assistant turn with calls stays only if the next turn left is
     the user's and has all their results. Results without a call go, and a turn that is
     empty then goes too. What is left depends on what was dropped before, so each
-    conversation is a fold, held by one task.
+    conversation is a fold. Turns are streamed in order, and of a conversation only a turn
+    that waits for its results is held.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_one: tuple | None = None
         pending: dict | None = None
-        items = lambda x: [] if x is None else list(x)
-        for row in rows.sort_values("turn").to_dict("records"):
-            row["calls"], row["results"] = items(row["calls"]), items(row["results"])
-            if row["role"] == "assistant":
-                if pending is not None:
-                    pending = None  # no user turn followed
-                if not (row["text"] or "").strip() and not row["calls"]:
+        for part in parts:
+            kept: list[dict] = []
+            for row in part.to_pylist():
+                name = tuple(row[c] for c in _TURNS)
+                if name != open_one:
+                    open_one, pending = name, None
+                row["calls"], row["results"] = row["calls"] or [], row["results"] or []
+                says = bool((row["text"] or "").strip())
+                if row["role"] == "assistant":
+                    pending = row if row["calls"] else None
+                    if says and not row["calls"]:
+                        kept.append(row)
                     continue
-                if row["calls"]:
-                    pending = row
-                else:
+                answered = pending is not None and set(pending["calls"]) <= set(row["results"])
+                row["results"] = [r for r in row["results"] if r in pending["calls"]] if answered else []
+                kept += [pending] if answered else []
+                pending = None
+                if says or row["results"]:
                     kept.append(row)
-                continue
-            if pending is not None and set(pending["calls"]) <= set(row["results"]):
-                kept.append(pending)
-                row["results"] = [r for r in row["results"] if r in set(pending["calls"])]
-            else:
-                row["results"] = []
-            pending = None
-            if (row["text"] or "").strip() or row["results"]:
-                kept.append(row)
-        return pd.DataFrame(kept, columns=list(rows.columns))
-
-    return messages.groupBy(*_TURNS).applyInPandas(fold, messages.schema)
+            yield pa.RecordBatch.from_pylist(kept, schema=part.schema)
 
+    ordered = messages.repartition(*_TURNS).sortWithinPartitions(*_TURNS, "turn")
+    return ordered.mapInArrow(fold, messages.schema)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Of rows with equal keys the first in an order that has no ties."""
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    """Of rows with equal keys the first in an order; of rows equal in that, the one with the smallest hash."""
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order, F.xxhash64(*df.columns)))
     return df.withColumn("rank_", rank).where("rank_ = 1").drop("rank_")
 
 

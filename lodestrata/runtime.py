@@ -48,9 +48,24 @@ def shared_folder(spark: SparkSession) -> str:
 _local = ""
 
 
+_made: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, which ``sweep`` removes."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def sweep(spark: SparkSession) -> int:
+    """Removes what this application wrote to the shared folder, once its results have been used; returns how many paths."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    java = spark.sparkContext._jvm
+    for path in paths:
+        place = java.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
 
 
 def settle(df: DataFrame, name: str = "stage", codec: str = "snappy") -> DataFrame:

@@ -18,22 +18,26 @@ def first_seen(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataF
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def bounded_dedup(stream: DataFrame, by: str, key: str, cap: int = 2000) -> DataFrame:
-    """Rows whose key isn't among the last ``cap`` new ones of the same ``by``; the oldest key is forgotten first."""
+def bounded_dedup(stream: DataFrame, by: str, key: str, order: str, cap: int = 2000) -> DataFrame:
+    """Rows whose key isn't among the last ``cap`` new ones of the same ``by``; the oldest key is forgotten first.
+
+    Rows of a micro-batch are taken by ``order`` and then by key, as a shuffle may bring
+    them in any order.
+    """
     ship(stream.sparkSession)
 
     def step(_: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         known = dict.fromkeys(state.get[0]) if state.exists else {}
-        for part in parts:
-            keep = []
-            for value in part[key].astype(str):
-                keep.append(value not in known)
-                if keep[-1]:
-                    known[value] = None
-                    if len(known) > cap:
-                        del known[next(iter(known))]
-            yield part[keep]
+        rows = pd.concat(list(parts)).sort_values([order, key], kind="stable")  # one micro-batch of one key
+        keep = []
+        for value in rows[key].astype(str):
+            keep.append(value not in known)
+            if keep[-1]:
+                known[value] = None
+                if len(known) > cap:
+                    del known[next(iter(known))]
         state.update((list(known),))
+        yield rows[keep]
 
     return stream.groupBy(by).applyInPandasWithState(step, stream.schema, "known array<string>", "append", GroupStateTimeout.NoTimeout)
 

@@ -303,12 +303,18 @@ def test_debounce_flushes_on_gap_and_mention(spark, tmp_path):
 
 
 def test_bounded_dedup_forgets_the_oldest(spark, tmp_path):
-    rows = [("k", i, v) for i, v in enumerate(["a", "b", "a", "c", "a"])]
+    rows = [("k", i, v) for i, v in enumerate(["a", "b", "a", "c", "a"])][::-1]  # they come in another order
     stream = _stream(spark, str(tmp_path), rows, "who string, n int, id string")
-    got = _drain(S.bounded_dedup(stream, "who", "id", cap=2), str(tmp_path))
+    got = _drain(S.bounded_dedup(stream, "who", "id", "n", cap=2), str(tmp_path))
     assert sorted(r["n"] for r in got) == [0, 1, 3, 4]
 
 
+def test_ties_are_decided_by_hash(spark):
+    df = spark.createDataFrame([(1, 5, "a"), (1, 5, "b"), (1, 6, "c")], "k int, n int, v string")
+    once = [D.first_wins(df.repartition(n), ["k"], [F.col("n")]).first()["v"] for n in (1, 3, 5)]
+    assert len(set(once)) == 1 and once[0] in "ab"
+
+
 def test_incremental_items(spark):
     batch = spark.createDataFrame([Row(k="a", at="2"), Row(k="b", at="3"), Row(k="c", at="1")])
     fresh, mark = S.new_items(batch, spark.createDataFrame([Row(k="b")]), "1", "k", "at")
