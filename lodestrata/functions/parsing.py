@@ -33,6 +33,17 @@ CODE_HINTS: dict[str, list[str]] = {
     "cpp": [r"#include\s*<", r"\bstd::", r"\bvector\s*<", r"\busing\s+namespace\s+std\b"],
     "go": [r"(?m)^\s*package\s+\w+", r"\bfunc\s+\w+\s*\(", r":="],
 }
+# What a review of code looks for; the language that a rule is for, or none for all.
+CODE_RULES: list[tuple[str, str, str]] = [
+    ("shared_default", "python", r"def\s+\w+\s*\([^)]*=\s*[\[{]"),
+    ("range_of_length", "python", r"range\s*\(\s*len\s*\("),
+    ("endless_loop", "", r"\bwhile\s+True\s*:"),
+    ("string_identity", "java", r'"[^"\n]*"\s*==|==\s*"[^"\n]*"'),
+    ("loose_equality", "javascript", r"(?<![=!<>])==(?!=)|(?<![=!<>])!=(?!=)"),
+    ("flushed_output", "cpp", r"\bstd::endl\b"),
+    ("size_in_condition", "cpp", r"for\s*\([^)]*\.size\s*\(\s*\)"),
+]
+MEMORY_HINTS = ["lru_cache", "@cache", "memo", "dp[", "dp ="]
 _HAN = r"[\x{4e00}-\x{9fff}]"
 Names = Mapping[str, Sequence[str]]
 
@@ -251,6 +262,54 @@ def loop_depth(code: str | Column) -> Column:
     return F.aggregate(lines, start, step, lambda acc: acc["deepest"])
 
 
+def code_findings(code: str | Column, language: str | Column) -> Column:
+    """Names of what a review finds, in alphabetical order. Rules of Python hold for code of no known language too.
+
+    Besides ``CODE_RULES``: loops within loops, and functions that call themselves without
+    remembering results. A loop without end is no finding where the code breaks out of it.
+    """
+    code, language = F.coalesce(_c(code), F.lit("")), _c(language)
+    found = []
+    for name, kind, pattern in CODE_RULES:
+        hit = code.rlike(pattern)
+        if kind:
+            hit = hit & (language.isin("python", "") if kind == "python" else language == kind)
+        if name == "endless_loop":
+            hit = hit & ~code.contains("break")
+        found.append(F.when(hit, name))
+    found.append(F.when(loop_depth(code) >= 2, "nested_loops"))
+    called = F.exists(F.regexp_extract_all(code, F.lit(r"(?m)^\s*def\s+(\w+)\s*\("), F.lit(1)), lambda f: F.regexp_count(code, F.concat(F.lit(r"\b"), f, F.lit(r"\s*\("))) >= 2)
+    remembers = F.lit(False)
+    for hint in MEMORY_HINTS:
+        remembers = remembers | code.contains(hint)
+    found.append(F.when(called & ~remembers & language.isin("python", ""), "plain_recursion"))
+    return F.array_sort(F.array_compact(F.array(*found)))
+
+
+def entry_parts(line: str | Column) -> Column:
+    """The parts of a heading of an entry, without its periods."""
+    bare = strip(F.regexp_replace(_c(line), PERIOD, " "))
+    return F.filter(F.split(bare, r"[|｜/／·•,，;；\s]+"), lambda x: x != "")
+
+
+def company_and_title(line: str | Column, title_words: Sequence[str], company_marks: Sequence[str]) -> Column:
+    """struct<company, title> of a heading: the first part with a word of titles, and the first other part with a mark of companies, or else the first other part."""
+    parts = entry_parts(line)
+    has = lambda words: (lambda x: F.lower(x).rlike("|".join(_quoted(w.lower()) for w in words)))
+    title = F.coalesce(F.get(F.filter(parts, has(title_words)), F.lit(0)), F.lit(""))
+    others = F.filter(parts, lambda x: x != title)
+    company = F.coalesce(F.get(F.filter(others, has(company_marks)), F.lit(0)), F.get(others, F.lit(0)), F.lit(""))
+    return F.struct(company.alias("company"), title.alias("title"))
+
+
+def resume(text: str | Column, names: Names, cities: Sequence[str], as_of: Column) -> Column:
+    """struct<contact, skills, periods, years>: years reach from the first start to the last end, null without periods."""
+    found = periods(text)
+    bounds = F.filter(F.transform(found, lambda p: period_bounds(p, as_of)), lambda b: b["low"].isNotNull())
+    span = F.array_max(F.transform(bounds, lambda b: b["high"])) - F.array_min(F.transform(bounds, lambda b: b["low"]))
+    return F.struct(contact(text, cities).alias("contact"), found_names(text, names).alias("skills"), found.alias("periods"), F.when(span.isNotNull(), F.round(F.greatest(F.lit(0.0), span), 1)).alias("years"))
+
+
 def bounded_text(text: str | Column, max_lines: int = 200, max_bytes: int = 25_000) -> Column:
     """struct<text, truncated>: the first lines of a text, cut to so many bytes at the end of a line if there is one."""
     lines = F.split(F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"\r\n?", "\n"), "\n")

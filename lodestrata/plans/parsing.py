@@ -422,3 +422,47 @@ def u19_filled(spark, sf_dir):
 @query("s2_json_text", "SELECT event_id, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN props ELSE 'k: ' || json_extract_string(props, '$.k') END AS text FROM events")
 def s2_json_text(spark, sf_dir):
     return json_texts(table(spark, sf_dir, "events").select("event_id", F.col("props").alias("text")), "text")
+
+
+@query(
+    "x36_findings",
+    r"""
+SELECT page_id, array_to_string(list_filter([CASE WHEN regexp_matches(html, '\bwhile\s+True\s*:') AND NOT contains(html, 'break') THEN 'endless_loop' END,
+  CASE WHEN regexp_matches(html, '(^|[^=!<>])==([^=]|$)|(^|[^=!<>])!=([^=]|$)') THEN 'loose_equality' END], lambda x: x IS NOT NULL), ',') AS findings FROM pages
+""",
+)
+def x36_findings(spark, sf_dir):
+    """Scripts of pages are looked at as JavaScript; loops are told by lines, which markup hasn't."""
+    found = F.filter(P.code_findings("html", F.lit("javascript")), lambda x: x != "nested_loops")
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(found, ",").alias("findings"))
+
+
+@query(
+    "x32_resumes",
+    rf"""
+WITH d AS (SELECT doc_id, lower(text) AS t, nullif(regexp_extract(text, '{P.EMAIL}'), '') AS email FROM documents)
+SELECT doc_id, email, array_to_string({_names_sql()}, ',') AS skills FROM d
+""",
+)
+def x32_resumes(spark, sf_dir):
+    told = P.resume("text", NAMES, ["Berlin"], F.lit(dt.date(2024, 2, 1)))
+    return table(spark, sf_dir, "documents").select("doc_id", told.alias("r")).select("doc_id", "r.contact.email", F.array_join("r.skills", ",").alias("skills"))
+
+
+@query(
+    "x31_entries",
+    """
+SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name), 'bolt|ring') THEN 'x' ELSE '' END AS kind, len(list_filter(regexp_split_to_array(trim(p_name), '[|/,;\\s]+'), lambda x: x <> '')) AS n_parts FROM part
+""",
+)
+def x31_entries(spark, sf_dir):
+    both = P.company_and_title("p_name", ["bolt", "ring"], ["steel"])
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(both["title"] != "", "x").otherwise("").alias("kind"), F.size(P.entry_parts("p_name")).cast("long").alias("n_parts"))
+
+
+@query("s6_reports", "SELECT event_type, CASE WHEN json_valid(props) THEN 'read' ELSE 'invalid' END AS status, count(*) AS n FROM events GROUP BY ALL UNION ALL SELECT 'page', CASE WHEN json_valid(html) THEN 'read' ELSE 'invalid' END, count(*) FROM pages GROUP BY ALL")
+def s6_reports(spark, sf_dir):
+    """What can't be read as JSON becomes a row of the report instead of an error."""
+    rows = table(spark, sf_dir, "events").select("event_type", F.col("props").alias("raw")).unionByName(table(spark, sf_dir, "pages").select(F.lit("page").alias("event_type"), F.col("html").alias("raw")))
+    status = F.when(F.try_parse_json("raw").isNotNull(), "read").otherwise("invalid")
+    return rows.groupBy("event_type", status.alias("status")).agg(F.count("*").alias("n"))

@@ -109,6 +109,30 @@ def test_loop_depth(spark, code, want):
     assert one(spark, P.loop_depth(F.lit(code).cast("string"))) == want
 
 
+@pytest.mark.parametrize("code, language, want", [
+    ("def f(x=[]):\n    for i in range(len(x)):\n        pass", "python", ["range_of_length", "shared_default"]), ("while True:\n    f()", "", ["endless_loop"]), ("while True:\n    break", "python", []),
+    ('if (a == "x") {}', "java", ["string_identity"]), ("a == b", "javascript", ["loose_equality"]), ("a === b !== c", "javascript", []), ("a == b", "java", []), ("std::cout << std::endl;\nfor (int i = 0; i < v.size(); i++) {}", "cpp", ["flushed_output", "size_in_condition"]),
+    ("for a in b:\n    for c in d:\n        pass", "python", ["nested_loops"]), ("def f(n):\n    return f(n - 1)", "python", ["plain_recursion"]), ("@cache\ndef f(n):\n    return f(n - 1)", "python", []), (None, "", []),
+])
+def test_code_findings(spark, code, language, want):
+    assert one(spark, P.code_findings(F.lit(code).cast("string"), F.lit(language))) == want
+
+
+def test_entries_of_resumes(spark):
+    line = "2021.07-2023.06 星辰科技有限公司 | 后端工程师 / 杭州"
+    assert one(spark, P.entry_parts(F.lit(line))) == ["星辰科技有限公司", "后端工程师", "杭州"]
+    assert tuple(one(spark, P.company_and_title(F.lit(line), ["工程师"], ["有限公司"]))) == ("星辰科技有限公司", "后端工程师")
+    assert tuple(one(spark, P.company_and_title(F.lit("后端工程师 某处"), ["工程师"], ["有限公司"]))) == ("某处", "后端工程师")
+    assert tuple(one(spark, P.company_and_title(F.lit(""), ["工程师"], ["有限公司"]))) == ("", "")
+
+
+def test_resume(spark):
+    text = "姓名：李四 a@b.cn\n2019.01-2020.06 甲\n2021.07-至今 乙 Java, C++"
+    got = one(spark, P.resume(F.lit(text), NAMES, ["北京"], F.lit(dt.date(2024, 1, 5))))
+    assert got["contact"]["name"] == "李四" and got["skills"] == ["Java", "C++"] and got["periods"] == ["2019.01-2020.06", "2021.07-至今"] and got["years"] == 5.0
+    assert one(spark, P.resume(F.lit("none"), NAMES, ["北京"], F.lit(dt.date(2024, 1, 5))))["years"] is None
+
+
 @pytest.mark.parametrize("text, lines, size, want", [
     ("a\nb\nc\n", 2, 100, ("a\nb", True)), ("a\nb\n", 5, 100, ("a\nb", False)), ("ab\ncdef", 5, 5, ("ab", True)), ("ééé", 5, 3, ("é", True)), ("", 5, 5, ("", False)), (None, 5, 5, ("", False)),
 ])
