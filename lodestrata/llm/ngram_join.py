@@ -295,9 +295,11 @@ def blocked(members: DataFrame) -> DataFrame:
 def meetings(members: DataFrame, trees: int, depth: int, level: int) -> DataFrame:
     """(x, y): each block with itself, and with every later one in which a class of the same component has a common prefix."""
     alone = members.select(F.col("block").alias("x"), F.col("block").alias("y")).distinct()
-    wide = members.groupBy("root").agg(F.min("block").alias("least"), F.max("block").alias("most")).where("least < most").select(F.col("root").alias("wide"))
-    entries = _entries(members.join(wide, F.col("root") == F.col("wide"), "left_semi"), trees, depth, level, "root", "block")
-    runs = entries.groupBy("key", "root").agg(F.sort_array(F.collect_set("block")).alias("blocks")).where(F.size("blocks") > 1)
+    ends = members.groupBy("root").agg(F.min("block").alias("least"), F.max("block").alias("most"))
+    wide = settle(ends.where("least < most").select(F.col("root").alias("wide")), "wide")
+    entries = _entries(members.join(marked(wide), F.col("root") == F.col("wide"), "left_semi"), trees, depth, level, "root", "block")
+    # one key of both, so that the rows of a large component don't stay where the join may have brought them
+    runs = entries.groupBy(F.xxhash64("key", "root").alias("run")).agg(F.sort_array(F.collect_set("block")).alias("blocks")).where(F.size("blocks") > 1)
     pairs = runs.select("blocks", F.posexplode("blocks").alias("at", "x")).where(F.col("at") < F.size("blocks") - 1)
     return alone.unionByName(pairs.select("x", F.explode(F.expr("slice(blocks, at + 2, size(blocks))")).alias("y")).distinct())
 
@@ -412,7 +414,8 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), t
     signed, facts = _joined(docs, n, threshold, trees, depth, recall)
     rows = settle(signed.select("doc_id", "row_a", "row_b", *_CLASS).join(facts.select(*_CLASS, "root"), _CLASS).select("doc_id", "row_a", "row_b", "root"), "grouped")
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_a", "row_b")).alias("best")
-    lost = rows.join(rows.groupBy("root").agg(best), "root").where("row_a <> best.row_a OR row_b <> best.row_b").select(F.col("row_a").alias("lost_a"), F.col("row_b").alias("lost_b"))
+    shared = settle(rows.groupBy("root").agg(best, F.count("*").alias("held")).where("held > 1").select("root", "best"), "groups")
+    lost = rows.join(marked(shared), "root").where("row_a <> best.row_a OR row_b <> best.row_b").select(F.col("row_a").alias("lost_a"), F.col("row_b").alias("lost_b"))
     again = rows.groupBy("row_a", "row_b").count().where("count > 1").select(F.col("row_a").alias("again_a"), F.col("row_b").alias("again_b"))
     lost, again = settle(lost.distinct(), "lost"), settle(again, "again")
     a, b = _row_keys()
