@@ -82,12 +82,17 @@ def settle(df: DataFrame, name: str = "stage", codec: str = "snappy") -> DataFra
 BROADCAST_ROWS = 1 << 20
 
 
+def few(keys: DataFrame) -> bool:
+    """Whether a settled table of keys has few enough rows for a broadcast."""
+    return keys.count() <= BROADCAST_ROWS
+
+
 def marked(keys: DataFrame) -> DataFrame:
     """A settled table of keys, marked for a broadcast if it has few enough rows.
 
     A larger one is left to a shuffled join.
     """
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    return F.broadcast(keys) if few(keys) else keys
 
 
 def extended(schema: T.StructType, ddl: str) -> T.StructType:
