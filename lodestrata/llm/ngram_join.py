@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import textops as X
-from lodestrata.runtime import marked, settle, ship
+from lodestrata.runtime import few, marked, settle, ship
 
 #: Sketches agree in more than this share of places, or the pair isn't followed further.
 #: With 64 places a pair at 0.8 falls below by chance once in more than 10^6 times.
@@ -244,16 +244,19 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up"))
+        up = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("up")), "up")
+        # many nodes point to one, so their table is broadcast unless it is large; then adaptive execution splits the join
+        near = F.broadcast if few(up) else lambda df: df
         # a second step upwards shortens chains
-        step = settle(up.alias("x").join(up.select(F.col("a").alias("mid"), F.col("up").alias("top")), F.col("up") == F.col("mid"), "left").select("a", F.coalesce("top", "up").alias("up")), "up")
+        tops = up.select(F.col("a").alias("mid"), F.col("up").alias("top"))
+        step = settle(up.join(near(tops), F.col("up") == F.col("mid"), "left").select("a", F.coalesce("top", "up").alias("up")), "step")
         if labels is None:
             labels = step.select(F.col("a").alias("id"), F.col("up").alias("root"))
         else:
-            labels = settle(labels.join(step, labels["root"] == step["a"], "left").select("id", F.coalesce("up", "root").alias("root")), "labels")
+            labels = settle(labels.join(near(step), labels["root"] == step["a"], "left").select("id", F.coalesce("up", "root").alias("root")), "labels")
         left = step.select(F.col("a").alias("la"), F.col("up").alias("ua"))
         right = step.select(F.col("a").alias("lb"), F.col("up").alias("ub"))
-        moved = edges.join(left, F.col("a") == F.col("la")).join(right, F.col("b") == F.col("lb"))
+        moved = edges.join(near(left), F.col("a") == F.col("la")).join(near(right), F.col("b") == F.col("lb"))
         edges = settle(moved.where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges")
         if edges.isEmpty():
             return labels
