@@ -317,8 +317,8 @@ def bounded_text(text: str | Column, max_lines: int = 200, max_bytes: int = 25_0
     lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
     head = F.array_join(F.slice(lines, 1, max_lines), "\n")
     raw = F.encode(head, "UTF-8")
-    cut = F.regexp_replace(F.make_valid_utf8(F.substring(raw, 1, max_bytes).cast("string")), "�+$", "")
-    cut = F.when(F.regexp_replace(cut, r"(?s)\n[^\n]*$", "") != "", F.regexp_replace(cut, r"(?s)\n[^\n]*$", "")).otherwise(cut)
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(raw, 1, max_bytes).cast("string")), r"�+\z", "")
+    cut = F.when(F.regexp_replace(cut, r"(?s)\n[^\n]*\z", "") != "", F.regexp_replace(cut, r"(?s)\n[^\n]*\z", "")).otherwise(cut)
     long = F.octet_length(head) > max_bytes
     return F.struct(F.when(long, cut).otherwise(head).alias("text"), (long | (F.size(lines) > max_lines)).alias("truncated"))
 

@@ -134,7 +134,7 @@ def test_resume(spark):
 
 
 @pytest.mark.parametrize("text, lines, size, want", [
-    ("a\nb\nc\n", 2, 100, ("a\nb", True)), ("a\nb\n", 5, 100, ("a\nb", False)), ("ab\ncdef", 5, 5, ("ab", True)), ("ééé", 5, 3, ("é", True)), ("", 5, 5, ("", False)), (None, 5, 5, ("", False)),
+    ("a\nb\nc\n", 2, 100, ("a\nb", True)), ("a\nb\n", 5, 100, ("a\nb", False)), ("ab\ncdef", 5, 5, ("ab", True)), ("ééé", 5, 3, ("é", True)), ("ab\ncd\nef", 5, 6, ("ab\ncd", True)), ("", 5, 5, ("", False)), (None, 5, 5, ("", False)),
 ])
 def test_bounded_text(spark, text, lines, size, want):
     assert tuple(one(spark, P.bounded_text(F.lit(text).cast("string"), lines, size))) == want
