@@ -95,6 +95,14 @@ def marked(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if few(keys) else keys
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name that no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def extended(schema: T.StructType, ddl: str) -> T.StructType:
     """A schema with more fields behind its own."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
