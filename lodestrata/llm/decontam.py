@@ -389,7 +389,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.6) ->
 
     Rows without a doc_id are judged by their own text as well, by a key made for each text.
     """
-    key = F.xxhash64("doc_id", "text")
-    found = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, share)
-    lost = settle(found.select(F.col("doc_id").alias("lost_")).distinct(), "contaminated")
-    return docs.withColumn("key_", key).join(marked(lost), F.col("key_") == F.col("lost_"), "left_anti").drop("key_")
+    found = contaminated(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), benchmark, share)
+    lost = marked(settle(found.select("doc_id").distinct(), "contaminated"))
+    return docs.join(lost, F.xxhash64(docs["doc_id"], docs["text"]) == lost["doc_id"], "left_anti")

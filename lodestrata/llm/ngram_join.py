@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import textops as X
@@ -125,13 +125,14 @@ def signatures(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
                 low += len(m)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array(hi), pa.array(lo), pa.array(np.diff(cuts)), _binaries(label), _binaries(sketch)], [*keys, *_CLASS, "labels", "sketch"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_row_keys(), F.xxhash64("text").alias("text_key"), "text")
+    a, b = _row_keys(F.col("doc_id"), F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), a.alias("row_a"), b.alias("row_b"), F.xxhash64("text").alias("text_key"), "text")
     return rows.mapInArrow(run, _SIGNED)
 
 
-def _row_keys():
+def _row_keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
     """128 bits for doc_id and text."""
-    return F.xxhash64("doc_id", "text").alias("row_a"), F.xxhash64(F.lit(11), F.col("text"), F.col("doc_id")).alias("row_b")
+    return F.xxhash64(doc_id, text), F.xxhash64(F.lit(11), text, doc_id)
 
 
 def _entries(classes: DataFrame, trees: int, depth: int, level: int, *keep: str) -> DataFrame:
@@ -421,10 +422,12 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), t
     lost = rows.join(marked(shared), "root").where("row_a <> best.row_a OR row_b <> best.row_b").select(F.col("row_a").alias("lost_a"), F.col("row_b").alias("lost_b"))
     again = rows.groupBy("row_a", "row_b").count().where("count > 1").select(F.col("row_a").alias("again_a"), F.col("row_b").alias("again_b"))
     lost, again = settle(lost.distinct(), "lost"), settle(again, "again")
-    a, b = _row_keys()
-    kept = docs.withColumns({"row_a_": a, "row_b_": b}).join(marked(lost), (F.col("row_a_") == F.col("lost_a")) & (F.col("row_b_") == F.col("lost_b")), "left_anti")
+    lost, again = marked(lost), marked(again)
+    a, b = _row_keys(docs["doc_id"], docs["text"])
+    kept = docs.join(lost, (a == lost["lost_a"]) & (b == lost["lost_b"]), "left_anti")
     if again.isEmpty():
-        return kept.select(*docs.columns)
-    twice = (F.col("row_a_") == F.col("again_a")) & (F.col("row_b_") == F.col("again_b"))
-    once = kept.join(marked(again), twice, "left_semi").dropDuplicates(["row_a_", "row_b_"])
-    return kept.join(marked(again), twice, "left_anti").unionByName(once).select(*docs.columns)
+        return kept
+    a, b = _row_keys(kept["doc_id"], kept["text"])
+    twice = (a == again["again_a"]) & (b == again["again_b"])
+    once = kept.join(again, twice, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, twice, "left_anti").unionByName(once)

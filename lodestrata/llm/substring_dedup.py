@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import textops as X
-from lodestrata.runtime import extended, ship
+from lodestrata.runtime import extended, free_name, ship
 
 #: UTF-8 bytes of text in a chunk, about two million windows.
 CHUNK_BYTES = 12 << 20
@@ -93,11 +93,12 @@ def remove_repeats(docs: DataFrame, size: int = 35, key: str = "doc_id", text: s
     spark = docs.sparkSession
     ship(spark)
     new = ("n_words", "removed", "kept_text")
-    docs = docs.drop(*new, "chunk_")
+    docs = docs.drop(*new)
+    chunk = free_name(docs, "chunk_")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = max(1, -(-total // CHUNK_BYTES))
     bits = (chunks - 1).bit_length()
-    dealt = docs.withColumn("chunk_", F.pmod(F.xxhash64(key, text, F.spark_partition_id()), F.lit(chunks)).cast("int"))
+    dealt = docs.withColumn(chunk, F.pmod(F.xxhash64(key, text, F.spark_partition_id()), F.lit(chunks)).cast("int"))
 
     def held(rows: pa.Table) -> pa.Table:
         texts = pc.unique(rows.column(text))
@@ -108,7 +109,7 @@ def remove_repeats(docs: DataFrame, size: int = 35, key: str = "doc_id", text: s
         cuts = _cuts(first, bits)
         full = np.flatnonzero(cuts[1:] > cuts[:-1])
         return pa.table({
-            "chunk_": pa.array([rows.column("chunk_")[0].as_py()] * len(full), pa.int32()),
+            "chunk_": pa.array([rows.column(chunk)[0].as_py()] * len(full), pa.int32()),
             "bucket_": pa.array(full, pa.int32()),
             "hashes_": pa.array([_pack(first[cuts[i] : cuts[i + 1]], rest[cuts[i] : cuts[i + 1]]) for i in full], pa.binary()),
         })
@@ -125,7 +126,7 @@ def remove_repeats(docs: DataFrame, size: int = 35, key: str = "doc_id", text: s
         bitmaps = [np.packbits(again[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
         return pa.table({"chunk_": rows.column("chunk_"), "bucket_": rows.column("bucket_"), "again_": pa.array(bitmaps, pa.binary())})
 
-    sent = dealt.groupBy("chunk_").applyInArrow(held, "chunk_ int, bucket_ int, hashes_ binary")
+    sent = dealt.groupBy(chunk).applyInArrow(held, "chunk_ int, bucket_ int, hashes_ binary")
     answers = sent.groupBy("bucket_").applyInArrow(counted, "chunk_ int, bucket_ int, again_ binary")
     schema = extended(docs.schema, "n_words long, removed array<struct<start:int,end:int>>, kept_text string")
 
@@ -149,12 +150,12 @@ def remove_repeats(docs: DataFrame, size: int = 35, key: str = "doc_id", text: s
         n = int(before[-1])
         marks = np.bincount(hit, minlength=n + 1) - np.bincount(np.minimum(hit + size, n), minlength=n + 1)
         told = _told(texts, np.cumsum(marks)[:n] > 0, before).take(pa.array(which))
-        out = rows.drop_columns(["chunk_"])
+        out = rows.drop_columns([chunk])
         for name in told.column_names:
             out = out.append_column(name, told.column(name))
         return out
 
-    return dealt.groupBy("chunk_").cogroup(answers.groupBy("chunk_")).applyInArrow(apply, schema)
+    return dealt.groupBy(chunk).cogroup(answers.groupBy("chunk_")).applyInArrow(apply, schema)
 
 
 def _told(texts: pa.Array, gone: np.ndarray, before: np.ndarray) -> pa.Table:

@@ -67,8 +67,9 @@ def test_windows(spark, texts, size, chunk, monkeypatch):
 def test_windows_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.remove_repeats(empty).count() == 0
-    extra = spark.createDataFrame([(1, "a b", 7, "k")], "doc_id long, text string, removed int, other string")
-    assert S.remove_repeats(extra, 2).columns == ["doc_id", "text", "other", "n_words", "removed", "kept_text"]
+    extra = spark.createDataFrame([(1, "a b", 7, "k", 5)], "doc_id long, text string, removed int, other string, chunk_ int")
+    got = S.remove_repeats(extra, 2)
+    assert got.columns == ["doc_id", "text", "other", "chunk_", "n_words", "removed", "kept_text"] and got.first()["chunk_"] == 5
 
 
 def test_packing_of_hashes():
