@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.runtime import extended, ship
+from lodestrata.runtime import extended, free_name, ship
 
 _ROWS = pa.schema([("range_", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("mark", pa.int32()), ("doc", pa.int64()), ("own", pa.int64()), ("at", pa.binary())])
 _DDL = "range_ int, h1 long, h2 long, mark int, doc long, own long, at binary"
@@ -165,17 +165,17 @@ def _decided(batches: Iterator[pa.RecordBatch], min_docs: int | None) -> Iterato
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Adds ``n_lines``, ``n_dropped`` and ``kept_text`` to the documents."""
-    marked = bitmaps.withColumnsRenamed({"doc_id": "doc_", "own": "own_", "bitmap": "bitmap_"})
-    joined = docs.withColumn("own_key_", F.xxhash64("text")).join(
-        marked, (F.col("own_key_") == F.col("own_")) & F.col("doc_id").cast("long").eqNullSafe(F.col("doc_")), "left"
-    ).drop("doc_", "own_", "own_key_")
+    bitmap = free_name(docs, "bitmap_")
+    found = bitmaps.select(F.col("doc_id").alias("doc_"), F.col("own").alias("own_"), F.col("bitmap").alias(bitmap))
+    same = (F.xxhash64(docs["text"]) == found["own_"]) & docs["doc_id"].cast("long").eqNullSafe(found["doc_"])
+    joined = docs.join(found, same, "left").select(*(docs[c] for c in docs.columns), found[bitmap])
     names = [c for c in docs.columns]
     schema = extended(docs.schema, "n_lines long, n_dropped long, kept_text string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, lost, kept = [], [], []
-            for value, packed in zip(batch.column("text").to_pylist(), batch.column("bitmap_").to_pylist()):
+            for value, packed in zip(batch.column("text").to_pylist(), batch.column(bitmap).to_pylist()):
                 value = value or ""
                 n, k = value.count("\n") + 1, 0
                 if packed is not None:
@@ -199,7 +199,7 @@ def dedup_lines(docs: DataFrame, min_docs: int | None = None, min_chars: int = 1
     through, and columns named like the new ones are replaced. An empty table gives an
     empty one.
     """
-    docs = docs.drop("n_lines", "n_dropped", "kept_text", "bitmap_")
+    docs = docs.drop("n_lines", "n_dropped", "kept_text")
     return apply_bitmaps(docs, keep_bitmaps(docs.select("doc_id", "text"), min_docs, min_chars))
 
 

@@ -181,7 +181,8 @@ def test_first_lines_stay(spark, lines, batch):
 
 def test_lines_edges(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id long, text string"), 2).count() == 0
-    extra = spark.createDataFrame([(1, "ab\na", 2)], "doc_id long, text string, n_lines int")
+    extra = spark.createDataFrame([(1, "ab\na", 2, 3, 4, 5)], "doc_id long, text string, n_lines int, own_ int, bitmap_ int, doc_ int")
+    assert L.dedup_lines(extra, 1).columns == ["doc_id", "text", "own_", "bitmap_", "doc_", "n_lines", "n_dropped", "kept_text"]
     assert L.dedup_lines(extra, 1, min_chars=2).select("n_lines", "n_dropped", "kept_text").first()[:] == (2, 1, "a")
 
 

@@ -64,7 +64,7 @@ def test_codes(steps):
 def test_unusual_rows(spark, sf, name, stage):
     text = "One line of this text\nand a second line with some more words in it"
     rows = [(1, text, "en", "web", len(text)), (1, text, "en", "web", len(text)), (None, None, None, None, None), (2, "", None, "web", 0), (None, text + " !", None, None, 3), (3, "word " * 30_000, "en", None, None)]
-    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, key_ int, lost_ int, chunk_ int")
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, own_ int, lost_ int, bitmap_ int")
     out = stage(spark, docs, sf)
     kept = out.collect()
     assert stage(spark, docs.limit(0), sf).count() == 0
