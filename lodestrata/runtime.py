@@ -68,13 +68,14 @@ def sweep(spark: SparkSession) -> int:
     return len(paths)
 
 
-def settle(df: DataFrame, name: str = "stage", codec: str = "snappy") -> DataFrame:
+def settle(df: DataFrame, name: str = "stage", options: dict[str, str] | None = None) -> DataFrame:
     """Writes a table to the shared folder and returns a scan of it, which cuts the lineage.
 
-    Unlike an in-memory cache, the rows outlive a lost executor.
+    Unlike an in-memory cache, the rows outlive a lost executor. ``options`` are those of
+    the Parquet writer.
     """
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
