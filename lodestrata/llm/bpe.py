@@ -31,7 +31,7 @@ _UNSTABLE = re.compile(r"[^\x00-՗‐-‧‰-⁞₠-₿　-〩ぁ-ゖ゠-ヿ一-
 #: Validity of pairs of tokens that a worker remembers.
 CACHE = 800_000
 #: Letters of texts that are encoded at once, and bytes of the longest fragment merged side by side.
-BATCH, SHORT = 2 << 20, 64
+BATCH, SHORT = 1 << 20, 64
 _NONE = np.int64(1 << 40)
 #: Endings that stand by themselves behind an apostrophe: of one letter, and of two.
 _ONE, _TWO = "stmd", ("re", "ve", "ll")

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from lodestrata.runtime import scratch, settle, ship
 
 _U = np.uint64
+#: How the table of ids is written: it is read twice and is as large as the shards.
+_SMALL = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
 
 
 def feistel(values: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
@@ -106,7 +108,7 @@ def materialise(docs: DataFrame, folder: str, key: int, tokenizer: str = "bytes"
             ids = use.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    coded = settle(rows.mapInArrow(encoded, "doc_id long, ids binary"), "token-ids", "zstd")
+    coded = settle(rows.mapInArrow(encoded, "doc_id long, ids binary"), "token-ids", _SMALL)
     width = np.dtype(_tokens(tokenizer).dtype).itemsize
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
