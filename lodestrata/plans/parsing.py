@@ -53,7 +53,8 @@ def x22_words(spark, sf_dir):
     "x23_canonical",
     """
 SELECT p_partkey, CASE WHEN lower(trim(p_type)) = 'small' OR regexp_matches(lower(p_type), '(^|[^a-z0-9+#])(small|economy)([^a-z0-9+#]|$)') THEN 'small'
-  WHEN lower(trim(p_type)) = 'large' OR regexp_matches(lower(p_type), '(^|[^a-z0-9+#])(large|standard)([^a-z0-9+#]|$)') THEN 'large' ELSE trim(p_type) END AS kind FROM part
+  WHEN lower(trim(p_type)) = 'large' OR regexp_matches(lower(p_type), '(^|[^a-z0-9+#])(large|standard)([^a-z0-9+#]|$)') THEN 'large' ELSE trim(p_type) END AS kind
+  FROM part
 """,
 )
 def x23_canonical(spark, sf_dir):
@@ -94,7 +95,8 @@ def j10_related(spark, sf_dir):
     f"""
 WITH {_OWNED_SQL}
 SELECT c_custkey, round(sum(CASE state WHEN 'covered' THEN 1 WHEN 'partial' THEN 0.6 ELSE 0 END) / count(*), 6) AS coverage,
-       count_if(state = 'covered')::BIGINT AS covered, count_if(state = 'partial')::BIGINT AS partial, count_if(state = 'missing')::BIGINT AS missing FROM states GROUP BY c_custkey
+       count_if(state = 'covered')::BIGINT AS covered, count_if(state = 'partial')::BIGINT AS partial, count_if(state = 'missing')::BIGINT AS missing
+       FROM states GROUP BY c_custkey
 """,
 )
 def v14_coverage(spark, sf_dir):
@@ -217,7 +219,8 @@ def x27_periods(spark, sf_dir):
 @query(
     "x29_contacts",
     rf"""
-SELECT doc_id, nullif(regexp_extract(text, '{P.EMAIL}'), '') AS email, nullif(regexp_replace(regexp_extract(text, 'https?://\S+'), '[。，,;；]+$', ''), '') AS website FROM documents
+SELECT doc_id, nullif(regexp_extract(text, '{P.EMAIL}'), '') AS email, nullif(regexp_replace(regexp_extract(text, 'https?://\S+'), '[。，,;；]+$', ''), '') AS website
+FROM documents
 """,
 )
 def x29_contacts(spark, sf_dir):
@@ -231,7 +234,8 @@ _MARKED_SQL = "array_to_string(list_filter(string_split(lower(text), chr(10)), l
 @query(
     "x33_posting",
     f"""
-WITH d AS (SELECT doc_id, lower(text) AS t, {_MARKED_SQL} AS m, lang FROM documents), n AS (SELECT doc_id, {_names_sql()} AS every, {_names_sql("m")} AS wanted, lang FROM d)
+WITH d AS (SELECT doc_id, lower(text) AS t, {_MARKED_SQL} AS m, lang FROM documents), n AS (SELECT doc_id, {_names_sql()} AS every, {_names_sql("m")} AS wanted, lang
+FROM d)
 SELECT doc_id, lang AS title, array_to_string(list_filter(every, lambda x: NOT list_contains(wanted, x)), ',') AS required,
        array_to_string(list_filter(every, lambda x: list_contains(wanted, x)), ',') AS preferred FROM n
 """,
@@ -280,7 +284,8 @@ _CUT_SQL = "coalesce(" + ", ".join(f"try(decode(encode(h)[1:{n}]))" for n in (40
 WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS lines FROM documents),
 h AS (SELECT doc_id, len(lines) AS n, array_to_string(lines[1:5], chr(10)) AS h FROM l),
 c AS (SELECT *, octet_length(encode(h)) > 400 AS long, {_CUT_SQL} AS cut FROM h)
-SELECT doc_id, CASE WHEN long THEN CASE WHEN contains(cut, chr(10)) AND NOT starts_with(cut, chr(10)) THEN regexp_replace(cut, '(?s)\n[^\n]*$', '') ELSE cut END ELSE h END AS text, long OR n > 5 AS truncated FROM c
+SELECT doc_id, CASE WHEN long THEN CASE WHEN contains(cut, chr(10)) AND NOT starts_with(cut, chr(10)) THEN regexp_replace(cut, '(?s)\n[^\n]*$', '') ELSE cut END ELSE h END AS text, long OR n > 5 AS truncated
+FROM c
 """,
 )
 def x43_bounded(spark, sf_dir):
@@ -288,7 +293,13 @@ def x43_bounded(spark, sf_dir):
     return cut.select("doc_id", "b.text", "b.truncated")
 
 
-@query("x47_bars", "SELECT p_partkey, '[' || repeat('#', round_even(s / 100 * 18, 0)::INT) || repeat('-', 18 - round_even(s / 100 * 18, 0)::INT) || '] ' || printf('%5.1f', s) AS bar, round_even(p_retailprice / 1000, 0)::BIGINT || '-' || round_even(2 * p_retailprice / 1000, 0)::BIGINT || 'K' || CASE WHEN p_size % 24 IN (0, 12) THEN '' ELSE '·' || p_size % 24 || '薪' END AS pay FROM (SELECT *, least(100.0, p_size::DOUBLE * 2) AS s FROM part)")
+@query(
+    "x47_bars",
+    """
+SELECT p_partkey, '[' || repeat('#', round_even(s / 100 * 18, 0)::INT) || repeat('-', 18 - round_even(s / 100 * 18, 0)::INT) || '] ' || printf('%5.1f', s) AS bar, round_even(p_retailprice / 1000, 0)::BIGINT || '-' || round_even(2 * p_retailprice / 1000, 0)::BIGINT || 'K' || CASE WHEN p_size % 24 IN (0, 12) THEN '' ELSE '·' || p_size % 24 || '薪' END AS pay
+FROM (SELECT *, least(100.0, p_size::DOUBLE * 2) AS s FROM part)
+""",
+)
 def x47_bars(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     return part.select("p_partkey", P.score_bar(F.col("p_size").cast("double") * 2).alias("bar"), P.thousands("p_retailprice", F.col("p_retailprice") * 2, F.col("p_size") % 24).alias("pay"))
@@ -321,7 +332,8 @@ def x55_mentions(spark, sf_dir):
 @query(
     "x56_paths",
     rf"""
-WITH l AS (SELECT conv_id, turn, unnest(list_filter(string_split({_STRIP.format("text")}, chr(10)), lambda x: {_STRIP.format("x")} <> '')) AS x FROM conversations WHERE NOT regexp_matches({_STRIP.format("text")}, '^[\[{{]'))
+WITH l AS (SELECT conv_id, turn, unnest(list_filter(string_split({_STRIP.format("text")}, chr(10)), lambda x: {_STRIP.format("x")} <> '')) AS x
+FROM conversations WHERE NOT regexp_matches({_STRIP.format("text")}, '^[\[{{]'))
 SELECT conv_id, turn, count(*) AS n, min({_STRIP.format("regexp_replace(x, '^[- ]+|[- ]+$', '', 'g')")}) AS least FROM l GROUP BY conv_id, turn
 """,
 )
@@ -334,7 +346,8 @@ def x56_paths(spark, sf_dir):
 @query(
     "x59_urls",
     r"""
-WITH u AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host FROM pages)
+WITH u AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host
+FROM pages)
 SELECT page_id, CASE WHEN scheme NOT IN ('http', 'https') THEN 'scheme' WHEN host = '' THEN 'host' WHEN regexp_matches(host, '^(10|127)\.|^192\.168\.') THEN 'address'
        WHEN host = 'localhost' OR regexp_matches(host, '\.(local|internal)$') THEN 'local' WHEN NOT contains(host, '.') THEN 'label' END AS problem FROM u
 """,
@@ -349,9 +362,11 @@ _SECTIONS = ["basic", "skills", "education", "experience"]
 @query(
     "x61_visibility",
     """
-WITH h AS (SELECT c_custkey, list_filter([CASE WHEN c_name <> '' THEN 'basic' END, CASE WHEN c_acctbal > 0 THEN 'skills' END, CASE WHEN c_mktsegment = 'BUILDING' THEN 'experience' END], lambda x: x IS NOT NULL) AS held FROM customer),
+WITH h AS (SELECT c_custkey, list_filter([CASE WHEN c_name <> '' THEN 'basic' END, CASE WHEN c_acctbal > 0 THEN 'skills' END, CASE WHEN c_mktsegment = 'BUILDING' THEN 'experience' END], lambda x: x IS NOT NULL) AS held
+FROM customer),
 i AS (SELECT c_custkey, list_filter(['basic', 'skills', 'education', 'experience'], lambda s: s <> 'education' AND list_contains(held, s)) AS inc FROM h)
-SELECT c_custkey, array_to_string(inc, ',') AS included, array_to_string(list_filter(['basic', 'skills', 'education', 'experience'], lambda s: NOT list_contains(inc, s)), ',') AS excluded FROM i
+SELECT c_custkey, array_to_string(inc, ',') AS included, array_to_string(list_filter(['basic', 'skills', 'education', 'experience'], lambda s: NOT list_contains(inc, s)), ',') AS excluded
+FROM i
 """,
 )
 def x61_visibility(spark, sf_dir):
@@ -371,7 +386,8 @@ def v5_models(spark, sf_dir):
     "v11_formatted",
     """
 WITH r AS (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 5)
-SELECT lang, 'Found ' || count(*) || ' documents:' || chr(10) || string_agg('[' || rank || '] id=' || doc_id || ' score=' || printf('%.3f', n_chars / 1000.0), chr(10) ORDER BY rank) AS answer FROM r GROUP BY lang
+SELECT lang, 'Found ' || count(*) || ' documents:' || chr(10) || string_agg('[' || rank || '] id=' || doc_id || ' score=' || printf('%.3f', n_chars / 1000.0), chr(10)
+ORDER BY rank) AS answer FROM r GROUP BY lang
 """,
 )
 def v11_formatted(spark, sf_dir):
@@ -399,7 +415,8 @@ def v19_route_fit(spark, sf_dir):
 @query(
     "v20_candidates",
     """
-WITH h AS (SELECT o_custkey, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') AS skills, count(DISTINCT year(o_orderdate)) AS years FROM orders GROUP BY o_custkey)
+WITH h AS (SELECT o_custkey, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') AS skills, count(DISTINCT year(o_orderdate)) AS years
+FROM orders GROUP BY o_custkey)
 SELECT c_custkey, c_name AS name, n_name AS city, coalesce(skills, '') AS skills, coalesce(years, 0) AS years
 FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN h ON o_custkey = c_custkey
 """,
@@ -411,7 +428,13 @@ def v20_candidates(spark, sf_dir):
     return people.join(had, "c_custkey", "left").select("c_custkey", F.col("c_name").alias("name"), F.col("n_name").alias("city"), F.coalesce("skills", F.lit("")).alias("skills"), F.coalesce("years", F.lit(0)).alias("years"))
 
 
-@query("u19_filled", "SELECT c_custkey, coalesce(nullif(c_name, ''), 'none') AS name, coalesce(n, 0) AS n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
+@query(
+    "u19_filled",
+    """
+SELECT c_custkey, coalesce(nullif(c_name, ''), 'none') AS name, coalesce(n, 0) AS n_orders
+FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey
+""",
+)
 def u19_filled(spark, sf_dir):
     """Old settings fill only what the profile lacks."""
     old = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
@@ -428,7 +451,8 @@ def s2_json_text(spark, sf_dir):
     "x36_findings",
     r"""
 SELECT page_id, array_to_string(list_filter([CASE WHEN regexp_matches(html, '\bwhile\s+True\s*:') AND NOT contains(html, 'break') THEN 'endless_loop' END,
-  CASE WHEN regexp_matches(html, '(^|[^=!<>])==([^=]|$)|(^|[^=!<>])!=([^=]|$)') THEN 'loose_equality' END], lambda x: x IS NOT NULL), ',') AS findings FROM pages
+  CASE WHEN regexp_matches(html, '(^|[^=!<>])==([^=]|$)|(^|[^=!<>])!=([^=]|$)') THEN 'loose_equality' END], lambda x: x IS NOT NULL), ',') AS findings
+  FROM pages
 """,
 )
 def x36_findings(spark, sf_dir):
@@ -452,7 +476,8 @@ def x32_resumes(spark, sf_dir):
 @query(
     "x31_entries",
     """
-SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name), 'bolt|ring') THEN 'x' ELSE '' END AS kind, len(list_filter(regexp_split_to_array(trim(p_name), '[|/,;\\s]+'), lambda x: x <> '')) AS n_parts FROM part
+SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name), 'bolt|ring') THEN 'x' ELSE '' END AS kind, len(list_filter(regexp_split_to_array(trim(p_name), '[|/,;\\s]+'), lambda x: x <> '')) AS n_parts
+FROM part
 """,
 )
 def x31_entries(spark, sf_dir):
@@ -460,7 +485,14 @@ def x31_entries(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.when(both["title"] != "", "x").otherwise("").alias("kind"), F.size(P.entry_parts("p_name")).cast("long").alias("n_parts"))
 
 
-@query("s6_reports", "SELECT event_type, CASE WHEN json_valid(props) THEN 'read' ELSE 'invalid' END AS status, count(*) AS n FROM events GROUP BY ALL UNION ALL SELECT 'page', CASE WHEN json_valid(html) THEN 'read' ELSE 'invalid' END, count(*) FROM pages GROUP BY ALL")
+@query(
+    "s6_reports",
+    """
+SELECT event_type, CASE WHEN json_valid(props) THEN 'read' ELSE 'invalid' END AS status, count(*) AS n
+FROM events GROUP BY ALL UNION ALL SELECT 'page', CASE WHEN json_valid(html) THEN 'read' ELSE 'invalid' END, count(*)
+FROM pages GROUP BY ALL
+""",
+)
 def s6_reports(spark, sf_dir):
     """What can't be read as JSON becomes a row of the report instead of an error."""
     rows = table(spark, sf_dir, "events").select("event_type", F.col("props").alias("raw")).unionByName(table(spark, sf_dir, "pages").select(F.lit("page").alias("event_type"), F.col("html").alias("raw")))

@@ -28,8 +28,10 @@ def f7_search(spark, sf_dir):
 @query(
     "f8_link_trust",
     r"""
-WITH u AS (SELECT page_id, url, regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1) AS host FROM pages), reg AS (SELECT DISTINCT host, true AS trusted FROM u WHERE page_id % 3 = 0)
-SELECT page_id, CASE WHEN trusted AND starts_with(url, 'https:') THEN url ELSE '' END AS link, CASE WHEN trusted AND starts_with(url, 'https:') THEN 'valid' ELSE 'invalid' END AS status FROM u LEFT JOIN reg USING (host)
+WITH u AS (SELECT page_id, url, regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1) AS host
+FROM pages), reg AS (SELECT DISTINCT host, true AS trusted FROM u WHERE page_id % 3 = 0)
+SELECT page_id, CASE WHEN trusted AND starts_with(url, 'https:') THEN url ELSE '' END AS link, CASE WHEN trusted AND starts_with(url, 'https:') THEN 'valid' ELSE 'invalid' END AS status
+FROM u LEFT JOIN reg USING (host)
 """,
 )
 def f8_link_trust(spark, sf_dir):
@@ -86,7 +88,8 @@ def f23_privacy(spark, sf_dir):
 @query(
     "f27_guard",
     r"""
-SELECT doc_id, CASE WHEN length(text) > 5000 THEN 'length' WHEN regexp_matches(text, '[\w.+-]+@[\w-]+\.[\w.]+') THEN 'e-mail' WHEN regexp_matches(text, '\+?\d[\d -]{8,}\d') THEN 'phone' END AS reason FROM documents
+SELECT doc_id, CASE WHEN length(text) > 5000 THEN 'length' WHEN regexp_matches(text, '[\w.+-]+@[\w-]+\.[\w.]+') THEN 'e-mail' WHEN regexp_matches(text, '\+?\d[\d -]{8,}\d') THEN 'phone' END AS reason
+FROM documents
 """,
 )
 def f27_guard(spark, sf_dir):
@@ -124,7 +127,8 @@ def j19_backups(spark, sf_dir):
 @query(
     "a3_salary_query",
     """
-WITH m AS (SELECT o_orderpriority AS grp, (o_totalprice + o_totalprice * 2) / 2 AS mid, o_orderkey FROM orders WHERE contains(o_orderpriority, 'H') OR contains(o_orderpriority, 'U'))
+WITH m AS (SELECT o_orderpriority AS grp, (o_totalprice + o_totalprice * 2) / 2 AS mid, o_orderkey
+FROM orders WHERE contains(o_orderpriority, 'H') OR contains(o_orderpriority, 'U'))
 SELECT grp, count(*) AS n, quantile_cont(mid, 0.5) AS median, quantile_cont(mid * 12, 0.5) AS yearly, arg_max(o_orderkey, mid) AS top FROM m GROUP BY grp
 """,
 )
@@ -138,8 +142,10 @@ def a3_salary_query(spark, sf_dir):
 @query(
     "a5_bands",
     """
-WITH q AS (SELECT p_type, quantile_cont(p_retailprice, 0.25) AS lo, quantile_cont(p_retailprice, 0.5) AS mid, quantile_cont(p_retailprice, 0.75) AS hi FROM part GROUP BY p_type)
-SELECT p_partkey, CASE WHEN p_retailprice <= lo THEN 'low' WHEN p_retailprice >= hi THEN 'high' ELSE 'middle' END AS band, greatest(p_retailprice, hi) AS anchor, round(100 * (p_retailprice - mid) / mid, 6) AS vs_median FROM part JOIN q USING (p_type)
+WITH q AS (SELECT p_type, quantile_cont(p_retailprice, 0.25) AS lo, quantile_cont(p_retailprice, 0.5) AS mid, quantile_cont(p_retailprice, 0.75) AS hi
+FROM part GROUP BY p_type)
+SELECT p_partkey, CASE WHEN p_retailprice <= lo THEN 'low' WHEN p_retailprice >= hi THEN 'high' ELSE 'middle' END AS band, greatest(p_retailprice, hi) AS anchor, round(100 * (p_retailprice - mid) / mid, 6) AS vs_median
+FROM part JOIN q USING (p_type)
 """,
 )
 def a5_bands(spark, sf_dir):
@@ -155,7 +161,13 @@ def a13_counts(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
 
-@query("a17_report_sum", "SELECT l_returnflag, CAST(sum(l_linenumber) AS BIGINT) AS chunks, count_if(l_quantity > 45) AS failed, array_to_string(list_sort(list_distinct(list(l_linestatus))), ',') AS notes FROM lineitem GROUP BY l_returnflag")
+@query(
+    "a17_report_sum",
+    """
+SELECT l_returnflag, CAST(sum(l_linenumber) AS BIGINT) AS chunks, count_if(l_quantity > 45) AS failed, array_to_string(list_sort(list_distinct(list(l_linestatus))), ',') AS notes
+FROM lineitem GROUP BY l_returnflag
+""",
+)
 def a17_report_sum(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.sum("l_linenumber").alias("chunks"), F.count_if(F.col("l_quantity") > 45).alias("failed"), F.array_join(F.array_sort(F.collect_set("l_linestatus")), ",").alias("notes"))
 
@@ -166,7 +178,13 @@ def a18_usage(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sum(X.char_estimate("text")).over(w).alias("used"))
 
 
-@query("a20_sessions", "SELECT conv_id, count(*) AS turns, count_if(role = 'user') AS asked, substr(arg_min(text, turn), 1, 80) AS summary, CAST(sum((length(text) + 3) // 4) AS BIGINT) AS estimate FROM conversations GROUP BY conv_id")
+@query(
+    "a20_sessions",
+    """
+SELECT conv_id, count(*) AS turns, count_if(role = 'user') AS asked, substr(arg_min(text, turn), 1, 80) AS summary, CAST(sum((length(text) + 3) // 4) AS BIGINT) AS estimate
+FROM conversations GROUP BY conv_id
+""",
+)
 def a20_sessions(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
         F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("asked"), F.substr(F.min_by("text", "turn"), F.lit(1), F.lit(80)).alias("summary"), F.sum(X.char_estimate("text")).alias("estimate"),
@@ -182,7 +200,14 @@ def a21_grades(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.avg(value), 1).alias("mean"), F.count_if(value >= 80).alias("good"), F.count_if(value < 60).alias("poor"), F.round(100.0 * F.count(value) / F.count("*"), 6).alias("done"))
 
 
-@query("a24_markdown", "SELECT n_regionkey, '## ' || n_regionkey || chr(10) || string_agg('- ' || n_name || ' (' || c || ')', chr(10) ORDER BY n_name) AS doc FROM (SELECT n_regionkey, n_name, count(*) AS c FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL) GROUP BY n_regionkey")
+@query(
+    "a24_markdown",
+    """
+SELECT n_regionkey, '## ' || n_regionkey || chr(10) || string_agg('- ' || n_name || ' (' || c || ')', chr(10)
+ORDER BY n_name) AS doc FROM (SELECT n_regionkey, n_name, count(*) AS c
+FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL) GROUP BY n_regionkey
+""",
+)
 def a24_markdown(spark, sf_dir):
     both = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "n_name").agg(F.count("*").alias("c"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("n_name", "c"))), lambda x: F.concat(F.lit("- "), x["n_name"], F.lit(" ("), x["c"], F.lit(")")))
@@ -192,7 +217,8 @@ def a24_markdown(spark, sf_dir):
 @query(
     "w7_categories",
     """
-WITH m AS (SELECT *, p_type IN ('PROMO', 'SMALL') AS wanted FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_size, p_partkey) AS round FROM m)
+WITH m AS (SELECT *, p_type IN ('PROMO', 'SMALL') AS wanted FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type
+ORDER BY p_size, p_partkey) AS round FROM m)
 SELECT p_brand, p_partkey FROM r QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY wanted DESC, round, p_type) <= 10
 """,
 )
@@ -212,8 +238,10 @@ def w9_ranks(spark, sf_dir):
 @query(
     "k5_blend",
     """
-WITH s AS (SELECT p_brand, p_partkey, p_retailprice AS a, p_size / 50.0 AS b FROM part), m AS (SELECT *, min(a) OVER w AS lo, max(a) OVER w AS hi FROM s WINDOW w AS (PARTITION BY p_brand))
-SELECT p_brand, p_partkey, round((0.7 * CASE WHEN hi > lo THEN (a - lo) / (hi - lo) WHEN a > 0 THEN 1 ELSE 0 END + 0.3 * greatest(0, least(1, b)))::DOUBLE, 6) AS score FROM m
+WITH s AS (SELECT p_brand, p_partkey, p_retailprice AS a, p_size / 50.0 AS b
+FROM part), m AS (SELECT *, min(a) OVER w AS lo, max(a) OVER w AS hi FROM s WINDOW w AS (PARTITION BY p_brand))
+SELECT p_brand, p_partkey, round((0.7 * CASE WHEN hi > lo THEN (a - lo) / (hi - lo) WHEN a > 0 THEN 1 ELSE 0 END + 0.3 * greatest(0, least(1, b)))::DOUBLE, 6) AS score
+FROM m
 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY round((0.7 * CASE WHEN hi > lo THEN (a - lo) / (hi - lo) WHEN a > 0 THEN 1 ELSE 0 END + 0.3 * greatest(0, least(1, b)))::DOUBLE, 6) DESC, p_partkey) <= 5
 """,
 )
@@ -262,7 +290,14 @@ def d11_concat(spark, sf_dir):
     return first.unionByName(table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.lit(2).alias("place"), F.col("o_orderkey").alias("k")))
 
 
-@query("d12_seen_urls", "SELECT sha256(trim(url)) AS url_key, min(page_id) AS page_id, count(*) AS n FROM pages WHERE sha256(trim(url)) NOT IN (SELECT sha256(trim(url)) FROM pages WHERE page_id % 10 = 0) GROUP BY 1")
+@query(
+    "d12_seen_urls",
+    """
+SELECT sha256(trim(url)) AS url_key, min(page_id) AS page_id, count(*) AS n
+FROM pages WHERE sha256(trim(url)) NOT IN (SELECT sha256(trim(url)) FROM pages
+WHERE page_id % 10 = 0) GROUP BY 1
+""",
+)
 def d12_seen_urls(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.sha2(F.trim("url"), 256).alias("url_key"))
     return pages.join(pages.where("page_id % 10 = 0").select("url_key"), "url_key", "left_anti").groupBy("url_key").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
@@ -287,7 +322,8 @@ def d13_missing(spark, sf_dir):
     "u9_cards",
     """
 WITH c AS (SELECT event_type || ':' || (user_id % 40) AS fingerprint, event_id, event_type, value FROM events)
-SELECT fingerprint, count(*) AS seen, min(event_id) AS first_id, max(event_id) AS last_id, max(CAST(floor(value) AS BIGINT)) AS score, array_to_string(list_sort(list_distinct(list(CASE WHEN value > 50 THEN 'high' ELSE 'low' END))), ',') AS labels FROM c GROUP BY fingerprint
+SELECT fingerprint, count(*) AS seen, min(event_id) AS first_id, max(event_id) AS last_id, max(CAST(floor(value) AS BIGINT)) AS score, array_to_string(list_sort(list_distinct(list(CASE WHEN value > 50 THEN 'high' ELSE 'low' END))), ',') AS labels
+FROM c GROUP BY fingerprint
 """,
 )
 def u9_cards(spark, sf_dir):
@@ -314,7 +350,9 @@ def u15_backfill(spark, sf_dir):
 @query(
     "u6_projection",
     """
-WITH o AS (SELECT c_nationkey AS k, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS h FROM customer WHERE c_custkey % 10 > 0 GROUP BY 1), w AS (SELECT c_nationkey AS k, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS h FROM customer GROUP BY 1)
+WITH o AS (SELECT c_nationkey AS k, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS h
+FROM customer WHERE c_custkey % 10 > 0 GROUP BY 1), w AS (SELECT c_nationkey AS k, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS h
+FROM customer GROUP BY 1)
 SELECT w.k, w.n, o.h IS DISTINCT FROM w.h AS refreshed FROM w LEFT JOIN o USING (k)
 """,
 )
@@ -339,7 +377,8 @@ def c6_recent(spark, sf_dir):
 @query(
     "c2_split",
     """
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, lag(role) OVER (PARTITION BY conv_id
+ORDER BY turn) AS before FROM conversations),
 b AS (SELECT conv_id, max(CASE WHEN back >= 4 AND NOT (role = 'assistant' AND before = 'user') THEN turn END) AS boundary FROM r GROUP BY conv_id)
 SELECT conv_id, turn, turn >= coalesce(boundary, -1) AS recent FROM r JOIN b USING (conv_id)
 """,
@@ -365,7 +404,13 @@ def t15_retention(spark, sf_dir):
     return table(spark, sf_dir, "events").where(young | (F.col("event_type") == "purchase")).groupBy("event_type").agg(F.count("*").alias("kept"))
 
 
-@query("t11_gates", "SELECT user_id, count(DISTINCT CAST(ts AS DATE)) AS days FROM events WHERE ts > TIMESTAMP '2024-01-20' GROUP BY user_id HAVING count(DISTINCT CAST(ts AS DATE)) >= 5 AND max(ts) - min(ts) >= INTERVAL 24 HOURS")
+@query(
+    "t11_gates",
+    """
+SELECT user_id, count(DISTINCT CAST(ts AS DATE)) AS days FROM events WHERE ts > TIMESTAMP '2024-01-20'
+GROUP BY user_id HAVING count(DISTINCT CAST(ts AS DATE)) >= 5 AND max(ts) - min(ts) >= INTERVAL 24 HOURS
+""",
+)
 def t11_gates(spark, sf_dir):
     rows = table(spark, sf_dir, "events").where(F.col("ts") > F.lit(dt.datetime(2024, 1, 20)))
     told = rows.groupBy("user_id").agg(F.countDistinct(F.to_date("ts")).alias("days"), F.min("ts").alias("a"), F.max("ts").alias("b"))
@@ -378,7 +423,13 @@ def x26_degrees(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.degree_level(words).alias("level"))
 
 
-@query("x46_ages", "SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-12-01') AS age, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
+@query(
+    "x46_ages",
+    """
+SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-12-01') AS age, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day
+FROM orders
+""",
+)
 def x46_ages(spark, sf_dir):
     stated = F.when(F.col("o_orderkey") % 9 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm"))
     day = F.try_to_date(F.substr(stated, F.lit(1), F.lit(10)), "yyyy-MM-dd")
@@ -402,7 +453,14 @@ def x49_pieces(spark, sf_dir):
     return lines.select("doc_id", F.size("l").cast("long").alias("lines"), F.array_max(F.transform("l", F.length)).cast("long").alias("longest"))
 
 
-@query("x34_direction", "SELECT doc_id, CASE WHEN fr = 0 AND de = 0 AND es = 0 THEN 'other' WHEN fr >= de AND fr >= es THEN 'fr' WHEN de >= es THEN 'de' ELSE 'es' END AS direction FROM (SELECT doc_id, len(regexp_extract_all(text, 'eau|aux|tion')) AS fr, len(regexp_extract_all(text, 'ung|heit|sch')) AS de, len(regexp_extract_all(text, 'ción|mente|ado')) AS es FROM documents)")
+@query(
+    "x34_direction",
+    """
+SELECT doc_id, CASE WHEN fr = 0 AND de = 0 AND es = 0 THEN 'other' WHEN fr >= de AND fr >= es THEN 'fr' WHEN de >= es THEN 'de' ELSE 'es' END AS direction
+FROM (SELECT doc_id, len(regexp_extract_all(text, 'eau|aux|tion')) AS fr, len(regexp_extract_all(text, 'ung|heit|sch')) AS de, len(regexp_extract_all(text, 'ción|mente|ado')) AS es
+FROM documents)
+""",
+)
 def x34_direction(spark, sf_dir):
     hits = [(F.regexp_count("text", F.lit(p)), name) for name, p in (("fr", "eau|aux|tion"), ("de", "ung|heit|sch"), ("es", "ción|mente|ado"))]
     most = F.greatest(*(h for h, _ in hits))
@@ -419,7 +477,15 @@ def s18_adapter(spark, sf_dir):
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.array_join(parts, "\n\n").alias("body"))
 
 
-@query("s20_cards", "SELECT source, count(*) AS n FROM (SELECT 'page' AS source, page_id AS id FROM pages UNION ALL SELECT 'turn', conv_id FROM conversations WHERE role = 'user' UNION ALL SELECT 'event', event_id FROM events WHERE event_type = 'error') GROUP BY source")
+@query(
+    "s20_cards",
+    """
+SELECT source, count(*) AS n FROM (SELECT 'page' AS source, page_id AS id
+FROM pages UNION ALL SELECT 'turn', conv_id FROM conversations WHERE role = 'user'
+UNION ALL SELECT 'event', event_id FROM events WHERE event_type = 'error')
+GROUP BY source
+""",
+)
 def s20_cards(spark, sf_dir):
     one = lambda name, rows, key: rows.select(F.lit(name).alias("source"), F.col(key).alias("id"))
     cards = one("page", table(spark, sf_dir, "pages"), "page_id").unionByName(one("turn", table(spark, sf_dir, "conversations").where("role = 'user'"), "conv_id")).unionByName(one("event", table(spark, sf_dir, "events").where("event_type = 'error'"), "event_id"))

@@ -32,7 +32,13 @@ def t3_stream_dedup(spark, sf_dir):
     return _drained(once, "dedup").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("t1_collect", "SELECT user_id, count(*) AS n, min(ts) AS first FROM events WHERE ts > TIMESTAMP '2024-01-10' AND event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'error') GROUP BY user_id")
+@query(
+    "t1_collect",
+    """
+SELECT user_id, count(*) AS n, min(ts) AS first FROM events WHERE ts > TIMESTAMP '2024-01-10' AND event_id NOT IN (SELECT event_id
+FROM events WHERE event_type = 'error') GROUP BY user_id
+""",
+)
 def t1_collect(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     fresh, _ = S.new_items(events, events.where("event_type = 'error'"), dt.datetime(2024, 1, 10), "event_id", "ts")
@@ -54,8 +60,10 @@ def s13_objects(spark, sf_dir):
     "s5_plan",
     """
 WITH a AS (SELECT doc_id::VARCHAR AS path, substr(sha256(text), 1, 32) AS hash FROM documents WHERE doc_id % 5 > 0),
-b AS (SELECT doc_id::VARCHAR AS path, substr(sha256(CASE WHEN doc_id % 7 = 0 THEN upper(lang) ELSE text END), 1, 32) AS hash FROM documents WHERE doc_id % 5 < 4)
-SELECT coalesce(a.path, b.path) AS path, coalesce(a.hash, b.hash) AS hash, CASE WHEN a.hash IS NULL THEN 'delete' WHEN b.hash IS NULL THEN 'insert' WHEN a.hash = b.hash THEN 'skip' ELSE 'update' END AS action FROM a FULL JOIN b USING (path)
+b AS (SELECT doc_id::VARCHAR AS path, substr(sha256(CASE WHEN doc_id % 7 = 0 THEN upper(lang) ELSE text END), 1, 32) AS hash
+FROM documents WHERE doc_id % 5 < 4)
+SELECT coalesce(a.path, b.path) AS path, coalesce(a.hash, b.hash) AS hash, CASE WHEN a.hash IS NULL THEN 'delete' WHEN b.hash IS NULL THEN 'insert' WHEN a.hash = b.hash THEN 'skip' ELSE 'update' END AS action
+FROM a FULL JOIN b USING (path)
 """,
 )
 def s5_plan(spark, sf_dir):
@@ -71,7 +79,8 @@ def s5_plan(spark, sf_dir):
     "s15_attributes",
     r"""
 WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<(?:html|meta|div)\s[^>]*>')) AS tag FROM pages)
-SELECT regexp_extract(tag, '(?:lang|charset|class)="([^"]*)"', 1) AS value, count(*) AS n FROM t WHERE regexp_matches(tag, '(?:lang|charset|class)="') GROUP BY 1
+SELECT regexp_extract(tag, '(?:lang|charset|class)="([^"]*)"', 1) AS value, count(*) AS n
+FROM t WHERE regexp_matches(tag, '(?:lang|charset|class)="') GROUP BY 1
 """,
 )
 def s15_attributes(spark, sf_dir):

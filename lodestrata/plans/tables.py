@@ -110,7 +110,8 @@ def f25_fresh(spark, sf_dir):
 @query(
     "f26_rollup",
     """
-SELECT l_orderkey, CASE WHEN bool_or(l_linestatus = 'O') THEN 'pending' WHEN bool_or(l_returnflag = 'R') THEN 'failed' ELSE 'success' END AS state FROM lineitem GROUP BY l_orderkey
+SELECT l_orderkey, CASE WHEN bool_or(l_linestatus = 'O') THEN 'pending' WHEN bool_or(l_returnflag = 'R') THEN 'failed' ELSE 'success' END AS state
+FROM lineitem GROUP BY l_orderkey
 """,
 )
 def f26_rollup(spark, sf_dir):
@@ -121,7 +122,9 @@ def f26_rollup(spark, sf_dir):
 @query(
     "j2_lookup",
     """
-SELECT r_name, n_name, count(c_custkey) AS n, coalesce(sum(c_acctbal), 0) AS balance FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey GROUP BY r_name, n_name
+SELECT r_name, n_name, count(c_custkey) AS n, coalesce(sum(c_acctbal), 0) AS balance
+FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey
+GROUP BY r_name, n_name
 """,
 )
 def j2_lookup(spark, sf_dir):
@@ -134,7 +137,8 @@ def j2_lookup(spark, sf_dir):
 @query(
     "j3_alias_keys",
     """
-WITH k AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'id' WHEN lower(replace(c_mktsegment, ' ', '')) IN ('machinery', 'furniture') THEN 'alias' ELSE 'name' END AS how, lower(replace(c_mktsegment, ' ', '')) AS seg FROM customer)
+WITH k AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'id' WHEN lower(replace(c_mktsegment, ' ', '')) IN ('machinery', 'furniture') THEN 'alias' ELSE 'name' END AS how, lower(replace(c_mktsegment, ' ', '')) AS seg
+FROM customer)
 SELECT how, CASE how WHEN 'alias' THEN 'industry' WHEN 'id' THEN 'id' ELSE seg END AS key, count(*) AS n FROM k GROUP BY ALL
 """,
 )
@@ -222,8 +226,10 @@ def j17_snapshot_diff(spark, sf_dir):
 @query(
     "j18_set_ops",
     """
-WITH s AS (SELECT l_orderkey, list_sort(list_distinct(list(l_returnflag) FILTER (WHERE l_linenumber % 2 = 0))) AS a, list_sort(list_distinct(list(l_returnflag) FILTER (WHERE l_linenumber % 2 = 1))) AS b FROM lineitem GROUP BY l_orderkey)
-SELECT l_orderkey, array_to_string(list_sort(list_intersect(coalesce(a, []), coalesce(b, []))), ',') AS common, array_to_string(list_filter(coalesce(a, []), lambda x: NOT list_contains(coalesce(b, []), x)), ',') AS only_even FROM s
+WITH s AS (SELECT l_orderkey, list_sort(list_distinct(list(l_returnflag) FILTER (WHERE l_linenumber % 2 = 0))) AS a, list_sort(list_distinct(list(l_returnflag) FILTER (WHERE l_linenumber % 2 = 1))) AS b
+FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, array_to_string(list_sort(list_intersect(coalesce(a, []), coalesce(b, []))), ',') AS common, array_to_string(list_filter(coalesce(a, []), lambda x: NOT list_contains(coalesce(b, []), x)), ',') AS only_even
+FROM s
 """,
 )
 def j18_set_ops(spark, sf_dir):
@@ -244,7 +250,8 @@ def j14_pairs(spark, sf_dir):
     "a1_projection",
     """
 SELECT n_regionkey, count(*) AS n, array_to_string(list_sort(list_distinct(list(c_mktsegment))), ',') AS segments, arg_min(c_name, c_custkey) AS first_name,
-       max(c_name) AS last_name, CASE WHEN bool_or(c_acctbal > 9900) THEN 'active' ELSE 'stale' END AS status FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_regionkey
+       max(c_name) AS last_name, CASE WHEN bool_or(c_acctbal > 9900) THEN 'active' ELSE 'stale' END AS status
+       FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_regionkey
 """,
 )
 def a1_projection(spark, sf_dir):
@@ -270,9 +277,11 @@ def a2_quantiles(spark, sf_dir):
 @query(
     "a4_compare",
     """
-WITH g AS (SELECT unnest(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN [o_orderpriority, 'important'] ELSE [o_orderpriority] END) AS grp, o_totalprice AS v FROM orders),
+WITH g AS (SELECT unnest(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN [o_orderpriority, 'important'] ELSE [o_orderpriority] END) AS grp, o_totalprice AS v
+FROM orders),
 b AS (SELECT quantile_cont(v, 0.5) AS base FROM g)
-SELECT grp, count(v) AS n, quantile_cont(v, 0.5) AS median, round(100 * (quantile_cont(v, 0.5) - any_value(base)) / any_value(base), 6) AS vs_overall_pct FROM g, b GROUP BY grp
+SELECT grp, count(v) AS n, quantile_cont(v, 0.5) AS median, round(100 * (quantile_cont(v, 0.5) - any_value(base)) / any_value(base), 6) AS vs_overall_pct
+FROM g, b GROUP BY grp
 """,
 )
 def a4_compare(spark, sf_dir):
@@ -304,8 +313,10 @@ def a7_funnel(spark, sf_dir):
 @query(
     "a16_report",
     """
-WITH r AS (SELECT l_shipmode_ AS source, act FROM (SELECT l_returnflag AS l_shipmode_, CASE WHEN l_quantity > 40 THEN 'inserted' WHEN l_quantity > 20 THEN 'updated' ELSE 'skipped' END AS act FROM lineitem))
-SELECT coalesce(source, 'all') AS source, count(*) AS fetched, count_if(act = 'inserted') AS inserted, count_if(act = 'updated') AS updated, count_if(act = 'skipped') AS skipped FROM r GROUP BY ROLLUP (source)
+WITH r AS (SELECT l_shipmode_ AS source, act FROM (SELECT l_returnflag AS l_shipmode_, CASE WHEN l_quantity > 40 THEN 'inserted' WHEN l_quantity > 20 THEN 'updated' ELSE 'skipped' END AS act
+FROM lineitem))
+SELECT coalesce(source, 'all') AS source, count(*) AS fetched, count_if(act = 'inserted') AS inserted, count_if(act = 'updated') AS updated, count_if(act = 'skipped') AS skipped
+FROM r GROUP BY ROLLUP (source)
 """,
 )
 def a16_report(spark, sf_dir):
@@ -320,7 +331,8 @@ PRICES = {"PROMO": 2.0, "STANDARD": 1.0, "STANDARD POLISHED": 1.5}
 @query(
     "a19_costs",
     """
-SELECT p_type, CASE WHEN p_type LIKE 'STANDARD POLISHED%' THEN 1.5 WHEN p_type LIKE 'STANDARD%' THEN 1.0 WHEN p_type LIKE 'PROMO%' THEN 2.0 END::DOUBLE * sum(p_size) AS cost, count(*) AS n FROM part GROUP BY p_type
+SELECT p_type, CASE WHEN p_type LIKE 'STANDARD POLISHED%' THEN 1.5 WHEN p_type LIKE 'STANDARD%' THEN 1.0 WHEN p_type LIKE 'PROMO%' THEN 2.0 END::DOUBLE * sum(p_size) AS cost, count(*) AS n
+FROM part GROUP BY p_type
 """,
 )
 def a19_costs(spark, sf_dir):
@@ -352,7 +364,8 @@ def a25_span(spark, sf_dir):
     "a14_dashboard",
     """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders)
-SELECT o_orderstatus, rank, o_orderkey, (SELECT count(*) FROM orders o WHERE o.o_orderstatus = r.o_orderstatus) AS n FROM r WHERE rank <= CASE o_orderstatus WHEN 'O' THEN 6 ELSE 5 END
+SELECT o_orderstatus, rank, o_orderkey, (SELECT count(*) FROM orders o WHERE o.o_orderstatus = r.o_orderstatus) AS n
+FROM r WHERE rank <= CASE o_orderstatus WHEN 'O' THEN 6 ELSE 5 END
 """,
 )
 def a14_dashboard(spark, sf_dir):
@@ -364,7 +377,9 @@ def a14_dashboard(spark, sf_dir):
 @query(
     "w5_round_robin",
     """
-WITH b AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS round, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS first_seen FROM customer)
+WITH b AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment
+ORDER BY c_custkey) AS round, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS first_seen
+FROM customer)
 SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY round, first_seen) AS place FROM b
 """,
 )
@@ -379,7 +394,8 @@ def w5_round_robin(spark, sf_dir):
     """
 WITH c AS (SELECT l_orderkey, l_linenumber, l_extendedprice, greatest(1, CAST(l_quantity AS BIGINT)) AS cost FROM lineitem),
 s AS (SELECT *, sum(cost) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber ROWS UNBOUNDED PRECEDING) AS e FROM c)
-SELECT l_orderkey, l_linenumber, CAST(least(cost, 100 - (e - cost)) AS BIGINT) AS used, e > 100 AS truncated FROM s WHERE e <= 100 OR (e - cost <= 100 AND 100 - (e - cost) >= 10)
+SELECT l_orderkey, l_linenumber, CAST(least(cost, 100 - (e - cost)) AS BIGINT) AS used, e > 100 AS truncated
+FROM s WHERE e <= 100 OR (e - cost <= 100 AND 100 - (e - cost) >= 10)
 """,
 )
 def w1_packing(spark, sf_dir):
@@ -391,7 +407,9 @@ def w1_packing(spark, sf_dir):
 @query(
     "w14_runs",
     """
-WITH f AS (SELECT *, CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS s FROM events), g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS segment FROM f)
+WITH f AS (SELECT *, CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS s
+FROM events), g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS segment
+FROM f)
 SELECT user_id, CAST(segment AS BIGINT) AS segment, count(*) AS n, min(event_id) AS least_event FROM g GROUP BY user_id, segment
 """,
 )
@@ -403,7 +421,9 @@ def w14_runs(spark, sf_dir):
 @query(
     "w13_sections",
     """
-WITH s AS (SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'signup' THEN event_id::VARCHAR END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 'preamble') AS section FROM events)
+WITH s AS (SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'signup' THEN event_id::VARCHAR END IGNORE NULLS) OVER (PARTITION BY user_id
+ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 'preamble') AS section
+FROM events)
 SELECT section, count(*) AS n FROM s GROUP BY section
 """,
 )
@@ -427,7 +447,8 @@ def w16_recent_unique(spark, sf_dir):
 @query(
     "t2_sessions",
     """
-WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOURS THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOURS THEN 1 ELSE 0 END AS s
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 h AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM h GROUP BY user_id, k
 """,
@@ -447,7 +468,9 @@ def k13_latest(spark, sf_dir):
 @query(
     "k17_reminders",
     """
-SELECT o_orderkey, a AS age_days, CASE WHEN a >= 14 THEN 'stale' WHEN a >= 7 THEN 'follow-up' ELSE 'recent' END AS level FROM (SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-12-01') AS a FROM orders WHERE o_orderstatus = 'O')
+SELECT o_orderkey, a AS age_days, CASE WHEN a >= 14 THEN 'stale' WHEN a >= 7 THEN 'follow-up' ELSE 'recent' END AS level
+FROM (SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-12-01') AS a
+FROM orders WHERE o_orderstatus = 'O')
 """,
 )
 def k17_reminders(spark, sf_dir):
@@ -487,7 +510,9 @@ def d3_any_key(spark, sf_dir):
 @query(
     "d6_facts",
     """
-WITH r AS (SELECT event_type || ':' || user_id AS k, value, event_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY value DESC, event_id DESC) AS rn, min(event_id) OVER (PARTITION BY event_type, user_id) AS position FROM events)
+WITH r AS (SELECT event_type || ':' || user_id AS k, value, event_id, row_number() OVER (PARTITION BY event_type, user_id
+ORDER BY value DESC, event_id DESC) AS rn, min(event_id) OVER (PARTITION BY event_type, user_id) AS position
+FROM events)
 SELECT k, event_id, position FROM r WHERE rn = 1
 """,
 )
@@ -519,7 +544,8 @@ def u1_upsert(spark, sf_dir):
 
 _MERGE_SQL = """
 WITH a AS (SELECT c_custkey AS k, c_name AS name, c_mktsegment AS seg, c_nationkey AS h FROM customer WHERE c_custkey % 4 < 3),
-b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE upper(c_name) END AS name, c_mktsegment AS seg, c_nationkey + (c_custkey % 5 = 0)::INT AS h FROM customer WHERE c_custkey % 4 > 0),
+b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE upper(c_name) END AS name, c_mktsegment AS seg, c_nationkey + (c_custkey % 5 = 0)::INT AS h
+FROM customer WHERE c_custkey % 4 > 0),
 m AS (SELECT coalesce(a.k, b.k) AS k, coalesce(nullif(b.name, ''), a.name) AS name, coalesce(b.h, a.h) AS h,
   CASE WHEN a.k IS NULL THEN 'insert' WHEN b.k IS NULL THEN 'keep' WHEN a.h = b.h THEN 'skip' ELSE 'update' END AS action FROM a FULL JOIN b ON a.k = b.k)
 """

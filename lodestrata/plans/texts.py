@@ -41,7 +41,8 @@ _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 @query(
     "x7_normalized",
     rf"""
-WITH n AS (SELECT doc_id, {_STRIP.format(r"regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')")} AS t FROM documents)
+WITH n AS (SELECT doc_id, {_STRIP.format(r"regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')")} AS t
+FROM documents)
 SELECT doc_id, sha256(t) AS text_sha256, length(t) AS n_chars FROM n
 """,
 )
@@ -98,7 +99,8 @@ def x38_facts(spark, sf_dir):
     "d4_signatures",
     rf"""
 WITH s AS (
-  SELECT doc_id, sha256(lang || chr(10) || {_STRIP.format(r"regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g')")}) AS signature FROM documents
+  SELECT doc_id, sha256(lang || chr(10) || {_STRIP.format(r"regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g')")}) AS signature
+  FROM documents
 ) SELECT signature, count(*) AS n, min(doc_id) AS first_doc FROM s GROUP BY signature
 """,
 )
@@ -195,7 +197,8 @@ def s14_blocks(spark, sf_dir):
 @query(
     "x16_urls",
     r"""
-WITH u AS (SELECT page_id, url, regexp_extract(lower(url), '^([a-z][a-z0-9+.-]*)://', 1) AS scheme, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)', 1) AS host FROM pages),
+WITH u AS (SELECT page_id, url, regexp_extract(lower(url), '^([a-z][a-z0-9+.-]*)://', 1) AS scheme, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)', 1) AS host
+FROM pages),
 r AS (
   SELECT *, CASE WHEN scheme <> 'https' THEN 'scheme'
     WHEN NOT (host IN ('example.com', 'example.org') OR host LIKE '%.example.com' OR host LIKE '%.example.org') THEN 'domain'
@@ -270,7 +273,8 @@ def x25_experience(spark, sf_dir):
     "x50_session_keys",
     """
 WITH k AS (
-  SELECT event_type || ':' || (user_id % 7) || CASE WHEN event_id % 3 = 0 THEN ':' || (event_id % 5) || ':' || user_id WHEN event_id % 3 = 1 THEN ':' || user_id ELSE '' END AS session_key, event_id FROM events
+  SELECT event_type || ':' || (user_id % 7) || CASE WHEN event_id % 3 = 0 THEN ':' || (event_id % 5) || ':' || user_id WHEN event_id % 3 = 1 THEN ':' || user_id ELSE '' END AS session_key, event_id
+  FROM events
 ) SELECT session_key, count(*) AS n, min(event_id) AS first_event FROM k GROUP BY session_key
 """,
 )
@@ -312,7 +316,8 @@ def x19_json_props(spark, sf_dir):
 @query(
     "x52_questions",
     r"""
-WITH p AS (SELECT conv_id, turn, unnest(list_filter(list_transform(regexp_split_to_array(text, '[\n.;]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 0 AND regexp_matches(lower(x), 'wh|\?'))) AS q FROM conversations WHERE role = 'user')
+WITH p AS (SELECT conv_id, turn, unnest(list_filter(list_transform(regexp_split_to_array(text, '[\n.;]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 0 AND regexp_matches(lower(x), 'wh|\?'))) AS q
+FROM conversations WHERE role = 'user')
 SELECT conv_id, turn, count(*) AS n, min(q) AS least FROM p GROUP BY conv_id, turn
 """,
 )

@@ -25,7 +25,13 @@ def a8_trend(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
 
 
-@query("a9_overview", "SELECT user_id, array_to_string(list(event_type ORDER BY ts DESC, event_id DESC)[1:5], ',') AS recent, count_if(event_type <> 'purchase') AS active FROM events GROUP BY user_id")
+@query(
+    "a9_overview",
+    """
+SELECT user_id, array_to_string(list(event_type ORDER BY ts DESC, event_id DESC)[1:5], ',') AS recent, count_if(event_type <> 'purchase') AS active
+FROM events GROUP BY user_id
+""",
+)
 def a9_overview(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     best = N.latest(events, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], 5)
@@ -60,7 +66,9 @@ def k12_selected(spark, sf_dir):
 @query(
     "w2_joint_budget",
     """
-WITH c AS (SELECT conv_id, turn, greatest(1, (length(text) + 3) // 4) AS cost FROM conversations), s AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS e FROM c)
+WITH c AS (SELECT conv_id, turn, greatest(1, (length(text) + 3) // 4) AS cost
+FROM conversations), s AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id
+ORDER BY turn ROWS UNBOUNDED PRECEDING) AS e FROM c)
 SELECT conv_id, turn, CAST(least(cost, 60 - (e - cost)) AS BIGINT) AS used FROM s WHERE e <= 60 OR (e - cost <= 60 AND 60 - (e - cost) >= 1)
 """,
 )
@@ -73,7 +81,8 @@ def w2_joint_budget(spark, sf_dir):
 @query(
     "w8_filler",
     """
-WITH r AS (SELECT p_brand, p_partkey, p_type, p_type = 'PROMO' AS wanted, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS round FROM part)
+WITH r AS (SELECT p_brand, p_partkey, p_type, p_type = 'PROMO' AS wanted, row_number() OVER (PARTITION BY p_brand, p_type
+ORDER BY p_partkey) AS round FROM part)
 SELECT p_brand, p_partkey FROM r QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY wanted DESC, round, p_type) <= 6
 """,
 )
@@ -83,7 +92,14 @@ def w8_filler(spark, sf_dir):
     return N.latest(dealt, ["p_brand"], [F.col("wanted").desc(), F.col("round"), F.col("p_type")], 6).select("p_brand", "p_partkey")
 
 
-@query("x10_cut", "SELECT doc_id, CASE WHEN t > 100 THEN substr(text, 1, CAST(floor(length(text) * 100.0::DOUBLE / t) AS BIGINT)) ELSE text END AS text FROM (SELECT doc_id, text, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS t FROM documents)")
+@query(
+    "x10_cut",
+    """
+SELECT doc_id, CASE WHEN t > 100 THEN substr(text, 1, CAST(floor(length(text) * 100.0::DOUBLE / t) AS BIGINT)) ELSE text END AS text
+FROM (SELECT doc_id, text, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS t
+FROM documents)
+""",
+)
 def x10_cut(spark, sf_dir):
     """Cut in proportion to a token budget."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", X.token_estimate("text").alias("t"))
@@ -91,7 +107,13 @@ def x10_cut(spark, sf_dir):
     return rows.select("doc_id", F.when(F.col("t") > 100, cut).otherwise(F.col("text")).alias("text"))
 
 
-@query("x18_first", "SELECT event_id, coalesce(nullif(trim(CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END), ''), 'none') AS first, TRY_CAST(CASE WHEN event_id % 2 = 0 THEN json_extract_string(props, '$.k') ELSE 'x' END AS INT) AS number FROM events")
+@query(
+    "x18_first",
+    """
+SELECT event_id, coalesce(nullif(trim(CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END), ''), 'none') AS first, TRY_CAST(CASE WHEN event_id % 2 = 0 THEN json_extract_string(props, '$.k') ELSE 'x' END AS INT) AS number
+FROM events
+""",
+)
 def x18_first(spark, sf_dir):
     first = F.coalesce(F.nullif(F.trim(F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("event_type"))), F.lit("")), F.lit("none"))
     number = F.when(F.col("event_id") % 2 == 0, F.get_json_object("props", "$.k")).otherwise("x").try_cast("int")
@@ -118,7 +140,14 @@ def x30_quantified(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"), F.regexp_count("text", F.lit(r"\d+(?:\.\d+)?%?")).cast("long").alias("tokens"))
 
 
-@query("x42_age_labels", "SELECT o_orderkey, CASE WHEN a = 0 THEN 'today' WHEN a = 1 THEN 'yesterday' ELSE a || ' days ago' END AS label FROM (SELECT o_orderkey, greatest(0, date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-02')) AS a FROM orders)")
+@query(
+    "x42_age_labels",
+    """
+SELECT o_orderkey, CASE WHEN a = 0 THEN 'today' WHEN a = 1 THEN 'yesterday' ELSE a || ' days ago' END AS label
+FROM (SELECT o_orderkey, greatest(0, date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-08-02')) AS a
+FROM orders)
+""",
+)
 def x42_age_labels(spark, sf_dir):
     age = F.greatest(F.lit(0), F.datediff(F.lit(dt.date(1998, 8, 2)), F.to_date("o_orderdate")))
     label = F.when(age == 0, "today").when(age == 1, "yesterday").otherwise(F.concat(age, F.lit(" days ago")))
@@ -146,7 +175,14 @@ def u7_deep_merge(spark, sf_dir):
     return rows.select("c_custkey", changed.alias("r")).select("c_custkey", "r.name", "r.facts.segment", "r.facts.balance")
 
 
-@query("u13_slugs", "SELECT p_partkey, lower(replace(p_name, ' ', '-')) || CASE WHEN n > 1 THEN '_' || n ELSE '' END AS slug FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part)")
+@query(
+    "u13_slugs",
+    """
+SELECT p_partkey, lower(replace(p_name, ' ', '-')) || CASE WHEN n > 1 THEN '_' || n ELSE '' END AS slug
+FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n
+FROM part)
+""",
+)
 def u13_slugs(spark, sf_dir):
     """Names of files; of equal ones the second gets a number, and so on."""
     n = F.row_number().over(W.partitionBy("p_name").orderBy("p_partkey"))
@@ -171,7 +207,14 @@ def v10_budgets(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(budget.cast("long").alias("budget"))
 
 
-@query("s17_isolated", "SELECT kind, count(*) AS n, count_if(problem IS NOT NULL) AS failed FROM (SELECT 'props' AS kind, CASE WHEN TRY_CAST(json_extract_string(props, '$.k') AS INT) IS NULL THEN 'no number' END AS problem FROM events UNION ALL SELECT 'type', CASE WHEN TRY_CAST(event_type AS INT) IS NULL THEN 'no number' END FROM events) GROUP BY kind")
+@query(
+    "s17_isolated",
+    """
+SELECT kind, count(*) AS n, count_if(problem IS NOT NULL) AS failed FROM (SELECT 'props' AS kind, CASE WHEN TRY_CAST(json_extract_string(props, '$.k') AS INT) IS NULL THEN 'no number' END AS problem
+FROM events UNION ALL SELECT 'type', CASE WHEN TRY_CAST(event_type AS INT) IS NULL THEN 'no number' END
+FROM events) GROUP BY kind
+""",
+)
 def s17_isolated(spark, sf_dir):
     """A source that fails leaves a note instead of ending the job."""
     events = table(spark, sf_dir, "events")
@@ -188,7 +231,14 @@ def s24_rendered(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", rendered(["lang", "title"], head, F.col("text")).alias("file"))
 
 
-@query("s31_mailbox", "SELECT user_id, event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events a WHERE a.event_id = e.event_id AND a.event_type IN ('view', 'click')) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 3")
+@query(
+    "s31_mailbox",
+    """
+SELECT user_id, event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events a
+WHERE a.event_id = e.event_id AND a.event_type IN ('view', 'click')) QUALIFY row_number() OVER (PARTITION BY user_id
+ORDER BY ts, event_id) <= 3
+""",
+)
 def s31_mailbox(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     unread = events.join(events.where("event_type IN ('view', 'click')").select("event_id"), "event_id", "left_anti")
