@@ -143,11 +143,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
             w -= rate * m / (np.sqrt(s) + 1e-8)
             moment = [0.9 * moment[0] + 0.1 * g.sum(), 0.999 * moment[1] + 0.001 * g.sum() ** 2]
             bias -= rate * moment[0] / (np.sqrt(moment[1]) + 1e-8)
-    slope, offset = _calibrated(np.concatenate([output(p)[0] for p in np.array_split(aside, max(1, len(aside) // 256))]) if len(aside) else np.zeros(0), y[aside])
+    slope, offset = calibrated(np.concatenate([output(p)[0] for p in np.array_split(aside, max(1, len(aside) // 256))]) if len(aside) else np.zeros(0), y[aside])
     return Model(w.astype(np.float32), float(bias), slope, offset)
 
 
-def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of the probability, by Newton steps on softened labels."""
     if not 0 < y.sum() < len(y):
         return 1.0, 0.0

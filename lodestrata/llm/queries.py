@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import bpe, decontam, license_scan, line_dedup, ngram_join, quality, substring_dedup, token_output, toxicity, warc
+from lodestrata.llm import bpe, decontam, language_id, license_scan, line_dedup, ngram_join, quality, ranked_search, substring_dedup, token_output, toxicity, warc, whitening
 from lodestrata.runtime import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -52,6 +52,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_substring_dedup": op2_substring_dedup,
@@ -63,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality": op10_quality,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_language_id": op12_language_id,
+    "op13_whitening": op13_whitening,
 }
 
 #: All pairs by their common n-grams, which is fine for small tables only.
@@ -90,4 +105,5 @@ SQL: dict[str, str] = {
     "op5_ngram_join": _JOIN_SQL,
     "op7_license_scan": license_scan.sql(),
     "op9_line_dedup": line_dedup.SQL,
+    "op11_ranked_search": ranked_search.SQL,
 }
