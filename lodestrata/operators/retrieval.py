@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import token_count, token_frequency, tokens
+from lodestrata.functions.counting import frequencies
+from lodestrata.functions.text import tokens
 from lodestrata.runtime import settle, ship
 
 K1, B = 1.5, 0.75
@@ -18,11 +19,9 @@ K1, B = 1.5, 0.75
 PLACES = 6
 
 
-def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, term, tf, length) of all tokens; aggregated before anything is shuffled by term."""
-    named = docs.select(key, tokens(F.coalesce(text, F.lit(""))).alias("toks"))
-    rows = named.select(key, F.size("toks").alias("length"), F.explode("toks").alias("term"))
-    return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+def bm25_gain(n: Column, df: Column, tf: Column, length: Column, mean: Column, times: int) -> Column:
+    """What a token with frequency ``tf`` adds to the score of a document, ``times`` being its repeats in the query."""
+    return times * F.log1p((n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
 def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -30,20 +29,19 @@ def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -
 
     N and the mean length count all rows given, so a filter belongs in front. A token that
     the query repeats counts as often. The texts are read once: what is kept of each is its
-    number of tokens and how often it has those of the query.
+    number of tokens and how often it has those of the query. ``sources.keyword_index`` has
+    the same scores for corpora that are searched again and again.
     """
     spark = docs.sparkSession
     wanted = spark.range(1).select(F.explode(tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
     terms = {r["term"]: r["times"] for r in wanted.collect()}  # as many rows as the query has words
-    given = F.coalesce(text, F.lit(""))
-    sized = settle(docs.select(key, token_count(given).alias("length"), *(token_frequency(given, t).alias(f"tf{i}") for i, t in enumerate(terms))), "term-counts")
+    counted = frequencies(docs.select(key, F.col(text).alias("text_")), list(terms), "text_")
+    sized = settle(counted.select(key, "length", *(F.get("tf", F.lit(i)).alias(f"tf{i}") for i in range(len(terms)))), "term-counts")
     stats = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
     score, held = F.lit(0.0), F.lit(False)
     for i, times in enumerate(terms.values()):
         tf = F.col(f"tf{i}")
-        idf = F.log1p((F.lit(stats["n"]) - stats[f"df{i}"] + 0.5) / (F.lit(stats[f"df{i}"]) + 0.5))
-        norm = tf + K1 * (1 - B + B * F.col("length") / F.lit(stats["mean"] or 1.0))
-        score = score + F.when(tf > 0, times * idf * tf * (K1 + 1) / norm).otherwise(0.0)
+        score = score + F.when(tf > 0, bm25_gain(F.lit(stats["n"]), F.lit(stats[f"df{i}"]), tf, F.col("length"), F.lit(stats["mean"] or 1.0), times)).otherwise(0.0)
         held = held | (tf > 0)
     return sized.where(held).select(key, F.round(score, PLACES).alias("score"))
 

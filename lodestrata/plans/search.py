@@ -20,7 +20,7 @@ WORDS = "the license of haen the shed"
 VECTOR_ID = 7
 
 
-def _bm25_sql(words: str, where: str = "TRUE") -> str:
+def bm25_sql(words: str, where: str = "TRUE") -> str:
     toks = "list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x))"
     asked = ", ".join(f"('{w}')" for w in words.lower().split())
     return f"""
@@ -36,17 +36,17 @@ bm AS (
 )"""
 
 
-@query("t_flagship", f"WITH {_bm25_sql(WORDS)} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 20")
+@query("t_flagship", f"WITH {bm25_sql(WORDS)} SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 20")
 def flagship(spark, sf_dir):
     return R.top(R.bm25(table(spark, sf_dir, "documents"), WORDS), "score", "doc_id", 20)
 
 
-@query("v6_bm25_scores", f"WITH {_bm25_sql(WORDS)} SELECT doc_id, score FROM bm")
+@query("v6_bm25_scores", f"WITH {bm25_sql(WORDS)} SELECT doc_id, score FROM bm")
 def v6_bm25_scores(spark, sf_dir):
     return R.bm25(table(spark, sf_dir, "documents"), WORDS)
 
 
-@query("v8_bm25_filtered", "WITH " + _bm25_sql("der und shed", "lang IN ('de', 'en')") + " SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 50")
+@query("v8_bm25_filtered", "WITH " + bm25_sql("der und shed", "lang IN ('de', 'en')") + " SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 50")
 def v8_bm25_filtered(spark, sf_dir):
     return R.top(R.bm25(table(spark, sf_dir, "documents").where("lang IN ('de', 'en')"), "der und shed"), "score", "doc_id", 50)
 
@@ -114,7 +114,7 @@ def k3_collections(spark, sf_dir):
 @query(
     "k2_hybrid",
     f"""
-WITH {_COSINE_SQL}, {_bm25_sql(WORDS)},
+WITH {_COSINE_SQL}, {bm25_sql(WORDS)},
 v AS (SELECT vec_id AS doc_id, score FROM cos ORDER BY score DESC, vec_id LIMIT 200), b AS (SELECT doc_id, score / (SELECT max(score) FROM bm) AS score FROM bm WHERE score > 0)
 SELECT coalesce(v.doc_id, b.doc_id) AS doc_id, round(0.7 * (coalesce(v.score, 0) + 1) / 2 + 0.3 * coalesce(b.score, 0), 6) AS score FROM v FULL JOIN b ON v.doc_id = b.doc_id ORDER BY 2 DESC, 1 LIMIT 20
 """,
@@ -138,7 +138,7 @@ def w4_min_max(spark, sf_dir):
 
 @query(
     "v9_boost",
-    f"WITH {_bm25_sql(WORDS)}, t AS (SELECT doc_id, list_transform(regexp_extract_all(split_part(text, chr(10), 1), '[A-Za-z0-9_]+'), lambda x: lower(x)) AS title, lower(lang) AS kw FROM documents) "
+    f"WITH {bm25_sql(WORDS)}, t AS (SELECT doc_id, list_transform(regexp_extract_all(split_part(text, chr(10), 1), '[A-Za-z0-9_]+'), lambda x: lower(x)) AS title, lower(lang) AS kw FROM documents) "
     "SELECT doc_id, round(score + CASE WHEN list_has_any(title, ['the', 'license', 'of', 'haen', 'shed']) THEN 0.05 ELSE 0 END + CASE WHEN kw IN ('the', 'license', 'of', 'haen', 'shed') THEN 0.01 ELSE 0 END, 6) AS score FROM bm JOIN t USING (doc_id) ORDER BY 2 DESC, 1 LIMIT 5",
 )
 def v9_boost(spark, sf_dir):
