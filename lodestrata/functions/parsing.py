@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -105,23 +106,49 @@ def canonical(name: str | Column, names: Names) -> Column:
 def external_text(markup: str | Column, max_chars: int) -> Column:
     """Bounded plain text of untrusted markup.
 
-    The content of hidden elements goes, from inside out, and what follows an element that
-    isn't closed; tags become blanks; entities are resolved, control characters and runs of
-    blanks become one blank. Line feeds stay.
+    Nothing is left of what stands within hidden elements, however deep they are nested: each
+    opening tag of one counts up, each closing tag counts down, and text is kept where the
+    count is zero. Within script and style only their own end counts as a tag. Other tags
+    become blanks; entities are resolved, control characters and runs of blanks become one
+    blank. Line feeds stay. Texts without hidden elements take no Python.
     """
     text = F.coalesce(_c(markup).cast("string"), F.lit(""))
-    bare = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
-    opening = r"(?is)<{0}\b(?:[^>]*[^/>])?>"
-    for _ in range(3):  # elements of one kind within each other
-        for tag in HIDDEN:
-            bare = F.regexp_replace(bare, opening.format(tag) + rf"(?:(?!<{tag}\b).)*?</{tag}\s*>", " ")
-    for tag in HIDDEN:
-        bare = F.regexp_replace(bare, opening.format(tag) + ".*", " ")
-    bare = F.when(text.contains("<") & text.contains(">"), F.regexp_replace(bare, r"<[^>]*>", " ")).otherwise(text)
+    hides = text.rlike(rf"(?i)</?({'|'.join(HIDDEN)})\b")
+    plain = F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->", " "), _TAG, " ")
+    bare = F.when(~(text.contains("<") & text.contains(">")), text).when(hides, _shown(text)).otherwise(plain)
     flat = F.regexp_replace(F.regexp_replace(unescaped(bare), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " "), r"[ \t]+", " ")
     return F.substr(strip(flat), F.lit(1), F.lit(max(0, max_chars)))
 
 
+_TAG = r"""<[A-Za-z/!?](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[A-Za-z/!?][^>]*+>"""
+_MARKUP = re.compile(r"""<!--.*?-->|<(/?)([A-Za-z][^\s/>]*)(?:[^>"']|"[^"]*"|'[^']*')*>|<[A-Za-z/!?][^>]*>""", re.DOTALL)
+_RAW_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in ("script", "style")}
+
+
+def shown_text(markup: str) -> str:
+    """What stands outside of hidden elements, with blanks for tags."""
+    out, depth, at = [], 0, 0
+    while found := _MARKUP.search(markup, at):
+        if not depth:
+            out.append(markup[at : found.start()])
+        at = found.end()
+        name = (found[2] or "").lower()
+        if name in HIDDEN and found[1]:
+            depth = max(0, depth - 1)
+        elif name in HIDDEN and not found[0].endswith("/>"):
+            depth += 1
+            if name in _RAW_ENDS:
+                end = _RAW_ENDS[name].search(markup, at)
+                at, depth = (end.end(), depth - 1) if end else (len(markup), depth)
+    return " ".join([*out, *[markup[at:]] * (not depth)])
+
+
+@F.pandas_udf(T.StringType())
+def _shown(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for part in parts:
+        yield part.map(shown_text, na_action="ignore")
+
+
 def first_given(raw: str | Column, keys: Sequence[str]) -> Column:
     """The first of several keys of a JSON object that isn't empty."""
     values = [F.get_json_object(_c(raw), f"$.{k}") for k in keys]

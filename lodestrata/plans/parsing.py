@@ -124,6 +124,18 @@ def x15_external(spark, sf_dir):
     return text.select("page_id", F.sha2("t", 256).alias("text_sha256"), F.length("t").cast("long").alias("n_chars"))
 
 
+@query(
+    "x15_nested",
+    f"SELECT page_id, CASE WHEN page_id % 50 = 0 THEN sha256(t) ELSE sha256('tail') END AS text_sha256 FROM (SELECT page_id, {_external_sql("(html || '<p>tail</p>')", 50000)} AS t FROM pages)",
+)
+def x15_nested(spark, sf_dir):
+    """Pages within up to 49 hidden elements, and a paragraph behind them."""
+    kinds = F.element_at(F.array(F.lit("form"), F.lit("object"), F.lit("template")), (F.col("page_id") % 3 + 1).cast("int"))
+    deep = (F.col("page_id") % 50).cast("int")
+    wrapped = F.concat(F.repeat(F.concat(F.lit("<"), kinds, F.lit(" a='>'>")), deep), F.when(deep == 0, F.col("html")).otherwise(F.regexp_replace("html", "(?i)</?(form|object|template|embed)[^>]*>", "")), F.repeat(F.concat(F.lit("</"), kinds, F.lit(">")), deep), F.lit("<p>tail</p>"))
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(P.external_text(wrapped, 50_000), 256).alias("text_sha256"))
+
+
 @query(
     "x13_digests",
     """

@@ -213,3 +213,23 @@ def test_salaries(spark, text, want):
 ])
 def test_session_keys(spark, args, want):
     assert one(spark, X.session_key(*(F.lit(a) for a in args))) == want
+
+
+@pytest.mark.parametrize(
+    "markup,want",
+    [
+        ("<p>head</p>" + "<form>" * 50 + "x" + "</form>" * 50 + "<p>tail</p>", "head tail"),
+        ("a<form>b<object>c</object>d</form>e", "a e"),
+        ("a<form>b<object>c</form>d</object>e", "a e"),
+        ("a<script>if (1 < 2) { '<form>' }</script>b", "a b"),
+        ("a<SCRIPT SRC=x />b<style>c", "a b"),
+        ("a</form>b<iframe>c", "a b"),
+        ("a<b title='>'>c</b><!-- <form> -->d", "a c d"),
+        ("1 < 2 and 3 > 2 <embed>gone", "1 < 2 and 3 > 2"),
+        ("<form" * 3000 + ">x", "x"),
+        ("<a title='" + "b>" * 5000 + "'>x", "x"),
+    ],
+)
+def test_external_text_counts_depth(spark, markup, want):
+    got = spark.createDataFrame([(markup,)], "m string").select(P.external_text("m", 1000)).first()[0]
+    assert got == want
