@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.plans.registry import query
-from lodestrata.runtime import scratch, table
+from lodestrata.runtime import scratch, settle, table
 from lodestrata.sources import ingest as I
+from lodestrata.streaming import keyed as K
 from lodestrata.streaming import stateful as S
 
 
@@ -87,3 +90,65 @@ def s15_attributes(spark, sf_dir):
     tags = table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit(r"<(?:html|meta|div)\s[^>]*>"), F.lit(0))).alias("tag"))
     found = tags.select(I.attributes(F.col("tag")).alias("a")).select(F.coalesce(*(F.try_element_at("a", F.lit(k)) for k in ("lang", "charset", "class"))).alias("value"))
     return found.where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
+
+
+def _in_parts(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Runs a stream over a table that grows part by part; for each it is started again from its checkpoint."""
+    spark, path = parts[0].sparkSession, scratch(parts[0].sparkSession, name)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        out = build(spark.readStream.schema(parts[0].schema).parquet(f"{path}/in"))
+        out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The turns of all conversations: the first two of each, and then the others."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").cast("string").alias("size"))
+    return [turns.where("turn < 2"), turns.where("turn >= 2")]
+
+
+@query(
+    "t4_recent",
+    """
+WITH RECURSIVE r AS (SELECT conv_id, role AS key, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM (SELECT DISTINCT conv_id, turn, role FROM conversations)),
+f(conv_id, i, held, new) AS (SELECT conv_id, 1, [key], TRUE FROM r WHERE i = 1 UNION ALL
+  SELECT r.conv_id, r.i, CASE WHEN list_contains(held, key) THEN held ELSE (list_append(held, key))[-1:] END, NOT list_contains(held, key) FROM f JOIN r ON r.conv_id = f.conv_id AND r.i = f.i + 1)
+SELECT conv_id, count(*) AS n FROM f WHERE new GROUP BY conv_id
+""",
+)
+def t4_recent(spark, sf_dir):
+    """Turns whose role isn't that of the turn before: a dedup that remembers one key, over a restart."""
+    parts = [p.dropDuplicates(["conv_id", "turn", "role"]) for p in _halves(spark, sf_dir)]
+    out = _in_parts(parts, lambda s: K.recent_dedup(s, "conv_id", "role", "turn", cap=1), "recent")
+    return out.groupBy("conv_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    "t6_cold_start",
+    """
+WITH c AS (SELECT conv_id, turn, turn >= 2 AS late, min(turn >= 2) OVER (PARTITION BY conv_id) AS began FROM conversations)
+SELECT conv_id, turn FROM c WHERE CASE WHEN conv_id % 2 = 0 THEN turn > conv_id % 4 ELSE late > began END
+""",
+)
+def t6_cold_start(spark, sf_dir):
+    """Half of the conversations have a cursor when the stream begins; of the others the first batch is a backlog."""
+    start = settle(table(spark, sf_dir, "conversations").where("conv_id % 2 = 0").select("conv_id", (F.col("conv_id") % 4).alias("turn")).distinct(), "cursors")
+    return _in_parts(_halves(spark, sf_dir), lambda s: K.after_cursor(s, "conv_id", "turn", start), "cold").select("conv_id", "turn")
+
+
+@query(
+    "t7_queue",
+    """
+WITH e AS (SELECT user_id, event_id, ts, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+d AS (SELECT *, max(ms - 3600000 * i) OVER (PARTITION BY user_id ORDER BY i) + 3600000 * i AS leaves FROM e)
+SELECT user_id, event_id, leaves - ms AS waits FROM d WHERE leaves <= (SELECT max(ms) FROM e)
+""",
+)
+def t7_queue(spark, sf_dir):
+    """Events leave a queue of their user an hour apart; what is due when the stream has been read is out."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    middle = events.agg(F.expr("timestamp_millis(CAST((unix_millis(min(ts)) + unix_millis(max(ts))) / 2 AS BIGINT))")).first()[0]
+    parts = [events.where(F.col("ts") < F.lit(middle)), events.where(F.col("ts") >= F.lit(middle))]
+    out = _in_parts(parts, lambda s: K.paced(s, "user_id", "ts", "event_id", "event_type", 3_600_000, "0 seconds"), "queue")
+    return out.select("user_id", F.col("id").alias("event_id"), (F.unix_millis("leaves") - F.unix_millis("arrived")).alias("waits"))
