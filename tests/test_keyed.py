@@ -43,10 +43,11 @@ def test_keys_past_their_time_are_new(spark, tmp_path):
         spark.createDataFrame([(1, n, "a"), (1, n, "a")], "who long, n long, key string").coalesce(1).write.mode("append").parquet(folder)
         stream = K.recent_dedup(spark.readStream.schema("who long, n long, key string").parquet(folder), "who", "key", "n", cap=5, ttl_ms=1000)
         run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(processingTime="1 second").start()
-        try:
-            run.processAllAvailable()
-        finally:
-            run.stop()
+        end, held = time.time() + 40, spark.createDataFrame([], stream.schema)
+        while time.time() < end and held.count() < n:
+            time.sleep(0.5)
+            held = spark.read.schema(stream.schema).parquet(out) if (tmp_path / "out/_spark_metadata").exists() else held
+        run.stop()
         time.sleep(1.2)
     assert sorted(r["n"] for r in spark.read.parquet(out).collect()) == [1, 2]
 
