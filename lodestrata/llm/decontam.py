@@ -10,7 +10,9 @@ don't count.
 
 Only windows that a bitmap of the benchmark's hashes lets through leave a map task. The
 bitmap has a fixed size, however large the benchmark is; a large benchmark lets more
-windows through to the join, which decides. Texts are never shuffled.
+windows through to the join, which decides. Of these only an item's rarest windows are
+joined to all documents, as many as one of which a contaminated document must have; the
+others are fetched for the pairs found. Texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.llm import textops as X
@@ -33,8 +36,10 @@ from lodestrata.runtime import marked, settle, ship
 SIZE, FLOOR = 8, 4
 #: Items of fewer tokens are contained only in texts that have no other tokens.
 LEAST = 4
-#: Bits of the bitmaps: 8 MB for windows, 512 KB for each set of words.
-WINDOW_BITS, WORD_BITS = 26, 22
+#: Bits of the bitmap of windows: 8 MB.
+WINDOW_BITS = 26
+#: Different words of the benchmark whose hashes are broadcast at once, 32 MB; a benchmark with more is taken in blocks of items.
+MOST_WORDS = 1 << 22
 #: Words that are units where they follow a number.
 UNITS = (
     "mm cm m km g kg mg t lb oz l ml s sec second seconds min minute minutes h hour hours day days week weeks month months "
@@ -137,10 +142,16 @@ class _Bits:
 
 
 class _Words(NamedTuple):
-    """The benchmark's words that stand in small letters, and those capitalised."""
+    """Sorted hashes of the benchmark's words that stand in small letters, and of those capitalised."""
 
-    small: _Bits
-    large: _Bits
+    small: np.ndarray
+    large: np.ndarray
+
+
+def _among(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(hashes), bool)
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
 
 
 def _readings(t: Tokens, words: _Words) -> list[np.ndarray]:
@@ -152,9 +163,9 @@ def _readings(t: Tokens, words: _Words) -> list[np.ndarray]:
     """
     plain = ~(t.number | t.unit)
     small = np.zeros(len(plain), bool)
-    small[plain] = words.small.has(t.filler[plain])
+    small[plain] = _among(words.small, t.filler[plain])
     known = np.zeros(len(plain), bool)
-    known[plain & ~small] = words.large.has(t.filler[plain & ~small])
+    known[plain & ~small] = _among(words.large, t.filler[plain & ~small])
     return [(t.capital & ~small) | known, t.capital, np.zeros(len(plain), bool)]
 
 
@@ -339,22 +350,10 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 5)], _OVERLAP)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, item_windows, matched, verbatim) for pairs that share a window.
+def _spelt(items: DataFrame) -> DataFrame:
+    """(kind, hash): the different words of items in small letters (0) and capitalised (1), and the numbers of tokens below SIZE (2)."""
 
-    ``matched`` counts the places of the item whose windows of ``SIZE`` tokens the document
-    has under one binding of fillers, ``verbatim`` those with equal fillers. Items of
-    ``LEAST`` to SIZE - 1 tokens are one window that has to be found word for word; shorter
-    ones are found in texts only that consist of the same tokens. Null and empty texts and
-    items have no tokens and match nothing. Rows that repeat a doc_id give a row each, as
-    do repeated items and items without an id; extra columns aren't looked at. Empty tables
-    give an empty one.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text")
-
-    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = X.utf8(batch.column("text"))
             for low, high in X.blocks(offsets):
@@ -367,21 +366,84 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 value = np.concatenate([small, large, count.astype(_U)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(value)], ["kind", "hash"])
 
-    words = settle(items.mapInArrow(spelt, "kind int, hash long"), "benchmark-words")
-    sizes = sorted(r[0] for r in words.where("kind = 2").select("hash").distinct().collect())  # numbers below SIZE
-    known = spark.sparkContext.broadcast(_Words(_Bits(words.where("kind = 0"), WORD_BITS), _Bits(words.where("kind = 1"), WORD_BITS)))
+    return settle(items.mapInArrow(run, "kind int, hash long").distinct(), "benchmark-words")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, share: float = 0.0) -> DataFrame:
+    """(doc_id, item_id, item_windows, matched, verbatim) for pairs that share a window.
+
+    ``matched`` counts the places of the item whose windows of ``SIZE`` tokens the document
+    has under one binding of fillers, ``verbatim`` those with equal fillers. With a ``share``
+    only pairs are given that may have so large a part of the item's windows: those that
+    share one of its rarest windows (``_candidates``). Items of ``LEAST`` to SIZE - 1 tokens
+    are one window that has to be found word for word; shorter ones are found in texts only
+    that consist of the same tokens. Null and empty texts and items have no tokens and match
+    nothing. Rows that repeat a doc_id give a row each, as do repeated items and items
+    without an id; extra columns aren't looked at. Empty tables give an empty one.
+
+    Whether a word is read as a name depends on the words of the benchmark, or, with more
+    than ``MOST_WORDS`` different ones, on those of the item's block. Where an item has a
+    window more than once, copies of it in a document are taken for the first one, unless
+    they go on from the match before.
+    """
+    ship(docs.sparkSession)
+    items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text")
+    words = _spelt(items)
+    blocks = max(1, -(-words.count() // MOST_WORDS))
+    if blocks == 1:
+        return _overlaps(docs, items, words, share)
+    out = None
+    for number in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == number)
+        found = _overlaps(docs, part, _spelt(part), share)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _overlaps(docs: DataFrame, items: DataFrame, words: DataFrame, share: float) -> DataFrame:
+    spark = docs.sparkSession
+    sizes = sorted(r[0] for r in words.where("kind = 2").select("hash").collect())  # numbers below SIZE
+    sets = (np.sort(words.where(f"kind = {k}").select("hash").toArrow().column("hash").to_numpy().view(_U)) for k in (0, 1))
+    known = spark.sparkContext.broadcast(_Words(*sets))
     theirs = settle(_found(items, known, sizes, None, True), "benchmark-windows")
     sieve = spark.sparkContext.broadcast(_Bits(theirs.select(F.col("sieve").alias("hash")), WINDOW_BITS))
     mine = _found(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), known, sizes, sieve, False)
     mine = mine.select(F.col("row").alias("doc"), F.col("id").alias("doc_id"), "hash", "at", "fillers")
     theirs = theirs.select(F.col("row").alias("item"), F.col("id").alias("item_id"), "n", "hash", F.col("at").alias("item_at"), F.col("fillers").alias("item_fillers"))
-    met = mine.join(theirs, "hash").repartition("doc", "item").sortWithinPartitions("doc", "item", "hash")
-    return met.mapInArrow(_checked, ", ".join(f"{c} long" for c in _OVERLAP))
+    if share > 0:
+        mine = settle(mine, "document-windows")
+        asked = theirs.join(_candidates(mine, theirs, share), "item")
+        met = mine.join(asked, ["doc", "hash"])
+    else:
+        met = mine.join(theirs, "hash")
+    dealt = met.repartition("doc", "item").sortWithinPartitions("doc", "item", "hash")
+    return dealt.mapInArrow(_checked, ", ".join(f"{c} long" for c in _OVERLAP))
+
+
+def _candidates(mine: DataFrame, theirs: DataFrame, share: float) -> DataFrame:
+    """(doc, item) of all pairs that may share at least ``share`` of the item's windows.
+
+    A document that has T of an item's W places has one of any W - T + 1 of them. So only
+    those that the fewest documents have are joined, and a phrase that very many items and
+    documents share makes no pairs unless it is most of an item.
+    """
+    df = mine.groupBy("hash").agg(F.count("*").alias("df"))
+    width = F.greatest(F.lit(1), F.col("n") - SIZE + 1)
+    count = (F.length("item_at") / 4).cast("int")
+    # places are 32-bit numbers, least significant byte first
+    byte = lambda i, k: F.conv(F.hex(F.substring(F.col("item_at"), i * 4 + k + 1, 1)), 16, 10).cast("int")
+    place = lambda i: byte(i, 0) + byte(i, 1) * 256 + byte(i, 2) * 65536 + byte(i, 3) * 16777216
+    places = theirs.join(df, "hash", "left").select("item", "hash", width.alias("width"), F.coalesce("df", F.lit(0)).alias("df"), F.explode(F.transform(F.sequence(F.lit(0), count - 1), place)).alias("place"))
+    cost = places.groupBy("item", "place").agg(F.sum("df").alias("cost"), F.first("width").alias("width"))
+    rank = F.row_number().over(W.partitionBy("item").orderBy("cost", "place"))
+    rare = cost.withColumn("rank", rank).where(F.col("rank") <= F.col("width") - F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("width"))) + 1)
+    keys = places.where("df > 0").join(rare.select("item", "place"), ["item", "place"]).select("item", "hash").distinct()
+    return mine.select("doc", "hash").join(marked(settle(keys, "rare-windows")), "hash").select("doc", "item").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.6) -> DataFrame:
     """The pairs of ``overlaps`` in which at least ``share`` of an item's windows are found."""
-    return overlaps(docs, benchmark).where((F.col("matched") > 0) & (F.col("matched") >= share * F.col("item_windows")))
+    return overlaps(docs, benchmark, share).where((F.col("matched") > 0) & (F.col("matched") >= share * F.col("item_windows")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.6) -> DataFrame:

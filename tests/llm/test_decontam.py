@@ -191,3 +191,30 @@ def test_contaminated_documents(spark):
     assert D.decontaminate(docs, bench.limit(0)).count() == 6
     named = docs.selectExpr("doc_id", "text", "1 AS key_x", "2 AS item_id")
     assert D.decontaminate(named, bench).columns == ["doc_id", "text", "key_x", "item_id"]
+
+
+@pytest.mark.parametrize("share", [0.05, 0.3, 0.6, 1.0])
+def test_rarest_windows_find_all_pairs_above_a_share(spark, share):
+    rng = random.Random(11)
+    stock = "please read the whole text and then write down the answer in full"
+    items = [(i, f"{stock} " * rng.randint(0, 2) + " ".join(rng.choices(["Tom", "Ann", "has", "and", "the", "3", "km", "apples", "in", "how", "many"], k=rng.randint(1, 30)))) for i in range(40)]
+    docs = [(i, f"{stock} " * rng.randint(0, 2) + rng.choice(items)[1][rng.randint(0, 40) :]) for i in range(200)] + [(200, None), (None, items[1][1])]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, D.contaminated(d, b, share).collect()), key=str)
+    assert got == [r for r in plain_overlaps(docs, items) if r[3] and r[3] >= share * r[2]]
+
+
+def test_a_stock_phrase_makes_no_pairs(spark):
+    stock = "please read the whole text and then write down the answer in full"
+    items = [(i, f"{stock} " + " ".join(f"w{i}x{j}" for j in range(20))) for i in range(300)]
+    docs = [(i, f"{stock} " + " ".join(f"v{i}x{j}" for j in range(20))) for i in range(300)] + [(1000, items[7][1])]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert [tuple(r)[:2] for r in D.overlaps(d, b, 0.6).collect()] == [(1000, 7)]
+
+
+def test_blocks_of_a_benchmark_with_very_many_words(spark, monkeypatch):
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(60)]
+    docs = [(i, "intro " + t) for i, t in items] + [(1000, "w1x2 w3x4 " * 10)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(D, "MOST_WORDS", 500)
+    assert sorted(tuple(r)[:2] for r in D.contaminated(d, b).collect()) == [(i, i) for i in range(60)]
