@@ -12,13 +12,15 @@ from lodestrata.runtime import settle
 def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """(by, n, a column for each share): exact quantiles with linear interpolation of the values of each group.
 
-    All rows are sorted over ranges of groups and values, so that a large group is spread
-    over tasks; only rows of the ranges that hold a wanted place are looked at again. Null
-    values don't count, and groups without a name are left out.
+    Equal values of a group are counted before anything is sorted, so a row stands for each
+    different value, however often it occurs. These rows are sorted over ranges of groups and
+    values, so that a group of very many values is spread over tasks; only those of ranges
+    that hold a wanted place are looked at again. Null values don't count, and groups without
+    a name are left out.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v_"))
+    rows = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v_")).agg(F.count("*").alias("times_"))
     ranged = settle(rows.repartitionByRange(*by, "v_").withColumn("part_", F.spark_partition_id()), "ranges")
-    counts = ranged.groupBy(*by, "part_").agg(F.count("*").alias("held_"))
+    counts = ranged.groupBy(*by, "part_").agg(F.sum("times_").alias("held_"))
     group = W.partitionBy(*by)
     placed = counts.withColumn("n", F.sum("held_").over(group)).withColumn("start_", F.sum("held_").over(group.orderBy("part_")) - F.col("held_"))
     wanted = placed.withColumn("q_", F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(share).alias("share")) for name, share in shares.items()))))
@@ -27,8 +29,9 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str,
     ends = F.array(F.struct(low.alias("at"), (1 - (place - low)).alias("weight")), F.struct(high.alias("at"), (place - low).alias("weight")))
     wanted = wanted.withColumn("e_", F.explode(ends)).where("e_.weight > 0 AND e_.at >= start_ AND e_.at < start_ + held_")
     wanted = wanted.select(*by, "part_", "n", F.col("q_.name").alias("name_"), F.col("e_.weight").alias("weight_"), (F.col("e_.at") - F.col("start_") + 1).alias("at_"))
-    near = ranged.join(wanted.select(*by, "part_").distinct(), [*by, "part_"]).withColumn("at_", F.row_number().over(W.partitionBy(*by, "part_").orderBy("v_")).cast("long"))
-    met = wanted.join(near, [*by, "part_", "at_"])
+    behind = F.sum("times_").over(W.partitionBy(*by, "part_").orderBy("v_"))
+    near = ranged.join(wanted.select(*by, "part_").distinct(), [*by, "part_"]).withColumn("last_", behind)
+    met = wanted.join(near, [*by, "part_"]).where((F.col("at_") <= F.col("last_")) & (F.col("at_") > F.col("last_") - F.col("times_")))
     each = [F.sum(F.when(F.col("name_") == name, F.col("v_") * F.col("weight_"))).alias(name) for name in shares]
     return met.groupBy(*by).agg(F.max("n").alias("n"), *each)
 

@@ -66,48 +66,59 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def most_shared(docs: DataFrame, items: DataFrame, k: int, block: int = 2048) -> DataFrame:
+#: Pairs of an item and a word that are broadcast at once.
+SHARED_PAIRS = 1 << 20
+
+
+def most_shared(docs: DataFrame, items: DataFrame, k: int, pairs: int | None = None) -> DataFrame:
     """(item_id, doc_id, shared): for each item the k documents that share most of its words.
 
-    Words stand between white space, in small letters. The items are the small side and are
-    taken in blocks of about ``block``; a task keeps k documents of each item, so no pair
-    but those leaves it. Smaller ids come first among equals. Items of one id are one item.
+    Words stand between white space, in small letters. A task keeps k documents of each
+    item, so no pair but those leaves it. The items' words are broadcast as (word, items),
+    ``SHARED_PAIRS`` pairs at once or one item; with more of them the documents are read
+    again for the next block, one block after the other. Smaller ids come first among
+    equals. Items of one id are one item.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     words = F.array_distinct(F.split(F.trim(F.lower("text")), r"\s+"))
-    passes = max(1, -(-items.count() // block))
+    asked = settle(items.select(F.col("item_id").cast("long").alias("item_id"), F.explode(words).alias("word")).distinct(), "item-words")
+    passes = max(1, -(-asked.count() // (pairs or SHARED_PAIRS)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"))
-    out = None
-    for number in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == number).select("item_id", F.explode(words).alias("word")).distinct().collect()
-        ids, place = sorted({r["item_id"] for r in part}), {}
-        for r in part:
-            place.setdefault(r["word"], len(place))
-        has = np.zeros((len(place), len(ids)), np.uint8)
-        at = {i: n for n, i in enumerate(ids)}
-        for r in part:
-            has[place[r["word"]], at[r["item_id"]]] = 1
-        shared = docs.sparkSession.sparkContext.broadcast((ids, place, has))
-        found = rows.mapInArrow(lambda batches, shared=shared: _best_of_task(batches, *shared.value, k), "item_id long, doc_id long, shared long")
-        out = found if out is None else out.unionByName(found)
+    best: DataFrame | None = None
     order = W.partitionBy("item_id").orderBy(F.col("shared").desc(), "doc_id")
-    return out.withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= k).drop("rank_")
-
-
-def _best_of_task(batches: Iterator[pa.RecordBatch], ids: list[int], place: dict[str, int], has: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    best: dict[int, list[tuple[int, int]]] = {n: [] for n in range(len(ids))}
-    least = np.zeros(len(ids), np.int64)  # what a document has to reach
+    for number in range(passes):
+        part = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == number).groupBy("word").agg(F.collect_list("item_id").alias("items")).toArrow()
+        shared = spark.sparkContext.broadcast(part)
+        found = rows.mapInArrow(lambda batches, shared=shared: _best_of_task(batches, shared.value, k), "item_id long, doc_id long, shared long")
+        own = found.withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= k).drop("rank_")
+        if passes > 1:  # so that the block's words can be let go
+            own = settle(own, "shared-words")
+            shared.destroy()
+        best = own if best is None else best.unionByName(own)
+    return best
+
+
+def _best_of_task(batches: Iterator[pa.RecordBatch], asked: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best documents of this task for each item; what a document shares is counted over its own words' items only."""
+    place = {w: i for i, w in enumerate(asked.column("word").to_pylist())}
+    lists = asked.column("items").combine_chunks()
+    cuts, flat = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False)
+    ids, item = np.unique(flat, return_inverse=True)
+    best: dict[int, list[tuple[int, int]]] = {}
+    least = np.ones(len(ids), np.int64)  # what a document has to reach
     for batch in batches:
         for doc, words in zip(batch.column("doc_id").to_pylist(), batch.column("words").to_pylist()):
             known = [place[w] for w in words or () if w in place]
             if not known:
                 continue
-            counts = has[known].sum(0, dtype=np.int64)
-            for n in np.flatnonzero((counts >= least) & (counts > 0)).tolist():
-                best[n] = sorted([*best[n], (-int(counts[n]), doc)])[:k]
+            which, counts = np.unique(np.concatenate([item[cuts[p] : cuts[p + 1]] for p in known]), return_counts=True)
+            good = counts >= least[which]
+            for n, shared in zip(which[good].tolist(), counts[good].tolist()):
+                best[n] = sorted([*best.get(n, []), (-shared, doc)])[:k]
                 if len(best[n]) == k:
                     least[n] = -best[n][-1][0]
-    rows = [(ids[n], doc, -less) for n, found in best.items() for less, doc in found]
+    rows = [(int(ids[n]), doc, -less) for n, found in best.items() for less, doc in found]
     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 3)], ["item_id", "doc_id", "shared"])
 
 

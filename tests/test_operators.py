@@ -72,6 +72,8 @@ def test_quantiles_over_ranges(spark):
         assert got[g] == (len(values), *(pytest.approx(np.quantile(values, q)) for q in (0.25, 0.9, 0, 1)))
     assert set(got) == {"a", "b", "c"}
     assert A.exact_quantiles(df.limit(0), ["g"], "v", {"m": 0.5}).count() == 0
+    one_value = spark.range(5000).selectExpr("'x' AS g", "CAST(id % 2 AS DOUBLE) AS v")
+    assert tuple(A.exact_quantiles(one_value, ["g"], "v", {"q": 0.4, "m": 0.5, "h": 0.75}).select("n", "q", "m", "h").first()) == (5000, 0.0, 0.5, 1.0)
 
 
 def test_counts_of_tokens_without_making_them(spark):
