@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestrata.plans.registry import query
 from lodestrata.runtime import scratch, settle, table
 from lodestrata.sources import ingest as I
+from lodestrata.sources import message_bus as B
 from lodestrata.streaming import keyed as K
 from lodestrata.streaming import stateful as S
 
@@ -152,3 +153,17 @@ def t7_queue(spark, sf_dir):
     parts = [events.where(F.col("ts") < F.lit(middle)), events.where(F.col("ts") >= F.lit(middle))]
     out = _in_parts(parts, lambda s: K.paced(s, "user_id", "ts", "event_id", "event_type", 3_600_000, "0 seconds"), "queue")
     return out.select("user_id", F.col("id").alias("event_id"), (F.unix_millis("leaves") - F.unix_millis("arrived")).alias("waits"))
+
+
+@query("s33_bus", "SELECT conv_id * 1000 + turn AS number, sha256(text) AS body_sha256, turn >= 2 AS second FROM conversations")
+def s33_bus(spark, sf_dir):
+    """Turns go over a bus in two parts; its consumer is started for each and reads every message once."""
+    path, turns = scratch(spark, "bus"), table(spark, sf_dir, "conversations")
+    last = turns.agg(F.max("conv_id")).first()[0] or 0
+    number = F.col("conv_id") * 1000 + F.col("turn")
+    for late, part in enumerate([turns.where("turn < 2"), turns.where("turn >= 2")]):
+        B.publish(part, number + late * (last + 1) * 1000, F.coalesce("text", F.lit("")), f"{path}/in")
+        out = B.consume(spark, f"{path}/in").withColumn("second", F.lit(bool(late)))
+        out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema("name string, body string, second boolean").parquet(f"{path}/out")
+    return got.select((F.split_part("name", F.lit("."), F.lit(1)).cast("long") % ((last + 1) * 1000)).alias("number"), F.sha2("body", 256).alias("body_sha256"), "second")

@@ -6,8 +6,10 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.plans.streams import _in_parts
+from lodestrata.sources import message_bus as B
 from lodestrata.streaming import keyed as K
 
 
@@ -57,3 +59,19 @@ def test_queue_keeps_what_is_not_due(spark):
     parts = [spark.createDataFrame(rows, "who long, ts timestamp, n long, body string") for rows in ([(1, at(0), 1, "a"), (1, at(1), 2, None), (1, at(1), 3, "c"), (2, at(5), 4, "d")], [(2, at(22), 5, "e")])]
     got = _in_parts(parts, lambda s: K.paced(s, "who", "ts", "n", "body", 10_000, "0 seconds"), "paced-test").collect()
     assert sorted((r["id"], (r["leaves"] - at(0)).total_seconds(), r["body"]) for r in got) == [(1, 0, "a"), (2, 10, None), (3, 20, "c"), (4, 5, "d"), (5, 22, "e")]
+
+
+def test_bus_is_read_once_and_in_order(spark, tmp_path):
+    path, out = f"file://{tmp_path}/bus", f"file://{tmp_path}/out"
+    put = lambda a, b: B.publish(spark.range(a, b), F.col("id"), F.concat(F.lit("m"), "id"), path)
+
+    def drain():
+        B.consume(spark, path, per_task=3).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        return sorted(r["body"] for r in spark.read.schema("name string, body string").parquet(out).collect())
+
+    put(0, 8)
+    assert drain() == sorted(f"m{i}" for i in range(8)) == drain()
+    put(8, 10)
+    assert drain() == sorted(f"m{i}" for i in range(10))
+    assert [r["body"] for r in B.waiting(spark, path).orderBy("name").collect()] == [f"m{i}" for i in range(10)]
+    assert B.waiting(spark, f"file://{tmp_path}/none").count() == 0
