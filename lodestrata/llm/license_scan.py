@@ -14,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.runtime import settle
+from lodestrata.runtime import marked, settle
 
 #: A line with one of these is a header line.
 CUE = r"(?i)(licen[sc]e|copyright|all rights reserved|spdx-|public domain|warranty)"
@@ -70,9 +70,13 @@ HEADERS: list[tuple[str, str]] = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("MIT", "This code is licensed under the MIT license."),
+    ("BSD-3-Clause", "This code is licensed under the BSD license."),
     *((spdx, _PROGRAM.format(kind=kind, name=name, version=version, colon=":" if version == "3" else ";", comma="," if version == "3" else ";")) for spdx, kind, name, version in _GNU),
     *((spdx, (_PROGRAM + " " + _PURPOSE).format(kind=kind, name=name, version=version, colon=":" if version == "3" else ";", comma="," if version == "3" else ";")) for spdx, kind, name, version in _GNU),
-    *((x, f"SPDX-License-Identifier: {x}") for x in ("0BSD", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "EPL-1.0", "EPL-2.0", "ISC", "MPL-2.0", "Unlicense")),
+    *((x, f"SPDX-License-Identifier: {x}") for x in ("0BSD", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "EPL-1.0", "EPL-2.0", "ISC", "MPL-2.0", "PSF-2.0", "Unlicense", "WTFPL", "X11", "Zlib")),
+    # the old forms, which say neither "only" nor "or later" or end with a plus
+    *((x, f"SPDX-License-Identifier: {x}") for x in ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0")),
     *((x, f"SPDX-License-Identifier: {x}-only") for x in ("AGPL-3.0", "GPL-2.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0")),
     *((x, f"SPDX-License-Identifier: {x}-or-later") for x in ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0")),
 ]
@@ -159,12 +163,13 @@ def scan(files: DataFrame, known: DataFrame | None = None, min_score: float = 0.
     # the weight of a term that no unit has is that of df 0
     idf = lambda df: F.log((F.lit(1.0) + total) / (F.lit(1.0) + df)) + 1.0
     weight = terms.groupBy("term").agg(F.sum("copies").alias("df")).select("term", idf(F.col("df")).alias("idf"))
+    weight = marked(settle(weight, "license-weights"))
     vectors = terms.join(weight, "term").select("unit", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = vectors.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     named = known.select("license", F.xxhash64("license", "template_text").alias("template"), F.explode(tokens("template_text")).alias("term")).groupBy("license", "template", "term").agg(F.count("*").alias("tf"))
     told = named.join(weight, "term", "left").select("license", "template", "term", (F.col("tf") * F.coalesce("idf", idf(F.lit(0.0)))).alias("tw"))
     lengths = told.groupBy("license", "template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm"), F.count("*").alias("words"))
-    told = told.join(lengths, ["license", "template"])
+    told = marked(settle(told.join(lengths, ["license", "template"]), "license-templates"))  # so that frequent words meet in no one task
     dots = vectors.join(told, "term").groupBy("unit", "license", "template").agg((F.sum(F.col("w") * F.col("tw")) / F.any_value("tnorm")).alias("dot"), F.any_value("words").alias("words"))
     scored = dots.join(norms, "unit").select("unit", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score"), "words")
     # common words alone bring long prose near to a long text

@@ -117,18 +117,18 @@ def materialise(docs: DataFrame, folder: str, key: int, tokenizer: str = "bytes"
             total += (pc.sum(pc.binary_length(batch.column("ids"))).as_py() or 0) // width + batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-total // length)], pa.int64())], ["part", "n"])
 
-    counts = {r["part"]: r["n"] for r in coded.mapInArrow(measured, "part int, n long").collect()}
-    first: dict[int, int] = {}
-    total = 0
-    for part in sorted(counts):
-        first[part] = total
-        total += counts[part]
+    # 8 bytes for each partition of the table, of 128 MB usually: 8 MB for 128 TB
+    sized = coded.mapInArrow(measured, "part int, n long").toArrow()
+    counts = np.zeros(max(sized.column("part").to_numpy(), default=-1) + 1, np.int64)
+    counts[sized.column("part").to_numpy()] = sized.column("n").to_numpy()
+    begins = spark.sparkContext.broadcast(np.append(0, np.cumsum(counts)))
+    total = int(counts.sum())
     shards = max(1, -(-total // shard_sequences))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use, zstd = _tokens(tokenizer), pa.Codec("zstd", compression_level=3)
         part = TaskContext.get().partitionId()
-        at, bound = first[part], first[part] + counts[part]
+        at, bound = begins.value[part : part + 2].tolist()
         end, size = np.array([use.end], use.dtype).tobytes(), length * width
         pending, begun, owner, offset = bytearray(), 0, None, 0
         heads, bodies = [], []

@@ -147,3 +147,14 @@ def test_long_records_are_read_in_pieces(monkeypatch):
         list(W.read_records(io.BytesIO(gzip.compress(b"y" * (W.HEADER_BYTES + 100)))))
     with pytest.raises(W.DamagedArchive):
         list(W.read_records(io.BytesIO(gzip.compress(b""))))
+
+
+@pytest.mark.parametrize("line,want", [
+    ("// This code is licensed under the MIT license", "MIT"), ("// SPDX-License-Identifier: GPL-2.0", "GPL-2.0"), ("# SPDX-License-Identifier: GPL-2.0+", "GPL-2.0"),
+    ("/* SPDX-License-Identifier: Zlib */", "Zlib"), ("# SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"),
+])
+def test_old_and_short_forms_of_licences(spark, line, want):
+    from lodestrata.llm import license_scan
+
+    files = spark.createDataFrame([("a/b.c", f"{line}\nint main() {{}}\n"), ("a/c.c", "plain text"), ("d/e.py", "# SPDX-License-Identifier: MIT\n")], "path string, text string")
+    assert {r["path"]: r["license"] for r in license_scan.scan(files).collect()}["a/b.c"] == want
