@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from lodestrata.operators import resumes as R
+from lodestrata.operators import review as V
 from lodestrata.operators import scoring
 from lodestrata.plans.registry import query
 from lodestrata.runtime import scratch, settle, table
@@ -78,3 +79,29 @@ def s39_store(spark, sf_dir):
     store.append(read, "c_custkey", score)
     store.delete(texts.where("c_custkey % 7 = 0"), "c_custkey")
     return store.all().select("c_custkey", F.size("experience").cast("long").alias("n_jobs"), "score")
+
+#: Code with planted faults, by the remainder of a key, with what a review says of it.
+_CODE: list[tuple[str, str, str]] = [
+    ("def f{0}(n):\n    for i in range(n):\n        for j in range(n):\n            print(i, j)\n", "python n^2", "3:nested_loops"),
+    ("items{0} = [1, 2]\nfor x in range(9):\n    if x in items{0}:\n        print(x)\n    print(sorted(items{0}))\n", "python n * n log n", "3:list_search_in_loop,5:sort_in_loop"),
+    ("def g{0}(rows, seen=[]):\n    out = ''\n    while rows:\n        out += rows.pop()\n    return out\n", "python n", "0:shared_default,4:string_grown_in_loop"),
+    ("def fib{0}(n):\n    return fib{0}(n - 1) + fib{0}(n - 2)\n", "python 1 to n", "0:plain_recursion"),
+    ("#include <vector>\nusing namespace std;\nint main() {{\n  for (int i = 0; i < v{0}.size(); i++) {{\n    while (f(i)) {{ std::cout << i << std::endl; }}\n  }}\n}}\n", "cpp n^2", "0:flushed_output,0:size_in_condition,5:nested_loops"),
+    ("public class A{0} {{\n  private int n;\n  boolean f(String s) {{ return s == \"x\"; }}\n}}\n", "java 1 to n", "0:string_identity"),
+    ("const a{0} = 1;\nconst f = () => a{0} == 2;\n", "javascript 1 to n", "0:loose_equality"),
+    ("def find{0}(xs, x):\n    import bisect\n    low, high = 0, len(xs)\n    while low < high:\n        mid = (low + high) // 2\n        low = mid + 1\n    while True:\n        pass\n", "python log n", "0:endless_loop"),
+]
+
+
+@query(
+    "x36_review",
+    "SELECT p_partkey, split_part(told, ' ', 1) AS language, substr(told, instr(told, ' ') + 1) AS complexity, found AS findings FROM part JOIN (VALUES "
+    + ", ".join(f"({i}, '{told}', '{found}')" for i, (_, told, found) in enumerate(_CODE))
+    + f") v(i, told, found) ON p_partkey % {len(_CODE)} = i",
+)
+def x36_review(spark, sf_dir):
+    """Pieces of code named by parts are reviewed."""
+    forms = F.array(*(F.lit(body.replace("{{", "{").replace("}}", "}")) for body, _, _ in _CODE))
+    code = F.replace(F.element_at(forms, (F.col("p_partkey") % len(_CODE) + 1).cast("int")), F.lit("{0}"), F.col("p_partkey").cast("string"))
+    got = V.reviews(table(spark, sf_dir, "part").select("p_partkey", code.alias("code")))
+    return got.select("p_partkey", "language", "complexity", F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f["line"].cast("string"), f["name"])), ",").alias("findings"))
