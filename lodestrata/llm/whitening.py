@@ -8,7 +8,7 @@ and eigenvalues that are equal are deflated. The eigenvectors are made of roots
 by the formula of Löwner, which keeps them at right angles.
 
 The spectra of tasks are added up in the same way, one eigenvector of the one after the
-other added to the other, in groups of a bounded number of tasks, level by level. What
+other added to the other, in groups of a bounded number and size, level by level. What
 comes out is a basis, which a last pass over all vectors refines: the covariance in that
 basis is summed in Spark, and its eigenvectors (Rayleigh-Ritz) are the components.
 """
@@ -27,8 +27,8 @@ from lodestrata.runtime import extended, free_name, settle, ship
 
 #: What an entry is multiplied by before it is rounded down.
 SCALE = 256
-#: Tasks whose results are added up in one task of the next level.
-FAN_IN = 32
+#: Results that are added up in one task of the next level, or in the driver at last: so many, of 64 MB together, or two.
+FAN_IN, FAN_BYTES = 32, 64 << 20
 _ROUNDS = 60
 _EPS = float(np.finfo(np.float64).eps)
 
@@ -160,11 +160,11 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def tree(parts: DataFrame, ddl: str, add: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], name: str) -> pa.Table:
-    """Adds rows up, ``FAN_IN`` of them in a task, until so few are left that the driver adds the last."""
-    parts = settle(parts, name)
-    while (n := parts.count()) > FAN_IN:
-        parts = settle(parts.repartition(-(-n // FAN_IN)).mapInArrow(add, ddl), name)
+def tree(parts: DataFrame, ddl: str, add: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], name: str, dim: int) -> pa.Table:
+    """Adds up rows with dim x dim numbers, ``FAN_IN`` of them in a task, until so few are left that the driver adds the last."""
+    parts, most = settle(parts, name), max(2, min(FAN_IN, FAN_BYTES // (8 * dim * dim)))
+    while (n := parts.count()) > most:
+        parts = settle(parts.repartition(-(-n // most)).mapInArrow(add, ddl), name)
     last = parts.toArrow()
     rows = list(add(iter(last.to_batches())))
     return pa.Table.from_batches(rows)
@@ -213,7 +213,7 @@ def _covariance(vectors: DataFrame, shift: np.ndarray, basis: np.ndarray) -> np.
             yield pa.RecordBatch.from_pydict({"n": pa.array([n]), "first": [first.tobytes()], "second": [second.tobytes()]})
 
     ddl = "n long, first binary, second binary"
-    got = tree(vectors.mapInArrow(lambda b: _moments(b, *held.value, dim), ddl), ddl, add, "moments").to_pylist()[0]
+    got = tree(vectors.mapInArrow(lambda b: _moments(b, *held.value, dim), ddl), ddl, add, "moments", k).to_pylist()[0]
     rest = np.frombuffer(got["first"]) / got["n"]  # what rounding leaves of the mean
     return np.frombuffer(got["second"]).reshape(k, k) / got["n"] - np.outer(rest, rest)
 
@@ -237,7 +237,7 @@ def spectrum(vectors: DataFrame, dim: int) -> Spectrum:
         if own.n:
             yield _packed(own)
 
-    r = tree(vectors.mapInArrow(read, _SPECTRUM), _SPECTRUM, add, "spectra").to_pylist()[0]
+    r = tree(vectors.mapInArrow(read, _SPECTRUM), _SPECTRUM, add, "spectra", dim).to_pylist()[0]
     return Spectrum(r["n"], np.frombuffer(r["mean"]), np.frombuffer(r["eigenvalues"]), np.frombuffer(r["vectors"]).reshape(dim, dim))
 
 
