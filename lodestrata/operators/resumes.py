@@ -217,3 +217,4 @@ class ResumeStore:
         number = self.versions.next()
         rows.write.mode("overwrite").parquet(f"{self.versions.folder(number)}/resumes")
         self.versions.publish(number, {})
+        self.versions.drop()

@@ -53,6 +53,7 @@ class EmbeddingCache:
         alive.unionByName(made).write.mode("overwrite").parquet(folder)
         entries = self.spark.read.schema(_SCHEMA).parquet(folder)
         self.versions.publish(number, {"model": self.model})
+        self.versions.drop()
         mine = entries.where(F.col("model") == self.model).select(F.col("hash").alias("hash_"), "embedding", F.col("made"))
         wanted = hashed.select("hash_").distinct().join(mine.select("hash_", "made"), "hash_")
         before = own.distinct().join(hashed.select("hash_").distinct(), "hash_", "left_semi").count()

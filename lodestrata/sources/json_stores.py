@@ -119,6 +119,7 @@ class SessionIndex:
         number = self.versions.next()
         rows.select(*(f.split()[0] for f in self.schema.split(", "))).write.mode("overwrite").parquet(f"{self.versions.folder(number)}/entries")
         self.versions.publish(number, {})
+        self.versions.drop()
 
     def upsert(self, rows: DataFrame) -> None:
         """Replaces sessions by id and adds new ones; of rows with one id the last updated counts."""

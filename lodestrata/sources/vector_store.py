@@ -98,6 +98,7 @@ class VectorStore:
         celled.sortWithinPartitions("cell", key).write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/vectors")
         manifest = {"dim": dim, "cells": cells if len(found) else 0, "model": model, "centres": centres.tolist(), "probes": 0, "kind": rows.schema[key].dataType.simpleString(), "schema": schema.jsonValue()}
         self.versions.publish(number, manifest | {"probes": self._probes(folder, manifest, recall, k)})
+        self.versions.drop()
         return self.versions.manifest(number)
 
     def _probes(self, folder: str, manifest: dict, recall: float, k: int) -> int:
