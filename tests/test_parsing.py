@@ -233,3 +233,11 @@ def test_session_keys(spark, args, want):
 def test_external_text_counts_depth(spark, markup, want):
     got = spark.createDataFrame([(markup,)], "m string").select(P.external_text("m", 1000)).first()[0]
     assert got == want
+
+
+def test_a_tie_of_means_is_rounded_up_whatever_the_order_of_sums(spark, tmp_path):
+    from lodestrata.plans.records import a21_grades
+
+    values = [42.2, 95.48, 14.82, 53.3, 14.08, 88.82]  # 51.45 on average; their sum in doubles is a little less
+    spark.createDataFrame([(1, v) for v in values], "user_id long, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert a21_grades(spark, str(tmp_path)).first()["mean"] == 51.5
