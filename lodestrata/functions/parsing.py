@@ -202,11 +202,16 @@ def periods(text: str | Column) -> Column:
     return F.transform(found, lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"\s+", ""), "[—–~]", "-"), r"[至到](?=20\d{2})", "-"))
 
 
-def _year(part: Column) -> Column:
+def _year_parts(part: Column) -> tuple[Column, Column]:
     form = r"^(20\d{2})(?:\D{0,2}(\d{1,2}))?"
     month = F.regexp_extract(part, form, 2).try_cast("int")
     month = F.when(month.between(1, 12), month).otherwise(1)
-    return F.regexp_extract(part, form, 1).try_cast("int") + (month - 1) / F.lit(12.0)
+    return F.regexp_extract(part, form, 1).try_cast("int"), (month - 1) / F.lit(12.0)
+
+
+def _year(part: Column) -> Column:
+    year, share = _year_parts(part)
+    return year + share
 
 
 def period_bounds(period: str | Column, as_of: Column) -> Column:
@@ -219,6 +224,17 @@ def period_bounds(period: str | Column, as_of: Column) -> Column:
     return F.struct(F.when(good, _year(start)).alias("low"), F.when(good, high).alias("high"))
 
 
+def period_years(period: str | Column, as_of: Column) -> Column:
+    """How many years a period takes; null if it can't be read.
+
+    The start's year and its share of a year are taken off one after the other, as SQL does,
+    so that sums agree to the last bit and a quarter of a year is rounded alike.
+    """
+    start = strip(F.get(F.split(_c(period), "[-~—–]", 2), F.lit(0)))
+    year, share = _year_parts(start)
+    return period_bounds(period, as_of)["high"] - year - share
+
+
 def contact(text: str | Column, cities: Sequence[str]) -> Column:
     """struct<email, phone, website, name, location>: the first of each in a text, null where there is none."""
     text = F.coalesce(_c(text), F.lit(""))

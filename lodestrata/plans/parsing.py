@@ -224,8 +224,7 @@ def x27_periods(spark, sf_dir):
     ends = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
     told = F.concat(F.lit("worked "), F.date_format("a", "yyyy.MM"), F.lit(" — "), F.date_format("b", "yyyy.MM"), F.lit(" there"))
     found = ends.select("o_custkey", F.get(P.periods(told), F.lit(0)).alias("period"))
-    bounds = P.period_bounds("period", F.lit(dt.date(2024, 2, 1)))
-    return found.select("o_custkey", "period", F.round(bounds["high"] - bounds["low"], 1).alias("years"))
+    return found.select("o_custkey", "period", F.round(P.period_years("period", F.lit(dt.date(2024, 2, 1))), 1).alias("years"))
 
 
 @query(

@@ -241,3 +241,19 @@ def test_a_tie_of_means_is_rounded_up_whatever_the_order_of_sums(spark, tmp_path
     values = [42.2, 95.48, 14.82, 53.3, 14.08, 88.82]  # 51.45 on average; their sum in doubles is a little less
     spark.createDataFrame([(1, v) for v in values], "user_id long, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     assert a21_grades(spark, str(tmp_path)).first()["mean"] == 51.5
+
+
+def test_years_of_periods_are_rounded_as_sql_does(spark, tmp_path):
+    import duckdb
+
+    from lodestrata.plans.catalog import QUERIES, SQL
+
+    ends = [(y, m) for y in (2000, 2001, 2005) for m in range(1, 13)]
+    rows = [(i, dt.datetime(*e, 3)) for i, pair in enumerate((a, b) for a in ends for b in ends if a <= b) for e in pair]
+    path = str(tmp_path / "orders.parquet")
+    spark.createDataFrame(rows, "o_custkey long, o_orderdate timestamp").coalesce(1).write.parquet(path)
+    duck = duckdb.connect()
+    duck.sql("SET timezone = 'UTC'")
+    duck.sql(f"CREATE VIEW orders AS SELECT * FROM '{path}/*.parquet'")
+    got = QUERIES["x27_periods"](spark, str(tmp_path)).select("o_custkey", "period", "years").collect()
+    assert sorted(map(tuple, got)) == sorted(duck.sql(SQL["x27_periods"]).fetchall())
