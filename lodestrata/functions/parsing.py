@@ -15,7 +15,8 @@ from lodestrata.functions.text import content_hash, strip, unescaped
 # The forms of periods, addresses and labels in records.
 PERIOD = r"(?i)20\d{2}(?:\s*[./年\-]\s*\d{1,2}\s*月?)?\s*[-~—–至到]\s*(?:20\d{2}(?:\s*[./年\-]\s*\d{1,2}\s*月?)?|至今|现在|present|now)"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE = r"(?<!\d)1[3-9]\d(?:[\s-]?\d{4}){2}(?!\d)"
+# a date behind a number, such as P1380000 2010.07, is no part of a phone number
+PHONE = r"(?<!\d)1[3-9]\d(?:[\s-]?\d{4}){2}(?![./]?\d)"
 WEB = r"(?:https?://\S+|(?:github|gitee)\.com/[\w./-]+)"
 NAME_LABEL = r"姓\s*名\s*[:：]\s*([^\s,，|｜/／]{2,6})"
 PLACE_LABEL = r"(?:现居|居住地|所在地|城市|所在城市)\s*[:：]?\s*([^\s,，|｜/／]{2,8})"

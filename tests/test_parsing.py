@@ -257,3 +257,10 @@ def test_years_of_periods_are_rounded_as_sql_does(spark, tmp_path):
     duck.sql(f"CREATE VIEW orders AS SELECT * FROM '{path}/*.parquet'")
     got = QUERIES["x27_periods"](spark, str(tmp_path)).select("o_custkey", "period", "years").collect()
     assert sorted(map(tuple, got)) == sorted(duck.sql(SQL["x27_periods"]).fetchall())
+
+
+@pytest.mark.parametrize("text, want", [
+    ("项目 P1380000 2010.07 - 2011.07", None), ("P1380000 2010/07", None), ("tel 138 0000 2010.", "13800002010"), ("138-0000-2010, 2010.07", "13800002010"), ("1380000 2010", "13800002010"),
+])
+def test_a_date_is_no_part_of_a_phone_number(spark, text, want):
+    assert one(spark, P.contact(F.lit(text), ["Berlin"])["phone"]) == want
