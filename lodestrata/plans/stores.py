@@ -136,7 +136,7 @@ SELECT 's' || conv_id AS session_id, coalesce(substr(first, 1, 80), '') AS summa
 )
 def s25_sessions(spark, sf_dir):
     """The newest sessions by what they say of themselves; all files are asked for, as their times are those of this run."""
-    return sessions(spark, _session_files(spark, sf_dir), 100_000).orderBy(F.col("created_at").desc(), "session_id").limit(20)
+    return sessions(spark, _session_files(spark, sf_dir), None).orderBy(F.col("created_at").desc(), "session_id").limit(20)
 
 
 @query(

@@ -32,10 +32,11 @@ def rendered(fields: list[str], values: Column, text: Column) -> Column:
     return F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n"), text)
 
 
-def live(files: DataFrame, as_of: Column, limit: int) -> DataFrame:
-    """The newest files whose head neither disables them nor lets them expire; ``files`` has path, text and modified."""
+def live(files: DataFrame, as_of: Column, limit: int | None = None) -> DataFrame:
+    """The files whose head neither disables them nor lets them expire, with a limit the newest ones; ``files`` has path, text and modified."""
     got = files.withColumn("head", head(F.col("text"))).withColumn("body", body(F.col("text")))
     field = lambda k: F.try_element_at("head", F.lit(k))
     off = F.coalesce(F.lower(field("disabled")).isin("true", "yes", "1"), F.lit(False))
     old = expired(F.try_to_timestamp(field("updated_at")), F.try_to_timestamp(field("created_at")), field("ttl_days").try_cast("int"), as_of)
-    return got.where(~off & ~old).orderBy(F.col("modified").desc(), "path").limit(limit)
+    kept = got.where(~off & ~old)
+    return kept if limit is None else kept.orderBy(F.col("modified").desc(), "path").limit(limit)

@@ -74,29 +74,31 @@ def _listed(parsed: DataFrame) -> DataFrame:
     )
 
 
-def sessions(spark: SparkSession, folder: str, limit: int = 20) -> DataFrame:
+def sessions(spark: SparkSession, folder: str, limit: int | None = 20) -> DataFrame:
     """(session_id, summary, message_count, model, created_at) of the newest session files.
 
     The files are chosen by their time, from what the file system tells, and only as many
     are read as are needed for ``limit`` readable ones: the bound on the time is pushed into
     the scan. Files that can't be read as JSON are skipped. A summary is the given one, or
     80 characters of the first text of a user. ``latest.json`` counts if no other file has
-    its session. Rows are the newest by created_at, then by session_id.
+    its session. Rows are the newest by created_at, then by session_id. Without a limit all
+    files are read and all sessions given, in no order.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(folder)
     named = found.where(F.col("path").rlike(r"/session-[^/]*\.json$"))
-    asked, total = limit, named.select("path").count()
-    while True:
+    asked, total = limit, None if limit is None else named.select("path").count()
+    got = None if limit is not None else _listed(_parsed(named.select("path", "modificationTime", "content")))
+    while got is None:
         bound = named.select("modificationTime").orderBy(F.col("modificationTime").desc()).limit(asked).agg(F.min("modificationTime").alias("t")).first()["t"]
         chosen = named.where(F.col("modificationTime") >= F.lit(bound)) if bound is not None else named.limit(0)
-        got = _listed(_parsed(chosen.select("path", "modificationTime", "content")))
-        if asked >= total or got.count() >= limit:
-            break
+        own = _listed(_parsed(chosen.select("path", "modificationTime", "content")))
+        if asked >= total or own.count() >= limit:
+            got = own.orderBy(F.col("modificationTime").desc(), "path").limit(limit)
         asked *= 2
-    got = got.orderBy(F.col("modificationTime").desc(), "path").limit(limit)
     latest = _listed(_parsed(found.where(F.col("path").endswith("/latest.json")).select("path", "modificationTime", "content")))
     latest = latest.join(got.select("session_id"), "session_id", "left_anti").withColumn("summary", F.when(F.col("summary") == "", "(latest session)").otherwise(F.col("summary")))
-    return got.unionByName(latest).drop("path", "modificationTime").orderBy(F.col("created_at").desc(), "session_id").limit(limit)
+    both = got.unionByName(latest).drop("path", "modificationTime")
+    return both if limit is None else both.orderBy(F.col("created_at").desc(), "session_id").limit(limit)
 
 
 @dataclass

@@ -76,3 +76,10 @@ def test_transcripts(spark):
     turns = spark.createDataFrame([(1, 2, "assistant", " hi "), (1, 1, "user", "hello"), (2, 1, "user", None)], "c long, t long, role string, text string")
     got = {r["c"]: r["markdown"] for r in J.transcript(turns, "c", "t").collect()}
     assert got == {1: "# Session Transcript\n\n## User\n\nhello\n\n## Assistant\n\nhi\n", 2: "# Session Transcript\n\n## User\n\n"}
+
+
+def test_without_a_limit_all_sessions_count(spark, tmp_path):
+    for i in range(30):
+        snapshot(tmp_path, f"session-{i}.json", 1000 + i, session_id=f"s{i}", created_at=100.0 + i, messages=[])
+    snapshot(tmp_path, "latest.json", 3000, session_id="other", messages=[])
+    assert J.sessions(spark, f"file://{tmp_path}", None).count() == 31

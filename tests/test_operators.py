@@ -259,6 +259,11 @@ def test_heads_of_files(spark):
     assert [r["path"] for r in Fm.live(files, F.lit(dt.datetime(2024, 2, 1)), 5).collect()] == ["b"]
 
 
+def test_live_files_without_a_limit(spark):
+    files = spark.range(100_100).select(F.col("id").cast("string").alias("path"), F.lit("plain").alias("text"), F.lit(dt.datetime(2024, 1, 2)).alias("modified"))
+    assert Fm.live(files, F.lit(dt.datetime(2024, 2, 1))).count() == 100_100
+
+
 def test_folder_ingestion(spark, tmp_path):
     (tmp_path / "a.md").write_text("# Title\n\nSome text here.")
     (tmp_path / "b.json").write_text('{"k": {"v": 1}, "list": [1, 2]}')
