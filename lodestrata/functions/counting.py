@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame
 from lodestrata.functions.text import CJK
 from lodestrata.runtime import extended, ship
 
+#: Bytes of text that are worked on at once; arrays over them take some thirty times as much.
+BLOCK = 1 << 20
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -30,6 +33,17 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about ``BLOCK`` bytes of text, one row at least, so that what a task holds doesn't grow with its batches."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < batch.num_rows:
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + BLOCK, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def batch_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The ``functions.text.tokens`` of a column, in no order, and the row of each; null has none."""
     raw, offsets = _bytes(texts)
@@ -62,7 +76,7 @@ def postings(docs: DataFrame, text: str = "text") -> DataFrame:
     keep = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(slices(b, text) for b in batches):
             words, row = batch_tokens(batch.column(text))
             coded = words.dictionary_encode()
             n = max(1, len(coded.dictionary))
@@ -84,7 +98,7 @@ def frequencies(docs: DataFrame, terms: list[str], text: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = pa.array(terms, pa.large_string())
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(slices(b, text) for b in batches):
             words, row = batch_tokens(batch.column(text))
             place = pc.fill_null(pc.index_in(words, value_set=wanted), -1).to_numpy(zero_copy_only=False)
             hit = place >= 0
