@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestrata.functions.text import tokens
+from lodestrata.functions.counting import batch_tokens, slices
 from lodestrata.runtime import extended, ship
 
 
@@ -27,20 +28,25 @@ def embedded(df: DataFrame, text: str = "text", dimension: int = 384) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, float]] = {}
-        for batch in batches:
-            out = np.zeros((batch.num_rows, dimension), np.float32)
-            for i, words in enumerate(batch.column("tokens_").to_pylist()):
-                v = np.zeros(dimension)
-                for word in words or ():
-                    place = known.get(word)
-                    if place is None:
-                        place = place_of(word, dimension)
-                        if len(known) < 200_000:
-                            known[word] = place
-                    v[place[0]] += place[1]
-                norm = float(np.sqrt(v @ v))
-                out[i] = v / norm if norm else v
+
+        def placed(word: str) -> tuple[int, float]:
+            place = known.get(word)
+            if place is None:
+                place = place_of(word, dimension)
+                if len(known) < 200_000:
+                    known[word] = place
+            return place
+
+        for batch in itertools.chain.from_iterable(slices(b, text) for b in batches):
+            words, row = batch_tokens(batch.column(text))
+            coded = words.dictionary_encode()
+            places = [placed(w) for w in coded.dictionary.to_pylist()]
+            slot, sign = np.array([p for p, _ in places], np.int64), np.array([s for _, s in places])
+            code = coded.indices.to_numpy()
+            v = np.bincount(row.astype(np.int64) * dimension + slot[code], sign[code], batch.num_rows * dimension).reshape(-1, dimension)
+            norm = np.sqrt((v * v).sum(1, keepdims=True))
+            out = (v / np.where(norm > 0, norm, 1.0)).astype(np.float32)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dimension), pa.array(out.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), flat], [*names, "embedding"])
 
-    return df.withColumn("tokens_", tokens(text)).mapInArrow(run, extended(df.schema, "embedding array<float>"))
+    return df.mapInArrow(run, extended(df.schema, "embedding array<float>"))

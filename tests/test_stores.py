@@ -160,3 +160,21 @@ def test_cache_embeds_what_is_missing(spark, tmp_path):
     assert EmbeddingCache(spark, cache.path, "other", embed).embeddings(docs, day)[1] == {"found": 0, "embedded": 2}
     assert cache.embeddings(docs, day + dt.timedelta(days=31))[1] == {"found": 0, "embedded": 2}
     assert cache.embeddings(docs.limit(0), day)[1] == {"found": 0, "embedded": 0}
+
+
+def test_tokens_are_counted_in_bounded_blocks(spark, monkeypatch):
+    import pyarrow as pa
+
+    from lodestrata.functions import counting
+
+    texts = ["red fox 日本語", None, "", "red " * 50, "fox"] * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts)], ["doc_id", "text"])
+    monkeypatch.setattr(counting, "BLOCK", 300)
+    parts = list(counting.slices(batch, "text"))
+    assert pa.Table.from_batches(parts).combine_chunks().to_batches()[0].equals(batch)
+    assert len(parts) > 20 and all(sum(len((t or "").encode()) for t in p.column("text").to_pylist()) <= 300 or p.num_rows == 1 for p in parts)
+    for part in parts:
+        words, row = counting.batch_tokens(part.column("text"))
+        got = sorted(zip(row.tolist(), words.to_pylist()))
+        want = [(i, w) for i, t in enumerate(part.column("text").to_pylist()) for w in (["red"] * 50 if (t or "").startswith("red red") else ["red", "fox", "日", "本", "語", "日本", "本語"] if (t or "").startswith("red fox") else (t or "").split())]
+        assert got == sorted(want)
