@@ -360,3 +360,13 @@ def test_match_rubric(spark):
     assert one(spark, S.other_score(F.lit("x"), skills("x"), n(10), n(20), n(15), n(30))) == 100.0
     assert one(spark, S.other_score(F.lit("x"), skills(), n(None), n(None), n(15), n(30))) == 50.0
     assert [one(spark, S.advice(n(t), n(c), F.lit(m))) for t, c, m in ((90, 0.95, True), (90, 0.5, True), (90, 0.95, False), (50, 1.0, True))] == [S.SAFE, S.FIT, S.FIT, S.REACH]
+
+
+def test_files_are_read_once_and_share_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"n{i}.{('md', 'MD', 'bin')[i % 3]}").write_text(f"text {i}")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    files = I.files(spark, f"file://{tmp_path}")
+    assert "binaryFile" not in files._jdf.queryExecution().executedPlan().toString()
+    assert len(files.inputFiles()) < 9 + 1 and spark.conf.get("spark.sql.files.openCostInBytes") == cost
+    assert {(r["path"].rsplit("/", 1)[1], r["text"]) for r in files.collect()} == {(f"n{i}.{('md', 'MD')[i % 3]}", f"text {i}") for i in range(300) if i % 3 < 2}
