@@ -97,7 +97,7 @@ def _in_parts(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], n
     """Runs a stream over a table that grows part by part; for each it is started again from its checkpoint."""
     spark, path = parts[0].sparkSession, scratch(parts[0].sparkSession, name)
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        part.write.mode("append").parquet(f"{path}/in")
         out = build(spark.readStream.schema(parts[0].schema).parquet(f"{path}/in"))
         out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{path}/out")

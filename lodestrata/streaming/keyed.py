@@ -8,15 +8,20 @@ stated order, as a shuffle may bring them in any.
 
 from __future__ import annotations
 
+import pickle
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lodestrata.runtime import ship
 
+#: Rows of a queue that are one entry of state.
+BLOCK_ROWS = 1024
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -115,44 +120,48 @@ def after_cursor(stream: DataFrame, by: str, position: str, start: DataFrame | N
 
 
 class _Paced(StatefulProcessor):
-    """``waiting``: rows by the number in which they came; ``ends``: the first waiting and the next number, and the last departure."""
+    """``blocks``: waiting rows, those of one micro-batch together, by number of block; ``ends``: the first waiting block and how many of its rows have left, the next block, and the last departure."""
 
-    def __init__(self, by: str, ts: str, order: str, body: str, gap_ms: int, schema: T.StructType) -> None:
-        self.by, self.ts, self.order, self.body, self.gap, self.schema = by, ts, order, body, gap_ms, schema
+    def __init__(self, by: str, order: str, body: str, gap_ms: int) -> None:
+        self.by, self.order, self.body, self.gap = by, order, body, gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "number long", "id long, arrived long, leaves long, body string", None)
-        self.ends = handle.getValueState("ends", "first long, next long, last long", None)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first, nxt, last = self.ends.get() if self.ends.exists() else (0, 0, -(1 << 62))
-        batch = _ordered(rows, [self.ts, self.order])
-        for at, number, body in zip(batch[self.ts], batch[self.order], batch[self.body]):
-            came = pd.Timestamp(at).value // 1_000_000
+        self.blocks = handle.getMapState("blocks", "number long", "rows binary", None)
+        self.ends = handle.getValueState("ends", "first long, left long, next long, last long", None)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first, left, nxt, last = self.ends.get() or (0, 0, 0, -(1 << 62))
+        waits, due = nxt > first, []
+        for us, number, body in sorted(((r["us_"], r[self.order], r[self.body]) for r in rows), key=lambda r: r[:2]):
+            came = us // 1000
             last = max(came, last + self.gap)
-            self.waiting.updateValue((nxt,), (int(number), came, last, body))
-            if first == nxt:
-                self.handle.registerTimer(last)
+            due.append((number, came, last, body))
+        for at in range(0, len(due), BLOCK_ROWS):
+            self.blocks.updateValue((nxt,), (pickle.dumps(due[at : at + BLOCK_ROWS]),))
             nxt += 1
-        self.ends.update((first, nxt, last))
-        yield self._rows(key, [])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        first, nxt, last = self.ends.get()
-        now, out = timerValues.getCurrentWatermarkInMs(), []
-        while first < nxt and (row := self.waiting.getValue((first,)))[2] <= now:
-            out.append(row)
-            self.waiting.removeKey((first,))
-            first += 1
-        if first < nxt:
-            self.handle.registerTimer(row[2])
-        self.ends.update((first, nxt, last))
-        yield self._rows(key, out)
-
-    def _rows(self, key, out: list) -> pd.DataFrame:
-        stamp = lambda ms: pd.Timestamp(ms, unit="ms")
-        return pd.DataFrame([(key[0], r[0], stamp(r[1]), stamp(r[2]), r[3]) for r in out], columns=[f.name for f in self.schema.fields])
+        if not waits:
+            self.handle.registerTimer(due[0][2])
+        self.ends.update((first, left, nxt, last))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        first, left, nxt, last = self.ends.get()
+        now, later = timerValues.getCurrentWatermarkInMs(), None
+        made = Row(self.by, "id", "arrived", "leaves", "body")
+        while first < nxt and later is None:
+            block = pickle.loads(self.blocks.getValue((first,))[0])
+            end = bisect_right(block, now, left, key=lambda r: r[2])
+            for number, came, leaves, body in block[left:end]:
+                yield made(key[0], number, came, leaves, body)
+            if end < len(block):
+                left, later = end, block[end][2]
+            else:
+                self.blocks.removeKey((first,))
+                first, left = first + 1, 0
+        if later is not None:
+            self.handle.registerTimer(later)
+        self.ends.update((first, left, nxt, last))
 
     def close(self) -> None:
         pass
@@ -166,6 +175,7 @@ def paced(stream: DataFrame, by: str, ts: str, order: str, body: str, gap_ms: in
     ``order`` is a number that decides between rows of one time.
     """
     _ready(stream.sparkSession)
-    schema = T.StructType([stream.schema[by], *T.StructType.fromDDL("id long, arrived timestamp, leaves timestamp, body string").fields])
-    kept = stream.withWatermark(ts, delay)
-    return kept.groupBy(by).transformWithStateInPandas(_Paced(by, ts, order, body, gap_ms, schema), schema, "append", "eventTime")
+    schema = T.StructType([stream.schema[by], *T.StructType.fromDDL("id long, arrived long, leaves long, body string").fields])
+    kept = stream.withWatermark(ts, delay).select(by, ts, F.col(order).cast("long").alias(order), F.col(body).cast("string").alias(body), F.unix_micros(ts).alias("us_"))
+    out = kept.groupBy(by).transformWithState(_Paced(by, order, body, gap_ms), schema, "append", "eventTime")
+    return out.select(by, "id", F.timestamp_millis("arrived").alias("arrived"), F.timestamp_millis("leaves").alias("leaves"), "body")

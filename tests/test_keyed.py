@@ -75,3 +75,37 @@ def test_bus_is_read_once_and_in_order(spark, tmp_path):
     assert drain() == sorted(f"m{i}" for i in range(10))
     assert [r["body"] for r in B.waiting(spark, path).orderBy("name").collect()] == [f"m{i}" for i in range(10)]
     assert B.waiting(spark, f"file://{tmp_path}/none").count() == 0
+
+
+class _Counted:
+    """A state variable that counts calls of its methods."""
+
+    def __init__(self, calls):
+        self.held, self.calls = {}, calls
+
+    def __getattr__(self, name):
+        self.calls[name] += 1
+        return {"get": lambda: self.held.get(()), "update": lambda v: self.held.update({(): v}), "getValue": self.held.get, "containsKey": self.held.__contains__, "updateValue": self.held.__setitem__, "removeKey": lambda k: self.held.pop(k, None), "exists": lambda: () in self.held}[name]
+
+
+class _Handle:
+    def __init__(self):
+        self.calls, self.timers = collections.Counter(), []
+
+    def getMapState(self, *args):
+        return _Counted(self.calls)
+
+    getValueState = getMapState
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+def test_queue_takes_few_calls_of_state():
+    handle, queue = _Handle(), K._Paced("who", "n", "body", 10)
+    queue.init(handle)
+    assert not list(queue.handleInputRows((1,), iter([{"us_": 0, "n": i, "body": "a"} for i in range(3000)]), None))
+    times = lambda ms: type("Now", (), {"getCurrentWatermarkInMs": lambda self: ms})()
+    got = [r for ms in (15_000, 15_005, 40_000) for r in queue.handleExpiredTimer((1,), times(ms), None)]
+    assert [(r[1], r[3]) for r in got] == [(i, 10 * i) for i in range(3000)]
+    assert handle.timers == [0, 15_010, 15_010] and sum(handle.calls.values()) <= 20
