@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -62,10 +62,21 @@ def _has_han(word: str) -> bool:
     return any("一" <= c <= "鿿" for c in word)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is computed once, however often it is used.
+
+    Spark puts a column's expression wherever the column is used, and doesn't share what
+    stands in lambdas and branches; a variable of a lambda holds a value.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _place(low: Column, alias: str) -> Column:
     """Where an alias begins, or null. One with Han characters may stand anywhere, others by themselves."""
-    at = F.instr(low, alias) if _has_han(alias) else F.regexp_instr(low, F.lit(f"(?<![a-z0-9+#]){_quoted(alias)}(?![a-z0-9+#])"))
-    return F.when(at > 0, at)
+    at = F.instr(low, alias)
+    if not _has_han(alias):  # a plain search is much faster than a pattern, and most texts lack most aliases
+        at = F.when(F.contains(low, F.lit(alias)), F.regexp_instr(low, F.lit(f"(?<![a-z0-9+#]){_quoted(alias)}(?![a-z0-9+#])")))
+    return F.nullif(at, F.lit(0))
 
 
 def _first(places: list[Column]) -> Column:
@@ -73,22 +84,19 @@ def _first(places: list[Column]) -> Column:
 
 
 def _in_order(places: list[tuple[str, Column]]) -> Column:
-    rows = F.array(*(F.when(at.isNotNull(), F.struct(at.alias("at"), F.lit(name).alias("name"))) for name, at in places))
-    return F.transform(F.array_sort(F.array_compact(rows)), lambda x: x["name"])
+    rows = F.array(*(F.struct(at.alias("at"), F.lit(name).alias("name")) for name, at in places))
+    return F.transform(F.array_sort(F.filter(rows, lambda x: x["at"].isNotNull())), lambda x: x["name"])
 
 
 def found_names(text: str | Column, names: Names) -> Column:
     """Names of which an alias stands in a text, in the order of their first places."""
-    low = F.lower(F.coalesce(_c(text), F.lit("")))
-    return _in_order([(name, _first([_place(low, a) for a in aliases])) for name, aliases in names.items()])
+    return once(F.lower(F.coalesce(_c(text), F.lit(""))), lambda low: _in_order([(name, _first([_place(low, a) for a in aliases])) for name, aliases in names.items()]))
 
 
 def found_words(text: str | Column, words: Sequence[str], fold: bool = True) -> Column:
     """Words that occur anywhere in a text, in the order of their first places."""
     text = F.coalesce(_c(text), F.lit(""))
-    text = F.lower(text) if fold else text
-    at = lambda w: F.instr(text, w.lower() if fold else w)
-    return _in_order([(w, F.when(at(w) > 0, at(w))) for w in words])
+    return once(F.lower(text) if fold else text, lambda t: _in_order([(w, F.nullif(F.instr(t, w.lower() if fold else w), F.lit(0))) for w in words]))
 
 
 def canonical(name: str | Column, names: Names) -> Column:
@@ -236,19 +244,28 @@ def period_years(period: str | Column, as_of: Column) -> Column:
     return period_bounds(period, as_of)["high"] - year - share
 
 
+def _lines(text: Column, limit: int = -1) -> Column:
+    return F.split(text, r"\r\n|\r|\n", limit)
+
+
+def _head(text: Column, n: int) -> Column:
+    """The first n lines, without a split of what follows."""
+    return F.array_join(F.slice(_lines(text, n + 1), 1, n), "\n")
+
+
 def contact(text: str | Column, cities: Sequence[str]) -> Column:
     """struct<email, phone, website, name, location>: the first of each in a text, null where there is none."""
     text = F.coalesce(_c(text), F.lit(""))
-    given = lambda x: F.when(x != "", x)
-    lines = F.split(text, r"\r\n|\r|\n")
-    bare = F.transform(F.slice(lines, 1, 6), lambda x: strip(F.regexp_replace(x, r"^[\s\-*•·●▪◦>#]+", "")))
+    given = lambda x: F.nullif(x, F.lit(""))
+    found = lambda sign, pattern, group=0: F.when(F.contains(text, F.lit(sign)), F.regexp_extract(text, pattern, group))
+    bare = F.transform(F.slice(_lines(text, 7), 1, 6), lambda x: strip(F.regexp_replace(x, r"^[\s\-*•·●▪◦>#]+", "")))
     named = F.filter(bare, lambda x: x.rlike(f"^{_HAN}{{2,4}}$") & ~x.rlike("简历|个人|求职"))
-    near = found_words(F.array_join(F.slice(lines, 1, 12), "\n"), cities, fold=False)
+    near = found_words(_head(text, 12), cities, fold=False)
     return F.struct(
-        given(F.regexp_extract(text, EMAIL, 0)).alias("email"),
+        given(found("@", EMAIL)).alias("email"),
         given(F.regexp_replace(F.regexp_extract(text, PHONE, 0), r"[\s-]", "")).alias("phone"),
         given(F.regexp_replace(F.regexp_extract(text, WEB, 0), "[。，,;；]+$", "")).alias("website"),
-        F.coalesce(given(F.regexp_extract(text, NAME_LABEL, 1)), F.get(named, F.lit(0))).alias("name"),
+        F.coalesce(given(found("姓", NAME_LABEL, 1)), F.get(named, F.lit(0))).alias("name"),
         F.coalesce(given(F.regexp_extract(text, PLACE_LABEL, 1)), F.get(near, F.lit(0))).alias("location"),
     )
 
@@ -259,19 +276,25 @@ def posting(text: str | Column, names: Names, cities: Sequence[str], preferred:
     Names on lines with a mark of preference are preferred, all others required. The first
     ten lines say the city, or else the whole text.
     """
-    text = F.coalesce(_c(text), F.lit(""))
     hint = lambda x: F.when(strip(F.lit(x) if isinstance(x, str) else x) != "", strip(F.lit(x) if isinstance(x, str) else x))
-    lines = F.split(text, r"\r\n|\r|\n")
-    marked = F.filter(lines, lambda x: F.lower(x).rlike("|".join(map(_quoted, preferred))))
-    wanted, every = found_names(F.array_join(marked, "\n"), names), found_names(text, names)
-    near, anywhere = found_words(F.array_join(F.slice(lines, 1, 10), "\n"), cities, fold=False), found_words(text, cities, fold=False)
-    return F.struct(
-        F.coalesce(hint(title), strip(F.regexp_extract(text, TITLE_LABEL, 1))).alias("title"),
-        F.coalesce(hint(company), strip(F.regexp_extract(text, COMPANY_LABEL, 1))).alias("company"),
-        F.coalesce(hint(city), F.get(near, F.lit(0)), F.get(anywhere, F.lit(0)), F.lit("")).alias("city"),
-        F.array_except(every, wanted).alias("required"),
-        F.filter(every, lambda x: F.array_contains(wanted, x)).alias("preferred"),
-    )
+    said = lambda given, text, label: F.coalesce(hint(given), strip(F.regexp_extract(text, label, 1)))
+
+    def read(text: Column) -> Column:
+        marked = F.filter(_lines(text), lambda x: F.lower(x).rlike("|".join(map(_quoted, preferred))))
+        near, anywhere = found_words(_head(text, 10), cities, fold=False), found_words(text, cities, fold=False)
+        both = F.struct(found_names(F.array_join(marked, "\n"), names).alias("wanted"), found_names(text, names).alias("every"))
+        return once(
+            both,
+            lambda found: F.struct(
+                said(title, text, TITLE_LABEL).alias("title"),
+                said(company, text, COMPANY_LABEL).alias("company"),
+                F.coalesce(hint(city), F.get(near, F.lit(0)), F.get(anywhere, F.lit(0)), F.lit("")).alias("city"),
+                F.array_except(found["every"], found["wanted"]).alias("required"),
+                F.filter(found["every"], lambda x: F.array_contains(found["wanted"], x)).alias("preferred"),
+            ),
+        )
+
+    return once(F.coalesce(_c(text), F.lit("")), read)
 
 
 def code_language(code: str | Column, hints: Mapping[str, Sequence[str]] = CODE_HINTS) -> Column:
@@ -348,10 +371,11 @@ def company_and_title(line: str | Column, title_words: Sequence[str], company_ma
 
 def resume(text: str | Column, names: Names, cities: Sequence[str], as_of: Column) -> Column:
     """struct<contact, skills, periods, years>: years reach from the first start to the last end, null without periods."""
+    bounds = lambda found: F.filter(F.transform(found, lambda p: period_bounds(p, as_of)), lambda b: b["low"].isNotNull())
+    years = lambda b: F.array_max(F.transform(b, lambda x: x["high"])) - F.array_min(F.transform(b, lambda x: x["low"]))
+    span = lambda found: once(once(bounds(found), years), lambda n: F.when(n.isNotNull(), F.round(F.greatest(F.lit(0.0), n), 1)))
     found = periods(text)
-    bounds = F.filter(F.transform(found, lambda p: period_bounds(p, as_of)), lambda b: b["low"].isNotNull())
-    span = F.array_max(F.transform(bounds, lambda b: b["high"])) - F.array_min(F.transform(bounds, lambda b: b["low"]))
-    return F.struct(contact(text, cities).alias("contact"), found_names(text, names).alias("skills"), found.alias("periods"), F.when(span.isNotNull(), F.round(F.greatest(F.lit(0.0), span), 1)).alias("years"))
+    return F.struct(contact(text, cities).alias("contact"), found_names(text, names).alias("skills"), found.alias("periods"), span(found).alias("years"))
 
 
 def bounded_text(text: str | Column, max_lines: int = 200, max_bytes: int = 25_000) -> Column:

@@ -264,3 +264,13 @@ def test_years_of_periods_are_rounded_as_sql_does(spark, tmp_path):
 ])
 def test_a_date_is_no_part_of_a_phone_number(spark, text, want):
     assert one(spark, P.contact(F.lit(text), ["Berlin"])["phone"]) == want
+
+
+def uses(spark, column, pattern):
+    """How often a pattern stands in a plan, which is how often a row is searched for it at most."""
+    df = spark.createDataFrame([("x",)], "text string").select(column.alias("c"))
+    return df._jdf.queryExecution().optimizedPlan().toString().count(pattern)
+
+
+def test_resume_searches_a_text_once_for_a_name(spark):
+    assert uses(spark, P.resume("text", {"a": ["qqa"]}, ["Berlin"], F.lit(dt.date(2024, 2, 1)))["skills"], "(?<![a-z0-9+#])qqa") == 1
