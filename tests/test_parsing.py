@@ -274,3 +274,8 @@ def uses(spark, column, pattern):
 
 def test_resume_searches_a_text_once_for_a_name(spark):
     assert uses(spark, P.resume("text", {"a": ["qqa"]}, ["Berlin"], F.lit(dt.date(2024, 2, 1)))["skills"], "(?<![a-z0-9+#])qqa") == 1
+
+
+def test_posting_searches_a_text_once_for_a_name(spark):
+    told = P.posting("text", {"a": ["qqa"]}, ["Berlin"], ["license"])
+    assert uses(spark, F.struct(told["required"], told["preferred"]), "(?<![a-z0-9+#])qqa") <= 4  # in all lines and in marked ones
