@@ -10,7 +10,7 @@ from lodestrata.operators import resumes as R
 from lodestrata.operators import review as V
 from lodestrata.operators import scoring
 from lodestrata.plans.registry import query
-from lodestrata.runtime import scratch, settle, table
+from lodestrata.runtime import scratch, settle, spread, table
 
 _NAMES = {"python": ["python"], "sql": ["sql"], "spark": ["spark", "pyspark"]}
 
@@ -103,5 +103,5 @@ def x36_review(spark, sf_dir):
     """Pieces of code named by parts are reviewed."""
     forms = F.array(*(F.lit(body.replace("{{", "{").replace("}}", "}")) for body, _, _ in _CODE))
     code = F.replace(F.element_at(forms, (F.col("p_partkey") % len(_CODE) + 1).cast("int")), F.lit("{0}"), F.col("p_partkey").cast("string"))
-    got = V.reviews(table(spark, sf_dir, "part").select("p_partkey", code.alias("code")))
+    got = V.reviews(spread(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", code.alias("code")))
     return got.select("p_partkey", "language", "complexity", F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f["line"].cast("string"), f["name"])), ",").alias("findings"))

@@ -40,3 +40,11 @@ def test_columns(spark):
     docs = spark.createDataFrame([(1, None, "x", " Java "), (2, "while True: pass", "y", "")], "id long, code string, depth string, given string")
     got = sorted(tuple(r) for r in V.reviews(docs, language="given").collect())
     assert [(r[0], r[2], r[3], r[4]) for r in got] == [(1, "java", 0, "1 to n"), (2, "", 1, "n")] and [tuple(f) for f in got[1][5]] == [(0, "endless_loop")]
+
+
+def test_names_of_a_text_make_no_patterns(monkeypatch):
+    made = []
+    monkeypatch.setattr(V.re, "compile", lambda *a: made.append(a) or pytest.fail("compiled for one text"))
+    monkeypatch.setattr(V.re, "findall", lambda *a: made.append(a) or pytest.fail("compiled for one text"))
+    code = "def f(n):\n  xs = [1]\n  s = ''\n  for a in xs:\n    if in in xs: s += a\n  return f(n)"
+    assert V.findings(code, "python") == [(0, "plain_recursion"), (4, "list_search_in_loop"), (5, "string_grown_in_loop")] and not made
