@@ -68,24 +68,24 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     Spark puts a column's expression wherever the column is used, and doesn't share what
     stands in lambdas and branches; a variable of a lambda holds a value.
     """
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda held: use(held)), F.lit(0))
 
 
 def _place(low: Column, alias: str) -> Column:
-    """Where an alias begins, or null. One with Han characters may stand anywhere, others by themselves."""
+    """Where an alias begins, 0 or null if nowhere. One with Han characters may stand anywhere, others by themselves."""
     at = F.instr(low, alias)
     if not _has_han(alias):  # a plain search is much faster than a pattern, and most texts lack most aliases
         at = F.when(F.contains(low, F.lit(alias)), F.regexp_instr(low, F.lit(f"(?<![a-z0-9+#]){_quoted(alias)}(?![a-z0-9+#])")))
-    return F.nullif(at, F.lit(0))
+    return at
 
 
 def _first(places: list[Column]) -> Column:
-    return F.least(*places) if len(places) > 1 else places[0]
+    return F.array_min(F.filter(F.array(*places), lambda at: at > 0))
 
 
 def _in_order(places: list[tuple[str, Column]]) -> Column:
     rows = F.array(*(F.struct(at.alias("at"), F.lit(name).alias("name")) for name, at in places))
-    return F.transform(F.array_sort(F.filter(rows, lambda x: x["at"].isNotNull())), lambda x: x["name"])
+    return F.transform(F.array_sort(F.filter(rows, lambda x: x["at"] > 0)), lambda x: x["name"])
 
 
 def found_names(text: str | Column, names: Names) -> Column:
@@ -96,7 +96,7 @@ def found_names(text: str | Column, names: Names) -> Column:
 def found_words(text: str | Column, words: Sequence[str], fold: bool = True) -> Column:
     """Words that occur anywhere in a text, in the order of their first places."""
     text = F.coalesce(_c(text), F.lit(""))
-    return once(F.lower(text) if fold else text, lambda t: _in_order([(w, F.nullif(F.instr(t, w.lower() if fold else w), F.lit(0))) for w in words]))
+    return once(F.lower(text) if fold else text, lambda t: _in_order([(w, F.instr(t, w.lower() if fold else w)) for w in words]))
 
 
 def canonical(name: str | Column, names: Names) -> Column:
@@ -107,7 +107,7 @@ def canonical(name: str | Column, names: Names) -> Column:
     for known, aliases in names.items():
         hit = low == known.lower()
         for a in aliases:
-            hit = hit | _place(low, a).isNotNull()
+            hit = hit | (F.coalesce(_place(low, a), F.lit(0)) > 0)
         out = F.when(hit, known) if out is None else out.when(hit, known)
     return bare if out is None else out.otherwise(bare)
 
@@ -122,11 +122,15 @@ def external_text(markup: str | Column, max_chars: int) -> Column:
     blank. Line feeds stay. Texts without hidden elements take no Python.
     """
     text = F.coalesce(_c(markup).cast("string"), F.lit(""))
-    hides = text.rlike(rf"(?i)</?({'|'.join(HIDDEN)})\b")
-    plain = F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->", " "), _TAG, " ")
-    bare = F.when(~(text.contains("<") & text.contains(">")), text).when(hides, _shown(text)).otherwise(plain)
-    flat = F.regexp_replace(F.regexp_replace(unescaped(bare), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " "), r"[ \t]+", " ")
-    return F.substr(strip(flat), F.lit(1), F.lit(max(0, max_chars)))
+    hidden = once(text, lambda t: F.when(t.rlike(rf"(?i)</?({'|'.join(HIDDEN)})\b") & t.contains("<") & t.contains(">"), t))
+
+    def read(x: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(x["text"], r"(?s)<!--.*?-->", " "), _TAG, " ")
+        bare = F.when(~(x["text"].contains("<") & x["text"].contains(">")), x["text"]).otherwise(F.coalesce(x["shown"], plain))
+        flat = F.regexp_replace(F.regexp_replace(unescaped(bare), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " "), r"[ \t]+", " ")
+        return F.substr(strip(flat), F.lit(1), F.lit(max(0, max_chars)))
+
+    return once(F.struct(text.alias("text"), _shown(hidden).alias("shown")), read)  # a function in Python can't stand in a lambda
 
 
 _TAG = r"""<[A-Za-z/!?](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[A-Za-z/!?][^>]*+>"""
@@ -160,8 +164,7 @@ def _shown(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def first_given(raw: str | Column, keys: Sequence[str]) -> Column:
     """The first of several keys of a JSON object that isn't empty."""
-    values = [F.get_json_object(_c(raw), f"$.{k}") for k in keys]
-    return F.coalesce(*(F.when(v != "", v) for v in values))
+    return F.get(F.filter(F.array(*(F.get_json_object(_c(raw), f"$.{k}") for k in keys)), lambda v: v != ""), F.lit(0))
 
 
 def json_string(value: Column) -> Column:
@@ -256,7 +259,7 @@ def _head(text: Column, n: int) -> Column:
 def contact(text: str | Column, cities: Sequence[str]) -> Column:
     """struct<email, phone, website, name, location>: the first of each in a text, null where there is none."""
     text = F.coalesce(_c(text), F.lit(""))
-    given = lambda x: F.nullif(x, F.lit(""))
+    given = lambda x: once(x, lambda v: F.nullif(v, F.lit("")))
     found = lambda sign, pattern, group=0: F.when(F.contains(text, F.lit(sign)), F.regexp_extract(text, pattern, group))
     bare = F.transform(F.slice(_lines(text, 7), 1, 6), lambda x: strip(F.regexp_replace(x, r"^[\s\-*•·●▪◦>#]+", "")))
     named = F.filter(bare, lambda x: x.rlike(f"^{_HAN}{{2,4}}$") & ~x.rlike("简历|个人|求职"))

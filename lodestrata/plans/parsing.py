@@ -11,7 +11,7 @@ from lodestrata.functions import text as X
 from lodestrata.operators import scoring as S
 from lodestrata.operators import windows as N
 from lodestrata.plans.registry import query
-from lodestrata.runtime import table
+from lodestrata.runtime import spread, table
 from lodestrata.sources.ingest import json_texts
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -174,9 +174,8 @@ def _raw_records(spark, sf_dir):
 
 
 def _normalised(spark, sf_dir):
-    rows = _raw_records(spark, sf_dir)
-    for name, keys in _RAW.items():
-        rows = rows.withColumn(name, P.external_text(P.first_given("raw", keys), 200))
+    given = F.struct(*(P.external_text(P.first_given("raw", keys), 200).alias(name) for name, keys in _RAW.items()))
+    rows = spread(_raw_records(spark, sf_dir)).select("*", F.inline(F.array(given)))  # filters don't repeat what a generator makes
     reason = F.when(F.col("id") == "", "id").when(F.col("title") == "", "title").when(F.col("company") == "", "company")
     return rows.withColumn("reason", reason)
 

@@ -268,7 +268,7 @@ def test_a_date_is_no_part_of_a_phone_number(spark, text, want):
 
 def uses(spark, column, pattern):
     """How often a pattern stands in a plan, which is how often a row is searched for it at most."""
-    df = spark.createDataFrame([("x",)], "text string").select(column.alias("c"))
+    df = spark.range(1).select(F.col("id").cast("string").alias("text")).select(column.alias("c"))
     return df._jdf.queryExecution().optimizedPlan().toString().count(pattern)
 
 
@@ -279,3 +279,7 @@ def test_resume_searches_a_text_once_for_a_name(spark):
 def test_posting_searches_a_text_once_for_a_name(spark):
     told = P.posting("text", {"a": ["qqa"]}, ["Berlin"], ["license"])
     assert uses(spark, F.struct(told["required"], told["preferred"]), "(?<![a-z0-9+#])qqa") <= 4  # in all lines and in marked ones
+
+
+def test_external_text_takes_its_input_few_times(spark):
+    assert uses(spark, P.external_text(P.first_given("text", ["qqa"]), 200), "$.qqa") <= 4
