@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.functions.text import content_hash, strip, unescaped
+from lodestrata.functions.text import content_hash, strip, trimmed, unescaped
 
 # The forms of periods, addresses and labels in records.
 PERIOD = r"(?i)20\d{2}(?:\s*[./年\-]\s*\d{1,2}\s*月?)?\s*[-~—–至到]\s*(?:20\d{2}(?:\s*[./年\-]\s*\d{1,2}\s*月?)?|至今|现在|present|now)"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 # a date behind a number, such as P1380000 2010.07, is no part of a phone number
-PHONE = r"(?<!\d)1[3-9]\d(?:[\s-]?\d{4}){2}(?![./]?\d)"
+PHONE = r"1(?<!\d1)[3-9]\d(?:[\s-]?\d{4}){2}(?![./]?\d)"
 WEB = r"(?:https?://\S+|(?:github|gitee)\.com/[\w./-]+)"
 NAME_LABEL = r"姓\s*名\s*[:：]\s*([^\s,，|｜/／]{2,6})"
 PLACE_LABEL = r"(?:现居|居住地|所在地|城市|所在城市)\s*[:：]?\s*([^\s,，|｜/／]{2,8})"
@@ -71,6 +73,11 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda held: use(held)), F.lit(0))
 
 
+def has_match(text: Column, pattern: str) -> Column:
+    """Like ``rlike``, for lambdas: there, rlike decodes its pattern anew for each value."""
+    return F.regexp_instr(text, F.lit(pattern)) > 0
+
+
 def _place(low: Column, alias: str) -> Column:
     """Where an alias begins, 0 or null if nowhere. One with Han characters may stand anywhere, others by themselves."""
     at = F.instr(low, alias)
@@ -211,13 +218,12 @@ def company_id(key: str | Column) -> Column:
 def periods(text: str | Column) -> Column:
     """Periods such as 2021.07-2023.06, without blanks and with a hyphen between their ends."""
     found = F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(PERIOD), F.lit(0))
-    return F.transform(found, lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"\s+", ""), "[—–~]", "-"), r"[至到](?=20\d{2})", "-"))
+    return F.transform(found, lambda p: F.regexp_replace(F.translate(p, "—–~ \t\n\x0b\f\r", "---"), r"[至到](?=20\d{2})", "-"))
 
 
 def _year_parts(part: Column) -> tuple[Column, Column]:
     form = r"^(20\d{2})(?:\D{0,2}(\d{1,2}))?"
-    month = F.regexp_extract(part, form, 2).try_cast("int")
-    month = F.when(month.between(1, 12), month).otherwise(1)
+    month = once(F.regexp_extract(part, form, 2).try_cast("int"), lambda m: F.when(m.between(1, 12), m).otherwise(1))
     return F.regexp_extract(part, form, 1).try_cast("int"), (month - 1) / F.lit(12.0)
 
 
@@ -228,12 +234,28 @@ def _year(part: Column) -> Column:
 
 def period_bounds(period: str | Column, as_of: Column) -> Column:
     """struct<low, high> of a period in years; an open end is ``as_of``, and what can't be read is null."""
-    ends = F.split(_c(period), "[-~—–]", 2)
-    start, end = strip(F.get(ends, F.lit(0))), strip(F.get(ends, F.lit(1)))
     now = F.year(as_of) + (F.month(as_of) - 1) / F.lit(12.0)
-    high = F.when(end.isin("至今", "现在", "present", "now"), now).otherwise(_year(end))
-    good = _year(start).isNotNull() & high.isNotNull()
-    return F.struct(F.when(good, _year(start)).alias("low"), F.when(good, high).alias("high"))
+
+    def read(ends: Column) -> Column:
+        high = once(trimmed(F.get(ends, F.lit(1))), lambda end: F.when(end.isin("至今", "现在", "present", "now"), now).otherwise(_year(end)))
+        return F.struct(_year(trimmed(F.get(ends, F.lit(0)))).alias("low"), high.alias("high"))
+
+    def both(x: Column) -> Column:
+        good = x["low"].isNotNull() & x["high"].isNotNull()
+        return F.struct(F.when(good, x["low"]).alias("low"), F.when(good, x["high"]).alias("high"))
+
+    def ends(p: Column) -> Column:  # a split would compile its pattern for each period
+        at = F.regexp_instr(p, F.lit("[-~—–]"))
+        return once(at, lambda at: F.when(at > 0, F.array(F.substr(p, F.lit(1), at - 1), F.substr(p, at + 1))).otherwise(F.array(p)))
+
+    return once(once(once(_c(period), ends), read), both)
+
+
+def span_years(found: Column, as_of: Column) -> Column:
+    """Years from the first start to the last end of an array of periods, to a tenth; null if none can be read."""
+    bounds = F.filter(F.transform(found, lambda p: period_bounds(p, as_of)), lambda b: b["low"].isNotNull())
+    years = lambda b: F.array_max(F.transform(b, lambda x: x["high"])) - F.array_min(F.transform(b, lambda x: x["low"]))
+    return once(once(bounds, years), lambda n: F.when(n.isNotNull(), F.round(F.greatest(F.lit(0.0), n), 1)))
 
 
 def period_years(period: str | Column, as_of: Column) -> Column:
@@ -260,16 +282,16 @@ def contact(text: str | Column, cities: Sequence[str]) -> Column:
     """struct<email, phone, website, name, location>: the first of each in a text, null where there is none."""
     text = F.coalesce(_c(text), F.lit(""))
     given = lambda x: once(x, lambda v: F.nullif(v, F.lit("")))
-    found = lambda sign, pattern, group=0: F.when(F.contains(text, F.lit(sign)), F.regexp_extract(text, pattern, group))
+    found = lambda signs, pattern, group=0: F.when(reduce(or_, (F.contains(text, F.lit(s)) for s in signs)), F.regexp_extract(text, pattern, group))
     bare = F.transform(F.slice(_lines(text, 7), 1, 6), lambda x: strip(F.regexp_replace(x, r"^[\s\-*•·●▪◦>#]+", "")))
     named = F.filter(bare, lambda x: x.rlike(f"^{_HAN}{{2,4}}$") & ~x.rlike("简历|个人|求职"))
     near = found_words(_head(text, 12), cities, fold=False)
     return F.struct(
-        given(found("@", EMAIL)).alias("email"),
+        given(found(["@"], EMAIL)).alias("email"),
         given(F.regexp_replace(F.regexp_extract(text, PHONE, 0), r"[\s-]", "")).alias("phone"),
-        given(F.regexp_replace(F.regexp_extract(text, WEB, 0), "[。，,;；]+$", "")).alias("website"),
-        F.coalesce(given(found("姓", NAME_LABEL, 1)), F.get(named, F.lit(0))).alias("name"),
-        F.coalesce(given(F.regexp_extract(text, PLACE_LABEL, 1)), F.get(near, F.lit(0))).alias("location"),
+        given(F.regexp_replace(found(["://", ".com/"], WEB), "[。，,;；]+$", "")).alias("website"),
+        F.coalesce(given(found(["姓"], NAME_LABEL, 1)), F.get(named, F.lit(0))).alias("name"),
+        F.coalesce(given(found(["居", "所在地", "城市"], PLACE_LABEL, 1)), F.get(near, F.lit(0))).alias("location"),
     )
 
 
@@ -359,26 +381,27 @@ def code_findings(code: str | Column, language: str | Column) -> Column:
 def entry_parts(line: str | Column) -> Column:
     """The parts of a heading of an entry, without its periods."""
     bare = strip(F.regexp_replace(_c(line), PERIOD, " "))
-    return F.filter(F.split(bare, r"[|｜/／·•,，;；\s]+"), lambda x: x != "")
+    marks = "|｜/／·•，;； \t\n\x0b\f\r"
+    return F.filter(F.split(F.translate(bare, marks, "," * len(marks)), ","), lambda x: x != "")
 
 
 def company_and_title(line: str | Column, title_words: Sequence[str], company_marks: Sequence[str]) -> Column:
     """struct<company, title> of a heading: the first part with a word of titles, and the first other part with a mark of companies, or else the first other part."""
-    parts = entry_parts(line)
-    has = lambda words: (lambda x: F.lower(x).rlike("|".join(_quoted(w.lower()) for w in words)))
-    title = F.coalesce(F.get(F.filter(parts, has(title_words)), F.lit(0)), F.lit(""))
-    others = F.filter(parts, lambda x: x != title)
-    company = F.coalesce(F.get(F.filter(others, has(company_marks)), F.lit(0)), F.get(others, F.lit(0)), F.lit(""))
-    return F.struct(company.alias("company"), title.alias("title"))
+    has = lambda words: (lambda x: has_match(F.lower(x), "|".join(_quoted(w.lower()) for w in words)))
+    first = lambda parts: F.coalesce(F.get(parts, F.lit(0)), F.lit(""))
+
+    def read(x: Column) -> Column:
+        others = F.filter(x["parts"], lambda p: p != x["title"])
+        return F.struct(once(others, lambda o: F.coalesce(F.get(F.filter(o, has(company_marks)), F.lit(0)), first(o))).alias("company"), x["title"].alias("title"))
+
+    titled = once(entry_parts(line), lambda parts: F.struct(parts.alias("parts"), first(F.filter(parts, has(title_words))).alias("title")))
+    return once(titled, read)
 
 
 def resume(text: str | Column, names: Names, cities: Sequence[str], as_of: Column) -> Column:
     """struct<contact, skills, periods, years>: years reach from the first start to the last end, null without periods."""
-    bounds = lambda found: F.filter(F.transform(found, lambda p: period_bounds(p, as_of)), lambda b: b["low"].isNotNull())
-    years = lambda b: F.array_max(F.transform(b, lambda x: x["high"])) - F.array_min(F.transform(b, lambda x: x["low"]))
-    span = lambda found: once(once(bounds(found), years), lambda n: F.when(n.isNotNull(), F.round(F.greatest(F.lit(0.0), n), 1)))
     found = periods(text)
-    return F.struct(contact(text, cities).alias("contact"), found_names(text, names).alias("skills"), found.alias("periods"), span(found).alias("years"))
+    return F.struct(contact(text, cities).alias("contact"), found_names(text, names).alias("skills"), found.alias("periods"), span_years(found, as_of).alias("years"))
 
 
 def bounded_text(text: str | Column, max_lines: int = 200, max_bytes: int = 25_000) -> Column:

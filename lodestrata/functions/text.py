@@ -96,6 +96,11 @@ def strip(text: str | Column) -> Column:
     return F.regexp_replace(_c(text), r"^\s+|\s+$", "")
 
 
+def trimmed(text: str | Column) -> Column:
+    """As ``strip``, without a pattern; only blanks before a separator of lines or paragraphs (U+0085, U+2028, U+2029) at the end stay."""
+    return F.btrim(_c(text), F.lit(" \t\n\x0b\f\r"))
+
+
 def normalized(text: str | Column) -> Column:
     """Line feeds only, no blanks at the ends of lines, at most one empty line in a row."""
     lines = F.regexp_replace(F.regexp_replace(_c(text), r"\r\n?", "\n"), r"[ \t]+\n", "\n")

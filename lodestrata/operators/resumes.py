@@ -1,17 +1,16 @@
-"""Sections of résumés and the entries in them, as a fold over lines by windows, and a store of parsed résumés."""
+"""Sections of résumés and the entries in them, cut out of the lines of each text, and a store of parsed résumés."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.functions import parsing as P
-from lodestrata.functions.text import strip
-from lodestrata.runtime import settle
+from lodestrata.functions.text import strip, trimmed
 from lodestrata.sources.versions import Versions
 
 # Headings of sections, words of titles, marks of companies, verbs that begin a line of an entry, degrees by level.
@@ -37,11 +36,10 @@ MAJORS = [
     r"([一-鿿]{2,12})专业",
     r"([一-鿿]{2,14})\s*(?:专业)?\s*(?:本科|硕士|学士|大专|专科|研究生|博士)",
 ]
-ENTRY = "array<struct<company: string, title: string, period: string, highlights: array<string>>>"
 
 
 def _any(line: Column, words: Sequence[str]) -> Column:
-    return line.rlike("|".join(words))
+    return P.has_match(line, "|".join(words))
 
 
 def degree(text: Column) -> Column:
@@ -67,82 +65,96 @@ def header(line: Column, keywords: Mapping[str, Sequence[str]]) -> Column:
     six characters more; what follows its colon is the section's first line.
     """
     bare = strip(F.regexp_replace(strip(F.regexp_replace(strip(line), r"^[#*【\[]+\s*|\s*[#*】\]]+$", "")), r"^[一二三四五六七八九十\d]{1,3}\s*[、.．)）]\s*", ""))
-    colon = F.when(bare.contains("："), "：").when(bare.contains(":"), ":")
-    raw = F.split_part(bare, F.coalesce(colon, F.lit(":")), F.lit(1))
-    head = F.when(colon.isNull(), bare).otherwise(strip(raw))
-    rest = F.when(colon.isNull(), "").otherwise(strip(F.substr(bare, F.length(raw) + 2)))
-    whole = F.coalesce(*(F.when(head.isin(list(words)), name) for name, words in keywords.items()))
-    begins = F.coalesce(*(F.when(head.startswith(w) & (F.length(head) <= len(w) + 6), name) for name, words in keywords.items() for w in words))
-    section = F.when((head != "") & (F.length(head) <= 14), F.coalesce(whole, begins))
-    return F.when(section.isNotNull(), F.struct(section.alias("section"), rest.alias("rest")))
+    section: dict[str, str] = {}
+    for name, words in keywords.items():
+        for w in words:
+            section.setdefault(w, name)
+    every = "|".join(map(re.escape, section))
+    form = rf"(?s)^(?:(?:{every})(?=\z)|(?:{every})(?=.{{0,6}}\z))"  # all of the head if it is a keyword, else the first keyword that begins it
+    sections = F.create_map(*(F.lit(x) for pair in section.items() for x in pair))
 
+    def parts(bare: Column) -> Column:
+        colon = F.when(bare.contains("："), "：").when(bare.contains(":"), ":")
+        return F.struct(bare.alias("bare"), F.when(colon.isNotNull(), F.split_part(bare, colon, F.lit(1))).alias("raw"))
 
-def section_lines(docs: DataFrame, key: str, text: str = "text", keywords: Mapping[str, Sequence[str]] = SECTIONS) -> DataFrame:
-    """(key, section, at, line): the lines of each document that aren't empty, without the mark of a list, below the last heading.
+    def told(x: Column) -> Column:
+        head = F.when(x["raw"].isNull(), x["bare"]).otherwise(strip(x["raw"]))
+        rest = F.when(x["raw"].isNull(), "").otherwise(strip(F.substr(x["bare"], F.length(x["raw"]) + 2)))
+        word = P.once(head, lambda h: F.when(F.length(h) <= 14, F.regexp_extract(h, form, 0)))
+        return P.once(word, lambda w: F.when(F.map_contains_key(sections, w), F.struct(F.element_at(sections, w).alias("section"), rest.alias("rest"))))
 
-    Lines before the first heading are the ``preamble``. Documents are told apart by key.
+    marks, number = r"(?:[#*【\[]+\s*)?", r"(?:[一二三四五六七八九十\d]{1,3}\s*[、.．)）]\s*)?"
+    return F.when(P.has_match(line, rf"^\s*{marks}{number}(?:{every})"), P.once(P.once(bare, parts), told))  # most lines are no headings
+
+
+def cut(rows: Column, begins: Callable[[Column, Column], Column]) -> Column:
+    """An array in pieces: what stands before the first row that begins one, perhaps nothing, and then a piece for each such row."""
+    at = lambda rows: F.array_compact(F.transform(rows, lambda x, i: F.when(begins(x, i), i + 1)))
+    ends = lambda rows: P.once(at(rows), lambda n: F.struct(F.concat(F.array(F.lit(1)), n).alias("low"), F.concat(n, F.array(F.size(rows) + 1)).alias("high")))
+    return P.once(rows, lambda rows: P.once(ends(rows), lambda e: F.transform(e["low"], lambda low, i: F.slice(rows, low, F.get(e["high"], i) - low))))
+
+
+def sections(text: str | Column, names: Sequence[str], keywords: Mapping[str, Sequence[str]] = SECTIONS) -> Column:
+    """struct of an array of lines for each name: the lines that stand below headings of that section, in order.
+
+    Lines that are empty are left out, and so is the mark of a list. Lines before the first heading are the ``preamble``.
     """
-    split = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n")).alias("at", "raw")).where(strip("raw") != "")
-    told = split.withColumn("head", header(F.col("raw"), keywords))
-    below = F.last(F.col("head.section"), True).over(W.partitionBy(key).orderBy("at"))
-    line = F.when(F.col("head").isNull(), F.col("raw")).otherwise(F.col("head.rest"))
-    kept = told.select(key, F.coalesce(below, F.lit("preamble")).alias("section"), "at", strip(F.regexp_replace(F.rtrim(line), BULLET, "")).alias("line"), (F.col("head").isNotNull() & (F.col("head.rest") == "")).alias("bare"))
-    return kept.where(~F.col("bare")).drop("bare")
+    raw = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda x: P.has_match(x, r"\S"))
 
+    def told(x: Column, head: Column) -> Column:
+        line = trimmed(F.regexp_replace(F.rtrim(F.when(head.isNull(), x).otherwise(head["rest"])), BULLET, ""))
+        return F.struct(head["section"].alias("section"), line.alias("line"), F.coalesce(head["rest"] == "", F.lit(False)).alias("bare"))
 
-def _entries(lines: DataFrame, key: str, starts: Column) -> DataFrame:
-    """(key, entry, rows): the lines of each entry in order; entry 0 is what stands before the first one."""
-    order = W.partitionBy(key).orderBy("at")
-    counted = lines.withColumn("entry", F.sum(starts.cast("int")).over(order))
-    return counted.groupBy(key, "entry").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("rows"))
+    rows = F.transform(raw, lambda x: P.once(header(x, keywords), lambda head: told(x, head)))
+    own = lambda piece: F.coalesce(F.get(piece, F.lit(0))["section"], F.lit("preamble"))
+    lines = lambda piece: F.transform(F.filter(piece, lambda r: ~r["bare"]), lambda r: r["line"])
+    below = lambda pieces, name: F.flatten(F.transform(F.filter(pieces, lambda x: own(x) == name), lines))
+    return P.once(cut(rows, lambda r, i: r["section"].isNotNull()), lambda pieces: F.struct(*(below(pieces, name).alias(name) for name in names)))
 
 
-def dated_entries(lines: DataFrame, key: str, projects: bool = False, titles: Sequence[str] = TITLES, companies: Sequence[str] = COMPANIES, verbs: Sequence[str] = VERBS) -> DataFrame:
-    """(key, entries): the entries of a section of jobs or of projects.
+def dated_entries(lines: Column, projects: bool = False, titles: Sequence[str] = TITLES, companies: Sequence[str] = COMPANIES, verbs: Sequence[str] = VERBS) -> Column:
+    """The entries of the lines of jobs or of projects.
 
     A line with a period begins an entry if it has a word of titles, a mark of companies or,
     for projects, that of projects, or is short and doesn't begin with a verb or list mark;
     a short line with the mark of projects begins one too. Lines before the first entry are
     an entry named by their first line.
     """
-    line = F.col("line")
-    found = P.periods("line")
-    rest = strip(F.regexp_replace(line, P.PERIOD, " "))
-    listed = line.rlike(BULLET)
-    marked = line.contains(PROJECT) if projects else F.lit(False)
-    short = ~listed & (F.length(rest) <= 24) & ~rest.rlike("^(?:" + "|".join(verbs) + ")")
-    starts = F.when(F.size(found) > 0, _any(line, titles) | _any(line, companies) | marked | short).otherwise(marked & (F.length(line) <= 40) & ~listed)
-    grouped = _entries(lines, key, starts)
-    first = F.get("rows", F.lit(0))["line"]
-    others = F.filter(F.transform(F.slice("rows", 2, F.size("rows")), lambda r: r["line"]), lambda x: x != "")
-    period = F.coalesce(F.get(P.periods(first), F.lit(0)), F.lit(""))
-    both = P.company_and_title(first, titles, companies)
-    if projects:
-        made = F.struct(F.substring(strip(F.regexp_replace(first, P.PERIOD, " ")), 1, 80).alias("company"), F.lit("").alias("title"), period.alias("period"), others.alias("highlights"))
-    else:
-        made = F.struct(both["company"].alias("company"), both["title"].alias("title"), period.alias("period"), others.alias("highlights"))
-    loose = F.struct(F.substring(first, 1, 60).alias("company"), F.lit("").alias("title"), F.lit("").alias("period"), others.alias("highlights"))
-    held = grouped.select(key, "entry", F.when(F.col("entry") > 0, made).otherwise(loose).alias("e")).where((F.size("e.highlights") > 0) | (F.col("e.company") != ""))
-    listed_ = held.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("entry", "e"))).alias("all"))
-    return listed_.select(key, F.transform("all", lambda x: x["e"]).alias("entries"))
-
-
-def education_entries(lines: DataFrame, key: str) -> DataFrame:
-    """(key, entries): school, degree, major and period of each school.
+
+    def begins(line: Column, _: Column) -> Column:
+        listed = P.has_match(line, BULLET)
+        marked = line.contains(PROJECT) if projects else F.lit(False)
+        rest = strip(F.regexp_replace(line, P.PERIOD, " "))
+        short = ~listed & P.once(rest, lambda x: (F.length(x) <= 24) & ~P.has_match(x, "^(?:" + "|".join(verbs) + ")"))
+        return F.when(P.has_match(line, P.PERIOD), _any(line, titles) | _any(line, companies) | marked | short).otherwise(marked & (F.length(line) <= 40) & ~listed)
+
+    def read(rows: Column, i: Column) -> Column:
+        first = F.get(rows, F.lit(0))
+        others = F.filter(F.slice(rows, 2, F.size(rows)), lambda x: x != "")
+        entry = lambda company, title, period: F.struct(company.alias("company"), title.alias("title"), period.alias("period"), others.alias("highlights"))
+        period = F.coalesce(F.get(P.periods(first), F.lit(0)), F.lit(""))
+        if projects:
+            made = entry(F.substring(strip(F.regexp_replace(first, P.PERIOD, " ")), 1, 80), F.lit(""), period)
+        else:
+            made = P.once(P.company_and_title(first, titles, companies), lambda both: entry(both["company"], both["title"], period))
+        return F.when(i > 0, made).otherwise(entry(F.substring(first, 1, 60), F.lit(""), F.lit("")))
+
+    return F.filter(F.transform(cut(lines, begins), read), lambda e: (F.size(e["highlights"]) > 0) | (e["company"] != ""))
+
+
+def education_entries(lines: Column) -> Column:
+    """School, degree, major and period of each school in the lines of an education.
 
     A line with a school begins an entry, as does the first one with a degree and a period
     if no school came before it; other lines fill what the entry still lacks.
     """
-    order = W.partitionBy(key).orderBy("at")
-    read = lines.select(key, "at", F.regexp_extract("line", SCHOOL, 0).alias("school"), F.coalesce(degree(F.col("line")), F.lit("")).alias("degree"), major(F.col("line")).alias("major"), F.coalesce(F.get(P.periods("line"), F.lit(0)), F.lit("")).alias("period"))
-    dated = (F.col("degree") != "") & (F.col("period") != "")
-    none_yet = F.sum((F.col("school") != "").cast("int")).over(order) == 0
-    lone = dated & none_yet & (F.sum(dated.cast("int")).over(order) == 1)
-    counted = read.withColumn("starts", (F.col("school") != "") | lone).withColumn("entry", F.sum(F.col("starts").cast("int")).over(order)).where("entry > 0")
-    fill = lambda c: F.coalesce(F.get(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("at", c))), lambda r: r[c]), lambda v: v != ""), F.lit(0)), F.lit("")).alias(c)
-    each = counted.groupBy(key, "entry").agg(fill("school"), fill("degree"), fill("major"), fill("period"))
-    listed = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("entry", F.struct("school", "degree", "major", "period").alias("e")))).alias("all"))
-    return listed.select(key, F.transform("all", lambda x: x["e"]).alias("entries"))
+    part = lambda x: F.struct(F.regexp_extract(x, SCHOOL, 0).alias("school"), F.coalesce(degree(x), F.lit("")).alias("degree"), major(x).alias("major"), F.coalesce(F.get(P.periods(x), F.lit(0)), F.lit("")).alias("period"))
+    first = lambda rows, is_so: F.array_position(F.transform(rows, is_so), F.lit(True))
+    firsts = lambda rows: F.struct(rows.alias("rows"), first(rows, lambda r: r["school"] != "").alias("school"), first(rows, lambda r: (r["degree"] != "") & (r["period"] != "")).alias("dated"))
+    lone = lambda x: F.when((x["school"] == 0) | (x["dated"] < x["school"]), x["dated"]).otherwise(F.lit(0).cast("long"))
+    pieces = P.once(P.once(F.transform(lines, part), firsts), lambda x: P.once(lone(x), lambda at: cut(x["rows"], lambda r, i: (r["school"] != "") | (i + 1 == at))))
+    fill = lambda piece, c: F.coalesce(F.get(F.filter(F.transform(piece, lambda r: r[c]), lambda v: v != ""), F.lit(0)), F.lit("")).alias(c)
+    return F.transform(F.slice(pieces, 2, F.size(lines) + 1), lambda piece: F.struct(*(fill(piece, c) for c in ("school", "degree", "major", "period"))))
 
 
 def parsed(docs: DataFrame, key: str, names: P.Names, cities: Sequence[str], as_of: Column, text: str = "text", soft: P.Names | None = None) -> DataFrame:
@@ -150,37 +162,27 @@ def parsed(docs: DataFrame, key: str, names: P.Names, cities: Sequence[str], as_
 
     ``skills`` are those that the section of skills names, and then others in the text.
     Years are those of the periods of the jobs, or of all periods if the jobs have none.
-    ``key`` is unique; a null text has no sections. Each document's lines meet in one task.
+    A null text has no sections. Rows are mapped by themselves; what is used more than once has its own step.
     """
-    lines = settle(section_lines(docs, key, text), "resume-lines")  # read for each section
-    part = lambda s: lines.where(F.col("section") == s)
-    joined = lambda s: part(s).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("rows")).select(key, F.transform("rows", lambda r: r["line"]).alias(s))
-    own = docs.select(key, F.coalesce(text, F.lit("")).alias("text_"))
-    for name in ("summary", "skills", "awards"):
-        own = own.join(joined(name).withColumnRenamed(name, f"{name}_lines"), key, "left")
-    own = own.join(joined("experience").withColumnRenamed("experience", "job_lines"), key, "left")
-    own = own.join(dated_entries(part("experience"), key).withColumnRenamed("entries", "experience"), key, "left")
-    own = own.join(education_entries(part("education"), key).withColumnRenamed("entries", "education"), key, "left")
-    own = own.join(dated_entries(part("projects"), key, projects=True).select(key, F.transform("entries", lambda e: F.struct(e["company"].alias("name"), e["period"].alias("period"), e["highlights"].alias("highlights"))).alias("projects")), key, "left")
-    text_of = lambda c: F.coalesce(F.array_join(c, "\n"), F.lit(""))
-    declared, every = P.found_names(text_of("skills_lines"), names), P.found_names("text_", names)
-    softer = P.found_names("text_", soft) if soft else F.array().cast("array<string>")
-    jobs = P.periods(text_of("job_lines"))
-    bounds = F.filter(F.transform(F.when(F.size(jobs) > 0, jobs).otherwise(P.periods("text_")), lambda p: P.period_bounds(p, as_of)), lambda b: b["low"].isNotNull())
-    span = F.array_max(F.transform(bounds, lambda b: b["high"])) - F.array_min(F.transform(bounds, lambda b: b["low"]))
-    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
-    return own.select(
+    cut_up = docs.select(key, F.coalesce(text, F.lit("")).alias("text_")).select(key, "text_", sections("text_", ["summary", "skills", "awards", "experience", "education", "projects"]).alias("s_"))
+    joined = lambda name: F.array_join(f"s_.{name}", "\n")
+    found = P.once(P.periods(joined("experience")), lambda jobs: F.when(F.size(jobs) > 0, jobs).otherwise(P.periods("text_")))
+    project = lambda e: F.struct(e["company"].alias("name"), e["period"].alias("period"), e["highlights"].alias("highlights"))
+    read = cut_up.select(
         key,
         P.contact("text_", cities).alias("contact"),
-        F.substring(text_of("summary_lines"), 1, 600).alias("summary"),
-        F.array_union(declared, F.array_except(every, softer)).alias("skills"),
-        F.array_except(softer, F.array_union(declared, F.array_except(every, softer))).alias("soft_skills"),
-        none("experience", ENTRY),
-        none("education", "array<struct<school: string, degree: string, major: string, period: string>>"),
-        none("projects", "array<struct<name: string, period: string, highlights: array<string>>>"),
-        F.slice(F.coalesce("awards_lines", F.array().cast("array<string>")), 1, 10).alias("awards"),
-        F.when(span.isNotNull(), F.round(F.greatest(F.lit(0.0), span), 1)).alias("years"),
+        F.substring(joined("summary"), 1, 600).alias("summary"),
+        P.found_names(joined("skills"), names).alias("declared_"),
+        P.found_names("text_", names).alias("every_"),
+        (P.found_names("text_", soft) if soft else F.array().cast("array<string>")).alias("softer_"),
+        dated_entries(F.col("s_.experience")).alias("experience"),
+        education_entries(F.col("s_.education")).alias("education"),
+        F.transform(dated_entries(F.col("s_.projects"), projects=True), project).alias("projects"),
+        F.slice("s_.awards", 1, 10).alias("awards"),
+        P.span_years(found, as_of).alias("years"),
     )
+    skills = F.array_union("declared_", F.array_except("every_", "softer_"))
+    return read.select(key, "contact", "summary", skills.alias("skills"), F.array_except("softer_", skills).alias("soft_skills"), "experience", "education", "projects", "awards", "years")
 
 
 @dataclass

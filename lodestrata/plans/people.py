@@ -17,14 +17,14 @@ _NAMES = {"python": ["python"], "sql": ["sql"], "spark": ["spark", "pyspark"]}
 
 def _resumes(spark, sf_dir):
     """A job for each order, a school, a project for each third order and awards."""
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.year("o_orderdate") + 8).alias("y"), F.month("o_orderdate").alias("m"), "o_orderpriority", "o_orderstatus")
-    when = lambda y: F.format_string("%d.%02d", y, F.col("m"))
-    period = F.concat(when(F.col("y")), F.lit(" - "), when(F.col("y") + 1))
-    job = F.concat_ws("\n", F.concat(F.lit("A"), "o_orderkey", F.lit("科技公司 | 工程师 "), period), F.concat(F.lit("- 负责 "), "o_orderpriority"), F.concat(F.lit("* 2 "), "o_orderstatus"))
-    project = F.concat_ws("\n", F.concat(F.lit("项目 P"), "o_orderkey", F.lit(" "), period), F.concat(F.lit("• spark "), "o_orderstatus"))
-    all_of = lambda c, keep=F.lit(True): F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("o_orderkey", c.alias("t"))))), lambda r: r["t"]), "\n")
-    work = orders.groupBy("o_custkey").agg(all_of(job).alias("jobs"), all_of(project, F.col("o_orderkey") % 3 == 0).alias("projects"))
-    people = table(spark, sf_dir, "customer").join(work, F.col("c_custkey") == F.col("o_custkey"), "left")
+    orders = spread(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus"), "o_custkey")
+    when = lambda more: F.concat(F.year("o_orderdate") + 8 + more, F.date_format("o_orderdate", ".MM"))
+    dated = orders.withColumn("period", F.concat(when(0), F.lit(" - "), when(1)))
+    job = F.concat_ws("\n", F.concat(F.lit("A"), "o_orderkey", F.lit("科技公司 | 工程师 "), "period"), F.concat(F.lit("- 负责 "), "o_orderpriority"), F.concat(F.lit("* 2 "), "o_orderstatus"))
+    project = F.concat_ws("\n", F.concat(F.lit("项目 P"), "o_orderkey", F.lit(" "), "period"), F.concat(F.lit("• spark "), "o_orderstatus"))
+    all_of = lambda c, keep=F.lit(True): F.array_join(F.transform(F.sort_array(F.collect_list(F.when(keep, F.struct("o_orderkey", c.alias("t"))))), lambda r: r["t"]), "\n")
+    work = dated.groupBy("o_custkey").agg(all_of(job).alias("jobs"), all_of(project, F.col("o_orderkey") % 3 == 0).alias("projects"))
+    people = table(spark, sf_dir, "customer").join(work.hint("merge"), F.col("c_custkey") == F.col("o_custkey"), "left")  # texts are made by all tasks, not by the few that read customers
     degree = F.element_at(F.array(F.lit("本科"), F.lit("硕士及以上"), F.lit("大专")), F.col("c_custkey").cast("int") % 3 + 1)
     text = F.concat_ws(
         "\n", F.col("c_name"), F.concat(F.lit("mail c"), "c_custkey", F.lit("@example.com")), F.lit("【自我评价】"), F.lit("- works well"), F.concat(F.lit("二、专业技能："), F.lit("SQL")),
@@ -50,7 +50,7 @@ FROM customer LEFT JOIN j ON o_custkey = c_custkey
 )
 def x32_sections(spark, sf_dir):
     """All of a parsed résumé, its entries flattened."""
-    got = R.parsed(settle(_resumes(spark, sf_dir), "resumes"), "c_custkey", _NAMES, ["Berlin"], F.lit(dt.date(2024, 2, 1)))
+    got = R.parsed(_resumes(spark, sf_dir), "c_custkey", _NAMES, ["Berlin"], F.lit(dt.date(2024, 2, 1)))
     flat = lambda c, *fields: F.array_join(F.transform(c, lambda e: F.concat_ws("/", *(F.array_join(e[f], ";") if f == "highlights" else e[f] for f in fields))), "|").alias(c if c != "experience" else "jobs")
     return got.select(
         "c_custkey", F.col("contact.email").alias("email"), "summary", F.array_join("skills", ",").alias("skills"), flat("experience", "company", "title", "period", "highlights"),

@@ -55,6 +55,18 @@ def test_whole_resume(spark):
     assert got["awards"] == [f"奖项{i}" for i in range(1, 11)] and got["years"] == pytest.approx(3.5)
 
 
+def test_documents_are_mapped_by_themselves(spark):
+    docs = spark.createDataFrame([(1, TEXT), (1, TEXT.replace("zhang", "li"))], "id long, text string")
+    got = R.parsed(docs, "id", {"sql": ["sql"]}, ["北京"], F.lit(dt.date(2024, 1, 1)))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()  # no line is shuffled, and no section joined
+    assert sorted((r["contact"]["email"], len(r["experience"]), len(r["education"]), len(r["awards"])) for r in got.collect()) == [(f"{x}@example.com", 3, 2, 10) for x in ("li", "zhang")]
+
+
+@pytest.mark.parametrize("rows,want", [([], [[]]), ([1, 2], [[1, 2]]), ([0, 1, 0, 0, 2], [[], [0, 1], [0], [0, 2]]), ([3, 0], [[3], [0]])])
+def test_cut(spark, rows, want):
+    assert spark.createDataFrame([(rows,)], "x array<int>").select(R.cut(F.col("x"), lambda x, i: x == 0)).first()[0] == want
+
+
 def test_texts_without_sections(spark):
     rows = read(spark, None, "", "no heading\nat all")
     assert [(r["summary"], r["experience"], r["education"], r["projects"], r["awards"], r["years"]) for r in rows] == [("", [], [], [], [], None)] * 3
