@@ -32,11 +32,46 @@ def _ready(spark: SparkSession) -> None:
 
 def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     """A micro-batch of one key."""
-    return pd.concat(list(rows)).sort_values(by, kind="stable").reset_index(drop=True)
+    parts = list(rows)
+    batch = parts[0] if len(parts) == 1 else pd.concat(parts)
+    return (batch if len(batch) == 1 else batch.sort_values(by, kind="stable")).reset_index(drop=True)
+
+
+class _Held:
+    """A map of state during one micro-batch of one key: an entry is read at most once, and written once at the end if it changed.
+
+    ``none_from``: numbers from here on have no entry before this batch.
+    """
+
+    def __init__(self, state, none_from: int | None = None) -> None:
+        self.state, self.none_from = state, none_from
+        self.was, self.now = {}, {}
+
+    def get(self, key):
+        if key not in self.now:
+            got = None
+            if self.none_from is None or key < self.none_from:
+                got = self.state.getValue((key,))
+            self.was[key] = self.now[key] = got[0] if got is not None else None
+        return self.now[key]
+
+    def put(self, key, value) -> None:
+        """Sets an entry that was read before; None removes it."""
+        self.now[key] = value
+
+    def write(self) -> None:
+        for key, value in self.now.items():
+            if value is None and self.was[key] is not None:
+                self.state.removeKey((key,))
+            elif value != self.was[key]:
+                self.state.updateValue((key,), (value,))
 
 
 class _Recent(StatefulProcessor):
-    """``seen``: the number under which a key was noted last; ``notes``: keys by number; ``ends``: the first and next number, and how many keys there are."""
+    """``seen``: the number under which a key was noted last; ``notes``: keys by number; ``ends``: the first and next number, and how many keys there are.
+
+    Each call of state is a message to the JVM, so a micro-batch reads an entry once and writes what has changed in the end.
+    """
 
     def __init__(self, key: str, order: str, cap: int, refresh: bool, ttl_ms: int | None) -> None:
         self.key, self.order, self.cap, self.refresh, self.ttl_ms = key, order, cap, refresh, ttl_ms
@@ -47,27 +82,37 @@ class _Recent(StatefulProcessor):
         self.ends = handle.getValueState("ends", "first long, next long, held long", None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first, nxt, held = self.ends.get() if self.ends.exists() else (0, 0, 0)
+        known_ends = self.ends.get()
+        before = first, nxt, held = known_ends or (0, 0, 0)
         batch = _ordered(rows, [self.order, self.key])
-        keep = []
+        seen, notes, keep = _Held(self.seen), _Held(self.notes, nxt), []
+        if not known_ends:
+            seen = _Held(self.seen, "")  # nothing is known
         for value in batch[self.key].astype(str):
-            known = self.seen.getValue((value,)) if self.seen.containsKey((value,)) else None
+            known = seen.get(value)
             keep.append(known is None)
             if known is not None and not self.refresh:
                 continue
             if known is not None:
-                self.notes.removeKey((known[0],))
-            self.seen.updateValue((value,), (nxt,))
-            self.notes.updateValue((nxt,), (value,))
+                notes.get(known)
+                notes.put(known, None)
+            seen.put(value, nxt)
+            notes.get(nxt)
+            notes.put(nxt, value)
             nxt, held = nxt + 1, held + (known is None)
             while held > self.cap and first < nxt:
-                if self.notes.containsKey((first,)):
-                    self.seen.removeKey((self.notes.getValue((first,))[0],))
-                    self.notes.removeKey((first,))
+                oldest = notes.get(first)
+                if oldest is not None:
+                    seen.get(oldest)
+                    seen.put(oldest, None)
+                    notes.put(first, None)
                     held -= 1
                 first += 1
             held = min(held, nxt - first)  # entries past their time are gone without being counted
-        self.ends.update((first, nxt, held))
+        seen.write()
+        notes.write()
+        if (first, nxt, held) != before:
+            self.ends.update((first, nxt, held))
         yield batch[keep]
 
     def close(self) -> None:

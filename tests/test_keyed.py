@@ -5,6 +5,7 @@ import datetime as dt
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,16 @@ def test_queue_takes_few_calls_of_state():
     got = [r for ms in (15_000, 15_005, 40_000) for r in queue.handleExpiredTimer((1,), times(ms), None)]
     assert [(r[1], r[3]) for r in got] == [(i, 10 * i) for i in range(3000)]
     assert handle.timers == [0, 15_010, 15_010] and sum(handle.calls.values()) <= 20
+
+
+@pytest.mark.parametrize("refresh", [False, True])
+def test_recent_keys_take_few_calls_of_state(refresh):
+    handle, out, rows = _Handle(), [], []
+    recent = K._Recent("key", "n", 2, refresh, None)
+    recent.init(handle)
+    for part in range(3):
+        batch = pd.DataFrame({"who": 1, "n": range(500 * part, 500 * part + 500), "key": [f"k{n * n % 7 % 4}" for n in range(500)]})
+        rows += list(batch.itertuples(index=False, name=None))
+        out += [tuple(r) for got in recent.handleInputRows((1,), iter([batch]), None) for r in got.itertuples(index=False, name=None)]
+    assert out == plain(rows, 2, refresh) and 0 < len(out) < len(rows)
+    assert sum(handle.calls.values()) <= 60 and set(recent.seen.held.values()) == {(n,) for n, in recent.notes.held}
