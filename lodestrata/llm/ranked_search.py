@@ -50,7 +50,9 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 32
 _RAW = "n_docs long, n_tokens long, ids array<long>, lengths binary, terms array<string>, sizes array<int>, docs binary, tfs binary"
 _INDEX = "ids array<long>, terms array<string>, sizes array<int>, docs binary, impacts binary"
-_SMALL = {"compression": "zstd"}
+#: A row of megabytes is a row group by itself, so that writers hold and readers load one at a time, whatever a file holds;
+#: without statistics, as a writer holds the least and largest value of every row group until it closes the file.
+_SMALL = {"compression": "zstd", "parquet.block.row.count.limit": "1", "parquet.page.size.row.check.min": "1", "parquet.column.statistics.enabled": "false"}
 
 
 @dataclass(frozen=True)

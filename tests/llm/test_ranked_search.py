@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.llm import ranked_search as R
 
@@ -84,3 +85,14 @@ def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b", 2, "x", 3), (2, "c d e", 2, "x", 3)], "doc_id long, text string, score int, term string, rank int")
     items = spark.createDataFrame([(1, "b", 5)], "item_id long, text string, weight int")
     assert [r["doc_id"] for r in R.ranked_documents(docs, items).collect()] == [1]
+
+
+def test_a_shard_is_a_row_group_without_statistics(spark):
+    import pyarrow.dataset as ds
+
+    rows = spark.range(0, 40_000, 1, 1)  # batches of 10,000 rows in one task
+    index = R.build(rows.select(rows["id"].alias("doc_id"), F.concat(F.lit("word "), "id").alias("text")))
+    files = [f.metadata for f in ds.dataset([f.removeprefix("file://") for f in index.shards.inputFiles()]).get_fragments()]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert max(m.num_rows for m in files) > 1 and all(g.num_rows == 1 for g in groups)
+    assert not any(g.column(c).is_stats_set for g in groups for c in range(g.num_columns))
