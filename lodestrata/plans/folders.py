@@ -14,6 +14,8 @@ from lodestrata.sources import ingest as I
 from lodestrata.sources.document_sink import write_documents
 
 _KINDS = ["md", "txt", "json", "bin"]
+#: Folders that a query's documents are dealt to, so that tasks list them side by side.
+_FOLDERS = 1024
 
 
 def _name():
@@ -32,7 +34,7 @@ def _folder(spark, sf_dir, text=None, which=None) -> str:
     docs = docs.where(which) if which is not None else docs
     kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("doc_id") % 4 + 1).cast("int"))
     body = F.when(kind == "json", F.to_json(F.struct("doc_id", "lang"))).otherwise(text if text is not None else F.col("text"))
-    write_documents(docs.select(F.concat(F.lit("d"), "doc_id", F.lit("."), kind).alias("name"), body.alias("body")), path)
+    write_documents(docs.select(F.concat(F.lit("d"), "doc_id", F.lit("."), kind).alias("name"), body.alias("body")), path, _FOLDERS)
     return path
 
 
@@ -96,7 +98,7 @@ def _notes(spark, sf_dir) -> str:
     path = scratch(spark, "notes")
     day = F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("doc_id") % 28).cast("int"))
     lines = [F.lit("---"), F.concat(F.lit("title: 'note: "), "doc_id", F.lit("'")), F.concat(F.lit("lang: "), "lang"), F.concat(F.lit("updated_at: "), day.cast("string")), F.when(F.col("doc_id") % 3 == 0, F.lit("ttl_days: 10")), F.when(F.col("doc_id") % 5 == 0, F.lit("disabled: Yes")), F.when(F.col("doc_id") % 11 != 0, F.lit("---")), F.col("text")]
-    write_documents(table(spark, sf_dir, "documents").select(F.concat(F.lit("n"), "doc_id", F.lit(".md")).alias("name"), F.concat_ws("\n", *lines).alias("body")), path)
+    write_documents(table(spark, sf_dir, "documents").select(F.concat(F.lit("n"), "doc_id", F.lit(".md")).alias("name"), F.concat_ws("\n", *lines).alias("body")), path, _FOLDERS)
     return path
 
 

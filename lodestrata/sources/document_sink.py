@@ -3,86 +3,74 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
-from pyspark.sql.types import Row, StructType
 
 from lodestrata.runtime import ship
 
-_FORMAT = "lodestrata_documents"
 
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """A folder's file system and its path there."""
+    files, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return files, root.rstrip("/")
 
-@dataclass
-class _Written(WriterCommitMessage):
-    folder: str
 
+def _place(name: str, folders: int) -> str:
+    """A document's place below the folder."""
+    return f"{zlib.crc32(name.encode()) % folders:03x}/{name}" if folders > 1 else name
 
-class _Writer(DataSourceWriter):
-    """Tasks write below a hidden folder of the run; the driver moves what succeeded into place."""
 
-    def __init__(self, path: str, columns: list[str], overwrite: bool) -> None:
-        self.path, self.columns, self.overwrite, self.run = path, columns, overwrite, uuid.uuid4().hex
-
-    def _root(self) -> tuple[fs.FileSystem, str]:
-        files, root = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
-        return files, root.rstrip("/")
-
-    def write(self, iterator: Iterator[Row]) -> _Written:
-        files, root = self._root()
-        context = TaskContext.get()
-        folder = f"{root}/.draft-{self.run}/{context.partitionId()}-{context.taskAttemptId()}"
-        files.create_dir(folder, recursive=True)
-        for row in iterator:
-            name = row["name"]
-            if not name or "/" in name or name.startswith("."):
-                raise ValueError(f"no name of a document: {name!r}")
-            body = row["body"]
-            with files.open_output_stream(f"{folder}/{name}") as out:
-                out.write(body.encode() if isinstance(body, str) else bytes(body or b""))
-        return _Written(folder)
-
-    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        files, root = self._root()
-        with ThreadPoolExecutor(16) as pool:  # names only: a move replaces a document of that name
-            for message in filter(None, messages):
-                found = files.get_file_info(fs.FileSelector(message.folder))
-                list(pool.map(lambda f: files.move(f.path, f"{root}/{f.base_name}"), found))
-        files.delete_dir(f"{root}/.draft-{self.run}")
-
-    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        files, root = self._root()
-        if files.get_file_info(f"{root}/.draft-{self.run}").type != fs.FileType.NotFound:
-            files.delete_dir(f"{root}/.draft-{self.run}")
-
-
-class Documents(DataSource):
-    """Rows (name, body) as files below the option ``path``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return _FORMAT
-
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"], schema.fieldNames(), overwrite)
-
-
-def write_documents(rows: DataFrame, path: str) -> None:
+def write_documents(rows: DataFrame, path: str, folders: int = 1) -> None:
     """Writes a document for each row (name, body); documents of the same name are replaced.
 
     Nothing is seen below its name before all tasks are done: a run that fails leaves what
     was there. Of rows with one name the one with the largest body counts, as documents have
     no order. A null body is an empty document; a null or empty name, one with a slash or one
     that begins with a point fails the run. ``path`` is a folder that all executors reach.
+
+    Tasks write below a hidden folder of the run, and tasks of a second job move what
+    succeeded into place; the driver sees the names of their folders only. ``folders`` deals
+    the documents to so many folders below the path by their names, for those who list them;
+    all writers of a path have to take the same number.
     """
     spark = rows.sparkSession
     ship(spark)
-    spark.dataSource.register(Documents)
-    once = rows.groupBy("name").agg(F.max("body").alias("body"))
-    once.write.format(_FORMAT).option("path", path).mode("append").save()
+    files, root = opened(path)
+    draft = f"{root}/.draft-{uuid.uuid4().hex}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = opened(path)
+        context = TaskContext.get()
+        folder = f"{draft}/{context.partitionId()}-{context.taskAttemptId()}"
+        files.create_dir(folder, recursive=False)  # fails once the run has been given up
+        for batch in batches:
+            for name, body in zip(batch.column("name").to_pylist(), batch.column("body").to_pylist()):
+                if not name or "/" in name or name.startswith("."):
+                    raise ValueError(f"no name of a document: {name!r}")
+                with files.open_output_stream(f"{folder}/{name}") as out:
+                    out.write(body.encode() if isinstance(body, str) else bytes(body or b""))
+        yield pa.RecordBatch.from_arrays([pa.array([folder])], ["folder"])
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = opened(path)
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                for found in files.get_file_info(fs.FileSelector(folder)):  # those that a lost task has moved are gone from here
+                    files.move(found.path, f"{root}/{_place(found.base_name, folders)}")
+                yield pa.RecordBatch.from_arrays([pa.array([folder])], ["folder"])
+
+    files.create_dir(draft, recursive=True)
+    try:
+        once = rows.groupBy("name").agg(F.max("body").alias("body"))
+        done = [r["folder"] for r in once.mapInArrow(write, "folder string").collect()]  # one for each task
+        for i in range(folders if folders > 1 else 0):
+            files.create_dir(f"{root}/{i:03x}")
+        spark.createDataFrame([(f,) for f in done], "folder string").repartition(max(1, len(done)), "folder").mapInArrow(move, "folder string").collect()
+    finally:
+        files.delete_dir(draft)

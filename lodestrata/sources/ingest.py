@@ -7,36 +7,79 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as X
 from lodestrata.functions.chunking import chunked
-from lodestrata.runtime import extended, settle, ship
+from lodestrata.runtime import extended, settle, ship, spread
+from lodestrata.sources.document_sink import opened
 
-#: What opening a file costs, in bytes; Spark's own 4 MB deal 32 small files to a task.
-OPEN_COST = 1 << 16
+#: Bytes of files that are handed on at once.
+_BATCH = 8 << 20
 SUFFIXES = (".md", ".txt", ".json", ".html", ".htm")
 
 
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers leave out too."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name)
+
+
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, modified) of the files below a folder, at any depth.
+
+    Tasks list the folders, those of one depth side by side; of all names the driver sees none.
+    """
+    ship(spark)
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = opened(folder)
+        for batch in batches:
+            for below in batch.column("below").to_pylist():
+                found = [f for f in files.get_file_info(fs.FileSelector(root + below)) if not _hidden(f.base_name)]
+                for i in range(0, len(found), 10_000):
+                    some = found[i : i + 10_000]
+                    names = pa.array([f"{below}/{f.base_name}" for f in some], pa.string())
+                    yield pa.RecordBatch.from_arrays([names, pa.array([f.type == fs.FileType.Directory for f in some], pa.bool_()), pa.array([f.mtime for f in some], pa.timestamp("us", "UTC"))], ["below", "is_folder", "modified"])
+
+    depth, out = spark.createDataFrame([("",)], "below string"), None
+    while True:
+        got = settle(depth.mapInArrow(entries, "below string, is_folder boolean, modified timestamp"), "names")
+        own = got.where("NOT is_folder").select("below", "modified")
+        out = own if out is None else out.unionByName(own)
+        depth = got.where("is_folder").select("below")
+        if depth.isEmpty():
+            return out
+        depth = spread(depth, "below")
+
+
 def files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """(path, text, hash, modified) of the files below a folder; bytes that are no UTF-8 are replaced.
 
-    The files are read once, into a table that all who ask for their rows read. Files count
-    with ``OPEN_COST`` bytes more than they have when they are dealt to tasks, so small ones
-    share a task.
+    The files are read once, into a table that all who ask for their rows read. Their names
+    are dealt to all tasks, which read them one by one; the driver holds none of them.
     """
-    cost, before = "spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.openCostInBytes")
-    wanted = "{" + ",".join("*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix) for suffix in suffixes) + "}"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", wanted).load(folder)
-    found = found.where(F.lower("path").rlike(f"({'|'.join(map(re.escape, suffixes))})$"))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    names = listed(spark, folder).where(F.lower("below").rlike(f"({'|'.join(map(re.escape, suffixes))})$"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = opened(folder)
+        for batch in batches:
+            low, held, size = 0, [], 0
+            for i, below in enumerate(batch.column("below").to_pylist()):
+                with store.open_input_file(root + below) as source:
+                    held.append(source.read())
+                size += len(held[-1])
+                if size >= _BATCH or i + 1 == len(batch):
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(low, len(held)) for c in ("below", "modified")), pa.array(held, pa.binary())], ["below", "modified", "content"])
+                    low, held, size = i + 1, [], 0
+
+    found = spread(names, "below").mapInArrow(read, "below string, modified timestamp, content binary")
     # validated as text by Spark, which replaces what is no UTF-8
-    rows = found.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.substr(F.sha2("content", 256), F.lit(1), F.lit(32)).alias("hash"), F.col("modificationTime").alias("modified"))
-    spark.conf.set(cost, OPEN_COST)
-    try:
-        return settle(rows, "files")
-    finally:
-        spark.conf.set(cost, before)
+    rows = found.select(F.concat(F.lit(whole), "below").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.substr(F.sha2("content", 256), F.lit(1), F.lit(32)).alias("hash"), "modified")
+    return settle(rows, "files")
 
 
 def json_lines(value: object) -> list[str]:

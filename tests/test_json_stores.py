@@ -83,3 +83,33 @@ def test_without_a_limit_all_sessions_count(spark, tmp_path):
         snapshot(tmp_path, f"session-{i}.json", 1000 + i, session_id=f"s{i}", created_at=100.0 + i, messages=[])
     snapshot(tmp_path, "latest.json", 3000, session_id="other", messages=[])
     assert J.sessions(spark, f"file://{tmp_path}", None).count() == 31
+
+
+def test_the_driver_sees_no_names_of_documents(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameReader
+
+    from lodestrata.sources import document_sink as D
+    from lodestrata.sources import ingest as I
+
+    class Folders:
+        """What the driver may do."""
+
+        def __init__(self, files) -> None:
+            self.create_dir, self.delete_dir = files.create_dir, files.delete_dir
+
+    driver, opened, formatted = os.getpid(), D.opened, DataFrameReader.format
+    limited = lambda path: (Folders(opened(path)[0]) if os.getpid() == driver else opened(path)[0], opened(path)[1])
+    monkeypatch.setattr(D, "opened", limited)
+    monkeypatch.setattr(I, "opened", limited)
+    monkeypatch.setattr(DataFrameReader, "format", lambda self, source: pytest.fail("the driver lists files") if source == "binaryFile" else formatted(self, source))
+    rows = spark.range(50).select(F.concat(F.lit("d"), "id", F.lit(".md")).alias("name"), F.concat(F.lit("text "), "id").alias("body"))
+    path = str(tmp_path / "out")
+    for body in ("old", None):
+        write_documents(rows.withColumn("body", F.lit(body)) if body else rows, path, 4)
+    (tmp_path / "out" / "_hidden.md").write_text("no")
+    (tmp_path / "out" / "top.MD").write_bytes(b"a\xffb")
+    assert sorted(os.listdir(path)) == ["000", "001", "002", "003", "_hidden.md", "top.MD"]
+    got = {r["path"].rsplit("/", 1)[1]: r for r in I.files(spark, f"file://{path}").collect()}
+    assert {n: r["text"] for n, r in got.items()} == {f"d{i}.md": f"text {i}" for i in range(50)} | {"top.MD": "a�b"}
+    assert all(r["path"].startswith("file:/") and os.path.exists(r["path"].removeprefix("file:")) for r in got.values())
+    assert abs(got["top.MD"]["modified"].timestamp() - os.path.getmtime(f"{path}/top.MD")) < 1
