@@ -142,3 +142,23 @@ def test_all_rows_aside_calibrate(spark, monkeypatch):
     aside = rows.where(~R.is_held_out() & R._aside()).count()
     assert aside > 12_000 and used == [aside]
     assert all(limit >= 0 for limit in models.limits) and models.limits[0] < float("inf")
+
+
+def test_more_runs_than_are_broadcast_are_judged_whole(spark, sf):
+    rows = rows_of(spark, sf).unionByName(spark.createDataFrame([(-1, None, None), (-2, "", "en"), (-3, "12 !?", None), (-4, "Zebra ЖЖ 漢字 naïve", None), (None, "Haus", None)], "doc_id long, text string, lang string"))
+    whole, tables = R.trained(rows), R.trained(rows, max_grams=2000)
+    assert not whole.whole and len(tables.whole) == N and tables.languages == whole.languages
+    assert max(len(level.runs) for own in tables.levels for level in own) < max(len(level.runs) for own in whole.levels for level in own)
+    got, want = ({(r["doc_id"], r["text"]): r for r in R.identify(rows, m, detail=True).collect()} for m in (tables, whole))
+    assert len(got) == rows.distinct().count() and got.keys() == want.keys()
+    for key, r in want.items():
+        assert (got[key]["lang"], got[key]["lang_pred"], got[key]["n_signs"], got[key]["rejected"]) == (r["lang"], r["lang_pred"], r["n_signs"], r["rejected"])
+        assert [got[key][c] for c in ("cross_entropy", "score", "margin")] == pytest.approx([r[c] for c in ("cross_entropy", "score", "margin")], abs=1e-7, rel=1e-7)
+
+
+def test_rows_aside_are_learnt_in_the_end(spark):
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("en").alias("lang"))
+    rows = rows.withColumn("text", F.when(R._aside(), F.lit("zzz")).otherwise(F.col("text")))
+    for models, known in ((R.learn(rows), False), (R.trained(rows), True)):
+        here = R._gram_hashes(np.array([[2, 2, 2, 2, ord("z")]], np.uint32))
+        assert (R._find(models.levels[0][N - 1].runs, here[N])[0] >= 0) == known
