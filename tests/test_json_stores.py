@@ -113,3 +113,12 @@ def test_the_driver_sees_no_names_of_documents(spark, tmp_path, monkeypatch):
     assert {n: r["text"] for n, r in got.items()} == {f"d{i}.md": f"text {i}" for i in range(50)} | {"top.MD": "a�b"}
     assert all(r["path"].startswith("file:/") and os.path.exists(r["path"].removeprefix("file:")) for r in got.values())
     assert abs(got["top.MD"]["modified"].timestamp() - os.path.getmtime(f"{path}/top.MD")) < 1
+
+
+def test_documents_of_queries_are_dealt_to_folders(spark, sf):
+    from lodestrata.plans import folders
+
+    path = folders._folder(spark, sf).removeprefix("file://")
+    inside = [os.listdir(f"{path}/{name}") for name in os.listdir(path)]
+    assert len(inside) == 1024 and sum(map(len, inside)) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert max(map(len, inside)) < 10
